@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def open_output(uri: str):
+    """(stream, commit): a file that appears under its name only when commit() is called.
+
+    Any file system that pyarrow knows by the URI; the folder must be one that executors share.
+    """
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    out = fs.open_output_stream(f"{path}.tmp")
+
+    def commit() -> None:
+        out.close()
+        fs.move(f"{path}.tmp", path)
+
+    return out, commit
+
+
+def open_input(uri: str):
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return fs.open_input_file(path)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .decontaminate import op9_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .huffman import op10_token_files
 from .language_id import op8_language_id
 from .simhash import op6_simhash
+from .subword_lm import op2_subword_lm
 
 QUERIES = {
+    "op2_subword_lm": op2_subword_lm,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL}
