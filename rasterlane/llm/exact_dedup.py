@@ -76,8 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     checked = chains.join(same, ["h", "sha"], "left")
     clash = F.raise_error(F.lit("two texts share both hashes, or the input changed while it was read"))
     size = F.when((F.col("different") == 1) & (F.col("rows") == F.col("size")), F.col("size")).otherwise(clash)
-    checked = checked.select("h", "sha", size.alias("size"), "keep_id", "keep_uid")
+    checked = stored(checked.select("h", "sha", size.alias("size"), "keep_id", "keep_uid"), "dedup-checked")
 
+    # both sides are dealt anew for this join, so that Spark may split what a hot chain makes large
     out = index.join(checked, ["h", "sha"], "left")
     return out.select(
         F.col("id").alias(id_col),
