@@ -9,12 +9,14 @@ from .huffman import op10_token_files
 from .language_id import op8_language_id
 from .simhash import op6_simhash
 from .subword_lm import op2_subword_lm
+from .warc import op7_warc
 
 QUERIES = {
     "op2_subword_lm": op2_subword_lm,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
