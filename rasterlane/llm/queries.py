@@ -7,11 +7,13 @@ from .decontaminate import op9_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .huffman import op10_token_files
 from .language_id import op8_language_id
+from .quality import op1_quality
 from .simhash import op6_simhash
 from .subword_lm import op2_subword_lm
 from .warc import op7_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_subword_lm": op2_subword_lm,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
