@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .chat import op3_chat
 from .decontaminate import op9_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .huffman import op10_token_files
@@ -15,6 +16,7 @@ from .warc import op7_warc
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_subword_lm": op2_subword_lm,
+    "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
