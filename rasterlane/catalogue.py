@@ -1,4 +1,8 @@
-"""Every registered query of the engine's own operators with its SQL."""
+"""Every registered query of the engine's own operators, and SQL that another engine can check.
+
+Images come from `embeddings` (8 x 8, three channels), boxes from `lineitem`, keypoints from `events`,
+texts from `documents`. Operators run with p = 1 unless the query is about the gate.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,407 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlane.functions import annotations as ann
+from rasterlane.functions.sampling import Draws
+from rasterlane.operators import OPERATORS, Frame, dropout, geometry, text
+from rasterlane.operators.base import values
+from rasterlane.plans import compose
+from rasterlane.sources import samples as src
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+PX = """WITH e AS (SELECT vec_id AS sample_id, embedding AS e, unnest(range(64)) AS i FROM embeddings),
+g AS (SELECT sample_id, i, greatest(0, least(255, floor((e[i + 1]::DOUBLE + 1) * 127.5))) AS v0, greatest(0, least(255, floor((e[64 - i]::DOUBLE + 1) * 127.5))) AS v1 FROM e),
+px AS (SELECT sample_id, 8 AS h, 8 AS w, i // 8 AS y, i % 8 AS x, v0, v1, (v0 + 7 * i) % 256 AS v2 FROM g)
+"""
+BX = """WITH r AS (SELECT l_orderkey AS sample_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS box_ix,
+  ((l_partkey * 37) % 100)::DOUBLE AS bx, ((l_suppkey * 53 + l_linenumber * 11) % 70)::DOUBLE AS yt, l_quantity AS bw, 5 + 100 * l_discount AS bh, l_returnflag AS label FROM lineitem),
+b AS (SELECT sample_id, 60 AS h, 90 AS w, box_ix, bx / 90 AS x_min, yt / 60 AS y_min, (bx + bw) / 90 AS x_max, (yt + bh) / 60 AS y_max, label FROM r)
+"""
+KP = """WITH k AS (SELECT user_id AS sample_id, 60 AS h, 90 AS w, event_id AS kp_ix, ((event_id * 31) % 95)::DOUBLE AS x, ((event_id * 17) % 65)::DOUBLE AS y, (event_id % 360) * 0.017453292519943295 AS angle, value AS scale, event_type AS label FROM events)
+"""
+VOL = PX + ", vx AS (SELECT sample_id, 4 AS d, 4 AS h, 4 AS w, (y * 8 + x) // 16 AS z, (y * 8 + x) // 4 % 4 AS y, (y * 8 + x) % 4 AS x, v0 FROM px)\n"
+
+
+def shown(df: DataFrame, channels: int = 3, keys: tuple = ("sample_id", "y", "x")) -> DataFrame:
+    return df.select(*[F.col(k).cast("long").alias(k) for k in keys], *[F.round(F.col(v).cast("double"), 5).alias(v) for v in values(channels)])
+
+
+def boxes_shown(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", F.col("box_ix").cast("long").alias("box_ix"), *[F.round(c, 6).alias(c) for c in ann.BOX], "label")
+
+
+def keypoints_shown(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", "kp_ix", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("x", "y", "angle", "scale")], "label")
+
+
+def box_sql(x0: str, y0: str, x1: str, y1: str, where: str = "true", cte: str = BX) -> str:
+    return f"{cte} SELECT sample_id, box_ix, round({x0}, 6) AS x_min, round({y0}, 6) AS y_min, round({x1}, 6) AS x_max, round({y1}, 6) AS y_max, label FROM b WHERE {where}"
+
+
+def pixel_sql(y: str, x: str, v: tuple, where: str = "true", cte: str = PX, source: str = "px") -> str:
+    cols = ", ".join(f"round(({e})::DOUBLE, 5) AS v{i}" for i, e in enumerate(v))
+    return f"{cte} SELECT sample_id, ({y})::BIGINT AS y, ({x})::BIGINT AS x, {cols} FROM {source} WHERE {where}"
+
+
+def on_pixels(name: str, sql: str | None = None, query: str | None = None, **args) -> None:
+    """Registers an operator over the images."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        px = src.embedding_pixels(spark, sf_dir)
+        given = dict(args)
+        if given.pop("reference_", False):
+            n = px.agg((F.max("sample_id") + 1).alias("n"))
+            given["reference"] = px.crossJoin(F.broadcast(n)).withColumn("sample_id", F.expr("(sample_id + n - 1) % n")).drop("n")
+        for k, e in given.pop("columns_", {}).items():
+            px = px.withColumn(k, F.expr(e))
+        op = OPERATORS[name](**({"p": 1.0} | given))
+        out = op.run(Frame(px, 3))
+        return shown(out.pixels, out.channels)
+
+    QUERIES[query or name] = run
+    if sql:
+        ORACLE_SQL[query or name] = sql
+
+
+V = ("v0", "v1", "v2")
+
+
+def same(f: str) -> tuple:
+    return tuple(f.replace("@", v) for v in V)
+
+
+def clip(e: str) -> str:
+    return f"greatest(0, least(255, floor({e} + 0.5)))"
+
+
+on_pixels("no_op", pixel_sql("y", "x", V))
+on_pixels("invert_img", pixel_sql("y", "x", same("255 - @")))
+on_pixels("solarize", pixel_sql("y", "x", same("CASE WHEN @ >= 127.5 THEN 255 - @ ELSE @ END")))
+on_pixels("posterize", pixel_sql("y", "x", same("floor(@ / 16) * 16")))
+on_pixels("random_brightness_contrast", pixel_sql("y", "x", same(clip("@ * 1.2 + 25.5"))), brightness_limit=(0.1, 0.1), contrast_limit=(0.2, 0.2))
+on_pixels("random_gamma", pixel_sql("y", "x", same("floor(pow(@ / 255.0, 1.2) * 255)")), gamma_limit=(120, 120))
+on_pixels("normalize", pixel_sql("y", "x", ("(v0 / 255.0 - 0.485) / 0.229", "(v1 / 255.0 - 0.456) / 0.224", "(v2 / 255.0 - 0.406) / 0.225")))
+on_pixels("normalize", PX + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"round(({v} - min({v}) OVER s) / (max({v}) OVER s - min({v}) OVER s + 1e-4), 5) AS {v}" for v in V) + " FROM px WINDOW s AS (PARTITION BY sample_id)", "normalize_min_max_per_channel", normalization="min_max_per_channel")
+on_pixels("to_float", pixel_sql("y", "x", same("@ / 255.0")))
+on_pixels("from_float", pixel_sql("y", "x", same(clip("@ * 0.5"))), max_value=0.5)
+on_pixels("to_gray", pixel_sql("y", "x", (clip("0.299 * v0 + 0.587 * v1 + 0.114 * v2"),) * 3))
+for m, e in {"average": "(v0 + v1 + v2) / 3.0", "max": "greatest(v0, v1, v2)", "desaturation": "(greatest(v0, v1, v2) + least(v0, v1, v2)) / 2.0"}.items():
+    on_pixels("to_gray", pixel_sql("y", "x", (clip(e),) * 3), f"to_gray_{m}", method=m)
+on_pixels("to_gray", None, "to_gray_pca", method="pca")
+on_pixels("to_gray", None, "to_gray_lab", method="from_lab")
+on_pixels("to_rgb", pixel_sql("y", "x", ("v0",) * 3))
+on_pixels("to_sepia", pixel_sql("y", "x", tuple(clip(f"{a} * v0 + {b} * v1 + {c} * v2") for a, b, c in ((0.393, 0.769, 0.189), (0.349, 0.686, 0.168), (0.272, 0.534, 0.131)))))
+D = Draws
+d = D(0, "0.multiplicative_noise")
+on_pixels("multiplicative_noise", pixel_sql("y", "x", same(clip(f"@ * {d.between('m', 0.9, 1.1)}"))))
+d = D(0, "0.rgbshift")
+on_pixels("rgbshift", pixel_sql("y", "x", tuple(clip(f"{v} + {d.between(f's{i}', -20, 20)}") for i, v in enumerate(V))))
+d = D(0, "0.channel_dropout")
+u = [d.unit(f"r{i}") for i in range(3)]
+on_pixels("channel_dropout", pixel_sql("y", "x", tuple(f"CASE WHEN {u[i]} < {u[(i + 1) % 3]} AND {u[i]} < {u[(i + 2) % 3]} THEN 0 ELSE v{i} END" for i in range(3))))
+d = D(0, "0.additive_noise")
+on_pixels("additive_noise", pixel_sql("y", "x", tuple(clip(f"{v} + {d.between(f'n{i}', -0.1, 0.1)} * 255") for i, v in enumerate(V))))
+for k in ("gaussian", "laplace", "beta"):
+    on_pixels("additive_noise", None, f"additive_noise_{k}", noise_type=k, spatial_mode="per_pixel")
+d = D(0, "0.random_tone_curve")
+a, b = (f"greatest(0, least(1, {m} + 0.1 * {d.normal(n)}))" for n, m in (("a", 0.25), ("b", 0.75)))
+on_pixels("random_tone_curve", pixel_sql("y", "x", same(clip(f"(3 * pow(1 - @ / 255.0, 2) * (@ / 255.0) * {a} + 3 * (1 - @ / 255.0) * pow(@ / 255.0, 2) * {b} + pow(@ / 255.0, 3)) * 255"))))
+on_pixels("illumination", pixel_sql("y", "x", same(clip("@ * (1 + 0.1 * exp(-(pow(x - 4, 2) + pow(y - 4, 2)) / (2 * pow(8 * 0.5, 2))))"))), mode="gaussian", intensity_range=(0.1, 0.1), effect_type="brighten", center_range=(0.5, 0.5), sigma_range=(0.5, 0.5))
+for m in ("linear", "corner"):
+    on_pixels("illumination", None, f"illumination_{m}", mode=m)
+for n in ("gauss_noise", "shot_noise", "hue_saturation_value", "color_jitter", "planckian_jitter", "random_shadow", "random_snow", "isonoise", "fancy_pca", "hestain", "superpixels", "image_compression", "clahe", "channel_shuffle"):
+    on_pixels(n)
+on_pixels("hestain", None, "hestain_macenko", method="macenko")
+
+# rigid geometry
+GEOMETRY = {"horizontal_flip": ("y", "7 - x"), "vertical_flip": ("7 - y", "x"), "transpose": ("x", "y"), "time_reverse": ("y", "7 - x")}
+for n, (y, x) in GEOMETRY.items():
+    on_pixels(n, pixel_sql(y, x, V))
+for n, elements in (("d4", geometry.D4.elements), ("square_symmetry", geometry.D4.elements), ("random_rotate90", geometry.RandomRotate90.elements)):
+    k = f"cast(floor({D(0, f'0.{n}').unit('k')} * {len(elements)}) as int)"
+    to = {"e": ("y", "x"), "r90": ("7 - x", "y"), "r180": ("7 - y", "7 - x"), "r270": ("x", "7 - y"), "v": ("7 - y", "x"), "h": ("y", "7 - x"), "t": ("x", "y"), "hvt": ("7 - x", "7 - y")}
+    case = [f"CASE {k} " + " ".join(f"WHEN {i} THEN {to[e][a]}" for i, e in enumerate(elements)) + " END" for a in (0, 1)]
+    on_pixels(n, pixel_sql(*case, V))
+on_pixels("center_crop", pixel_sql("y - 2", "x - 2", V, "y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"))
+on_pixels("crop", pixel_sql("y - 2", "x - 1", V, "y BETWEEN 2 AND 4 AND x BETWEEN 1 AND 6"), x_min=1, y_min=2, x_max=7, y_max=5)
+d = D(0, "0.random_crop")
+x0, y0 = f"cast(floor(5 * {d.unit('u')}) as int)", f"cast(floor(5 * {d.unit('v')}) as int)"
+on_pixels("random_crop", pixel_sql(f"y - {y0}", f"x - {x0}", V, f"y >= {y0} AND y < {y0} + 4 AND x >= {x0} AND x < {x0} + 4"))
+on_pixels("random_crop_from_borders", None, crop_left=0.3, crop_right=0.3, crop_top=0.3, crop_bottom=0.3)
+on_pixels("random_crop_near_bbox", None, columns_={"bx0": "1", "by0": "1", "bx1": "6", "by1": "5"})
+union = {"ux0": "0.25e0", "uy0": "0.25e0", "ux1": "0.75e0", "uy1": "0.5e0"}
+on_pixels("bbox_safe_random_crop", None, columns_=union)
+on_pixels("random_sized_bbox_safe_crop", None, columns_=union)
+on_pixels("at_least_one_bbox_random_crop", None, columns_={"o" + k[1:]: e for k, e in union.items()})
+on_pixels("crop_non_empty_mask_if_exists", None, columns_={"mx": "3", "my": "5"})
+PADDED = ", t AS (SELECT DISTINCT sample_id, unnest(range({h})) AS y FROM px), o AS (SELECT sample_id, y, unnest(range({w})) AS x FROM t)\n"
+on_pixels("pad", PX + PADDED.format(h=11, w=11) + "SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, " + ", ".join(f"coalesce({v}, 7.0) AS {v}" for v in V) + " FROM o LEFT JOIN px ON px.sample_id = o.sample_id AND px.y = o.y - 1 AND px.x = o.x - 1", padding=(1, 1, 2, 2), fill=7.0)
+on_pixels("pad_if_needed", PX + PADDED.format(h=12, w=11) + "SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, " + ", ".join(f"coalesce({v}, 0.0) AS {v}" for v in V) + " FROM o LEFT JOIN px ON px.sample_id = o.sample_id AND px.y = o.y - 2 AND px.x = o.x - 1", min_height=12, min_width=11)
+MIRROR = "7 - abs(7 - abs({} - 2))"
+on_pixels("pad", PX + PADDED.format(h=12, w=12) + f"SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, v0, v1, v2 FROM o JOIN px ON px.sample_id = o.sample_id AND px.y = {MIRROR.format('o.y')} AND px.x = {MIRROR.format('o.x')}", "pad_mirrored", padding=2, border="mirror")
+on_pixels("crop_and_pad", PX + PADDED.format(h=8, w=8) + "SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, " + ", ".join(f"coalesce({v}, 0.0) AS {v}" for v in V) + " FROM o LEFT JOIN px ON px.sample_id = o.sample_id AND px.y = o.y + 1 AND px.x = o.x + 1 AND px.y >= 1 AND px.x >= 1 AND o.y < 7 AND o.x < 7", px=(-1, 1, 1, -1))
+on_pixels("random_grid_shuffle", None)
+
+# neighbourhoods and resampling
+OFFSETS = ", n AS (SELECT a.sample_id, a.y, a.x, b.v0, b.v1, b.v2 FROM (SELECT sample_id, y, x, unnest([-1, 0, 1]) AS dy FROM px) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) c JOIN px b ON b.sample_id = a.sample_id AND b.y = 7 - abs(7 - abs(a.y + dy)) AND b.x = 7 - abs(7 - abs(a.x + dx)))\n"
+group = " FROM n GROUP BY sample_id, y, x"
+on_pixels("blur", PX + OFFSETS + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"greatest(0, least(255, floor(round(sum({v}) / 9.0, 9) + 0.5))) AS {v}" for v in V) + group, blur_limit=(3, 3))
+on_pixels("median_blur", PX + OFFSETS + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"median({v}) AS {v}" for v in V) + group, blur_limit=(3, 3))
+on_pixels("resize", pixel_sql("y // 2", "x // 2", V, "y % 2 = 0 AND x % 2 = 0").replace("y % 2 = 0 AND x % 2 = 0", "y % 2 = 1 AND x % 2 = 1"), "resize_nearest", height=4, width=4, linear=False)
+on_pixels("resize", PX + "SELECT sample_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, " + ", ".join(f"floor(avg({v}) + 0.5) AS {v}" for v in V) + " FROM px GROUP BY sample_id, y // 2, x // 2", height=4, width=4)
+d = D(0, "0.morphological")
+on_pixels("morphological", None)
+on_pixels("longest_max_size", None, max_size=6)
+on_pixels("smallest_max_size", None, max_size=6)
+on_pixels("downscale", None, scale_range=(0.5, 0.5))
+for n in ("gaussian_blur", "advanced_blur", "motion_blur", "glass_blur", "sharpen", "emboss", "unsharp_mask", "random_scale", "random_sized_crop", "random_resized_crop", "affine", "shift_scale_rotate", "rotate", "safe_rotate", "perspective", "optical_distortion", "chromatic_aberration", "grid_distortion", "elastic_transform", "piecewise_affine", "thin_plate_spline", "grid_elastic_deform", "zoom_blur"):
+    on_pixels(n)
+on_pixels("defocus", None, radius=(2, 3))
+on_pixels("ringing_overshoot", None, blur_limit=(3, 3))
+for n in ("random_rain", "random_fog", "random_sun_flare", "random_gravel", "spatter", "plasma_brightness_contrast", "plasma_shadow"):
+    on_pixels(n)
+
+# histograms
+HIST = PX + "".join(f", h{i} AS (SELECT sample_id, v, sum(n) OVER (PARTITION BY sample_id ORDER BY v) AS cum, sum(n) OVER (PARTITION BY sample_id) AS total, first_value(n) OVER (PARTITION BY sample_id ORDER BY v) AS f FROM (SELECT sample_id, v{i} AS v, count(*) AS n FROM px GROUP BY ALL))" for i in range(3)) + "\n"
+EQ = ", ".join(f"CASE WHEN h{i}.total = h{i}.f THEN h{i}.v ELSE round_even((h{i}.cum - h{i}.f) * (255.0::DOUBLE / (h{i}.total - h{i}.f)), 0) END AS v{i}" for i in range(3))
+JOINS = " ".join(f"JOIN h{i} ON h{i}.sample_id = px.sample_id AND h{i}.v = px.v{i}" for i in range(3))
+on_pixels("equalize", f"{HIST} SELECT px.sample_id, y::BIGINT AS y, x::BIGINT AS x, {EQ} FROM px {JOINS}")
+on_pixels("auto_contrast", PX + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"CASE WHEN min({v}) OVER s = max({v}) OVER s THEN {v} ELSE floor(({v} - min({v}) OVER s) * 255.0::DOUBLE / (max({v}) OVER s - min({v}) OVER s)) END AS {v}" for v in V) + " FROM px WINDOW s AS (PARTITION BY sample_id)", method="pil")
+on_pixels("auto_contrast", None, "auto_contrast_cdf", cutoff=2.0)
+for n in ("histogram_matching", "pixel_distribution_adaptation", "fda"):
+    on_pixels(n, None, reference_=True)
+for k in ("standard", "minmax"):
+    on_pixels("pixel_distribution_adaptation", None, f"pixel_distribution_adaptation_{k}", reference_=True, transform_type=k)
+
+# holes
+d = D(0, "0.coarse_dropout")
+holes = [(f"cast(floor(7 * {d.unit(f'y{k}')}) as int)", f"cast(floor(6 * {d.unit(f'x{k}')}) as int)", f"{d.integer('n', 1, 2)} > {k}") for k in range(2)]
+inside = " OR ".join(f"({e} AND y >= {y} AND y < {y} + 2 AND x >= {x} AND x < {x} + 3)" for y, x, e in holes)
+on_pixels("coarse_dropout", pixel_sql("y", "x", same(f"CASE WHEN {inside} THEN 9 ELSE @ END")), hole_height_range=(2, 2), hole_width_range=(3, 3), fill=9.0)
+on_pixels("grid_dropout", pixel_sql("y", "x", same("CASE WHEN y % 4 < 2 AND x % 4 < 2 THEN 0 ELSE @ END")), random_offset=False)
+d = D(0, "0.xymasking")
+on_pixels("xymasking", pixel_sql("y", "x", same(f"CASE WHEN (x >= cast(floor(7 * {d.unit('x0')}) as int) AND x < cast(floor(7 * {d.unit('x0')}) as int) + 2) OR (y >= cast(floor(7 * {d.unit('y0')}) as int) AND y < cast(floor(7 * {d.unit('y0')}) as int) + 2) THEN 0 ELSE @ END")), mask_x_length=(2, 2), mask_y_length=(2, 2))
+d = D(0, "0.pixel_dropout")
+on_pixels("pixel_dropout", pixel_sql("y", "x", same(f"CASE WHEN {d.unit('u', 'cast(floor(y) as int) * 65537 + cast(floor(x) as int)')} < 0.1 THEN 0 ELSE @ END")), dropout_prob=0.1)
+d = D(0, "0.salt_and_pepper")
+rank = f"row_number() OVER (PARTITION BY sample_id ORDER BY {d.unit('u', 'y * 65537 + x')}, y, x)"
+on_pixels("salt_and_pepper", PX + f", r AS (SELECT *, {rank} AS n FROM px) SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"CASE WHEN n <= 3 THEN 255.0 WHEN n <= 6 THEN 0.0 ELSE {v} END AS {v}" for v in V) + " FROM r", amount=(0.1, 0.1), salt_vs_pepper=(0.5, 0.5))
+on_pixels("time_masking", None, time_mask_param=3)
+on_pixels("frequency_masking", None, freq_mask_param=3)
+on_pixels("erasing", None)
+on_pixels("constrained_coarse_dropout", None, columns_={"targets": "array(named_struct('x_min', 0.1e0, 'y_min', 0.1e0, 'x_max', 0.9e0, 'y_max', 0.9e0))"}, hole_height_range=(0.3, 0.5), hole_width_range=(0.3, 0.5))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("lambda", pixel_sql("y", "x", same("@ / 2.0")))
+def lambda_(spark, sf_dir):
+    half = OPERATORS["lambda"](image=lambda df: df.withColumns({v: F.col(v) / 2 for v in V}))
+    return shown(half.run(Frame(src.embedding_pixels(spark, sf_dir))).pixels)
+
+
+@query("mask_dropout")
+def mask_dropout(spark, sf_dir):
+    masks = src.embedding_masks(spark, sf_dir)
+    op = OPERATORS["mask_dropout"](objects=dropout.objects(masks), p=1.0)
+    return shown(op.run(Frame(src.embedding_pixels(spark, sf_dir), masks=masks)).pixels)
+
+
+@query("overlay_elements", PX + ", top AS (SELECT sample_id, y + 2 AS y, x + 3 AS x, 255 - v0 AS o FROM px WHERE y < 3 AND x < 3) SELECT px.sample_id, px.y::BIGINT AS y, px.x::BIGINT AS x, coalesce(o, v0) AS v0, coalesce(o, v1) AS v1, coalesce(o, v2) AS v2 FROM px LEFT JOIN top ON px.sample_id = top.sample_id AND px.y = top.y AND px.x = top.x")
+def overlay_elements(spark, sf_dir):
+    px = src.embedding_pixels(spark, sf_dir)
+    top = px.where("y < 3 and x < 3").selectExpr("sample_id", "0 as ord", "3 as oh", "3 as ow", "y", "x", "255 - v0 as v0", "255 - v0 as v1", "255 - v0 as v2", "3 as bx", "2 as by")
+    return shown(OPERATORS["overlay_elements"](overlays=top, p=1.0).run(Frame(px)).pixels)
+
+
+@query("mosaic")
+def mosaic(spark, sf_dir):
+    px = src.embedding_pixels(spark, sf_dir)
+    items = px.withColumns({v: 255 - F.col(v) for v in V}).withColumn("item_ix", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return shown(OPERATORS["mosaic"](items=Frame(items), p=1.0).run(Frame(px)).pixels)
+
+
+# volumes
+def on_volumes(name: str, sql: str | None, **args) -> None:
+    def run(spark, sf_dir):
+        out = OPERATORS[name](**({"p": 1.0} | args)).run(Frame(src.embedding_volumes(spark, sf_dir), 1))
+        return shown(out.pixels, 1, ("sample_id", "z", "y", "x"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+on_volumes("center_crop3_d", VOL + "SELECT sample_id, (z - 1)::BIGINT AS z, (y - 1)::BIGINT AS y, (x - 1)::BIGINT AS x, v0 FROM vx WHERE z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2)") if "center_crop3_d" in OPERATORS else None
+for n in [o for o in OPERATORS if OPERATORS[o].__module__.endswith(".volume") and o not in QUERIES]:
+    on_volumes(n, None)
+
+
+@query("to_tensor_v2", PX + "SELECT sample_id, 3 AS c, list(v ORDER BY ch, y, x) AS data FROM (SELECT sample_id, y, x, unnest([0, 1, 2]) AS ch, unnest([v0, v1, v2]) AS v FROM px) GROUP BY sample_id")
+def to_tensor_v2(spark, sf_dir):
+    return src.to_tensor(Frame(src.embedding_pixels(spark, sf_dir))).select("sample_id", "c", "data")
+
+
+@query("to_tensor_3d", VOL + "SELECT sample_id, 1 AS c, list(v0 ORDER BY z, y, x) AS data FROM vx GROUP BY sample_id")
+def to_tensor_3d(spark, sf_dir):
+    return src.volume_tensor(src.embedding_volumes(spark, sf_dir)).select("sample_id", "c", "data")
+
+
+# boxes and keypoints
+CX = {c: f"greatest(0, least(1, {c}))" for c in ann.BOX}
+CW, CH = f"({CX['x_max']} - {CX['x_min']}) * 90", f"({CX['y_max']} - {CX['y_min']}) * 60"
+KEEP = f"{CW} * ({CH}) >= 20 AND {CW} * ({CH}) >= 0.5 * ((x_max - x_min) * 90 * (y_max - y_min) * 60) AND (x_max - x_min) * 90 * (y_max - y_min) * 60 >= 1e-7"
+
+
+def on_boxes(name: str, f, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: boxes_shown(f(src.lineitem_boxes(spark, sf_dir)))
+    ORACLE_SQL[name] = sql
+
+
+on_boxes("box_horizontal_flip", lambda b: OPERATORS["horizontal_flip"](p=1.0).on_boxes(b), box_sql("1 - x_max", "y_min", "1 - x_min", "y_max"))
+on_boxes("box_vertical_flip", lambda b: OPERATORS["vertical_flip"](p=1.0).on_boxes(b), box_sql("x_min", "1 - y_max", "x_max", "1 - y_min"))
+on_boxes("box_transpose", lambda b: OPERATORS["transpose"](p=1.0).on_boxes(b), box_sql("y_min", "x_min", "y_max", "x_max"))
+on_boxes("box_clip", ann.boxes_clipped, box_sql(*CX.values()))
+on_boxes("box_filter", lambda b: ann.BoxParams(min_area=20, min_visibility=0.5).filtered(b), box_sql(*CX.values(), KEEP))
+on_boxes("box_to_coco", lambda b: ann.boxes_from_internal(b, "coco"), box_sql("x_min * 90", "y_min * 60", "(x_max - x_min) * 90", "(y_max - y_min) * 60"))
+on_boxes("box_to_pascal_voc", lambda b: ann.boxes_from_internal(b, "pascal_voc"), box_sql("x_min * 90", "y_min * 60", "x_max * 90", "y_max * 60"))
+on_boxes("box_to_yolo", lambda b: ann.boxes_from_internal(b, "yolo"), box_sql("(x_min + x_max) / 2", "(y_min + y_max) / 2", "x_max - x_min", "y_max - y_min"))
+on_boxes("box_round_trip_coco", lambda b: ann.boxes_to_internal(ann.boxes_from_internal(b, "coco"), "coco"), box_sql(*ann.BOX))
+on_boxes("box_crop", lambda b: OPERATORS["crop"](x_min=10, y_min=5, x_max=70, y_max=45).on_boxes(b), box_sql("(x_min * 90 - 10) / 60", "(y_min * 60 - 5) / 40", "(x_max * 90 - 10) / 60", "(y_max * 60 - 5) / 40"))
+on_boxes("box_pad", lambda b: OPERATORS["pad"](padding=(5, 5, 5, 5)).on_boxes(b), box_sql("(x_min * 90 + 5) / 100", "(y_min * 60 + 5) / 70", "(x_max * 90 + 5) / 100", "(y_max * 60 + 5) / 70"))
+on_boxes("box_rotate", lambda b: OPERATORS["rotate"](limit=(90, 90), p=1.0).run(Frame(b, boxes=b)).boxes, box_sql("least(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "least(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60", "greatest(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "greatest(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60"))
+
+
+@query("box_union", BX + "SELECT sample_id, round(min(x_min), 6) AS x_min, round(min(y_min), 6) AS y_min, round(max(x_max), 6) AS x_max, round(max(y_max), 6) AS y_max FROM b GROUP BY sample_id")
+def box_union(spark, sf_dir):
+    u = ann.union_of_boxes(src.lineitem_boxes(spark, sf_dir))
+    return u.select("sample_id", *[F.round(c, 6).alias(c) for c in ann.BOX])
+
+
+@query("box_labels_encoded", BX + "SELECT sample_id, box_ix, label, dense_rank() OVER (ORDER BY label) - 1 AS label_id FROM b")
+def box_labels_encoded(spark, sf_dir):
+    return ann.labels_encoded(src.lineitem_boxes(spark, sf_dir)).select("sample_id", F.col("box_ix").cast("long").alias("box_ix"), "label", F.col("label_id").cast("long").alias("label_id"))
+
+
+@query("box_mask_round_trip", BX + "SELECT sample_id, box_ix, floor(x_min * 90)::BIGINT AS x_min, floor(y_min * 60)::BIGINT AS y_min, floor(x_max * 90)::BIGINT AS x_max, floor(y_max * 60)::BIGINT AS y_max FROM b WHERE floor(x_max * 90) > floor(x_min * 90) AND floor(y_max * 60) > floor(y_min * 60)")
+def box_mask_round_trip(spark, sf_dir):
+    out = ann.masks_to_boxes(ann.boxes_to_masks(src.lineitem_boxes(spark, sf_dir)))
+    return out.select("sample_id", *[F.col(c).cast("long").alias(c) for c in ("box_ix", *ann.BOX)])
+
+
+@query("box_coarse_dropout")
+def box_coarse_dropout(spark, sf_dir):
+    b = ann.BoxParams(min_area=1).filtered(src.lineitem_boxes(spark, sf_dir))
+    op = OPERATORS["coarse_dropout"](p=1.0, hole_height_range=(0.2, 0.4), hole_width_range=(0.2, 0.4))
+    return boxes_shown(op.run(Frame(b.select("sample_id", "h", "w").distinct(), 0, boxes=b)).boxes)
+
+
+TAU = "6.283185307179586"
+
+
+def on_keypoints(name: str, f, x: str, y: str, a: str, s: str = "scale", where: str = "true") -> None:
+    QUERIES[name] = lambda spark, sf_dir: keypoints_shown(f(src.event_keypoints(spark, sf_dir)))
+    ORACLE_SQL[name] = KP + f"SELECT sample_id, kp_ix, round(({x})::DOUBLE, 5) AS x, round(({y})::DOUBLE, 5) AS y, round(({a}) - floor(({a}) / {TAU}) * {TAU}, 5) AS angle, round(({s})::DOUBLE, 5) AS scale, label FROM k WHERE {where}"
+
+
+on_keypoints("kp_horizontal_flip", lambda k: OPERATORS["horizontal_flip"](p=1.0).on_keypoints(k), "89 - x", "y", "3.141592653589793 - angle")
+on_keypoints("kp_vertical_flip", lambda k: OPERATORS["vertical_flip"](p=1.0).on_keypoints(k), "x", "59 - y", "-angle")
+on_keypoints("kp_transpose", lambda k: OPERATORS["transpose"](p=1.0).on_keypoints(k), "y", "x", "1.5707963267948966 - angle")
+on_keypoints("kp_filter", lambda k: ann.KeypointParams().filtered(k), "x", "y", "angle", "scale", "x < 90 AND y < 60")
+on_keypoints("kp_resize", lambda k: OPERATORS["resize"](height=30, width=180).on_keypoints(k), "x * 2", "y / 2", "angle", "scale * 2")
+on_keypoints("kp_crop", lambda k: OPERATORS["crop"](x_min=10, y_min=5, x_max=70, y_max=45).on_keypoints(k), "x - 10", "y - 5", "angle")
+
+
+@query("kp_degrees_round_trip", KP + "SELECT sample_id, kp_ix, label, [x, y, round(event_id_ % 360, 4)] AS keypoint FROM (SELECT *, kp_ix::DOUBLE AS event_id_ FROM k)")
+def kp_degrees_round_trip(spark, sf_dir):
+    k = ann.keypoints_as(src.event_keypoints(spark, sf_dir), "xya")
+    return k.withColumn("keypoint", F.expr("transform(keypoint, (c, i) -> case when i = 2 then round(c, 4) % 360e0 else c end)"))
+
+
+d = D(0, "0.coarse_dropout")
+KX, KY = f"cast(floor(61 * {d.unit('x0')}) as int)", f"cast(floor(41 * {d.unit('y0')}) as int)"
+on_keypoints("kp_coarse_dropout", lambda k: OPERATORS["coarse_dropout"](p=1.0, num_holes_range=(1, 1), hole_height_range=(20, 20), hole_width_range=(30, 30)).run(Frame(k.select("sample_id", "h", "w", "x", "y"), 0, keypoints=k)).keypoints, "x", "y", "angle", "scale", f"NOT (x >= {KX} AND x < {KX} + 30 AND y >= {KY} AND y < {KY} + 20)")
+
+# plans
+FLIPS = (geometry.HorizontalFlip(p=0.5), geometry.VerticalFlip(p=0.5))
+
+
+def on_plan(name: str, plan, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: shown(plan.run(Frame(src.embedding_pixels(spark, sf_dir))).pixels)
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def gate(path: str, op: str, p: float = 0.5) -> str:
+    return f"{D(0, f'{path}.{op}').unit('gate')} < {p}"
+
+
+H, VF = gate("0.0", "horizontal_flip"), gate("0.1", "vertical_flip")
+on_plan("compose", compose.Compose(FLIPS), pixel_sql(f"CASE WHEN {VF} THEN 7 - y ELSE y END", f"CASE WHEN {H} THEN 7 - x ELSE x END", V))
+S = gate("0", "Sequential")
+on_plan("compose_sequential", compose.Sequential(FLIPS), pixel_sql(f"CASE WHEN {S} AND {VF} THEN 7 - y ELSE y END", f"CASE WHEN {S} AND {H} THEN 7 - x ELSE x END", V))
+C = f"{D(0, '0.OneOf').unit('choice')} < 0.5"
+on_plan("compose_one_of", compose.OneOf(FLIPS, p=1.0), pixel_sql(f"CASE WHEN {C} THEN y ELSE 7 - y END", f"CASE WHEN {C} THEN 7 - x ELSE x END", V))
+C2 = f"{D(0, '0.OneOrOther').unit('choice')} < 0.5"
+on_plan("compose_one_or_other", compose.OneOrOther(FLIPS), pixel_sql(f"CASE WHEN {C2} THEN y ELSE 7 - y END", f"CASE WHEN {C2} THEN 7 - x ELSE x END", V))
+SURE = (geometry.HorizontalFlip(p=1.0), geometry.VerticalFlip(p=1.0))
+u0, u1 = (D(0, "0.SomeOf").unit(f"rank{i}") for i in range(2))
+on_plan("compose_some_of", compose.SomeOf(SURE, n=1), pixel_sql(f"CASE WHEN {u0} <= {u1} THEN y ELSE 7 - y END", f"CASE WHEN {u0} <= {u1} THEN 7 - x ELSE x END", V))
+on_plan("compose_random_order", compose.RandomOrder(SURE, n=2), pixel_sql("7 - y", "7 - x", V))
+on_plan("compose_selective_channel", compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0),), channels=(0, 2)), pixel_sql("y", "x", ("255 - v0", "v1", "255 - v2")))
+
+
+@query("compose_spec_round_trip", ORACLE_SQL["compose_one_of"])
+def compose_spec_round_trip(spark, sf_dir):
+    plan = compose.plan_from_spec(compose.OneOf(FLIPS, p=1.0).spec())
+    return shown(plan.run(Frame(src.embedding_pixels(spark, sf_dir))).pixels)
+
+
+@query("compose_replay", ORACLE_SQL["compose"])
+def compose_replay(spark, sf_dir):
+    px = src.embedding_pixels(spark, sf_dir)
+    plan = compose.ReplayCompose(FLIPS)
+    return shown(plan.replay(Frame(px), plan.recorded(px.select("sample_id", "h", "w").distinct())).pixels)
+
+
+@query("compose_recorded")
+def compose_recorded(spark, sf_dir):
+    px = src.embedding_pixels(spark, sf_dir)
+    return compose.ReplayCompose((geometry.RandomCrop(4, 4),)).recorded(px.select("sample_id", "h", "w").distinct())["0.0"]
+
+
+# texts and spectrograms
+def documents_as_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as sample_id", "0 as box_ix", "text")
+
+
+for what in ("deletion", "swap", "insertion"):
+    QUERIES[f"text_{what}"] = lambda spark, sf_dir, what=what: text.TextImage(augmentations=(what,), p=1.0).texts(documents_as_texts(spark, sf_dir)).select("sample_id", "new_text")
+QUERIES["text_image"] = lambda spark, sf_dir: text.TextImage(augmentations=(None, "swap", "deletion", "insertion"), fraction_range=(0.5, 1.0), p=0.5).texts(documents_as_texts(spark, sf_dir)).select("sample_id", "box_ix", "change", "new_text")
+
+
+@query("spectrogram_time_reverse", "WITH t AS (SELECT event_type, hour(ts) AS x, count(*)::DOUBLE AS v0 FROM events GROUP BY ALL) SELECT 0::BIGINT AS sample_id, (dense_rank() OVER (ORDER BY event_type) - 1)::BIGINT AS y, (23 - x)::BIGINT AS x, v0 FROM t")
+def spectrogram_time_reverse(spark, sf_dir):
+    return shown(OPERATORS["time_reverse"](p=1.0).run(Frame(src.spectrograms(spark, sf_dir), 1)).pixels, 1)
+
+
+@query("compact_round_trip", pixel_sql("y", "x", V))
+def compact_round_trip(spark, sf_dir):
+    return shown(src.from_compact(src.to_compact(Frame(src.embedding_pixels(spark, sf_dir))), 3))
+
 
+@query("equalize_then_flip", f"{HIST} SELECT px.sample_id, y::BIGINT AS y, (7 - x)::BIGINT AS x, {EQ} FROM px {JOINS}")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    """Quantise, equalise by histogram, mirror."""
+    plan = compose.Compose((OPERATORS["equalize"](p=1.0), geometry.HorizontalFlip(p=1.0)))
+    return shown(plan(Frame(src.embedding_pixels(spark, sf_dir))).pixels)
