@@ -118,37 +118,35 @@ def in_order(rows: DataFrame, conv_col: str, order_col: str, text_col: str) -> D
 def learn(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> Model:
     """Counts starts, moves and symbols over all rows whose role is known; each row begins a turn.
 
-    Moves between rows are counted within a partition's order. Tasks send their counts, a row for
-    each pair of states and of state and symbol.
+    Lines are counted where rows are read. Moves from a row to the next (order + 1) are an equi-join on
+    conversation and order. What the driver gets is a row for each pair of states and of state and symbol.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, show = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-        last = None
+        move, show = np.zeros((STATES + 1, STATES)), np.zeros((STATES, SYMBOLS))
         for batch in batches:
-            for conv, text, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if role not in ROLES:
-                    last = None
-                    continue
+            for text, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 first, x = ROLES.index(role) * 2, symbols(text)
                 show[first, x[0]] += 1
                 np.add.at(show[first + 1], x[1:], 1)
                 if len(x) > 1:
                     move[first, first + 1] += 1
                     move[first + 1, first + 1] += len(x) - 2
-                if last is not None and last[0] == conv:
-                    move[last[1], first] += 1
-                elif last is not None:
-                    start[first] += 1
-                last = (conv, first + (len(x) > 1))
-        flat = np.concatenate([start, move.ravel(), show.ravel()])
+        flat = np.concatenate([move.ravel(), show.ravel()])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
 
-    flat = np.zeros(STATES * (1 + STATES + SYMBOLS))
-    for r in in_order(rows, conv_col, order_col, text_col).mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    known = rows.where(F.col("role").isin(*ROLES)).select(F.col(conv_col).alias("conv"), F.col(order_col).cast("long").alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "role")
+    flat = np.zeros(STATES * (STATES + 1 + SYMBOLS))
+    for r in known.select("text", "role").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         flat[r["at"]] = r["n"]
-    return Model(flat[:STATES], flat[STATES : STATES * (1 + STATES)].reshape(STATES, STATES), flat[STATES * (1 + STATES) :].reshape(STATES, SYMBOLS))
+    move, show = flat[: STATES * (STATES + 1)].reshape(STATES + 1, STATES), flat[STATES * (STATES + 1) :].reshape(STATES, SYMBOLS)
+    turns = known.select("conv", "ord", "role", (F.instr("text", "\n") > 0).alias("long"))
+    before = turns.select(F.col("conv"), (F.col("ord") + 1).alias("ord"), F.col("role").alias("of"), F.col("long").alias("of_long"))
+    for r in turns.join(before, ["conv", "ord"], "left").groupBy("of", "of_long", "role").count().collect():
+        state = START if r["of"] is None else ROLES.index(r["of"]) * 2 + bool(r["of_long"])
+        move[state, ROLES.index(r["role"]) * 2] += r["count"]
+    return Model(move[START], move[:START], show)
 
 
 def stretches(rows: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +154,7 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, names = TaskContext.get().partitionId() << 32, ["conv", "ord", "text", "role", "node", "open", "states", "m"]
+        number, names = TaskContext.get().partitionId() << 32, ["conv", "ord", "text", "role", "node", "open", "states", "m", "place"]
 
         def every() -> Iterator[tuple]:
             for b in batches:
@@ -183,18 +181,18 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
             flat = np.concatenate(seen)
             states = [None] * len(held) if is_open else [x.tolist() for x in np.split(sent.value.path(flat), ends)]
             m = sent.value.matrix(flat).ravel().tolist() if is_open else None
-            out += [(*r, number, is_open, s, m if i == 0 else None) for i, (r, s) in enumerate(zip(held, states))]
+            out += [(*r, number, is_open, s, m if i == 0 else None, i) for i, (r, s) in enumerate(zip(held, states))]
             if len(out) >= 2000:
                 yield table_of(out, names)
                 out = []
         if out:
             yield table_of(out, names)
 
-    return stored(rows.mapInArrow(run, "conv long, ord long, text string, role string, node long, open boolean, states array<int>, m array<double>"), "chat-stretches")
+    return stored(rows.mapInArrow(run, "conv long, ord long, text string, role string, node long, open boolean, states array<int>, m array<double>, place int"), "chat-stretches")
 
 
 def table_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
@@ -241,13 +239,19 @@ def settled(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "before", "end"])
 
 
+#: Open stretches that one task may settle; more are settled level by level.
+AT_ONCE = 20_000
+
+
 def boundaries(nodes: DataFrame) -> DataFrame:
     """(node, before, end): the best states before and at the end of each stretch.
 
     nodes: conv, node, m. Upwards, runs of at most BLOCK nodes of a conversation become one, until
     none has two; downwards, Viterbi over a run's matrices gives its nodes' ends. No task holds more
-    than BLOCK matrices of a run.
+    than BLOCK matrices of a run, or AT_ONCE matrices in all where that is every open stretch.
     """
+    if nodes.count() <= AT_ONCE:
+        return stored(nodes.repartition(1).mapInPandas(settled_at_once, "node long, before int, end int"), "chat-ends")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels, kind = [], "conv long, node long, m array<double>"
     while True:
@@ -259,33 +263,16 @@ def boundaries(nodes: DataFrame) -> DataFrame:
         parts = max(1, parts // BLOCK)  # runs that met a partition's edge join further up
     ends = nodes.select(F.col("node").alias("up"), F.lit(START).alias("before"), F.lit(None).cast("int").alias("end"))
     for level in reversed(levels):
-        ends = stored(level.join(ends, "up").groupBy("up").applyInPandas(settled, "node long, before int, end int"), "chat-ends")
-        found, ends = ends, ends.withColumnRenamed("node", "up")
+        found = stored(level.join(ends, "up").groupBy("up").applyInPandas(settled, "node long, before int, end int"), "chat-ends")
+        ends = found.withColumnRenamed("node", "up")
     return found
 
 
-def recovered(rows: DataFrame, model: Model, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """One row per input row: conv, ord, text, role (as given), states (of its lines).
-
-    Rows of a conversation are in the order of order_col, then of a hash of the text; null ids and
-    orders come first, and all rows without an id are one conversation. A text may hold any number
-    of lines and of turns. Null texts are one empty line.
-    """
-    shared_dir(rows.sparkSession)
-    found = stretches(in_order(rows, conv_col, order_col, text_col), model)
-    done = found.where("not open").select("conv", "ord", "text", "role", "states")
-    ends = boundaries(found.where("open and m is not null").select("conv", "node", "m"))
-
-    def decode(part: pd.DataFrame) -> pd.DataFrame:
-        seen = [symbols(t) for t in part["text"]]
-        states = model.path(np.concatenate(seen), int(part["before"].iloc[0]), int(part["end"].iloc[0]))
-        cut = np.split(states, np.cumsum([len(x) for x in seen])[:-1])
-        return part[["conv", "ord", "text", "role"]].assign(states=[x.tolist() for x in cut])
-
-    # a stretch keeps the order that it was stored in
-    late = found.where("open").select("conv", "ord", "text", "role", "node").join(ends, "node")
-    late = late.withColumn("tie", F.xxhash64("text")).groupBy("node").applyInPandas(lambda p: decode(p.sort_values(["ord", "tie", "role"], na_position="first")), "conv long, ord long, text string, role string, states array<int>")
-    return done.unionByName(late)
+def settled_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """settled() for every conversation of a table that is small enough."""
+    every = pd.concat([pd.DataFrame({"conv": [], "node": [], "m": []}), *batches])
+    for _, part in every.groupby("conv", dropna=False):
+        yield settled(part.astype({"node": "int64"}).assign(before=START, end=np.nan))
 
 
 def render(text: str, states: list[int]) -> tuple[list[str], str]:
@@ -301,19 +288,39 @@ def render(text: str, states: list[int]) -> tuple[list[str], str]:
             if not line:
                 continue
         out.append(line)
-    return roles, "\n".join(out + ["<|im_end|>"]) + "\n"
+    return roles, "\n".join([*out, "<|im_end|>"]) + "\n"
 
 
 def formatted(rows: DataFrame, model: Model, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """recovered() with turn_roles (array) and rendered (the row's turns in canonical form)."""
+    """One row per input row: conv, ord, text, role (as given), states (of its lines), turn_roles and
+    rendered (the row's turns in canonical form).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows of a conversation are in the order of order_col, then of a hash of the text; null ids and
+    orders come first, and all rows without an id are one conversation. A text may hold any number
+    of lines and of turns. Null texts are one empty line. Other columns are not read.
+    """
+    shared_dir(rows.sparkSession)
+    found = stretches(in_order(rows, conv_col, order_col, text_col), model)
+    ends = boundaries(found.where("open and m is not null").select("conv", "node", "m"))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = "conv long, ord long, text string, role string, states array<int>, turn_roles array<string>, rendered string"
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [render(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in made], pa.list_(pa.string())), pa.array([x[1] for x in made], pa.string())], [*batch.schema.names, "turn_roles", "rendered"])
 
-    schema = "conv long, ord long, text string, role string, states array<int>, turn_roles array<string>, rendered string"
-    return recovered(rows, model, conv_col, order_col, text_col).select("conv", "ord", "text", "role", "states").mapInArrow(run, schema)
+    def decode(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        seen = [symbols(t) for t in part["text"]]
+        states = sent.value.path(np.concatenate(seen), int(part["before"].iloc[0]), int(part["end"].iloc[0]))
+        states = [x.tolist() for x in np.split(states, np.cumsum([len(x) for x in seen])[:-1])]
+        made = [render(t, s) for t, s in zip(part["text"], states)]
+        return part[["conv", "ord", "text", "role"]].assign(states=states, turn_roles=[x[0] for x in made], rendered=[x[1] for x in made])
+
+    done = found.where("not open").select("conv", "ord", "text", "role", "states").mapInArrow(shown, schema)
+    late = found.where("open").select("conv", "ord", "text", "role", "node", "place").join(ends, "node").groupBy("node").applyInPandas(decode, schema)
+    return done.unionByName(late)
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
