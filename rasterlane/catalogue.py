@@ -29,7 +29,7 @@ BX = """WITH r AS (SELECT l_orderkey AS sample_id, row_number() OVER (PARTITION
   ((l_partkey * 37) % 100)::DOUBLE AS bx, ((l_suppkey * 53 + l_linenumber * 11) % 70)::DOUBLE AS yt, l_quantity AS bw, 5 + 100 * l_discount AS bh, l_returnflag AS label FROM lineitem),
 b AS (SELECT sample_id, 60 AS h, 90 AS w, box_ix, bx / 90 AS x_min, yt / 60 AS y_min, (bx + bw) / 90 AS x_max, (yt + bh) / 60 AS y_max, label FROM r)
 """
-KP = """WITH k AS (SELECT user_id AS sample_id, 60 AS h, 90 AS w, event_id AS kp_ix, ((event_id * 31) % 95)::DOUBLE AS x, ((event_id * 17) % 65)::DOUBLE AS y, (event_id % 360) * 0.017453292519943295 AS angle, value AS scale, event_type AS label FROM events)
+KP = """WITH k AS (SELECT user_id AS sample_id, 60 AS h, 90 AS w, event_id AS kp_ix, ((event_id * 31) % 95)::DOUBLE AS x, ((event_id * 17) % 65)::DOUBLE AS y, (event_id % 360) * 0.017453292519943295e0 AS angle, value AS scale, event_type AS label FROM events)
 """
 VOL = PX + ", vx AS (SELECT sample_id, 4 AS d, 4 AS h, 4 AS w, (y * 8 + x) // 16 AS z, (y * 8 + x) // 4 % 4 AS y, (y * 8 + x) % 4 AS x, v0 FROM px)\n"
 
@@ -270,7 +270,7 @@ def to_tensor_3d(spark, sf_dir):
 # boxes and keypoints
 CX = {c: f"greatest(0, least(1, {c}))" for c in ann.BOX}
 CW, CH = f"({CX['x_max']} - {CX['x_min']}) * 90", f"({CX['y_max']} - {CX['y_min']}) * 60"
-KEEP = f"{CW} * ({CH}) >= 20 AND {CW} * ({CH}) >= 0.5 * ((x_max - x_min) * 90 * (y_max - y_min) * 60) AND (x_max - x_min) * 90 * (y_max - y_min) * 60 >= 1e-7"
+KEEP = f"{CW} * {CH} >= 20 AND {CW} * {CH} >= 0.5 * ((x_max - x_min) * 90 * (y_max - y_min) * 60) AND (x_max - x_min) * 90 * (y_max - y_min) * 60 >= 1e-7"
 
 
 def on_boxes(name: str, f, sql: str) -> None:
@@ -289,7 +289,7 @@ on_boxes("box_to_yolo", lambda b: ann.boxes_from_internal(b, "yolo"), box_sql("(
 on_boxes("box_round_trip_coco", lambda b: ann.boxes_to_internal(ann.boxes_from_internal(b, "coco"), "coco"), box_sql(*ann.BOX))
 on_boxes("box_crop", lambda b: OPERATORS["crop"](x_min=10, y_min=5, x_max=70, y_max=45).on_boxes(b), box_sql("(x_min * 90 - 10) / 60", "(y_min * 60 - 5) / 40", "(x_max * 90 - 10) / 60", "(y_max * 60 - 5) / 40"))
 on_boxes("box_pad", lambda b: OPERATORS["pad"](padding=(5, 5, 5, 5)).on_boxes(b), box_sql("(x_min * 90 + 5) / 100", "(y_min * 60 + 5) / 70", "(x_max * 90 + 5) / 100", "(y_max * 60 + 5) / 70"))
-on_boxes("box_rotate", lambda b: OPERATORS["rotate"](limit=(90, 90), p=1.0).run(Frame(b, boxes=b)).boxes, box_sql("least(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "least(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60", "greatest(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "greatest(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60"))
+on_boxes("box_rotate", lambda b: OPERATORS["rotate"](limit=(90, 90), p=1.0).run(Frame(None, 0, boxes=b)).boxes, box_sql("least(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "least(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60", "greatest(45 - (y_min * 60 - 30), 45 - (y_max * 60 - 30)) / 90", "greatest(30 + (x_min * 90 - 45), 30 + (x_max * 90 - 45)) / 60"))
 
 
 @query("box_union", BX + "SELECT sample_id, round(min(x_min), 6) AS x_min, round(min(y_min), 6) AS y_min, round(max(x_max), 6) AS x_max, round(max(y_max), 6) AS y_max FROM b GROUP BY sample_id")
@@ -313,10 +313,10 @@ def box_mask_round_trip(spark, sf_dir):
 def box_coarse_dropout(spark, sf_dir):
     b = ann.BoxParams(min_area=1).filtered(src.lineitem_boxes(spark, sf_dir))
     op = OPERATORS["coarse_dropout"](p=1.0, hole_height_range=(0.2, 0.4), hole_width_range=(0.2, 0.4))
-    return boxes_shown(op.run(Frame(b.select("sample_id", "h", "w").distinct(), 0, boxes=b)).boxes)
+    return boxes_shown(op.run(Frame(None, 0, boxes=b)).boxes)
 
 
-TAU = "6.283185307179586"
+TAU = "6.283185307179586e0"
 
 
 def on_keypoints(name: str, f, x: str, y: str, a: str, s: str = "scale", where: str = "true") -> None:
@@ -324,9 +324,9 @@ def on_keypoints(name: str, f, x: str, y: str, a: str, s: str = "scale", where:
     ORACLE_SQL[name] = KP + f"SELECT sample_id, kp_ix, round(({x})::DOUBLE, 5) AS x, round(({y})::DOUBLE, 5) AS y, round(({a}) - floor(({a}) / {TAU}) * {TAU}, 5) AS angle, round(({s})::DOUBLE, 5) AS scale, label FROM k WHERE {where}"
 
 
-on_keypoints("kp_horizontal_flip", lambda k: OPERATORS["horizontal_flip"](p=1.0).on_keypoints(k), "89 - x", "y", "3.141592653589793 - angle")
+on_keypoints("kp_horizontal_flip", lambda k: OPERATORS["horizontal_flip"](p=1.0).on_keypoints(k), "89 - x", "y", "3.141592653589793e0 - angle")
 on_keypoints("kp_vertical_flip", lambda k: OPERATORS["vertical_flip"](p=1.0).on_keypoints(k), "x", "59 - y", "-angle")
-on_keypoints("kp_transpose", lambda k: OPERATORS["transpose"](p=1.0).on_keypoints(k), "y", "x", "1.5707963267948966 - angle")
+on_keypoints("kp_transpose", lambda k: OPERATORS["transpose"](p=1.0).on_keypoints(k), "y", "x", "3.141592653589793e0 / 2 - angle")
 on_keypoints("kp_filter", lambda k: ann.KeypointParams().filtered(k), "x", "y", "angle", "scale", "x < 90 AND y < 60")
 on_keypoints("kp_resize", lambda k: OPERATORS["resize"](height=30, width=180).on_keypoints(k), "x * 2", "y / 2", "angle", "scale * 2")
 on_keypoints("kp_crop", lambda k: OPERATORS["crop"](x_min=10, y_min=5, x_max=70, y_max=45).on_keypoints(k), "x - 10", "y - 5", "angle")
@@ -340,7 +340,7 @@ def kp_degrees_round_trip(spark, sf_dir):
 
 d = D(0, "0.coarse_dropout")
 KX, KY = f"cast(floor(61 * {d.unit('x0')}) as int)", f"cast(floor(41 * {d.unit('y0')}) as int)"
-on_keypoints("kp_coarse_dropout", lambda k: OPERATORS["coarse_dropout"](p=1.0, num_holes_range=(1, 1), hole_height_range=(20, 20), hole_width_range=(30, 30)).run(Frame(k.select("sample_id", "h", "w", "x", "y"), 0, keypoints=k)).keypoints, "x", "y", "angle", "scale", f"NOT (x >= {KX} AND x < {KX} + 30 AND y >= {KY} AND y < {KY} + 20)")
+on_keypoints("kp_coarse_dropout", lambda k: OPERATORS["coarse_dropout"](p=1.0, num_holes_range=(1, 1), hole_height_range=(20, 20), hole_width_range=(30, 30)).run(Frame(None, 0, keypoints=k)).keypoints, "x", "y", "angle", "scale", f"NOT (x >= {KX} AND x < {KX} + 30 AND y >= {KY} AND y < {KY} + 20)")
 
 # plans
 FLIPS = (geometry.HorizontalFlip(p=0.5), geometry.VerticalFlip(p=0.5))

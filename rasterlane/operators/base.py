@@ -25,7 +25,7 @@ OPERATORS: dict[str, type[Operator]] = {}
 
 @dataclass(frozen=True)
 class Frame:
-    pixels: DataFrame
+    pixels: DataFrame | None
     channels: int = 3
     masks: DataFrame | None = None
     boxes: DataFrame | None = None
