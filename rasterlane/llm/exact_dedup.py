@@ -70,8 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chains = stored(chains.select("h", "sha", "size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.uid")).alias("keep_uid")), "dedup-chains")
 
     norm = docs.select(normalised(F.col(text_col)).alias("norm")).select(F.xxhash64("norm").alias("h"), "norm")
-    held = norm.join(chains.select("h").distinct().hint("shuffle_hash"), "h", "left_semi")
-    same = held.groupBy("h", "norm").agg(F.count("*").alias("rows"))  # compares the bytes
+    same = norm.groupBy("h", "norm").agg(F.count("*").alias("rows"))  # compares the bytes; copies meet before the shuffle
     same = same.select("h", F.sha2("norm", 256).alias("sha"), "rows").groupBy("h", "sha").agg(F.count("*").alias("different"), F.sum("rows").alias("rows"))
     checked = chains.join(same, ["h", "sha"], "left")
     clash = F.raise_error(F.lit("two texts share both hashes, or the input changed while it was read"))
