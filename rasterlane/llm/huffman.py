@@ -21,14 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import RUN, WORD_START
-from .common import open_input, open_output, shared_path, spans, stored, table, texts
+from .bpe import WORD_START, Vocabulary
+from .common import open_input, open_output, shared_path, spans, stored, table
 
 MAGIC = b"RLTOKHF1"
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,7 +38,11 @@ MAX_BITS = 16
 #: Ids of a block; blocks of a segment (packed and unpacked together); ids that a file should hold.
 BLOCK, LANES, FILE_IDS = 1024, 2048, 32_000_000
 #: Pieces that a worker's cache may hold in each of two generations; characters tokenised together.
-CACHE, CHARS = 300_000, 2 << 20
+CACHE, CHARS = 400_000, 8 << 20
+#: Signs that often end words, and the end of the Latin letters.
+SIGNS, LATIN_END = (",", "."), "\u0250"
+#: A space before other white space: such texts are cut with more care.
+SPACES = r" [\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -126,50 +131,132 @@ class Coder:
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library.
 
-    A text is cut at the spaces that begin words, where the library's pre-tokeniser cuts too; the
-    library encodes each distinct piece once while it stays in the cache. Texts with special tokens
-    go to the library whole.
+    A text is cut at the spaces that begin words, where the library's pre-tokeniser cuts too. Pieces
+    that are not in the cache go to the library joined, and its ids are cut where their bytes end.
+    Texts with special tokens go to the library whole.
     """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(public_tokenizers.path(name))
+        path = public_tokenizers.path(name)
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.bytes = np.diff(Vocabulary(path).offsets)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.signs = {x: self.alone(x) for x in SIGNS}
+        self.heads: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            return [text]
-        if RUN.search(text):
-            return WORD_START.split(text)
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + x for x in rest]
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in rows]
-        missing = set()
-        for x in cut:
-            missing.update(x)
-        missing.difference_update(self.new)
-        if len(self.new) + len(missing) > CACHE:
-            self.old, self.new = self.new, {}
-            missing = set().union(*cut)
-        ask = []
+    def alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def head(self, text: str) -> bytes:
+        found = self.heads.get(text)
+        if found is None:
+            if len(self.heads) >= CACHE // 4:
+                self.heads.clear()
+            found = self.heads[text] = self.alone(text)
+        return found
+
+    def learn(self, missing: list[str]) -> None:
+        """Puts the ids of pieces (their space left out) into the cache.
+
+        A comma or full stop after letters is a pre-token of its own, so word and sign are looked up
+        apart.
+        """
+        new, old, ask, signed = self.new, self.old, [], []
         for x in missing:
-            if x in self.old:
-                self.new[x] = self.old[x]
+            if x[-1:] in SIGNS and x[:-1].isalpha() and max(x) < LATIN_END:
+                signed.append(x)
+                if x[:-1] in new:
+                    continue
+                x = x[:-1]
+                if x in old:
+                    new[x] = old[x]
+                    continue
+                new[x] = b""  # asked for below
+            if not x or x[-1].isspace():  # white space would run into the next piece's
+                new[x] = self.alone(" " + x)
             else:
                 ask.append(x)
-        for x, e in zip(ask, self.library.encode_batch_fast(ask, add_special_tokens=False)):
-            self.new[x] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(self.new.__getitem__, x)) for x in cut]
+        if ask:
+            text = " " + " ".join(ask)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            sizes = np.fromiter(map(len, map(str.encode, ask)), np.int64, len(ask)) + 1
+            cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
+            ends = (cut * self.kind.itemsize).tolist()
+            raw = ids.tobytes()
+            for x, at, end in zip(ask, [0, *ends], ends):
+                new[x] = raw[at:end]
+        for x in signed:
+            new[x] = new[x[:-1]] + self.signs[x[-1]]
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with the space before them, from the cache or the library."""
+        found = list(map(self.new.get, words))
+        missing = [w for w, f in zip(words, found) if f is None]
+        if missing:
+            if len(self.new) + len(missing) > CACHE:
+                self.old, self.new = self.new, {}
+            old, ask = self.old, []
+            for w in missing:
+                f = old.get(w)
+                if f is None:
+                    ask.append(w)
+                else:
+                    self.new[w] = f
+            self.learn(ask)
+            found = [self.new[w] if f is None else f for w, f in zip(words, found)]
+        return found
+
+    def encode(self, rows: list[str] | pa.Array) -> list[bytes]:
+        """Ids of whole texts. Arrow cuts the texts at spaces and numbers the distinct words; only
+        these meet Python, and the texts' ids are gathered from theirs by index."""
+        rows = pa.array(rows, pa.string()) if isinstance(rows, list) else rows.cast(pa.large_string())
+        odd = pc.match_substring_regex(rows, SPACES)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(rows, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(rows)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.one(rows[i].as_py())
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        parts = pc.split_pattern(rows.take(pa.array(plain)), " ")
+        offsets, every = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
+        is_word = np.ones(len(every), bool)
+        is_word[offsets[:-1]] = False
+        heads = [self.head(x) if x else b"" for x in every.take(pa.array(offsets[:-1])).to_pylist()]
+        coded = every.filter(pa.array(is_word)).dictionary_encode()
+        found = self.pieces(coded.dictionary.to_pylist())
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        begin, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.kind)
+        codes = coded.indices.to_numpy()
+        ids, ends = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for a in range(0, len(codes), 1 << 20):
+            c = codes[a : a + (1 << 20)]
+            n = sizes[c]
+            end = np.cumsum(n)
+            ids.append(blob[np.repeat(begin[c] - (end - n), n) + np.arange(end[-1])])
+            ends.append(end + ends[-1][-1])
+        raw, ends = np.concatenate(ids).tobytes(), np.concatenate(ends)
+        cut = (ends[offsets - np.arange(len(offsets))] * width).tolist()
+        for i, head, x, y in zip(plain.tolist(), heads, cut, cut[1:]):
+            out[i] = head + raw[x:y]
+        return out
+
+    def one(self, text: str) -> bytes:
+        """A text with special tokens or with runs of white space."""
+        if any(s in text for s in self.special):
+            return self.alone(text)
+        head, *rest = WORD_START.split(text)
+        return (self.head(head) if head else b"") + b"".join(self.pieces([x[1:] for x in rest]))
 
 
 ENCODERS: dict[str, LibraryEncoder] = {}
@@ -189,9 +276,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         e, z = library_encoder(vocabulary), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], e.kind).tobytes()
         for batch in batches:
-            rows = texts(batch, "__text")
-            for a, b in spans([len(x) for x in rows], CHARS):
-                ids = [x + end for x in e.encode(rows[a:b])]
+            rows = batch.column(1).fill_null("")
+            for a, b in spans(pc.binary_length(rows).to_pylist(), CHARS):
+                ids = [x + end for x in e.encode(rows.slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // e.kind.itemsize for x in ids], pa.int64()), pa.array([z.compress(x) for x in ids], pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                     ["id", "n", "z", "tie"],
