@@ -42,15 +42,30 @@ class Holes(Operator):
     def on_keypoints(self, df):
         return df.where(f"not {self.inside()}")
 
+    def cuts(self) -> tuple[list[str], list[str]] | None:
+        """Coordinates where holes begin and end, across and down; None: any pixel may differ."""
+        found = self.holes()
+        return [e for h in found for e in (h[0], h[2])], [e for h in found for e in (h[1], h[3])]
+
     def on_boxes(self, df):
-        """By pixels of the box: rows and columns with a visible pixel bound what is left."""
+        """Boxes end where their last visible column or row does.
+
+        The edges of the holes cut a box into cells that are wholly seen or wholly hidden, so a box
+        costs as many cells as holes, not pixels.
+        """
         size = {"__x0": "cast(floor(x_min * w) as int)", "__y0": "cast(floor(y_min * h) as int)", "__x1": "cast(ceil(x_max * w) as int)", "__y1": "cast(ceil(y_max * h) as int)"}
-        df = df.withColumns({k: F.expr(v) for k, v in size.items()})
-        cells = f"filter(flatten(transform(sequence(__y0, __y1 - 1), yy -> transform(sequence(__x0, __x1 - 1), xx -> named_struct('y', yy, 'x', xx)))), c -> not {self.inside('c.y', 'c.x')})"
-        df = df.where("__x1 > __x0 and __y1 > __y0").withColumn("__seen", F.expr(cells)).withColumn("__hit", F.expr("size(__seen) < (__x1 - __x0) * (__y1 - __y0)"))
-        df = df.where(f"size(__seen) > 0 and size(__seen) >= {num(self.min_visibility)} * (__x1 - __x0) * (__y1 - __y0)")
-        new = {"x_min": "array_min(transform(__seen, c -> c.x)) / (1e0 * w)", "x_max": "(array_max(transform(__seen, c -> c.x)) + 1) / (1e0 * w)", "y_min": "array_min(transform(__seen, c -> c.y)) / (1e0 * h)", "y_max": "(array_max(transform(__seen, c -> c.y)) + 1) / (1e0 * h)"}
-        return moved(df, **{k: f"case when __hit then {v} else {k} end" for k, v in new.items()}).drop("__x0", "__y0", "__x1", "__y1", "__seen", "__hit")
+        df = df.withColumns({k: F.expr(v) for k, v in size.items()}).where("__x1 > __x0 and __y1 > __y0")
+        cuts = self.cuts()
+        for a, at in zip("xy", cuts or (None, None)):
+            inner = f"sequence(__{a}0, __{a}1)" if at is None else f"array(__{a}0, __{a}1, {', '.join(f'cast(least(__{a}1, greatest(__{a}0, coalesce({e}, __{a}0))) as int)' for e in at)})"
+            df = df.withColumn(f"__c{a}", F.array_sort(F.array_distinct(F.expr(inner))))
+        cells = "flatten(transform(slice(sequence(0, size(__cy)), 1, size(__cy) - 1), i -> transform(slice(sequence(0, size(__cx)), 1, size(__cx) - 1), j -> named_struct('y', __cy[i], 'yy', __cy[i + 1], 'x', __cx[j], 'xx', __cx[j + 1]))))"
+        df = df.withColumn("__seen", F.expr(f"filter({cells}, c -> not {self.inside('c.y', 'c.x')})"))
+        df = df.withColumn("__left", F.expr("aggregate(__seen, 0, (s, c) -> s + (c.yy - c.y) * (c.xx - c.x))"))
+        area = "(__x1 - __x0) * (__y1 - __y0)"
+        df = df.where(f"__left > 0 and __left >= {num(self.min_visibility)} * {area}")
+        new = {"x_min": "array_min(transform(__seen, c -> c.x)) / (1e0 * w)", "x_max": "array_max(transform(__seen, c -> c.xx)) / (1e0 * w)", "y_min": "array_min(transform(__seen, c -> c.y)) / (1e0 * h)", "y_max": "array_max(transform(__seen, c -> c.yy)) / (1e0 * h)"}
+        return moved(df, **{k: f"case when __left < {area} then {v} else {k} end" for k, v in new.items()}).drop("__x0", "__y0", "__x1", "__y1", "__cx", "__cy", "__seen", "__left")
 
 
 def extent(d: Draws, name: str, limits: tuple, side: str) -> str:
@@ -117,6 +132,9 @@ class GridDropout(Holes):
             return {"dx": d.integer("dx", 0, self.unit - hole), "dy": d.integer("dy", 0, self.unit - hole)}
         return {"dx": str(self.shift_xy[0]), "dy": str(self.shift_xy[1])}
 
+    def cuts(self):
+        return None
+
     def inside(self, y="y", x="x"):
         hole, u = max(1, min(self.unit - 1, int(self.unit * self.ratio))), self.unit
         return f"((cast(floor({x}) as int) - p_dx + {u}) % {u} < {hole} and (cast(floor({y}) as int) - p_dy + {u}) % {u} < {hole})"
