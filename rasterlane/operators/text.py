@@ -17,42 +17,42 @@ from .base import OPERATORS, Operator
 STOPWORDS = ("the", "is", "in", "at", "of")
 
 
-def words(text: str) -> str:
-    return f"filter(split({text}, '\\\\s+'), w -> w <> '')"
+#: Expressions over prepared columns: __w (words), __n (their number), __c (how many change) and
+#: __o (places in a seeded order). Each is linear or a sort: places are never looked up one by one.
+ALL = "sequence(0, __n - 1)"
+IN_ORDER = "array_join(transform(array_sort({}), s -> s.w), ' ')"
 
 
-def chosen(d: Draws, share: float, n: str) -> tuple[str, str]:
-    """(how many words change, an array of the places in a seeded order)."""
-    count = f"greatest(1, cast(floor({num(share)} * {n}) as int))"
+def prepared(rows: DataFrame, d: Draws, share: float) -> DataFrame:
+    """rows (with text) and the columns that the changes need."""
+    rows = rows.withColumn("__w", F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")).withColumn("__n", F.size("__w"))
+    rows = rows.withColumn("__c", F.expr(f"greatest(1, cast(floor({num(share)} * __n) as int))"))
     key = d.unit("word", "i")
-    order = f"transform(array_sort(transform(sequence(0, {n} - 1), i -> named_struct('k', {key}, 'i', i))), s -> s.i)"
-    return count, order
+    order = f"transform(array_sort(transform(slice(sequence(0, __n), 1, __n), i -> named_struct('k', {key}, 'i', i))), s -> s.i)"
+    return rows.withColumn("__o", F.expr(order))
 
 
-def deleted(text: str, d: Draws, share: float = 0.5) -> str:
-    """Drops a share of the words; all of them gives the empty string."""
-    w = words(text)
-    count, order = chosen(d, share, f"size({w})")
-    return f"case when size({w}) = 0 or {count} >= size({w}) then '' else array_join(transform(filter(transform(sequence(0, size({w}) - 1), i -> named_struct('i', i, 'w', {w}[i])), s -> not array_contains(slice({order}, 1, {count}), s.i)), s -> s.w), ' ') end"
+def deleted(d: Draws) -> str:
+    """Without the first __c places; all words gone gives the empty string."""
+    kept = f"array_except({ALL}, slice(__o, 1, __c))"
+    return f"case when __c >= __n then '' else {IN_ORDER.format(f'transform({kept}, i -> named_struct({chr(39)}i{chr(39)}, i, {chr(39)}w{chr(39)}, __w[i]))')} end"
 
 
-def swapped(text: str, d: Draws, share: float = 0.5) -> str:
-    """Pairs of drawn places trade words."""
-    w = words(text)
-    count, order = chosen(d, share, f"size({w})")
-    pairs = f"slice({order}, 1, 2 * cast(floor({count} / 2 + 0.5e0) as int))"
-    at = f"(array_position({pairs}, i) - 1)"
-    other = f"coalesce(get({pairs}, cast(case when {at} % 2 = 0 then {at} + 1 else {at} - 1 end as int)), i)"
-    return f"case when size({w}) < 2 then {text} else array_join(transform(sequence(0, size({w}) - 1), i -> {w}[case when {at} >= 0 then {other} else i end]), ' ') end"
+def swapped(d: Draws) -> str:
+    """Drawn places trade words in pairs."""
+    m = "(2 * cast(floor(least(__c + 1, __n) / 2) as int))"
+    traded = f"transform(slice(sequence(0, __n), 1, {m}), j -> named_struct('i', __o[j], 'w', __w[__o[case when j % 2 = 0 then j + 1 else j - 1 end]]))"
+    kept = f"transform(array_except({ALL}, slice(__o, 1, {m})), i -> named_struct('i', i, 'w', __w[i]))"
+    return f"case when __n < 2 then text else {IN_ORDER.format(f'concat({traded}, {kept})')} end"
 
 
-def inserted(text: str, d: Draws, share: float = 0.5, stopwords: tuple = STOPWORDS) -> str:
-    """A stop word after each drawn place."""
-    w = words(text)
-    count, order = chosen(d, share, f"size({w})")
+def inserted(d: Draws, stopwords: tuple = STOPWORDS) -> str:
+    """A stop word after each of the first __c places."""
     pick = d.integer("stop", 0, len(stopwords) - 1, "i")
     stops = "array(" + ", ".join(f"'{s}'" for s in stopwords) + ")"
-    return f"case when size({w}) = 0 then '' else array_join(flatten(transform(sequence(0, size({w}) - 1), i -> case when array_contains(slice({order}, 1, {count}), i) then array({w}[i], {stops}[{pick}]) else array({w}[i]) end)), ' ') end"
+    own = f"transform({ALL}, i -> named_struct('i', 2 * i, 'w', __w[i]))"
+    new = f"transform(slice(__o, 1, __c), i -> named_struct('i', 2 * i + 1, 'w', {stops}[{pick}]))"
+    return f"case when __n = 0 then '' else {IN_ORDER.format(f'concat({own}, {new})')} end"
 
 
 CHANGES = {"deletion": deleted, "swap": swapped, "insertion": inserted}
@@ -83,12 +83,13 @@ class TextImage(Operator):
         pick = d.integer("change", 0, len(names) - 1, "box_ix")
         new = "case " + " ".join(f"when {pick} = {i} then {self.changed(n, d)}" for i, n in enumerate(names)) + " end"
         what = "case " + " ".join(f"when {pick} = {i} then '{n or 'none'}'" for i, n in enumerate(names)) + " end"
+        rows = prepared(rows, d, self.share)
         return rows.select("sample_id", "box_ix", F.expr(what).alias("change"), "text", F.expr(new).alias("new_text"))
 
     def changed(self, name: str | None, d: Draws) -> str:
         if name is None:
             return "text"
-        return inserted("text", d, self.share, self.stopwords) if name == "insertion" else CHANGES[name]("text", d, self.share)
+        return inserted(d, self.stopwords) if name == "insertion" else CHANGES[name](d)
 
 
 OPERATORS["text_image"] = TextImage
