@@ -212,11 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay when one document of each component does: that with the smallest id.
+    """The rows of docs that stay when one document of each component does: that with the smallest id."""
+    return least_of_each(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is their component's smallest. found: <id_col>, component_id.
 
     Rows with a null id, and repeats of the id that stays, are told apart by the whole row's hash.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius)
     kept = stored(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")), "simhash-kept")
     shape = kept.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("ids")).first()
     if shape["n"] == shape["ids"]:
