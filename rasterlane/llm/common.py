@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -49,10 +50,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
-    found = docs.select(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"]
+    found = docs.select(F.sum(F.octet_length(F.col(quoted(text_col)))).alias("b")).first()["b"]
     return int(found or 0)
 
 
+def with_fields(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """df's columns and more (name, type), whatever characters the names have."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in more:
+        out = out.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_key(df: DataFrame, text_col: str) -> dict[str, Column]:
+    """__row and __digest: equal for rows that are equal in every column, different for others.
+
+    Two rows that differ share both only if their texts have one SHA-256 and their columns one 64-bit hash.
+    """
+    every = [F.col(quoted(c)) for c in df.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(every, df.schema.fields)]
+    return {"__row": F.xxhash64(*plain, *[c.isNull() for c in every]), "__digest": F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256)}
+
+
+def least_rows(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, group: list[str], first: list | None = None) -> DataFrame:
+    """Of each group one row of docs stays, with all its columns.
+
+    keyed: group columns, __id, __row, __digest (of row_key) and what first needs. The row that is
+    least in first (if given), then has the smallest id (null last), then the smallest key stays; of
+    rows that are equal in every column one stays. Rows are found by their key, never by id alone.
+    """
+    order = F.struct(*(first or []), F.col("__id").isNull().alias("none"), "__id", "__row", "__digest")
+    kept = keyed.groupBy(*group).agg(F.min(order).alias("__k"))
+    kept = stored(kept.select(F.col("__k.__row").alias("__row"), F.col("__k.__digest").alias("__digest")), "kept")
+    here = docs.withColumns(row_key(docs, text_col)).join(kept.hint("shuffle_hash"), ["__row", "__digest"], "left_semi")
+    repeats = keyed.groupBy("__row", "__digest").agg(F.count("*").alias("n")).where("n > 1")
+    if repeats.take(1):
+        here = here.dropDuplicates(["__row", "__digest"])
+    return here.select(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def spans(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges whose lengths sum to about limit; a longer row gets a range of its own."""
     start = total = 0

@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, text_bytes, texts
+from .common import quoted, row_key, shared_dir, stored, table, text_bytes, texts, with_fields
 
-#: Edits allowed per character of the item, and at least.
-ERROR_RATE, LEAST_ERRORS = 0.05, 2
-#: Items shorter than this (normalised) have to be found unchanged: their pieces would be too short.
-SHORT = 24
+#: Edits allowed per character of the item.
+ERROR_RATE = 0.05
 #: Bytes of items that are searched for in one pass over the documents.
 BLOCK_BYTES = 16 << 20
 
@@ -32,7 +30,8 @@ def normalise(text: str) -> str:
 
 
 def budget(m: int, error_rate: float = ERROR_RATE) -> int:
-    return 0 if m < SHORT else max(LEAST_ERRORS, int(m * error_rate))
+    """The whole edits that the rate leaves an item of m characters, whatever its length."""
+    return int(m * error_rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -114,18 +113,19 @@ def find_contamination(
 ) -> DataFrame:
     """(<id_col>, item_id, distance): one row per document row and item that it contains.
 
-    Case and runs of white space are ignored; the budget is error_rate edits per character, at least
-    2, and 0 for items under 24 characters. Null and empty texts contain nothing, null and empty
-    items are in nothing. Items are sent to the tasks in blocks of about block_bytes, one pass over
-    the documents each, so that what is sent does not grow with the benchmark. An id that occurs
-    in several rows is reported for each row.
+    Case and runs of white space are ignored; an item of m characters is found with up to
+    floor(m * error_rate) edits (so under 20 characters unchanged). Null and empty texts contain
+    nothing, null and empty items are in nothing; whole texts of any length are searched. Items are
+    sent to the tasks in blocks of about block_bytes, one pass over the documents each, so that what
+    is sent does not grow with the benchmark. Ids and item keys of any type; an id that occurs in
+    several rows is reported for each row, an item that occurs in several for each. Empty tables give
+    an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")).where("t is not null")
+    items = benchmark.select(F.col(quoted(item_col)).cast("string").alias("k"), F.col(quoted(item_text_col)).alias("t")).where("t is not null")
     blocks = -(-text_bytes(items, "t") // block_bytes)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id {item_kind}, distance int"
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).where("__text is not null")
+    schema = with_fields(rows.select("__id"), ("item", "string"), ("distance", "int"))
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("t", "k"), F.lit(blocks)) == block).collect()
@@ -140,23 +140,22 @@ def find_contamination(
             for batch in batches:
                 found = [(n, k, d) for n, text in enumerate(texts(batch, "__text")) for k, d in matcher.find(text)]
                 at = pa.array([x[0] for x in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x[1] for x in found], ITEM[item_kind]), pa.array([x[2] for x in found], pa.int32())], [id_col, "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int32())], ["__id", "item", "distance"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
-    return out
-
-
-#: Arrow types of item keys.
-ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return out.select(F.col("__id").alias(id_col), F.col("item").cast(benchmark.schema[item_col].dataType).alias("item_id"), "distance")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text contains no item, with all their columns."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    tagged = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    hits = stored(find_contamination(tagged, benchmark, "__row", text_col).select("__row").distinct(), "contaminated")
-    return tagged.join(hits.hint("shuffle_hash"), "__row", "left_anti").drop("__row")
+    """The rows of docs whose text contains no item, with all their columns.
+
+    Rows are found by their whole text and columns (see row_key), not by id; id_col is not read.
+    """
+    shared_dir(docs.sparkSession)
+    key = row_key(docs, text_col)
+    tagged = docs.withColumn("__key", F.concat_ws("-", F.hex(key["__row"]), key["__digest"]))
+    hits = stored(find_contamination(tagged, benchmark, "__key", text_col).select("__key").distinct(), "contaminated")
+    return tagged.join(hits.hint("shuffle_hash"), "__key", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

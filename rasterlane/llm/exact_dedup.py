@@ -1,27 +1,28 @@
 """Exact deduplication over an extendible-hash index on shared files (DataFrame operations only).
 
-1. Every row becomes an index entry: 64-bit hash, SHA-256 and length of its text, no text.
-2. The directory doubles until no bucket is overfull: a bucket is a prefix of the hash whose length
-   is the bucket's local depth. Only overfull buckets split. A bucket of one hash cannot split.
-3. Entries are written in bucket order to the shared folder, dealt by key range, so that a hot hash
-   spreads over several files. Owner tasks aggregate their ranges; entries of one hash form a chain
-   that SHA-256 takes apart.
-4. The bytes of texts in chains of more than one entry are compared: texts are grouped by their
-   whole normalised bytes (equal ones meet before the shuffle), and every chain must hold one text.
+1. Every row becomes an entry without its text: 64-bit hash, SHA-256 and length of the text, id.
+2. The directory doubles until no bucket is overfull: a bucket is a prefix of the hash whose length is
+   its local depth, and only overfull buckets split. A bucket of one hash cannot split.
+3. The index has a row for each hash with its bucket and the length of its chain. It is dealt by key
+   ranges (bucket, hash) and written so, a file for each owner task. Entries of one hash are counted
+   before they are dealt, so a hash that a third of all rows share is as short as any other.
+4. A chain of one entry is a text of its own. Texts of longer chains are fetched, dealt by key range
+   once more, and their owners compare them byte by byte: a class is a hash and one whole normalised
+   text. Different texts that share a hash stay in one chain and become different classes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import least_rows, quoted, row_key, shared_dir, stored, table
 
-#: Bits of the hash that the directory may use; it has at most 2**MAX_DEPTH entries.
-MAX_DEPTH = 12
+#: Entries that a bucket should hold; bits that the directory gains where a bucket is overfull.
+BUCKET_ROWS, STEP = 100_000, 6
 
 
-def normalised(text):
+def normalised(text: Column) -> Column:
     """text without the white space of the contract; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
     for c in (" ", "\n", "\t", "\r", "\x0b", "\x0c"):
@@ -29,81 +30,90 @@ def normalised(text):
     return out
 
 
-def directory(entries: DataFrame, bucket_rows: int, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(slot, bucket, local_depth) for the 2**max_depth slots that occur.
+def prefix(h: Column, depth: int) -> Column:
+    """The first depth bits of a 64-bit hash, as a number."""
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
-    The local depth of a slot is the least at which its bucket holds no more than bucket_rows
-    entries or just one hash: what repeated doubling of the directory arrives at.
+
+def directory(entries: DataFrame, bucket_rows: int) -> tuple[DataFrame, int]:
+    """((slot, bucket, local_depth) for the slots that occur, global depth).
+
+    The directory begins with as many slots as the entries need if they are spread evenly and doubles
+    further while a slot is overfull. A slot's local depth is the least at which its bucket holds at
+    most bucket_rows entries or a single hash. entries: h, rows.
+    """
+    total = entries.agg(F.sum("rows")).first()[0] or 0
+    depth = max(0, (-(-total // bucket_rows) - 1).bit_length()) + STEP
+    while True:
+        depth = min(depth, 63)
+        slots = stored(entries.groupBy(prefix(F.col("h"), depth).alias("slot")).agg(F.sum("rows").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")), "dedup-slots")
+        if depth == 63 or not slots.where((F.col("n") > bucket_rows) & (F.col("lo") < F.col("hi"))).take(1):
+            break
+        depth += STEP
+    each = slots.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("at", F.expr(f"shiftright(slot, {depth} - d)"))
+    fits = (F.sum("n") <= bucket_rows) | (F.min("lo") == F.max("hi"))
+    buckets = each.groupBy("d", "at").agg(fits.alias("fits"))
+    deep = each.join(buckets, ["d", "at"]).groupBy("slot").agg(F.coalesce(F.min(F.when(F.col("fits"), F.col("d"))), F.lit(depth)).alias("local_depth"))
+    return deep.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)")), depth
+
+
+def build_index(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The index in the shared folder: bucket, h, rows (length of the hash's chain), in key order."""
+    counted = stored(entries.groupBy("h").agg(F.count("*").alias("rows")), "dedup-hashes")
+    slots, depth = directory(counted, bucket_rows)
+    index = counted.withColumn("slot", prefix(F.col("h"), depth)).join(slots, "slot").select("bucket", "h", "rows")
+    return stored(index.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, hash_of, keys: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(single, members, found).
+
+    single: rows whose hash no other row has (__id, __sha, and with keys __row, __digest). members:
+    the others with h, norm, n (code points) and uid. found: h, norm of each class, its size and the
+    best (least n negated, then id, null last, then uid) of its members.
     """
-    slots = entries.groupBy("slot").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    depth = F.lit(max_depth)
-    for d in range(max_depth - 1, -1, -1):
-        w = Window.partitionBy(F.shiftright("slot", max_depth - d))
-        fits = (F.sum("n").over(w) <= bucket_rows) | (F.min("lo").over(w) == F.max("hi").over(w))
-        depth = F.when(fits, F.lit(d)).otherwise(depth)
-    out = slots.select("slot", depth.alias("local_depth"))
-    bucket = F.expr(f"shiftleft(shiftright(slot, {max_depth} - local_depth), {max_depth} - local_depth)")
-    return out.withColumn("bucket", bucket)
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
-    """The index in the shared folder: bucket, h, sha, n (code points), id, uid (one for each row)."""
-    norm = normalised(F.col(text_col))
-    entries = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), norm.alias("norm"))
-    entries = entries.select("id", "n", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("uid"))
-    entries = stored(entries.withColumn("slot", F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")), "dedup-entries")
-    slots = F.broadcast(directory(entries, bucket_rows))  # 2**MAX_DEPTH rows at most
-    index = entries.join(slots, "slot").drop("slot", "local_depth")
-    return stored(index.repartitionByRange("bucket", "h", "uid").sortWithinPartitions("bucket", "h", "sha", "uid"), "dedup-index")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
+    text = F.col(quoted(text_col))
+    key = [c.alias(n) for n, c in row_key(docs, text_col).items()] if keys else []
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), *key, F.char_length(F.coalesce(text, F.lit(""))).alias("n"), normalised(text).alias("norm"))
+    rows = rows.withColumn("h", hash_of(F.col("norm")))
+    extra = ["__row", "__digest"] if keys else []
+    entries = stored(rows.select("h", "__id", *extra, F.sha2("norm", 256).alias("__sha")), "dedup-entries")
+    index = build_index(entries, bucket_rows)
+    chains = stored(index.where("rows > 1").select("bucket", "h"), "dedup-chains")
+    single = entries.join(chains.select("h"), "h", "left_anti")
+    members = rows.join(chains, "h").withColumn("uid", F.monotonically_increasing_id())
+    members = stored(members.repartitionByRange("bucket", "h", "uid").sortWithinPartitions("bucket", "h"), "dedup-members")
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("__id").isNull().alias("none"), "__id", "uid"))
+    found = members.groupBy("bucket", "h", "norm").agg(F.count("*").alias("size"), best.alias("best"))
+    return single, members, found
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64) -> DataFrame:
     """One row per input row: <id_col>, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space (U+0020, U+0009 to U+000D) is deleted; null is
-    empty. The row with the most code points, then the smallest id stays; null ids come last and of
-    repeated rows one stays. An empty table gives an empty result; other columns are not read.
+    empty, whole texts of any length count. The row with the most code points, then the smallest id
+    stays (null ids last, of any type that sorts); of repeated rows one stays. An empty table gives an
+    empty result; other columns are not read. hash_of: the index's 64-bit hash of a text.
     """
-    index = build_index(docs, id_col, text_col, bucket_rows)
-    best = F.max(F.struct("n", (-F.col("id")).alias("neg"), (-F.col("uid")).alias("uid")))
-    chains = index.groupBy("bucket", "h", "sha").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
-    chains = stored(chains.select("h", "sha", "size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.uid")).alias("keep_uid")), "dedup-chains")
-
-    norm = docs.select(normalised(F.col(text_col)).alias("norm")).select(F.xxhash64("norm").alias("h"), "norm")
-    same = norm.groupBy("h", "norm").agg(F.count("*").alias("rows"))  # compares the bytes; copies meet before the shuffle
-    same = same.select("h", F.sha2("norm", 256).alias("sha"), "rows").groupBy("h", "sha").agg(F.count("*").alias("different"), F.sum("rows").alias("rows"))
-    checked = chains.join(same, ["h", "sha"], "left")
-    clash = F.raise_error(F.lit("two texts share both hashes, or the input changed while it was read"))
-    size = F.when((F.col("different") == 1) & (F.col("rows") == F.col("size")), F.col("size")).otherwise(clash)
-    checked = stored(checked.select("h", "sha", size.alias("size"), "keep_id", "keep_uid"), "dedup-checked")
-
-    # both sides are dealt anew for this join, so that Spark may split what a hot chain makes large
-    out = index.join(checked, ["h", "sha"], "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("keep_uid").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("keep_uid").isNull() | (F.col("keep_uid") == F.col("uid"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+    shared_dir(docs.sparkSession)
+    single, members, found = classes(docs, id_col, text_col, bucket_rows, hash_of, False)
+    alone = single.select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
+    # both sides are dealt anew for this join, so that Spark may split what a hot text makes large
+    both = members.select("h", "norm", "__id", "uid").join(found.drop("bucket"), ["h", "norm"])
+    shared = both.select(
+        F.col("__id").alias(id_col), F.col("best.__id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), F.sha2("norm", 256).alias("text_sha256")
     )
+    return alone.unionByName(shared)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns.
-
-    Rows are found again by id. Where ids repeat, the text's hash joins the key and one row of each
-    (id, hash) stays.
-    """
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns (see least_rows)."""
     shared_dir(docs.sparkSession)
-    kept = stored(exact_dedup(docs, id_col, text_col, bucket_rows).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")), "dedup-kept")
-    ids = kept.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("ids")).first()
-    key = F.sha2(normalised(F.col(text_col)), 256)
-    if ids["n"] == ids["ids"] and docs.select(F.count("*") == F.count_distinct(id_col)).first()[0]:
-        return docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["__id"], "left_semi")
-    rows = docs.withColumn("__key", key)
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__key"] == kept["__sha"]), "left_semi")
-    longest = Window.partitionBy(id_col, "__key").orderBy(F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc())
-    return rows.withColumn("__n", F.row_number().over(longest)).where("__n = 1").drop("__n", "__key")
+    single, members, _ = classes(docs, id_col, text_col, bucket_rows, hash_of, True)
+    alone = single.select(F.concat(F.lit("s"), "__row").alias("g"), F.col("__digest").alias("t"), F.lit(0).alias("n"), "__id", "__row", "__digest")
+    shared = members.select(F.col("h").cast("string").alias("g"), F.col("norm").alias("t"), (-F.col("n")).alias("n"), "__id", "__row", "__digest")
+    return least_rows(docs, alone.unionByName(shared), id_col, text_col, ["g", "t"], ["n"])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, texts, with_fields
 
 #: Bytes of a chunk and between chunk starts; bytes of half a window; embedding size; filters.
 CHUNK, STRIDE, STEP, EMBED, FILTERS = 512, 448, 4, 8, 24
-#: Bounds of what the network learns from: labelled rows of each class, in the order of a hash, and
-#: chunks of each, spread evenly over the whole text.
-ROWS_PER_CLASS, CHUNKS_PER_ROW = 1500, 32
+#: Bounds of the labelled rows that the network learns from, for each class, in the order of a hash:
+#: rows, and bytes of text after which no further row is taken. A row that is taken counts whole.
+ROWS_PER_CLASS, BYTES_PER_CLASS = 1500, 16 << 20
 EPOCHS, DOCS_AT_ONCE, RATE = 8, 32, 0.004
-#: Chunks that are scored at a time.
-CHUNKS = 2048
+#: Chunks that are scored at a time, and that pass through the filters together.
+CHUNKS, PART = 2048, 128
 THRESHOLD = 0.3
 
 
@@ -38,14 +38,12 @@ def chunk_starts(size: int) -> np.ndarray:
     return np.append(starts, size - CHUNK)
 
 
-def chunks_of(raw: bytes, most: int | None = None) -> np.ndarray:
+def chunks_of(raw: bytes) -> np.ndarray:
     """(chunk, byte); a text shorter than a chunk repeats, an empty one is zeros."""
     x = np.frombuffer(raw, np.uint8)
     if len(x) <= CHUNK:
         return np.resize(x, (1, CHUNK)) if len(x) else np.zeros((1, CHUNK), np.uint8)
     at = chunk_starts(len(x))
-    if most is not None and len(at) > most:
-        at = at[np.linspace(0, len(at) - 1, most).astype(int)]
     return np.lib.stride_tricks.sliding_window_view(x, CHUNK)[at]
 
 
@@ -78,10 +76,14 @@ class Network:
         return np.maximum(self.windows(chunks)[1].max(axis=1), 0)
 
     def combined(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log odds of texts whose chunks begin at the given rows."""
+        """Log odds of texts whose chunks begin at the given rows.
+
+        Each text's products are summed on their own and in one order, so that a score does not
+        depend on the texts beside it.
+        """
         sizes = np.diff(np.append(starts, len(pooled)))[:, None]
-        f = np.hstack([np.add.reduceat(pooled, starts) / sizes, np.maximum.reduceat(pooled, starts), np.minimum.reduceat(pooled, starts)])
-        return f @ self.out + self.base[0]
+        f = np.hstack([np.add.reduceat(pooled, starts, dtype=np.float64) / sizes, np.maximum.reduceat(pooled, starts), np.minimum.reduceat(pooled, starts)])
+        return np.cumsum(f * self.out.astype(np.float64), axis=1)[:, -1] + float(self.base[0])
 
     def score(self, rows: list[bytes]) -> np.ndarray:
         """A probability for each text; long texts are worked on in parts."""
@@ -98,16 +100,23 @@ class Network:
                     held, waiting = [], 0
         if held:
             pooled.append(self.pooled_in_parts(np.concatenate(held)))
-        return 1 / (1 + np.exp(-self.combined(np.concatenate(pooled), np.array(starts)).astype(np.float64))) if rows else np.zeros(0)
+        return 1 / (1 + np.exp(-self.combined(np.concatenate(pooled), np.array(starts)))) if rows else np.zeros(0)
 
-    def pooled_in_parts(self, chunks: np.ndarray, part: int = 128) -> np.ndarray:
+    def pooled_in_parts(self, chunks: np.ndarray) -> np.ndarray:
         """pooled(), in parts that stay in the processor's cache."""
-        return np.concatenate([self.pooled(chunks[a : a + part]) for a in range(0, len(chunks), part)])
+        return np.concatenate([self.pooled(chunks[a : a + PART]) for a in range(0, len(chunks), PART)])
+
+    def winners(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, filter): the window with the strongest answer, and that answer before the rectifier."""
+        top, best = [], []
+        for a in range(0, len(chunks), PART):
+            z = self.windows(chunks[a : a + PART])[1]
+            top.append(z.argmax(axis=1))
+            best.append(np.take_along_axis(z, top[-1][:, None], 1)[:, 0])
+        return np.concatenate(top), np.concatenate(best)
 
     def gradients(self, chunks: np.ndarray, starts: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        e, z = self.windows(chunks)
-        top = z.argmax(axis=1)
-        best = np.take_along_axis(z, top[:, None], 1)[:, 0]
+        top, best = self.winners(chunks)
         pooled = np.maximum(best, 0)
         ends = np.append(starts[1:], len(pooled))
         sizes = (ends - starts).astype(np.float32)[:, None]
@@ -122,14 +131,15 @@ class Network:
             here = pooled == picked[doc]
             dp += here * part[doc] / np.maximum(np.add.reduceat(here.astype(np.float32), starts), 1)[doc]
         dp *= best > 0
-        rows = np.arange(len(chunks))[:, None]
-        a, b = e[rows, top], e[rows, top + 1]  # (chunk, filter, STEP * EMBED)
-        d_early, d_late = np.einsum("cf,cfk->kf", dp, a), np.einsum("cf,cfk->kf", dp, b)
-        d_embed = np.zeros_like(self.embed)
-        halves = chunks.reshape(len(chunks), -1, STEP)
-        for at, w in ((top, self.early), (top + 1, self.late)):
-            back = (dp[:, :, None] * w.T[None]).reshape(-1, EMBED)
-            np.add.at(d_embed, halves[rows, at].reshape(-1), back)
+        d_embed, d_early, d_late = np.zeros_like(self.embed), np.zeros_like(self.early), np.zeros_like(self.late)
+        for x in range(0, len(chunks), CHUNKS):
+            part, grad, at = chunks[x : x + CHUNKS], dp[x : x + CHUNKS], top[x : x + CHUNKS]
+            halves, rows = part.reshape(len(part), -1, STEP), np.arange(len(part))[:, None]
+            for to, out, w in ((at, d_early, self.early), (at + 1, d_late, self.late)):
+                seen = halves[rows, to]  # (chunk, filter, STEP): the bytes of the strongest windows
+                out += np.einsum("cf,cfk->kf", grad, self.embed[seen].reshape(*seen.shape[:2], STEP * EMBED))
+                back = (grad[:, :, None] * w.T[None]).reshape(-1, EMBED)
+                np.add.at(d_embed, seen.reshape(-1), back)
         return [d_embed, d_early, d_late, dp.sum(0), d @ f, d.sum(keepdims=True)]
 
 
@@ -142,7 +152,7 @@ def train(rows: list[tuple[bytes, int, float]]) -> Network:
     if len({y for _, y, _ in rows}) < 2:
         net.out[:] = 0
         return net
-    data = [chunks_of(raw, CHUNKS_PER_ROW) for raw, *_ in rows]
+    data = [chunks_of(raw) for raw, *_ in rows]
     y, w = np.array([r[1] for r in rows], np.float32), np.array([r[2] for r in rows], np.float32)
     first, second, t = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
     rng = np.random.default_rng(5)
@@ -162,38 +172,55 @@ def train(rows: list[tuple[bytes, int, float]]) -> Network:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Network:
-    """Learns from at most rows_per_class labelled rows of each class; the task that fits holds no more.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS
+) -> Network:
+    """Learns from labelled rows of each class: at most rows_per_class, of bytes_per_class bytes and one row.
 
-    Rows weigh as many as their class has, so that scores are probabilities for the labelled rows.
-    Labels that are null or have no document are left out.
+    They are the first in the order of a hash of id and text; each counts with all its chunks. The
+    task that fits holds no more than these. Rows weigh as many as their class has, so that scores
+    are probabilities for the labelled rows. Null labels, null ids and labels without a document are
+    left out; an id with both labels counts in both classes; repeats of a label or of a document
+    count once. Without documents or labels of both classes the network answers with the share of
+    label 1 (one half without any row).
     """
-    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).where("__y is not null and __id is not null")
+    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("__y")).where("__y is not null and __id is not null").distinct()
     sizes = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    every = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     picked = None
     for y, n in sorted(sizes.items()):
         some = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows_per_class).withColumn("__w", F.lit(n / min(n, rows_per_class)))
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return train([])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    # at most two times rows_per_class ids are broadcast; an id may have many rows, so the bounds hold again for them
+    found = every.join(F.broadcast(picked), "__id").dropDuplicates(["__id", "__text", "__y"]).withColumn("__h", F.xxhash64("__id", "__text"))
+    rows = [found.where(F.col("__y") == y).orderBy("__h", "__id", "__text").limit(rows_per_class) for y in sorted(sizes)]
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = pd.concat([*batches, pd.DataFrame({"__id": [], "__text": [], "__y": [], "__w": []})]).sort_values(["__id", "__text"])
-        net = train([((t or "").encode("utf-8", "surrogatepass"), int(y), w) for t, y, w in zip(every["__text"], every["__y"], every["__w"])])
-        yield pd.DataFrame({"net": [pickle.dumps(net.parts())]})
+        data, left = [], {}
+        every = pd.concat([*batches, pd.DataFrame({"__id": [], "__text": [], "__y": [], "__w": [], "__h": []})])
+        for t, y, w in every.sort_values(["__h", "__id", "__text"])[["__text", "__y", "__w"]].itertuples(index=False):
+            if left.setdefault(int(y), bytes_per_class) > 0:
+                raw = t.encode("utf-8", "surrogatepass")
+                left[int(y)] -= len(raw)
+                data.append((raw, int(y), float(w)))
+        yield pd.DataFrame({"net": [pickle.dumps(train(data).parts())]})
 
-    return Network(*pickle.loads(rows.repartition(1).mapInPandas(learn, "net binary").first()["net"]))
+    both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    net = both.repartition(1).mapInPandas(learn, "net binary").first()
+    return Network(*pickle.loads(net["net"])) if net else train([])
 
 
 def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (score >= THRESHOLD); columns of these names are replaced.
 
-    Null and empty texts get the score of an empty text. Whole texts count.
+    Null and empty texts get the score of an empty text, equal texts equal scores, whatever rows are
+    beside them. Whole texts of any length count, in parts. An empty table gives an empty result.
     """
     kept = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, score double, predicted int"
+    schema = with_fields(kept, ("score", "double"), ("predicted", "int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

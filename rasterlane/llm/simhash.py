@@ -16,14 +16,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shared_dir, stored, table, texts
+from .common import components, least_rows, quoted, row_key, shared_dir, stored, table, texts, with_fields
 
-#: Distinct fingerprints that a shard should hold; size of the sample that deals them out.
-SHARD_ROWS, SAMPLE = 50_000, 16_384
+#: Distinct fingerprints that a shard should hold (a few hundred bytes of working memory each);
+#: bound of the sample that deals them out, and its size for each shard.
+SHARD_ROWS, SAMPLE, SAMPLE_PER_SHARD = 100_000, 1 << 20, 64
 LEAF = 48
+#: Candidates for a vantage point, and rows on which their spread is measured.
+TRIED, MEASURED = 8, 256
 SEED = 42
 
 
@@ -68,7 +71,9 @@ class VPTree:
             rows, parent, side = todo.pop()
             d = None
             if len(rows) > leaf:
-                v = points[rows[rng.integers(len(rows))]]
+                tried = points[rows[rng.integers(len(rows), size=TRIED)]]
+                some = points[rows[rng.integers(len(rows), size=MEASURED)]]
+                v = tried[np.bitwise_count(tried[:, None] ^ some[None]).std(axis=1).argmax()]  # the widest spread prunes most
                 d = np.bitwise_count(points[rows] ^ v)
                 if d.max() == 0:  # all the same
                     d = None
@@ -142,23 +147,23 @@ def local_components(points: np.ndarray, home: np.ndarray, radius: int, at_once:
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """<id_col>, fp (long) for every row, in the shared folder."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keys: bool = False) -> DataFrame:
+    """__id, fp (long), and with keys __row and __digest, for every row, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts(batch, "text"), width).view(np.int64))], [id_col, "fp"])
+            found = fingerprints(texts(batch, "__text"), width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")) if id_col != "text" else docs.select(F.col(id_col))
-    return stored(rows.mapInArrow(run, f"`{id_col}` {kind}, fp long"), "simhash")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), *[c.alias(n) for n, c in row_key(docs, text_col).items() if keys], F.col(quoted(text_col)).alias("__text"))
+    return stored(rows.mapInArrow(run, with_fields(rows.drop("__text"), ("fp", "long"))), "simhash")
 
 
 def link_components(fps: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(fp, root) for the fingerprints that have a neighbour within the radius. fps: distinct fp."""
     count = fps.count()
     shards = max(1, -(-count // shard_rows))
-    chosen = fps.orderBy(F.xxhash64("fp"), "fp").limit(min(sample, 64 * shards)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    chosen = fps.orderBy(F.xxhash64("fp"), "fp").limit(min(sample, SAMPLE_PER_SHARD * shards)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     top = VPTree.build(chosen, max(1, -(-len(chosen) // shards)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,41 +198,34 @@ def merged(found: DataFrame) -> DataFrame:
     return one.join(tied, one["a"] == tied["node"], "left").select("fp", F.coalesce("root", "a").alias("root"))
 
 
+def roots_of(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, root, component_id) of rows (__id, fp): each component's smallest fingerprint and id."""
+    fps = stored(rows.groupBy("fp").agg(F.min("__id").alias("low")), "simhash-distinct")
+    roots = link_components(fps.select("fp"), radius, shard_rows)
+    joined = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per input row: <id_col>, fingerprint (16 hex digits), component_id, fp (long).
 
     component_id is the smallest id that is reachable over links of at most radius differing bits,
-    itself included. Null and empty texts have fingerprint zero and link like any other. Null ids
-    count as larger than all others. An empty table gives an empty result.
+    itself included. Null and empty texts have fingerprint zero and link like any other; whole texts
+    of any length count; repeated rows and rows that share an id each give a row. Null ids count as
+    larger than all others. An empty table gives an empty result; other columns are not read.
     """
     shared_dir(docs.sparkSession)
     rows = fingerprint_table(docs, id_col, text_col, width)
-    fps = stored(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "simhash-distinct")
-    roots = link_components(fps.select("fp"), radius, shard_rows)
-    joined = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = joined.join(least, "root").select("fp", "component_id")
-    out = rows.join(by_fp, "fp", "left")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    out = rows.join(roots_of(rows, radius, shard_rows), "fp", "left")
+    return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay when one document of each component does: that with the smallest id."""
-    return least_of_each(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
-
-
-def least_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is their component's smallest. found: <id_col>, component_id.
-
-    Rows with a null id, and repeats of the id that stays, are told apart by the whole row's hash.
-    """
-    kept = stored(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")), "simhash-kept")
-    shape = kept.agg(F.count("*").alias("n"), F.count_distinct("__id").alias("ids")).first()
-    if shape["n"] == shape["ids"]:
-        return docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["__id"], "left_semi")
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    """The rows of docs that stay when one row of each component does: that with the smallest id (see least_rows)."""
+    shared_dir(docs.sparkSession)
+    rows = fingerprint_table(docs, id_col, text_col, width, keys=True)
+    keyed = rows.join(roots_of(rows, radius, SHARD_ROWS).select("fp", "root"), "fp")
+    return least_rows(docs, keyed, id_col, text_col, ["root"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

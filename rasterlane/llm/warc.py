@@ -2,13 +2,16 @@
 
 Every archive file begins with a skippable frame that holds a dictionary built from records of that
 file; each record then is a Zstandard frame of its own, so a reader needs nothing but the file and
-may start at any record. Records whose payload another record has already are revisits of it.
+may start at any record. Where the records are too few or too alike to train entropy tables on, the
+dictionary is their content alone, which Zstandard takes as well; no archive is without one. Records
+whose payload another record has already are revisits of it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -19,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_input, open_output, shared_path, stored, table, text_bytes
+from .common import open_input, open_output, quoted, shared_path, stored, table, text_bytes
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: Payload bytes that a file should hold; a dictionary's size; bytes of records that it is built from.
-FILE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 256 << 20, 64 << 10, 4 << 20
+#: Payload bytes that a file should hold, and at least where that leaves cores idle.
+FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 4 << 20
+#: Largest dictionary, its share of the bytes that it is built from (one in), those bytes, and the
+#: length of the slices that records are cut into for it.
+DICTIONARY_BYTES, SHARE, SAMPLE_BYTES, SLICE = 64 << 10, 16, 4 << 20, 2 << 10
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -37,7 +43,17 @@ def record_id(key: object) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(key))}"
 
 
-def record(key: object, uri: str, payload: bytes, kind: str, refers_to: object) -> bytes:
+def named(key: str | None) -> str:
+    """An id as a header's value: null is nothing; others are JSON strings, which have no line ends and
+    tell an empty id apart."""
+    return "" if key is None else json.dumps(key)
+
+
+def from_name(value: str) -> str | None:
+    return json.loads(value) if value else None
+
+
+def record(key: str | None, uri: str, payload: bytes, kind: str, refers_to: str | None) -> bytes:
     """One WARC 1.1 record; a revisit has the HTTP header of its payload and no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
@@ -48,11 +64,11 @@ def record(key: object, uri: str, payload: bytes, kind: str, refers_to: object)
         "WARC-Target-URI": uri.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
-        "X-Page-ID": "" if key is None else str(key),
+        "X-Page-ID": named(key),
         "Content-Type": "application/http; msgtype=response",
     }
     if kind == "revisit":
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id(refers_to)}>", "X-Refers-To-Page-ID": "" if refers_to is None else str(refers_to)}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{record_id(refers_to)}>", "X-Refers-To-Page-ID": named(refers_to)}
     head["Content-Length"] = str(len(block))
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -70,13 +86,15 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary built from records; empty where there are too few to build one."""
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
-        return b""
+    """A dictionary of one sixteenth of the records' bytes, at most 64 KB; records are cut into slices,
+    so that few long ones are samples enough."""
+    slices = [raw[a : a + SLICE] for raw in samples for a in range(0, len(raw), SLICE)]
+    size = min(DICTIONARY_BYTES, max(1 << 10, sum(map(len, slices)) // SHARE))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, slices, k=256, d=8).as_bytes()
+    except zstandard.ZstdError:  # too little to train on: the beginnings of the records themselves
+        each = max(64, size // max(1, len(samples)))
+        return b"".join(raw[:each] for raw in samples)[:size]
 
 
 class ArchiveWriter:
@@ -85,7 +103,7 @@ class ArchiveWriter:
     def __init__(self, uri: str, level: int = 3):
         self.uri, self.level = uri, level
         self.out, self.commit = open_output(uri)
-        self.held: list[bytes] = []
+        self.held: list[bytes] = []  # a longer record is cut for the dictionary only
         self.size = self.records = self.bytes = 0
         self.z = None
 
@@ -100,10 +118,9 @@ class ArchiveWriter:
             self.begin()
 
     def begin(self) -> None:
-        d = dictionary(self.held)
-        if d:
-            self.bytes += self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(d)) + d)
-        self.z = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=True)
+        d = dictionary([raw[:SAMPLE_BYTES] for raw in self.held])
+        self.bytes += self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(d)) + d)
+        self.z = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=True)
         for raw in self.held:
             self.bytes += self.out.write(self.z.compress(raw))
         self.held = []
@@ -117,13 +134,10 @@ class ArchiveWriter:
 def read_archive(uri: str, at_once: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive in order."""
     with open_input(uri) as f:
-        head, dict_data = f.read(8), None
-        rest = head
-        if len(head) == 8:
-            magic, n = struct.unpack("<II", head)
-            if magic == DICTIONARY_FRAME:
-                dict_data, rest = zstandard.ZstdCompressionDict(f.read(n)), b""
-        z = zstandard.ZstdDecompressor(dict_data=dict_data) if dict_data else zstandard.ZstdDecompressor()
+        magic, n = struct.unpack("<II", f.read(8))
+        if magic != DICTIONARY_FRAME:
+            raise ValueError(f"{uri} does not begin with a dictionary")
+        z, rest = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(f.read(n))), b""
         frame, parts = z.decompressobj(), []
         while True:
             if not rest:
@@ -141,57 +155,62 @@ def read_archive(uri: str, at_once: int = 1 << 20) -> Iterator[tuple[dict[str, s
 
 
 def decided(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int) -> DataFrame:
-    """pages with __of (the id of the response) and __first (whether the row is that response).
+    """pages with __tie (the row's hash), __of (the id of the response) and __first (whether the row is
+    that response or a repeat of it).
 
-    Digests, not payloads, are grouped; of equal payloads the smallest id is the response, and of
-    repeats of that id the first by the whole row's hash.
+    Digests, not payloads, are grouped; of equal payloads the smallest id (null last) is the response,
+    and of rows with that id the first by the whole row's hash.
     """
-    body = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.withColumn("__sha", F.sha2(body, 256))
-    tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in pages.columns])
-    keys = rows.where(F.octet_length(body) >= least_bytes).select("__sha", F.col(id_col).alias("id"), tie.alias("tie"))
-    first = keys.groupBy("__sha").agg(F.count("*").alias("size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("low")).where("size > 1")
-    first = stored(first.select("__sha", F.col("low.id").alias("__of"), F.col("low.tie").alias("__tie")), "warc-copies")
-    return rows.join(first, "__sha", "left").withColumn("__first", F.col("__tie").isNull() | ((F.col("__tie") == tie) & F.col(id_col).eqNullSafe(F.col("__of"))))
-
-
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    body = F.coalesce(F.col(quoted(payload_col)), F.lit(""))
+    every = [F.col(quoted(c)).cast("string") for c in pages.columns]
+    rows = pages.withColumns({"__sha": F.sha2(body, 256), "__tie": F.xxhash64(*every, *[c.isNull() for c in every]), "__id": F.col(quoted(id_col))})
+    keys = rows.where(F.octet_length(body) >= least_bytes).select("__sha", "__id", "__tie")
+    first = keys.groupBy("__sha").agg(F.count("*").alias("size"), F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__tie")).alias("low")).where("size > 1")
+    first = stored(first.select("__sha", F.col("low.__id").alias("__of"), F.col("low.__tie").alias("__low")), "warc-copies")
+    return rows.join(first, "__sha", "left").withColumn("__first", F.col("__low").isNull() | ((F.col("__low") == F.col("__tie")) & F.col("__id").eqNullSafe(F.col("__of"))))
+
+
+def write_archives(
+    pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", least_bytes: int = 0, file_bytes: int = FILE_BYTES, least_file_bytes: int = LEAST_FILE_BYTES
+) -> DataFrame:
     """Writes a record for every row; returns the manifest: uri, records, bytes of each file.
 
-    Null payloads are empty. Rows that repeat the response's id and all else are told apart by
-    their order in the file: only the first becomes a response.
+    Null payloads are empty, payloads of any length are written whole. Ids of any type that sorts and
+    casts to text and back; null ids are kept and come last. Rows that are equal in id, payload and
+    uri meet in one file, where the first becomes the response if any of them is to be; rows of
+    one id that differ do not meet. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
-    rows = decided(pages.select(*dict.fromkeys([id_col, payload_col, *([uri_col] if uri_col else [])])), id_col, payload_col, least_bytes)
-    uri = F.coalesce(F.col(uri_col).cast("string"), F.lit("")) if uri_col else F.lit("")
-    rows = rows.select(F.col(id_col).alias("id"), uri.alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("body"), "__of", "__first")
-    files = max(1, -(-text_bytes(pages, payload_col) // file_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = decided(pages.select(*[F.col(quoted(c)) for c in dict.fromkeys([id_col, payload_col, *([uri_col] if uri_col else [])])]), id_col, payload_col, least_bytes)
+    uri = F.coalesce(F.col(quoted(uri_col)).cast("string"), F.lit("")) if uri_col else F.lit("")
+    rows = rows.select(F.col("__id").cast("string").alias("id"), uri.alias("uri"), F.coalesce(F.col(quoted(payload_col)), F.lit("")).alias("body"), F.col("__of").cast("string").alias("of"), F.col("__low").isNotNull().alias("copied"), "__first", F.col("__tie").alias("tie"))
+    size = text_bytes(pages, payload_col)
+    files = max(1, -(-size // file_bytes), min(-(-size // least_file_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, number, written = None, TaskContext.get().partitionId(), set()
         for batch in batches:
-            for key, target, body, of, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, target, body, of, copied, first, tie in zip(*(c.to_pylist() for c in batch.columns)):
                 if w is None:
                     w = ArchiveWriter(f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.warc.zst")
                 payload = body.encode("utf-8", "surrogatepass")
-                again = first and key == of and key in written
-                if first and of is not None:
-                    written.add(key)
+                again = first and (key, tie) in written
+                if first and copied:
+                    written.add((key, tie))
                 w.add(record(key, target, payload, "response" if first and not again else "revisit", of))
         if w is not None:
             w.close()
             yield pa.RecordBatch.from_arrays([pa.array([w.uri]), pa.array([w.records], pa.int64()), pa.array([w.bytes], pa.int64())], ["uri", "records", "bytes"])
 
-    # by id, so that repeats of a row meet in one file
-    return stored(rows.repartition(files, "id").mapInArrow(run, "uri string, records long, bytes long"), "warc-manifest")
+    return stored(rows.repartition(files, "id", "tie").mapInArrow(run, "uri string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
+def read_archives(manifest: DataFrame, id_col: str = "page_id", id_type: str = "long") -> DataFrame:
     """<id_col>, payload_bytes, payload_digest, record_type, refers_to, uri, archive, payload of every record."""
     files = manifest.select("uri").repartition(max(1, manifest.count()))
+    names = ["id", "payload_bytes", "payload_digest", "record_type", "of", "uri", "archive", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "uri", "archive", "payload"]
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 out: list[tuple] = []
@@ -202,8 +221,8 @@ def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
                     kind, full = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and (len(payload) != length or digest(payload) != full):
                         raise ValueError(f"damaged payload in {uri}")
-                    of = head.get("X-Refers-To-Page-ID") or None
-                    out.append((int(head["X-Page-ID"]) if head["X-Page-ID"] else None, length, full, kind, int(of) if of else None, head["WARC-Target-URI"], uri, payload if kind == "response" else None))
+                    of = from_name(head.get("X-Refers-To-Page-ID", ""))
+                    out.append((from_name(head["X-Page-ID"]), length, full, kind, of, head["WARC-Target-URI"], uri, payload if kind == "response" else None))
                     size += len(payload)
                     if size > 8 << 20:
                         yield made(out, names)
@@ -211,14 +230,16 @@ def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
                 if out:
                     yield made(out, names)
 
-    return files.mapInArrow(run, f"`{id_col}` long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, archive string, payload binary")
+    found = files.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, of string, uri string, archive string, payload binary")
+    return found.select(F.col("id").cast(id_type).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("of").cast(id_type).alias("refers_to"), "uri", "archive", "payload")
 
 
 def made(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    manifest = write_archives(pages, shared_path(spark, "warc"))
+    return read_archives(manifest, id_type=pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

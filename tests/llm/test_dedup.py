@@ -5,7 +5,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from rasterlane.llm import exact_dedup, simhash
+from pyspark.sql import functions as F
+
+from rasterlane.llm import exact_dedup, shingle_dedup, simhash
 from rasterlane.llm.common import components
 
 
@@ -41,11 +43,48 @@ def test_repeated_rows_and_null_ids_keep_one(spark):
 
 
 def test_directory_splits_overfull_buckets_only(spark):
-    rows = [(0, 0)] * 50 + [(2048 + i, i) for i in range(100)]
-    entries = spark.createDataFrame(rows, "slot int, h long")
-    depth = {r["slot"]: r["local_depth"] for r in exact_dedup.directory(entries, 20).collect()}
-    assert depth[0] == 1  # one hash: doubling cannot split it
-    assert depth[2048] > 1
+    rows = [(0, 50)] + [((1 << 63) - (1 << 64) + (i << 40), 1) for i in range(100)]
+    slots, depth = exact_dedup.directory(spark.createDataFrame(rows, "h long, rows long"), 20)
+    found = slots.collect()
+    assert [r["local_depth"] for r in found if r["slot"] == 0] == [1]  # one hash: doubling cannot split it
+    sizes = {}
+    for h, n in rows:
+        slot = (h % (1 << 64)) >> (64 - depth)
+        bucket = next(r["bucket"] for r in found if r["slot"] == slot)
+        sizes[bucket] = sizes.get(bucket, 0) + n
+    assert all(n <= 20 for b, n in sizes.items() if b) and len(sizes) > 5
+    assert depth > exact_dedup.STEP + 3  # it doubled beyond its first size, without a bound
+
+
+def test_colliding_hashes_make_chains_of_different_texts(spark):
+    """Every text has one of two hashes: only the bytes tell them apart."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a b", "ab", "", None, "é x", "éx", f"one {i}", "z" * 5000])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda norm: F.length(norm) % 2
+    found = exact_dedup.exact_dedup(docs, bucket_rows=10, hash_of=lambda norm: weak(norm).cast("long")).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found) == brute_exact(rows)
+    kept = exact_dedup.keep_first(docs, hash_of=lambda norm: weak(norm).cast("long"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["keep_id"] for r in found})
+
+
+def test_any_id_type_and_odd_names(spark):
+    docs = spark.createDataFrame([("b", "x y", 1), ("a", "xy", 2), (None, "xy", 3), ("c", None, 4), ("d", " ", 5)], "`my``id` string, text string, h int")
+    found = {r[0]: r["keep_id"] for r in exact_dedup.exact_dedup(docs, "my`id").collect()}
+    assert found == {"b": "b", "a": "b", None: "b", "c": "d", "d": "d"}
+    assert sorted(r["h"] for r in exact_dedup.keep_first(docs, "my`id").collect()) == [1, 5]
+    assert sorted(r["h"] for r in simhash.keep_one(docs, "my`id").collect()) == [1, 2, 4]
+    assert {r[0]: r["component_id"] for r in simhash.near_duplicates(docs, "my`id").collect()} == {"b": "b", "a": "a", None: "a", "c": "c", "d": "c"}
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingle_dedup.keep_one])
+def test_rows_are_told_apart_by_more_than_their_id(spark, keep):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown grey")
+    rows = [(1, a, "s"), (1, b, "s"), (None, a, "t"), (None, b, None), (None, None, "s"), (None, c, "s"), (3, c, "s"), (3, c, "s"), (3, a, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    found = keep(docs).collect()
+    assert sorted(map(str, found)) == sorted(str(r) for r in spark.createDataFrame([(1, a, "s"), (1, b, "s"), (None, None, "s"), (3, c, "s")], docs.schema).collect())
+    assert keep(docs.limit(0)).count() == 0 and keep(docs).columns == docs.columns
 
 
 def brute_fingerprint(text, width=3):

@@ -3,11 +3,12 @@ import hashlib
 import zlib
 
 import numpy as np
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterlane.llm import huffman, warc
-from rasterlane.llm.common import shared_path
+from rasterlane.llm.common import shared_path, table
 
 
 @settings(max_examples=100, deadline=None)
@@ -84,3 +85,36 @@ def test_a_dictionary_leads_each_large_file(spark):
             head = f.read(4)
         assert head == warc.DICTIONARY_FRAME.to_bytes(4, "little")
     assert warc.read_archives(manifest).count() == 800
+
+
+def leading_dictionary(uri):
+    from rasterlane.llm.common import open_input
+
+    with open_input(uri) as f:
+        magic, n = (int.from_bytes(f.read(4), "little") for _ in range(2))
+        return magic == warc.DICTIONARY_FRAME and f.read(n)
+
+
+def test_every_archive_has_a_dictionary(spark):
+    """On the small tables, in small files, and where there is next to nothing to build it from."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    for frame, least in ((pages, 4 << 20), (pages, 64 << 10), (pages.limit(2), 1), (pages.where("page_id < 0").unionByName(pages.limit(1).selectExpr("page_id", "url", "null as html")), 1)):
+        manifest = warc.write_archives(frame, shared_path(spark, "test-warc"), least_file_bytes=least)
+        rows = manifest.collect()
+        assert rows and all(len(leading_dictionary(r["uri"])) >= 64 for r in rows)
+        assert sorted(r["page_id"] for r in warc.read_archives(manifest).collect()) == sorted(r["page_id"] for r in frame.collect())
+    one = warc.write_archives(pages, shared_path(spark, "test-warc")).collect()
+    assert len(one) == 1 and one[0]["bytes"] < pages.selectExpr("sum(length(html))").first()[0] / 2
+    packed = zstandard.ZstdCompressor(level=3)
+    assert one[0]["bytes"] < sum(len(packed.compress((r["html"] or "").encode())) for r in pages.collect())  # the dictionary pays
+
+
+def test_archives_of_odd_ids_and_long_payloads(spark):
+    rows = [("b", "same", 1), ("a", "same", 2), ("", "same", 3), (None, "same", 4), (None, "own", 5), ('q"\n%é', "x" * 3_000_000, 6), ("%0A", None, 7)]
+    pages = spark.createDataFrame(rows, "`p``id` string, html string, id int")
+    found = warc.read_archives(warc.write_archives(pages, shared_path(spark, "test-warc"), id_col="p`id", uri_col=None), "p`id", "string").collect()
+    got = {(r["p`id"], r["payload_bytes"]): (r["record_type"], r["refers_to"]) for r in found}
+    assert got == {
+        ("b", 4): ("revisit", ""), ("a", 4): ("revisit", ""), ("", 4): ("response", None), (None, 4): ("revisit", ""), (None, 3): ("response", None),
+        ('q"\n%é', 3_000_000): ("response", None), ("%0A", 0): ("response", None),
+    }

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +83,20 @@ def test_contamination_against_brute_force(spark):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, *_ in expected} | {998, 999}
     assert dec.find_contamination(frame, bench.limit(0)).count() == 0
     assert dec.find_contamination(frame.limit(0), bench).count() == 0
+
+
+def test_budget_follows_the_length_alone():
+    assert [dec.budget(m) for m in (1, 19, 20, 23, 24, 40, 100, 399)] == [0, 0, 1, 1, 1, 2, 5, 19]
+    assert all(min(len(p) for _, p in dec.pieces("x" * m, dec.budget(m))) >= min(m, 10) for m in range(1, 500))
+
+
+def test_edited_items_in_a_very_long_text_and_odd_keys(spark):
+    item = "the quick brown fox jumps over a lazy dog by the river"
+    long = "filler words of no meaning " * 40_000
+    rows = [("a", f"{long} {item.replace('quick', 'quack').upper()} {long}", 1), ("a", long, 2), (None, item.replace("brown", "brwn"), 3), ("b", None, 4), ("c", item[:30], 5)]
+    docs = spark.createDataFrame(rows, "`d``id` string, text string, item int")
+    bench = spark.createDataFrame([(Decimal("1.50"), item), (Decimal("1.50"), item), (None, item)], "item_id decimal(9,2), text string")
+    found = dec.find_contamination(docs, bench, "d`id")
+    assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [(d, k, 1) for d in ("a", None) for k in (Decimal("1.50"), Decimal("1.50"), None)]))
+    assert sorted(r["item"] for r in dec.decontaminated(docs, bench, "d`id").collect()) == [2, 4, 5]

@@ -26,6 +26,39 @@ def test_chunks_cover_whole_texts():
         assert seen.all() and len(quality.chunks_of(bytes(size))) == len(at)
 
 
+def brute_score(net, raw):
+    """Chunk by chunk, window by window, byte by byte."""
+    x = (list(raw) * (quality.CHUNK // max(1, len(raw)) + 1))[: quality.CHUNK] if len(raw) <= quality.CHUNK else list(raw)
+    x = x or [0] * quality.CHUNK
+    starts = [*range(0, len(x) - quality.CHUNK, quality.STRIDE), len(x) - quality.CHUNK]
+    pooled = []
+    for a in starts:
+        best = np.zeros(quality.FILTERS)
+        for w in range(a, a + quality.CHUNK - quality.STEP, quality.STEP):
+            seen = np.concatenate([net.embed[b] for b in x[w : w + 2 * quality.STEP]]).astype(float)
+            best = np.maximum(best, seen @ np.vstack([net.early, net.late]).astype(float) + net.bias)
+        pooled.append(best)
+    f = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0), np.min(pooled, axis=0)])
+    return 1 / (1 + math.exp(-(f @ net.out.astype(float) + net.base[0])))
+
+
+def test_scores_against_brute_force():
+    net = quality.Network.fresh()
+    rows = [b"", b"a", b"some words " * 30, bytes(range(256)) * 9, b"x" * 513]
+    assert np.allclose(net.score(rows), [brute_score(net, r) for r in rows], atol=1e-5)
+    assert all(net.score([r])[0] == s for r, s in zip(rows, net.score(rows)))
+
+
+def test_fit_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "good " * (50 + i) if i % 2 else "bad " * (50 + i)) for i in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    net = quality.fit(docs, labels)
+    assert all(np.array_equal(a, b) for a, b in zip(net.parts(), quality.fit(docs.dropDuplicates(), labels.distinct()).parts()))
+    small = quality.fit(docs, labels, rows_per_class=5, bytes_per_class=400)
+    assert not np.array_equal(net.out, small.out)
+    assert len(quality.scored(docs, quality.fit(docs.limit(0), labels)).select("score").distinct().collect()) == 1
+
+
 def test_quality_gradients():
     net = quality.Network.fresh()
     for p in net.parts():
