@@ -1,10 +1,13 @@
-"""Chat transcripts: a hidden Markov model recovers who speaks, then turns are rendered one way.
-
-States are (role, first line of a turn or later line). A line shows a speaker marker or none, whether
-it asks, and how long it is. Viterbi finds the best roles for a whole conversation. Conversations are
-dealt by a range of (conversation, order), so one of any size spreads over tasks: a stretch of at most
-BLOCK rows becomes a matrix of best scores from each state before it to each state at its end, and
-only where a conversation has several stretches are their ends settled first, level by level.
+"""Chat transcripts: a hidden Markov model recovers who speaks and where turns begin, then turns are
+rendered one way.
+
+States are (role, first line of a turn, later line, or the empty line that closes it). A line shows a
+speaker marker or none, whether it asks, and how long it is. Viterbi finds the best states for a whole
+conversation. A transcript comes as rows of one or more lines in any order column; where a row begins
+says nothing, so cutting a transcript into other rows changes no line's state. Conversations are dealt
+by a range of (conversation, order), so one of any size spreads over tasks: a stretch of at most BLOCK
+rows becomes a matrix of best scores from each state before it to each state at its end, and only
+where a conversation has several stretches are their ends settled first, level by level.
 """
 
 from __future__ import annotations
@@ -20,24 +23,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import quoted, shared_dir, stored, table
 
 ROLES = ("system", "user", "assistant")
-STATES = len(ROLES) * 2  # role * 2 + (0 first line, 1 later line)
+FIRST, LATER, GAP = range(3)
+STATES = len(ROLES) * 3  # role * 3 + FIRST, LATER or GAP
 #: What precedes a conversation's first line, as a state that nothing returns to.
 START = STATES
 #: Names that transcripts give to speakers.
 NAMES = {"system": ("system", "instructions", "context"), "user": ("user", "human", "question", "q", "customer"), "assistant": ("assistant", "ai", "bot", "answer", "a", "agent")}
 MARKER = regex.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#+\s*|\*\*|>\s*)?(" + "|".join(n for names in NAMES.values() for n in names) + r")(?:\|>|\]|\*\*)?\s*(?:[:>\-]+|$)(?:\*\*)?\s*", regex.I)
 ROLE_OF = {n: r for r, names in enumerate(NAMES.values()) for n in names}
-#: Marker (none or a role), asks or not, length in three steps; then an empty line. All of it twice:
-#: for lines that begin a row of the input, and for others.
-KINDS = (1 + len(ROLES)) * 2 * 3 + 1
-SYMBOLS = 2 * KINDS
+#: Marker (none or a role), asks or not, length in three steps; then an empty line.
+SYMBOLS = (1 + len(ROLES)) * 2 * 3 + 1
+EMPTY = SYMBOLS - 1
 #: Rows of a stretch, and stretches that are joined at a time.
 BLOCK = 256
-#: Counts that every transition and symbol starts with.
-SMOOTH = 0.5
+#: Counts that every transition and symbol starts with, and symbols that a state should not show:
+#: markers of another role or within a turn, lines with content in a gap.
+SMOOTH, UNLIKELY = 0.5, 0.002
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -49,32 +53,48 @@ def marker(line: str) -> tuple[int, str]:
 def symbol(line: str) -> int:
     who, rest = marker(line)
     if not who and not rest.strip():
-        return KINDS - 1
+        return EMPTY
     return (who * 2 + rest.rstrip().endswith("?")) * 3 + (len(rest) >= 40) + (len(rest) >= 200)
 
 
 def symbols(text: str) -> np.ndarray:
-    out = np.array([symbol(x) for x in text.split("\n")], np.int64)
-    out[1:] += KINDS
+    return np.array([symbol(x) for x in text.split("\n")], np.int64)
+
+
+def turn_states(role: str, lines: np.ndarray) -> np.ndarray:
+    """The states of one turn's lines."""
+    out = np.full(len(lines), ROLES.index(role) * 3 + LATER)
+    out[0] += FIRST - LATER
+    if len(lines) > 1 and lines[-1] == EMPTY:
+        out[-1] += GAP - LATER
+    return out
+
+
+def may_follow() -> np.ndarray:
+    """(state, state): within a turn the role stays; a gap only ends a turn, and only a first line begins one."""
+    out = np.zeros((STATES, STATES), bool)
+    for a, b in itertools.product(range(STATES), repeat=2):
+        out[a, b] = b % 3 == FIRST or (a // 3 == b // 3 and a % 3 != GAP)
+    return out
+
+
+def prior_symbols() -> np.ndarray:
+    out = np.full((STATES, SYMBOLS), SMOOTH)
+    for s, who in itertools.product(range(STATES), range(1, 1 + len(ROLES))):
+        if s % 3 != FIRST or s // 3 != who - 1:
+            out[s, who * 6 : who * 6 + 6] = UNLIKELY
+    out[GAP::3, :EMPTY] = UNLIKELY
     return out
 
 
 class Model:
-    """Log probabilities: move (state or START, state), show (state, symbol)."""
+    """Log probabilities: move (state or START, state), show (state, symbol); from counts."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, show: np.ndarray):
-        allowed = np.zeros((STATES, STATES), bool)
-        for a, b in itertools.product(range(STATES), repeat=2):
-            allowed[a, b] = b % 2 == 0 or a // 2 == b // 2  # a later line has the role of the line before
+    def __init__(self, move: np.ndarray, show: np.ndarray):
+        first = np.where(np.arange(STATES) % 3 == FIRST, move[START] + SMOOTH, 0)
         with np.errstate(divide="ignore"):
-            first = norm(np.where(np.arange(STATES) % 2 == 0, start + SMOOTH, 0))
-            self.move = np.log(np.vstack([norm(np.where(allowed, move + SMOOTH, 0)), first]))
-            self.show = np.log(norm(show + SMOOTH))
-        # a marker belongs to a first line and its role; a share of markers is wrong
-        for s, who in itertools.product(range(STATES), range(1 + len(ROLES))):
-            if who and (s % 2 or s // 2 != who - 1):
-                for at in (who * 6, KINDS + who * 6):
-                    self.show[s, at : at + 6] -= 6.0
+            self.move = np.log(norm(np.vstack([np.where(may_follow(), move[:START] + SMOOTH, 0), first])))
+            self.show = np.log(norm(show + prior_symbols()))
 
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         """Best scores from the state before (or START) to the state at the end of a run of symbols."""
@@ -107,54 +127,58 @@ def norm(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def in_order(rows: DataFrame, conv_col: str, order_col: str, text_col: str) -> DataFrame:
-    """conv, ord, text, role (null unless there is one) in order, dealt by ranges."""
-    role = F.col("role").cast("string") if "role" in rows.columns else F.lit(None).cast("string")
-    rows = rows.select(F.col(conv_col).cast("long").alias("conv"), F.col(order_col).cast("long").alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), role.alias("role"))
+def in_order(rows: DataFrame, conv_col: str, order_cols: tuple[str, ...], text_col: str) -> DataFrame:
+    """conv (as text), ord (the order columns), text in order, dealt by ranges."""
+    order = F.array(*[F.col(quoted(c)).cast("long") for c in order_cols])
+    rows = rows.select(F.col(quoted(conv_col)).cast("string").alias("conv"), order.alias("ord"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "conv", "ord", F.xxhash64("text")).sortWithinPartitions("conv", "ord", F.xxhash64("text"), "role")
+    return rows.repartitionByRange(parts, "conv", "ord", F.xxhash64("text")).sortWithinPartitions("conv", "ord", F.xxhash64("text"))
 
 
-def learn(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> Model:
-    """Counts starts, moves and symbols over all rows whose role is known; each row begins a turn.
+def learn(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str = "role") -> Model:
+    """Counts moves and symbols over rows that each are one turn of a known role.
 
-    Lines are counted where rows are read. Moves from a row to the next (order + 1) are an equi-join on
-    conversation and order. What the driver gets is a row for each pair of states and of state and symbol.
+    Lines are counted where rows are read. Moves from a turn to the next (order + 1) are an equi-join on
+    conversation and order. What the driver gets is a row for each pair of states and of state and
+    symbol. Rows without a known role are left out; without any row the model knows its priors only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move, show = np.zeros((STATES + 1, STATES)), np.zeros((STATES, SYMBOLS))
         for batch in batches:
             for text, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, x = ROLES.index(role) * 2, symbols(text)
-                show[first, x[0]] += 1
-                np.add.at(show[first + 1], x[1:], 1)
-                if len(x) > 1:
-                    move[first, first + 1] += 1
-                    move[first + 1, first + 1] += len(x) - 2
+                x = symbols(text)
+                at = turn_states(role, x)
+                np.add.at(show, (at, x), 1)
+                np.add.at(move, (at[:-1], at[1:]), 1)
         flat = np.concatenate([move.ravel(), show.ravel()])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
 
-    known = rows.where(F.col("role").isin(*ROLES)).select(F.col(conv_col).alias("conv"), F.col(order_col).cast("long").alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "role")
+    text, role = F.coalesce(F.col(quoted(text_col)), F.lit("")), F.col(quoted(role_col))
+    known = rows.where(role.isin(*ROLES)).select(F.col(quoted(conv_col)).alias("conv"), F.col(quoted(order_col)).cast("long").alias("ord"), text.alias("text"), role.alias("role"))
     flat = np.zeros(STATES * (STATES + 1 + SYMBOLS))
     for r in known.select("text", "role").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
         flat[r["at"]] = r["n"]
     move, show = flat[: STATES * (STATES + 1)].reshape(STATES + 1, STATES), flat[STATES * (STATES + 1) :].reshape(STATES, SYMBOLS)
-    turns = known.select("conv", "ord", "role", (F.instr("text", "\n") > 0).alias("long"))
-    before = turns.select(F.col("conv"), (F.col("ord") + 1).alias("ord"), F.col("role").alias("of"), F.col("long").alias("of_long"))
-    for r in turns.join(before, ["conv", "ord"], "left").groupBy("of", "of_long", "role").count().collect():
-        state = START if r["of"] is None else ROLES.index(r["of"]) * 2 + bool(r["of_long"])
-        move[state, ROLES.index(r["role"]) * 2] += r["count"]
-    return Model(move[START], move[:START], show)
+    last = F.when(F.col("text").rlike(r"\n\s*\z"), GAP).when(F.instr("text", "\n") > 0, LATER).otherwise(FIRST)
+    turns = known.select("conv", "ord", "role", last.alias("last"))
+    one = turns.groupBy("conv", "ord").agg(F.min(F.struct("role", "last")).alias("b"))  # repeats of a turn count once as the one before
+    before = one.select("conv", (F.col("ord") + 1).alias("ord"), F.col("b.role").alias("of"), F.col("b.last").alias("of_last"))
+    for r in turns.join(before, ["conv", "ord"], "left").groupBy("of", "of_last", "role").count().collect():
+        state = START if r["of"] is None else ROLES.index(r["of"]) * 3 + r["of_last"]
+        move[state, ROLES.index(r["role"]) * 3] += r["count"]
+    return Model(move, show)
 
 
 def stretches(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows with node (their stretch, numbered in order), open (whether the conversation may go on)."""
+    """Rows with node (their stretch, numbered in order), open (whether the conversation may go on
+    before or after it), states and last (of rows in closed stretches), m (of a stretch's first row)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    kinds = {"conv": pa.string(), "ord": pa.list_(pa.int64()), "text": pa.string(), "node": pa.int64(), "open": pa.bool_(), "states": pa.list_(pa.int32()), "m": pa.list_(pa.float64()), "place": pa.int32(), "last": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, names = TaskContext.get().partitionId() << 32, ["conv", "ord", "text", "role", "node", "open", "states", "m", "place"]
+        number = TaskContext.get().partitionId() << 32
 
         def every() -> Iterator[tuple]:
             for b in batches:
@@ -177,23 +201,25 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
         for held, is_open in parts():
             number += 1
             seen = [symbols(r[2]) for r in held]
-            ends = np.cumsum([len(x) for x in seen])[:-1]
             flat = np.concatenate(seen)
-            states = [None] * len(held) if is_open else [x.tolist() for x in np.split(sent.value.path(flat), ends)]
+            states = [None] * len(held) if is_open else in_rows(sent.value.path(flat), seen)
             m = sent.value.matrix(flat).ravel().tolist() if is_open else None
-            out += [(*r, number, is_open, s, m if i == 0 else None, i) for i, (r, s) in enumerate(zip(held, states))]
+            out += [(*r, number, is_open, s, m if i == 0 else None, i, i + 1 == len(held)) for i, (r, s) in enumerate(zip(held, states))]
             if len(out) >= 2000:
-                yield table_of(out, names)
+                yield table_of(out, kinds)
                 out = []
         if out:
-            yield table_of(out, names)
+            yield table_of(out, kinds)
+
+    return stored(rows.mapInArrow(run, "conv string, ord array<long>, text string, node long, open boolean, states array<int>, m array<double>, place int, last boolean"), "chat-stretches")
+
 
-    return stored(rows.mapInArrow(run, "conv long, ord long, text string, role string, node long, open boolean, states array<int>, m array<double>, place int"), "chat-stretches")
+def in_rows(states: np.ndarray, rows: list[np.ndarray]) -> list[list[int]]:
+    return [x.tolist() for x in np.split(states, np.cumsum([len(x) for x in rows])[:-1])]
 
 
-def table_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
 
 def as_matrix(m) -> np.ndarray:
@@ -206,7 +232,7 @@ def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         up = []
         for c in batch["conv"]:
-            if size >= BLOCK or not (c == conv or (pd.isna(c) and pd.isna(conv))):
+            if size >= BLOCK or c != conv:
                 number, size, conv = number + 1, 0, c
             size += 1
             up.append(number)
@@ -239,21 +265,15 @@ def settled(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["node", "before", "end"])
 
 
-#: Open stretches that one task may settle; more are settled level by level.
-AT_ONCE = 20_000
-
-
 def boundaries(nodes: DataFrame) -> DataFrame:
     """(node, before, end): the best states before and at the end of each stretch.
 
     nodes: conv, node, m. Upwards, runs of at most BLOCK nodes of a conversation become one, until
     none has two; downwards, Viterbi over a run's matrices gives its nodes' ends. No task holds more
-    than BLOCK matrices of a run, or AT_ONCE matrices in all where that is every open stretch.
+    than BLOCK matrices of a run.
     """
-    if nodes.count() <= AT_ONCE:
-        return stored(nodes.repartition(1).mapInPandas(settled_at_once, "node long, before int, end int"), "chat-ends")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    levels, kind = [], "conv long, node long, m array<double>"
+    levels, kind = [], "conv string, node long, m array<double>"
     while True:
         ordered = nodes.repartitionByRange(parts, "conv", "node").sortWithinPartitions("conv", "node")
         levels.append(stored(ordered.mapInPandas(runs, f"{kind}, up long"), "chat-level"))
@@ -268,83 +288,98 @@ def boundaries(nodes: DataFrame) -> DataFrame:
     return found
 
 
-def settled_at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """settled() for every conversation of a table that is small enough."""
-    every = pd.concat([pd.DataFrame({"conv": [], "node": [], "m": []}), *batches])
-    for _, part in every.groupby("conv", dropna=False):
-        yield settled(part.astype({"node": "int64"}).assign(before=START, end=np.nan))
-
-
-def render(text: str, states: list[int]) -> tuple[list[str], str]:
-    """Roles of the turns in a text and their canonical form; a text may begin within a turn."""
-    roles, out = [], []
+def render(text: str, states: list[int], begins: bool, ends: bool) -> str:
+    """What a row's lines become; the rows of a conversation, one after the other, are its canonical form."""
+    out = []
     for line, s in zip(text.split("\n"), states):
-        if s % 2 == 0:
-            if roles:
-                out.append("<|im_end|>")
-            roles.append(ROLES[s // 2])
-            out.append(f"<|im_start|>{roles[-1]}")
+        if s % 3 == FIRST:
+            out += [] if begins else ["<|im_end|>"]
+            out.append(f"<|im_start|>{ROLES[s // 3]}")
             line = marker(line)[1]
-            if not line:
-                continue
-        out.append(line)
-    return roles, "\n".join([*out, "<|im_end|>"]) + "\n"
-
-
-def formatted(rows: DataFrame, model: Model, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """One row per input row: conv, ord, text, role (as given), states (of its lines), turn_roles and
-    rendered (the row's turns in canonical form).
-
-    Rows of a conversation are in the order of order_col, then of a hash of the text; null ids and
-    orders come first, and all rows without an id are one conversation. A text may hold any number
-    of lines and of turns. Null texts are one empty line. Other columns are not read.
+            if line:
+                out.append(line)
+        elif s % 3 == LATER:
+            out.append(line)
+        begins = False
+    return "".join(f"{x}\n" for x in [*out, *(["<|im_end|>"] if ends else [])])
+
+
+def formatted(rows: DataFrame, model: Model, conv_col: str = "conv_id", order_cols: tuple[str, ...] = ("turn",), text_col: str = "text") -> DataFrame:
+    """One row per input row: <conv_col>, ord (array of the order columns), text, states (of its lines),
+    rendered: joined in order, a conversation's rows are its turns in canonical form.
+
+    Rows of a conversation are in the order of order_cols, then of a hash of the text; null ids and
+    orders come first, and all rows without an id are one conversation. Ids of any type that casts
+    to text and back. A row may hold any number of lines and of turns; turns may go on over rows.
+    Null texts are one empty line; repeated rows are lines like any other. An empty table gives an
+    empty result. Other columns are not read.
     """
     shared_dir(rows.sparkSession)
-    found = stretches(in_order(rows, conv_col, order_col, text_col), model)
-    ends = boundaries(found.where("open and m is not null").select("conv", "node", "m"))
+    found = stretches(in_order(rows, conv_col, order_cols, text_col), model)
+    nodes = found.where("open and m is not null").select("conv", "node", "m")
+    last = nodes.groupBy("conv").agg(F.max("node").alias("node")).select("node", F.lit(True).alias("closes"))
+    ends = boundaries(nodes).join(last, "node", "left")
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    schema = "conv long, ord long, text string, role string, states array<int>, turn_roles array<string>, rendered string"
+    schema = "conv string, ord array<long>, text string, states array<int>, rendered string"
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [render(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in made], pa.list_(pa.string())), pa.array([x[1] for x in made], pa.string())], [*batch.schema.names, "turn_roles", "rendered"])
+            conv, order, text, states, place, last = batch.columns
+            made = [render(*x) for x in zip(text.to_pylist(), states.to_pylist(), (p == 0 for p in place.to_pylist()), last.to_pylist())]
+            yield pa.RecordBatch.from_arrays([conv, order, text, states, pa.array(made, pa.string())], ["conv", "ord", "text", "states", "rendered"])
 
     def decode(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")
         seen = [symbols(t) for t in part["text"]]
-        states = sent.value.path(np.concatenate(seen), int(part["before"].iloc[0]), int(part["end"].iloc[0]))
-        states = [x.tolist() for x in np.split(states, np.cumsum([len(x) for x in seen])[:-1])]
-        made = [render(t, s) for t, s in zip(part["text"], states)]
-        return part[["conv", "ord", "text", "role"]].assign(states=states, turn_roles=[x[0] for x in made], rendered=[x[1] for x in made])
+        before = int(part["before"].iloc[0])
+        states = in_rows(sent.value.path(np.concatenate(seen), before, int(part["end"].iloc[0])), seen)
+        closes = part["closes"].iloc[0] is True or part["closes"].iloc[0] == True  # noqa: E712
+        n = len(part)
+        made = [render(t, s, before == START and i == 0, closes and i + 1 == n) for i, (t, s) in enumerate(zip(part["text"], states))]
+        return part[["conv", "ord", "text"]].assign(states=states, rendered=made)
 
-    done = found.where("not open").select("conv", "ord", "text", "role", "states").mapInArrow(shown, schema)
-    late = found.where("open").select("conv", "ord", "text", "role", "node", "place").join(ends, "node").groupBy("node").applyInPandas(decode, schema)
-    return done.unionByName(late)
+    done = found.where("not open").select("conv", "ord", "text", "states", "place", "last").mapInArrow(shown, schema)
+    late = found.where("open").select("conv", "ord", "text", "node", "place").join(ends, "node").groupBy("node").applyInPandas(decode, schema)
+    return done.unionByName(late).withColumn("conv", F.col("conv").cast(rows.schema[conv_col].dataType)).withColumnRenamed("conv", conv_col)
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:
-    """conversations as raw transcripts: marker styles differ by conversation, and every fifth turn
-    (by a hash) has lost its marker. role stays, to compare with."""
-    kind = F.pmod(F.xxhash64("conv_id"), F.lit(4))
-    name = F.when(kind == 0, F.initcap("role")).when(kind == 1, F.when(F.col("role") == "user", "Human").when(F.col("role") == "assistant", "AI").otherwise("System"))
-    name = name.when(kind == 2, F.upper("role")).otherwise(F.col("role"))
-    mark = F.when(kind == 0, F.concat(name, F.lit(": "))).when(kind == 1, F.concat(F.lit("### "), name, F.lit(":\n"))).when(kind == 2, F.concat(F.lit("["), name, F.lit("]: "))).otherwise(F.concat(F.lit("**"), name, F.lit("**: ")))
-    lost = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(5)) == 0
+    """conversations (conv_id, turn, role, text) as their transcripts would have them.
+
+    Marker styles differ by conversation, every second one has an empty line after each turn; by a
+    hash, every eighth turn has lost its marker and every fortieth has another role's. role stays, to
+    learn from and to compare with.
+    """
+    kind, odd = F.pmod(F.xxhash64("conv_id"), F.lit(8)), F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(40))
+    role = F.when(odd == 1, F.when(F.col("role") == "user", "assistant").otherwise("user")).otherwise(F.col("role"))
+    name = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise("System")
+    style = F.floor(kind / 2)
+    mark = F.when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), name, F.lit(":\n")))
+    mark = mark.when(style == 2, F.concat(F.lit("["), F.upper(role), F.lit("]: "))).otherwise(F.concat(F.lit("**"), role, F.lit("**: ")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return conversations.select("conv_id", "turn", "role", F.when(lost, text).otherwise(F.concat(F.coalesce(mark, F.lit("")), text)).alias("text"))
+    text = F.when(odd % 8 == 0, text).otherwise(F.concat(F.coalesce(mark, F.lit("")), text))
+    return conversations.select("conv_id", "turn", "role", F.concat(text, F.when(kind % 2 == 0, "\n").otherwise("")).alias("text"))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, line, text: a row for each line of a transcript, and no word of roles or turns in it."""
+    return rows.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of conversations, its role recovered from raw transcripts; learned from conversations
-    whose crc32(conv_id) mod 5 is not 0."""
+    """Every line of the conversations' transcripts with its role, whether it begins a turn, and what it
+    is rendered as; learned from conversations whose crc32(conv_id) mod 5 is not 0. The parser sees
+    lines in their order only; turn and line are those of the input, to compare with."""
     rows = as_transcripts(table(spark, sf_dir, "conversations"))
-    found = formatted(rows, learn(rows.where(~held_out_of("conv_id"))))
-    return found.select(F.col("conv").alias("conv_id"), F.col("ord").alias("turn"), role_of(F.col("states")[0]).alias("role_pred"), F.size("turn_roles").alias("n_turns"), "rendered", held_out_of("conv").alias("held_out"))
+    found = formatted(lines_of(rows), learn(rows.where(~held_out_of("conv_id"))), order_cols=("turn", "line"))
+    state = F.col("states")[0]
+    return found.select(
+        "conv_id", F.col("ord")[0].alias("turn"), F.col("ord")[1].alias("line"), role_of(state).alias("role_pred"), (state % 3 == FIRST).alias("begins_turn"), "rendered", held_out_of("conv_id").alias("held_out")
+    )
 
 
 def role_of(state: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(state / 2) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(state / 3) + 1).cast("int"))
 
 
 def held_out_of(name: str) -> Column:

@@ -1,3 +1,4 @@
+import itertools
 import math
 from collections import Counter
 
@@ -140,27 +141,73 @@ def test_base_scores_and_counts(spark):
     assert subword_lm.score(docs.limit(0), F.lit(True)).count() == 0
 
 
-def test_roles_come_back(spark):
-    found = chat.op3_chat(spark, SF).join(table(spark, SF, "conversations").selectExpr("conv_id", "turn", "role"), ["conv_id", "turn"])
-    held = found.where("held_out")
-    assert held.where("role = role_pred").count() >= 0.97 * held.count()
-
-
-def test_one_long_conversation_by_levels(spark, monkeypatch):
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"line {i}\nmore") for i in range(1500)] + [(2, 0, "user", "hi"), (None, None, None, None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    df = chat.as_transcripts(df.where("conv_id is not null")).unionByName(df.where("conv_id is null"))
-    model = chat.learn(df)
+def test_roles_and_turns_come_back(spark):
+    """By line and by turn, on conversations that were not learned from."""
+    found = chat.op3_chat(spark, SF).where("held_out").join(table(spark, SF, "conversations").selectExpr("conv_id", "turn", "role"), ["conv_id", "turn"]).toPandas()
+    truth = found.line == 0
+    marked = found.rendered.notna()
+    assert len(found) > 200 and marked.all()
+    assert (found.role_pred == found.role).mean() > 0.8
+    assert (found.begins_turn == truth).mean() > 0.85
+    turns = found[truth]
+    assert ((turns.role_pred == turns.role) & turns.begins_turn).mean() > 0.75
+    assert 0.8 * truth.sum() < found.begins_turn.sum() < 1.2 * truth.sum()
+
+
+def every_path(model, seen):
+    """The best score over all sequences of states, one by one."""
+    best = (-math.inf, None)
+    for path in itertools.product(range(chat.STATES), repeat=len(seen)):
+        score, before = 0.0, chat.START
+        for s, x in zip(path, seen):
+            score += model.move[before, s] + model.show[s, x]
+            before = s
+        best = max(best, (score, path))
+    return best
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(3)
+    model = chat.Model(rng.integers(0, 9, (chat.STATES + 1, chat.STATES)).astype(float), rng.integers(0, 9, (chat.STATES, chat.SYMBOLS)).astype(float))
+    for n in (1, 2, 3, 4, 5):
+        seen = rng.integers(0, chat.SYMBOLS, n)
+        score, path = every_path(model, seen)
+        assert model.path(seen).tolist() == list(path)
+        assert abs(model.matrix(seen)[chat.START].max() - score) < 1e-9
+
+
+def test_transcripts_cut_anywhere_and_over_many_stretches(spark, monkeypatch):
+    """Line by line, by turns or as one row: the same states and the same canonical form; and as one Viterbi path over all."""
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"line {i}\nmore\n\nand more" if i % 3 else f"what is {i}?") for i in range(700)]
+    turns += [(2, 0, "user", "hi"), (3, 0, "system", "be kind"), (3, 1, "user", "User: ok"), (3, 1, "user", "User: ok"), (None, None, None, None)]
+    frame = chat.as_transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    model = chat.learn(frame)
+    whole = frame.where("conv_id = 1").orderBy("turn").toPandas()["text"].str.cat(sep="\n")
+    path = model.path(chat.symbols(whole)).tolist()
     monkeypatch.setattr(chat, "BLOCK", 16)
-    once = sorted(map(str, chat.formatted(df, model).collect()))
-    whole = np.concatenate([chat.symbols(r["text"]) for r in df.where("conv_id = 1").orderBy("turn").collect()])
-    path = model.path(whole).tolist()
-    monkeypatch.setattr(chat, "AT_ONCE", 0)
-    found = chat.formatted(df, model)
-    assert sorted(map(str, found.collect())) == once
-    assert [s for r in found.where("conv = 1").orderBy("ord").collect() for s in r["states"]] == path
+    as_one = spark.createDataFrame([(1, 0, whole)], "conv_id long, turn long, text string")
+    forms = []
+    for rows, order in ((chat.lines_of(frame), ("turn", "line")), (frame, ("turn",)), (as_one, ("turn",))):
+        found = sorted((r for r in chat.formatted(rows, model, order_cols=order).collect() if r["conv_id"] == 1), key=lambda r: r["ord"])
+        assert [s for r in found for s in r["states"]] == path
+        forms.append("".join(r["rendered"] for r in found))
+    assert forms[0] == forms[1] == forms[2] and forms[0].count("<|im_start|>") == forms[0].count("<|im_end|>") == sum(s % 3 == chat.FIRST for s in path)
+    short = [r for r in chat.formatted(frame, model).collect() if r["conv_id"] != 1]
+    assert len(short) == 5 and all(r["rendered"].endswith("<|im_end|>\n") for r in short if r["conv_id"] != 3)
+
+
+def test_chat_of_odd_rows(spark):
+    rows = [("b", 1, "User: " + "long " * 100_000), ("b", 2, None), (None, None, "[AI]: x"), ("", 1, "user: y"), ("", 1, "user: y")]
+    frame = spark.createDataFrame(rows, "`c``id` string, turn int, text string")
+    found = chat.formatted(frame, chat.Model(np.zeros((chat.STATES + 1, chat.STATES)), np.zeros((chat.STATES, chat.SYMBOLS))), "c`id")
+    assert found.columns == ["c`id", "ord", "text", "states", "rendered"] and found.count() == 5
+    assert sorted(r["rendered"] for r in found.collect() if r["c`id"] is None) == ["<|im_start|>assistant\nx\n<|im_end|>\n"]
+    empty = frame.limit(0).withColumn("role", F.lit("user"))
+    assert chat.formatted(empty, chat.learn(empty, "c`id"), "c`id").count() == 0
 
 
 def test_rendering():
-    roles, text = chat.render("### Human:\nhello\nthere\nAI: yes", [2, 3, 3, 4])
-    assert roles == ["user", "assistant"] and text == "<|im_start|>user\nhello\nthere\n<|im_end|>\n<|im_start|>assistant\nyes\n<|im_end|>\n"
+    u, a = chat.ROLES.index("user") * 3, chat.ROLES.index("assistant") * 3
+    text = "### Human:\nhello\nthere\n\nAI: yes"
+    assert chat.render(text, [u, u + 1, u + 1, u + 2, a], True, True) == "<|im_start|>user\nhello\nthere\n<|im_end|>\n<|im_start|>assistant\nyes\n<|im_end|>\n"
+    assert chat.render("AI: yes", [a], False, False) == "<|im_end|>\n<|im_start|>assistant\nyes\n"
