@@ -43,7 +43,7 @@ def brute_score(net, raw):
     return 1 / (1 + math.exp(-(f @ net.out.astype(float) + net.base[0])))
 
 
-def test_scores_against_brute_force():
+def test_quality_against_brute_force():
     net = quality.Network.fresh()
     rows = [b"", b"a", b"some words " * 30, bytes(range(256)) * 9, b"x" * 513]
     assert np.allclose(net.score(rows), [brute_score(net, r) for r in rows], atol=1e-5)
@@ -120,6 +120,62 @@ def test_lattice_sums_all_segmentations():
     assert abs(counts[t.first].sum() - len(words)) < 1e-6 and abs(counts[-1] - len(words)) < 1e-9
 
 
+def test_scores_against_brute_force(spark):
+    """Every kind, every word, every segmentation, in plain Python; counts of kinds from the texts themselves."""
+    texts = ["the cat sat on the mat", "a cat and the dog", "der hund und die katze", "die katze der hund das haus", "", None, "zzyzx the", "The THE\tthe", "the cat sat on the mat"] * 2
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, c0 string")
+    learn = F.col("doc_id") % 5 != 1
+    m = subword_lm.fit(docs, learn, "doc_id", "text")
+    centre = subword_lm.kinds(docs.select(F.coalesce("text", F.lit("")).alias("text"), learn.alias("learn")))
+    counts, ends = [Counter() for _ in range(subword_lm.KINDS)], [0] * subword_lm.KINDS
+    for i, x in enumerate(texts):
+        if i % 5 != 1:
+            raw = (x or "").lower().encode()
+            k = int((centre @ subword_lm.histogram(raw)).argmax())
+            counts[k].update(raw.split())
+            ends[k] += 1
+    assert m.totals.ends.tolist() == ends and m.totals.words.tolist() == [sum(c.values()) for c in counts]
+    t, tokens = subword_lm.load(), sum(ends) + sum(sum(c.values()) for c in counts)
+    stop = sum(ends) / tokens
+
+    def brute(x):
+        out = 0.0
+        for k, c in enumerate(counts):
+            n, one, two = sum(c.values()), sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            d = one / (one + 2 * two) if one and two else 0.75
+            p = (ends[k] + 1) / (sum(ends) + len(ends)) * stop
+            for w in (x or "").lower().encode().split():
+                own = max(c[w] - d, 0) / max(1, n)
+                p *= (1 - stop) * (own + (d * len(c) / n if n else 1) * math.exp(brute_lattice(t, m.weights[k], w)))
+            out += p
+        return math.log10(out)
+
+    for r in subword_lm.score(docs, learn).collect():
+        assert abs(r["score"] - brute(texts[r["doc_id"]])) < 1e-4
+    assert abs(sum(10 ** brute(x) for x in ("the", "cat"))) < 1
+
+
+def test_re_estimation_never_lowers_the_likelihood(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    m = subword_lm.fit(docs, F.lit(True), "doc_id", "text")
+    rows = m.counts.where("c > 0").select("w", *subword_lm.COUNTS).toPandas()
+    words, got = [bytes(w) for w in rows["w"]], []
+    for rounds in (0, 1, 3):
+        weights = subword_lm.estimate(m.counts, subword_lm.VOCABULARY, rounds)
+        got.append(sum((subword_lm.log_probabilities(subword_lm.Lattice(subword_lm.load(), w), words) * rows[c]).sum() for w, c in zip(weights, subword_lm.COUNTS)))
+    assert got[0] < got[1] < got[2]
+
+
+def test_kinds_are_told_apart():
+    rng = np.random.default_rng(0)
+    groups = [[b"abc abd aba ", b"bca "], [b"xyz xyy ", b"zzx "], [b"123 456 ", b"789 "], [b"mno nop ", b"opm "]]
+    rows = [b"".join(rng.choice(g, 40)) for g in groups for _ in range(15)]
+    centre = subword_lm.kinds_of(np.array([subword_lm.histogram(r) for r in rows]))
+    found = [int((centre @ subword_lm.histogram(r)).argmax()) for r in rows]
+    assert [len(set(found[i : i + 15])) for i in range(0, 60, 15)] == [1, 1, 1, 1] and len(set(found)) == 4
+    assert (subword_lm.histogram(b"") == 0).all() and subword_lm.histogram(b"abcd").sum() == 2
+
+
 def test_base_scores_and_counts(spark):
     rows = [(1, "The the cat"), (2, None), (3, ""), (4, "a\x1cb \x85 cat"), (5, "dog " * 2000), (5, "dog " * 2000), (6, "unseen words")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, w int")
