@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from rasterlane.functions.sampling import Draws, num
 
 OPERATORS: dict[str, type[Operator]] = {}
+#: Whether a row's sample is to change, while an operator that looks after closed gates itself is at work.
+GATE = "__gate"
 
 
 @dataclass(frozen=True)
@@ -82,41 +84,84 @@ class Operator:
     def out_top(self, top: float) -> float:
         return top
 
-    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, params: DataFrame | None = None) -> Frame:
+    #: Relations for which the operator itself leaves rows alone where the column GATE is false (what
+    #: drops, adds or gathers rows has to); for others old values are put back in the same projection.
+    own: tuple = ()
+
+    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, params: DataFrame | None = None, when: str | None = None) -> Frame:
         """The frame with this operator applied where its gate opens (everywhere if forced).
 
-        params: recorded draws (sample_id, applied and a column for each draw) to use instead.
+        A closed gate is a condition in the row, never a branch of the plan: each relation is read
+        once however many operators a plan has. when: a condition that has to hold too. params:
+        recorded draws (sample_id, applied and a column for each draw) to use instead. Samples
+        without an id, and samples that params does not have, stay as they are.
         """
         d = Draws(seed, f"{path}.{self.name}")
-        always = forced or self.p >= 1
-        gate = "true" if always else f"{d.unit('gate')} < {num(self.p)}"
+        gate = self.gate(d, forced, when) if params is None else f"{GATE}_recorded"
         named = {f"p_{k}": v for k, v in self.draws(d).items()}
 
         def apply(df: DataFrame, kind: str) -> DataFrame:
             on = getattr(self, f"on_{kind}")
             act = (lambda x: on(x, frame.channels if kind == "pixels" else 1, frame.top)) if kind in ("pixels", "masks") else on
             if params is not None:
-                rest = df.join(params.where("not applied").select("sample_id"), "sample_id", "left_semi")
-                done = df.join(params.where("applied").drop("applied"), "sample_id")
-                return act(done).drop(*named).unionByName(rest.select(*[c for c in rest.columns]), allowMissingColumns=True)
-            if not always and self.p <= 0:
+                drawn = params.withColumnRenamed("applied", gate)
+                df = df.join(drawn, "sample_id", "left").withColumn(gate, F.coalesce(gate, F.lit(False)))
+                return gated(df, kind, frame, lambda x, g: x, self, act, gate).drop(*named, gate)
+            if gate is None:
+                return act(df.withColumns({k: F.expr(v) for k, v in named.items()})).drop(*named)
+            if gate == "false":
                 return df
-            done = act(df.where(gate).withColumns({k: F.expr(v) for k, v in named.items()})).drop(*named)
-            return done if always else done.unionByName(df.where(f"not ({gate})"), allowMissingColumns=True)
+            draw = lambda x, g: x.withColumns({k: F.expr(f"case when {g} then {v} end") for k, v in named.items()})
+            return gated(df, kind, frame, draw, self, act, gate).drop(*named)
 
         out = frame.each(apply)
         return replace(out, channels=self.out_channels(frame.channels), top=self.out_top(frame.top))
 
-    def recorded(self, samples: DataFrame, seed: int = 0, path: str = "0", forced: bool = False) -> DataFrame:
+    def gate(self, d: Draws, forced: bool, when: str | None = None) -> str | None:
+        """The condition under which a sample changes; None where all do."""
+        mine = [] if forced or self.p >= 1 else ["false"] if self.p <= 0 else [f"{d.unit('gate')} < {num(self.p)}"]
+        if "false" in mine:
+            return "false"
+        both = [*([f"({when})"] if when else []), *mine]
+        return f"coalesce({' and '.join(both)}, false)" if both else None
+
+    def recorded(self, samples: DataFrame, seed: int = 0, path: str = "0", forced: bool = False, when: str | None = None) -> DataFrame:
         """(sample_id, applied, p_<name> ...): this operator's draws for samples (sample_id, h, w)."""
         d = Draws(seed, f"{path}.{self.name}")
-        gate = "true" if forced or self.p >= 1 else f"{d.unit('gate')} < {num(self.p)}"
+        gate = self.gate(d, forced, when) or "true"
         return samples.select("sample_id", F.expr(gate).alias("applied"), *[F.expr(v).alias(f"p_{k}") for k, v in self.draws(d).items()])
 
     def spec(self) -> dict:
         return {"operator": self.name, **{f.name: getattr(self, f.name) for f in fields(self)}}
 
 
+def gated(df: DataFrame, kind: str, frame: Frame, draw, op: Operator, act, gate: str) -> DataFrame:
+    """act on the rows of df where gate holds, in one pass: draw adds the draws given a gate column."""
+    columns = df.columns
+    if kind in op.own:
+        return act(draw(df.withColumn(GATE, F.expr(gate)), GATE)).drop(GATE)
+    moves = ("d", "h", "w", "z", "y", "x") if kind in ("pixels", "masks") else ("d", "h", "w", "z", "y", "x", "x_min", "y_min", "x_max", "y_max", "angle", "scale")
+    kept = [c for c in columns if c in moves and op.spatial] + [c for c in columns if kind in ("pixels", "masks") and not op.spatial and c in values(frame.channels if kind == "pixels" else 1)]
+    # an operator inside another's gate (SelectiveChannelTransform) has its own names
+    at = next(n for n in range(1000) if f"__was{n}" not in columns)
+    was = {f"__was{n}": c for n, c in enumerate(kept, at)}
+    shut = f"__shut{at}"
+    out = act(draw(df.withColumns({shut: F.expr(f"not ({gate})"), **{o: F.col(c) for o, c in was.items()}}), f"not {shut}"))
+    back = {c: F.expr(f"case when {shut} then {o} else {c if c in out.columns else 'null'} end") for o, c in was.items()}
+    new = {c: F.expr(f"case when not {shut} then {c} end") for c in out.columns if c not in columns and c.startswith("v") and c[1:].isdigit()}
+    return out.withColumns(back | new).drop(shut, *was)
+
+
+def or_old(df: DataFrame, new: str, old: str) -> str:
+    """new, or old where df has a gate that is closed."""
+    return f"(case when {GATE} then {new} else {old} end)" if GATE in df.columns else new
+
+
+def or_stays(df: DataFrame, condition: str) -> str:
+    """condition, or true where df has a gate that is closed."""
+    return f"(not {GATE} or ({condition}))" if GATE in df.columns else condition
+
+
 def from_spec(spec: dict) -> Operator:
     cls = OPERATORS.get(spec["operator"])
     if cls is None:
@@ -134,7 +179,7 @@ def values(channels: int) -> list[str]:
 
 def pointwise(df: DataFrame, channels: int, expression) -> DataFrame:
     """expression(v, channel): the new value as SQL."""
-    return df.withColumns({v: F.expr(f"cast({expression(v, i)} as double)") for i, v in enumerate(values(channels))})
+    return df.withColumns({v: F.expr(or_old(df, f"cast({expression(v, i)} as double)", v)) for i, v in enumerate(values(channels))})
 
 
 def clipped(expression: str, top: float) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions.sampling import Draws, num
 
-from .base import Operator, operator, values
+from .base import Operator, operator, or_old, or_stays, values
 from .geometry import moved
 
 
@@ -20,6 +20,7 @@ class Holes(Operator):
     fill = 0.0
     fill_mask = None
     min_visibility = 0.0
+    own = ("boxes", "keypoints")
 
     def holes(self) -> list[tuple[str, str, str, str, str]]:
         raise NotImplementedError
@@ -40,7 +41,7 @@ class Holes(Operator):
         return df if self.fill_mask is None else df.withColumn("v0", F.expr(f"case when {self.inside()} then {num(self.fill_mask)} else v0 end"))
 
     def on_keypoints(self, df):
-        return df.where(f"not {self.inside()}")
+        return df.where(or_stays(df, f"not {self.inside()}"))
 
     def cuts(self) -> tuple[list[str], list[str]] | None:
         """Coordinates where holes begin and end, across and down; None: any pixel may differ."""
@@ -54,18 +55,18 @@ class Holes(Operator):
         costs as many cells as holes, not pixels.
         """
         size = {"__x0": "cast(floor(x_min * w) as int)", "__y0": "cast(floor(y_min * h) as int)", "__x1": "cast(ceil(x_max * w) as int)", "__y1": "cast(ceil(y_max * h) as int)"}
-        df = df.withColumns({k: F.expr(v) for k, v in size.items()}).where("__x1 > __x0 and __y1 > __y0")
+        df = df.withColumns({k: F.expr(v) for k, v in size.items()}).where(or_stays(df, "__x1 > __x0 and __y1 > __y0"))
         cuts = self.cuts()
         for a, at in zip("xy", cuts or (None, None)):
-            inner = f"sequence(__{a}0, __{a}1)" if at is None else f"array(__{a}0, __{a}1, {', '.join(f'cast(least(__{a}1, greatest(__{a}0, coalesce({e}, __{a}0))) as int)' for e in at)})"
+            inner = or_old(df, f"sequence(__{a}0, __{a}1)", f"array(__{a}0, __{a}1)") if at is None else f"array(__{a}0, __{a}1, {', '.join(f'cast(least(__{a}1, greatest(__{a}0, coalesce({e}, __{a}0))) as int)' for e in at)})"
             df = df.withColumn(f"__c{a}", F.array_sort(F.array_distinct(F.expr(inner))))
         cells = "flatten(transform(slice(sequence(0, size(__cy)), 1, size(__cy) - 1), i -> transform(slice(sequence(0, size(__cx)), 1, size(__cx) - 1), j -> named_struct('y', __cy[i], 'yy', __cy[i + 1], 'x', __cx[j], 'xx', __cx[j + 1]))))"
         df = df.withColumn("__seen", F.expr(f"filter({cells}, c -> not {self.inside('c.y', 'c.x')})"))
         df = df.withColumn("__left", F.expr("aggregate(__seen, 0, (s, c) -> s + (c.yy - c.y) * (c.xx - c.x))"))
         area = "(__x1 - __x0) * (__y1 - __y0)"
-        df = df.where(f"__left > 0 and __left >= {num(self.min_visibility)} * {area}")
+        df = df.where(or_stays(df, f"__left > 0 and __left >= {num(self.min_visibility)} * {area}"))
         new = {"x_min": "array_min(transform(__seen, c -> c.x)) / (1e0 * w)", "x_max": "array_max(transform(__seen, c -> c.xx)) / (1e0 * w)", "y_min": "array_min(transform(__seen, c -> c.y)) / (1e0 * h)", "y_max": "array_max(transform(__seen, c -> c.yy)) / (1e0 * h)"}
-        return moved(df, **{k: f"case when __left < {area} then {v} else {k} end" for k, v in new.items()}).drop("__x0", "__y0", "__x1", "__y1", "__cx", "__cy", "__seen", "__left")
+        return moved(df, **{k: or_old(df, f"case when __left < {area} then {v} else {k} end", k) for k, v in new.items()}).drop("__x0", "__y0", "__x1", "__y1", "__cx", "__cy", "__seen", "__left")
 
 
 def extent(d: Draws, name: str, limits: tuple, side: str) -> str:
@@ -196,6 +197,7 @@ class PixelDropout(Operator):
     drop_value: float | None = 0.0
     mask_drop_value: float | None = None
     p: float = 0.5
+    own = ("keypoints",)
 
     def draws(self, d: Draws):
         out = {f"u{i}": d.unit(f"u{i}" if self.per_channel else "u", "cast(floor(y) as int) * 65537 + cast(floor(x) as int)") for i in range(4)}
@@ -216,7 +218,7 @@ class PixelDropout(Operator):
         return replace(out, boxes=boxes)
 
     def on_keypoints(self, df):
-        return df.where(f"p_u0 >= {num(self.dropout_prob)}")
+        return df.where(or_stays(df, f"p_u0 >= {num(self.dropout_prob)}"))
 
 
 @operator
@@ -241,8 +243,8 @@ class SaltAndPepper(Operator):
 def objects(masks: DataFrame) -> DataFrame:
     """mask pixels with object: 8-connected regions of equal value, named by their smallest pixel.
 
-    Rounds of the smallest name among neighbours, and of the name's own name; each round is an
-    aggregation of at most nine rows a pixel, until nothing changes.
+    A sample's mask is gathered into one row, and a batch of masks is labelled in a task by rounds of
+    the smallest name among neighbours.
     """
     # a sample is one row: the rounds run over its arrays, batch by batch
     from .gather import grouped
@@ -291,13 +293,15 @@ class MaskDropout(Operator):
         ranked = kinds.withColumn("n", F.row_number().over(Window.partitionBy("sample_id").orderBy(order, "object")))
         return self.objects.join(ranked.where(F.expr(f"n <= {d.integer('n', *self.max_objects)}")).select("sample_id", "object"), ["sample_id", "object"], "left_semi").select("sample_id", "y", "x")
 
-    def run(self, frame, seed=0, path="0", forced=False, params=None):
+    def run(self, frame, seed=0, path="0", forced=False, params=None, when=None):
         from dataclasses import replace
 
         d = Draws(seed, f"{path}.{self.name}")
         gone = self.chosen(d).withColumn("__gone", F.lit(True))
-        if not (forced or self.p >= 1):
-            gone = gone.where(F.expr(f"{d.unit('gate')} < {num(self.p)}"))
+        if params is not None:
+            gone = gone.join(params.where("applied").select("sample_id"), "sample_id", "left_semi")
+        elif (gate := self.gate(d, forced, when)) is not None:
+            gone = gone.where(F.expr(gate))
 
         def hide(df: DataFrame, names: list[str], fill: float) -> DataFrame:
             out = df.join(gone, ["sample_id", "y", "x"], "left").withColumns({v: F.when(F.col("__gone"), F.lit(float(fill))).otherwise(F.col(v)) for v in names})

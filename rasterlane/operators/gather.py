@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions.sampling import Draws, num
 
-from .base import Operator, clipped, operator, pair, values
+from .base import Operator, clipped, operator, or_old, pair, values
 from .geometry import angle, moved, reflected
 
 
+class Gathered(Operator):
+    """What works on samples as rows; spread() leaves samples alone whose gate is closed."""
+
+    own = ("pixels", "masks")
+
+
 def grouped(df: DataFrame, channels: int) -> DataFrame:
     """One row per sample: sample_id, h, w, a0 ... (row-major), and its other columns (equal for all pixels)."""
     rest = [c for c in df.columns if c not in {"sample_id", "h", "w", "y", "x", *values(channels)}]
@@ -29,6 +35,8 @@ def spread(rows: DataFrame, channels: int, cell: dict[str, str], h: str = "h", w
     bind: steps of named expressions over q; each step sees the names of the steps before.
     """
     rest = [c for c in rows.columns if c not in {"sample_id", "h", "w", *[f"a{i}" for i in range(channels)]}]
+    h, w = or_old(rows, h, "h"), or_old(rows, w, "w")
+    cell = {v: or_old(rows, e, f"a{v[1:]}[q.y * w + q.x]") for v, e in cell.items()}
     e, known = f"transform(sequence(0, cast(({h}) * ({w}) as int) - 1), i -> named_struct('y', cast(floor(i / ({w})) as int), 'x', cast(i % ({w}) as int)))", ["y", "x"]
     for step in bind:
         e = f"transform({e}, q -> named_struct({', '.join([f'{chr(39)}{k}{chr(39)}, q.{k}' for k in known] + [f'{chr(39)}{k}{chr(39)}, {v}' for k, v in step.items()])}))"
@@ -86,7 +94,7 @@ def literal_kernel(rows: list[tuple[int, int, str]]) -> str:
 
 
 @operator
-class Blur(Operator):
+class Blur(Gathered):
     blur_limit: tuple = (3, 7)
     p: float = 0.5
 
@@ -98,7 +106,7 @@ class Blur(Operator):
 
 
 @operator
-class MedianBlur(Operator):
+class MedianBlur(Gathered):
     blur_limit: tuple = (3, 7)
     p: float = 0.5
 
@@ -110,7 +118,7 @@ class MedianBlur(Operator):
 
 
 @operator
-class GaussianBlur(Operator):
+class GaussianBlur(Gathered):
     blur_limit: tuple | int = 0
     sigma_limit: tuple = (0.5, 3.0)
     p: float = 0.5
@@ -126,7 +134,7 @@ class GaussianBlur(Operator):
 
 
 @operator
-class AdvancedBlur(Operator):
+class AdvancedBlur(Gathered):
     """A rotated generalised Gaussian with noise on its weights."""
 
     blur_limit: tuple = (3, 7)
@@ -153,7 +161,7 @@ class AdvancedBlur(Operator):
 
 
 @operator
-class MotionBlur(Operator):
+class MotionBlur(Gathered):
     """A line through the centre at an angle, longer on one side by a direction, as a kernel."""
 
     blur_limit: tuple = (3, 7)
@@ -173,7 +181,7 @@ class MotionBlur(Operator):
 
 
 @operator
-class Defocus(Operator):
+class Defocus(Gathered):
     """A disk whose edge is softened over alias_blur pixels."""
 
     radius: tuple = (3, 10)
@@ -190,7 +198,7 @@ class Defocus(Operator):
 
 
 @operator
-class GlassBlur(Operator):
+class GlassBlur(Gathered):
     """Gaussian blur, then each pixel takes a random neighbour's value, iterations times, and a blur again."""
 
     sigma: float = 0.7
@@ -213,7 +221,7 @@ class GlassBlur(Operator):
 
 
 @operator
-class Sharpen(Operator):
+class Sharpen(Gathered):
     alpha: tuple = (0.2, 0.5)
     lightness: tuple = (0.5, 1.0)
     method: str = "kernel"
@@ -232,7 +240,7 @@ class Sharpen(Operator):
 
 
 @operator
-class Emboss(Operator):
+class Emboss(Gathered):
     alpha: tuple = (0.2, 0.5)
     strength: tuple = (0.2, 0.7)
     p: float = 0.5
@@ -247,7 +255,7 @@ class Emboss(Operator):
 
 
 @operator
-class UnsharpMask(Operator):
+class UnsharpMask(Gathered):
     blur_limit: tuple = (3, 7)
     sigma: float = 1.0
     alpha: tuple = (0.2, 0.5)
@@ -263,7 +271,7 @@ class UnsharpMask(Operator):
 
 
 @operator
-class RingingOvershoot(Operator):
+class RingingOvershoot(Gathered):
     """A circular low-pass (jinc) kernel; its Bessel function is the integral of cos(t - x sin t)."""
 
     blur_limit: tuple = (7, 15)
@@ -283,7 +291,7 @@ class RingingOvershoot(Operator):
 
 
 @operator
-class Morphological(Operator):
+class Morphological(Gathered):
     scale: tuple = (2, 3)
     operation: str = "dilation"
     p: float = 0.5
@@ -330,7 +338,7 @@ def remap(df: DataFrame, channels: int, sy: str, sx: str, h: str = "h", w: str =
     return spread(grouped(df, channels), channels, cell, h, w, tuple(steps))
 
 
-class Resampled(Operator):
+class Resampled(Gathered):
     """Output size out_h, out_w, and the source of each output pixel."""
 
     spatial = True
@@ -427,7 +435,7 @@ class SmallestMaxSize(Scaled):
 
 
 @operator
-class Downscale(Operator):
+class Downscale(Gathered):
     scale_range: tuple = (0.25, 0.25)
     p: float = 0.5
 
@@ -729,7 +737,7 @@ class OpticalDistortion(Resampled):
 
 
 @operator
-class ChromaticAberration(Operator):
+class ChromaticAberration(Gathered):
     primary_distortion_limit: tuple | float = (-0.02, 0.02)
     secondary_distortion_limit: tuple | float = (-0.05, 0.05)
     mode: str = "green_purple"
@@ -908,7 +916,7 @@ class GridElasticDeform(ControlPoints):
 
 
 @operator
-class ZoomBlur(Operator):
+class ZoomBlur(Gathered):
     """The mean over zooms 1, 1 + step ... about the centre."""
 
     max_factor: tuple = (1.0, 1.31)

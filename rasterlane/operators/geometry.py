@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions.sampling import Draws, num
 
-from .base import Operator, operator, values
+from .base import Operator, operator, or_old, or_stays, values
 
 PI = "3.141592653589793e0"
 TWO_PI = "6.283185307179586e0"
@@ -140,22 +140,28 @@ class Window(Operator):
     """
 
     spatial = True
+    own = ("pixels", "masks", "boxes", "keypoints")
 
     def bounds(self) -> tuple[str, str, str, str]:
         raise NotImplementedError
 
+    def edges(self, df: DataFrame) -> tuple[str, ...]:
+        """bounds(), or the whole sample where a gate is closed."""
+        return tuple(or_old(df, f"({b})", side) for b, side in zip(self.bounds(), ("0", "0", "w", "h")))
+
     def on_pixels(self, df, channels, top):
-        x0, y0, x1, y1 = self.bounds()
+        x0, y0, x1, y1 = self.edges(df)
         kept = df.withColumns({"__x0": F.expr(x0), "__y0": F.expr(y0), "__x1": F.expr(x1), "__y1": F.expr(y1)}).where("x >= __x0 and x < __x1 and y >= __y0 and y < __y1")
         return moved(kept, x="x - __x0", y="y - __y0", w="__x1 - __x0", h="__y1 - __y0").drop("__x0", "__y0", "__x1", "__y1")
 
     def on_boxes(self, df):
-        x0, y0, x1, y1 = (f"({b})" for b in self.bounds())
+        x0, y0, x1, y1 = self.edges(df)
         nw, nh = f"({x1} - {x0})", f"({y1} - {y0})"
-        return moved(df, x_min=f"(x_min * w - {x0}) / {nw}", x_max=f"(x_max * w - {x0}) / {nw}", y_min=f"(y_min * h - {y0}) / {nh}", y_max=f"(y_max * h - {y0}) / {nh}", w=nw, h=nh)
+        new = {"x_min": f"(x_min * w - {x0}) / {nw}", "x_max": f"(x_max * w - {x0}) / {nw}", "y_min": f"(y_min * h - {y0}) / {nh}", "y_max": f"(y_max * h - {y0}) / {nh}"}
+        return moved(df, **{k: or_old(df, e, k) for k, e in new.items()}, w=nw, h=nh)
 
     def on_keypoints(self, df):
-        x0, y0, x1, y1 = (f"({b})" for b in self.bounds())
+        x0, y0, x1, y1 = self.edges(df)
         return moved(df, x=f"x - {x0}", y=f"y - {y0}", w=f"{x1} - {x0}", h=f"{y1} - {y0}")
 
 
@@ -350,21 +356,27 @@ class Padded(Operator):
     """
 
     spatial = True
+    own = ("pixels", "masks", "boxes", "keypoints")
     fill = 0.0
     border = "constant"
 
     def sides(self) -> tuple[str, str, str, str]:
         raise NotImplementedError
 
+    def widths(self, df: DataFrame) -> tuple[str, ...]:
+        """sides(), or none where a gate is closed."""
+        return tuple(or_old(df, f"({s})", "0") for s in self.sides())
+
     def on_pixels(self, df, channels, top):
-        left, above, right, below = (f"({s})" for s in self.sides())
+        left, above, right, below = self.widths(df)
         df = df.withColumns({"__l": F.expr(f"cast({left} as int)"), "__t": F.expr(f"cast({above} as int)"), "__w": F.expr(f"cast(w + {left} + {right} as int)"), "__h": F.expr(f"cast(h + {above} + {below} as int)")})
         if self.border == "constant":
-            inner = moved(df, x="x + __l", y="y + __t")
-            corner = df.where("x = 0 and y = 0").withColumn("i", F.explode(F.expr("sequence(0, __w * __h - 1)")))
-            edge = moved(corner, y="cast(floor(i / __w) as int)", x="i % __w").where("x < __l or x >= __l + w or y < __t or y >= __t + h")
-            edge = edge.withColumns({v: F.lit(float(self.fill)) for v in values(channels)}).drop("i")
-            out = inner.unionByName(edge)
+            own = "array(named_struct('y', cast(y + __t as int), 'x', cast(x + __l as int), 'own', true))"
+            cell = "named_struct('y', cast(floor(i / __w) as int), 'x', cast(i % __w as int), 'own', false)"
+            edge = f"filter(transform(sequence(0, __w * __h - 1), i -> {cell}), c -> c.x < __l or c.x >= __l + w or c.y < __t or c.y >= __t + h)"
+            out = df.withColumn("__at", F.explode(F.expr(f"case when x = 0 and y = 0 then concat({own}, {edge}) else {own} end")))
+            out = out.withColumns({v: F.expr(f"case when __at.own then {v} else {num(float(self.fill))} end") for v in values(channels)})
+            out = moved(out, y="__at.y", x="__at.x").drop("__at")
         else:
             # targets t of the source s: t = s + 2k(n - 1) or t = 2k(n - 1) - s, from the border outwards
             def targets(s: str, n: str, before: str, total: str) -> str:
@@ -377,28 +389,34 @@ class Padded(Operator):
     def on_masks(self, df, channels, top):
         return self.on_pixels(df, 1, top)
 
+    def tiles(self, df: DataFrame, left: str, above: str, right: str, below: str) -> DataFrame:
+        """Mirror images __j, __i around a sample; where a gate is closed, the sample alone."""
+        for name, a, b, side in (("__i", left, right, "w"), ("__j", above, below, "h")):
+            df = df.withColumn(name, F.explode(F.expr(or_old(df, f"sequence(-1 - cast(floor({a} / {side}) as int), 1 + cast(floor({b} / {side}) as int))", "array(0)"))))
+        return df
+
     def on_boxes(self, df):
-        left, above, right, below = (f"({s})" for s in self.sides())
+        left, above, right, below = self.widths(df)
         nw, nh = f"(w + {left} + {right})", f"(h + {above} + {below})"
         if self.border == "constant":
-            return moved(df, x_min=f"(x_min * w + {left}) / {nw}", x_max=f"(x_max * w + {left}) / {nw}", y_min=f"(y_min * h + {above}) / {nh}", y_max=f"(y_max * h + {above}) / {nh}", w=nw, h=nh)
-        tiles = df.withColumn("__i", F.explode(F.expr(f"sequence(-1 - cast(floor({left} / w) as int), 1 + cast(floor({right} / w) as int))")))
-        tiles = tiles.withColumn("__j", F.explode(F.expr(f"sequence(-1 - cast(floor({above} / h) as int), 1 + cast(floor({below} / h) as int))")))
+            new = {"x_min": f"(x_min * w + {left}) / {nw}", "x_max": f"(x_max * w + {left}) / {nw}", "y_min": f"(y_min * h + {above}) / {nh}", "y_max": f"(y_max * h + {above}) / {nh}"}
+            return moved(df, **{k: or_old(df, e, k) for k, e in new.items()}, w=nw, h=nh)
+        tiles = self.tiles(df, left, above, right, below)
         lo = {"x": "case when abs(__i) % 2 = 1 then 1e0 - x_max else x_min end", "y": "case when abs(__j) % 2 = 1 then 1e0 - y_max else y_min end"}
         hi = {"x": "case when abs(__i) % 2 = 1 then 1e0 - x_min else x_max end", "y": "case when abs(__j) % 2 = 1 then 1e0 - y_min else y_max end"}
-        out = moved(tiles, x_min=f"((({lo['x']}) + __i) * w + {left}) / {nw}", x_max=f"((({hi['x']}) + __i) * w + {left}) / {nw}", y_min=f"((({lo['y']}) + __j) * h + {above}) / {nh}", y_max=f"((({hi['y']}) + __j) * h + {above}) / {nh}", w=nw, h=nh)
-        return out.where("x_max > 0 and x_min < 1 and y_max > 0 and y_min < 1").drop("__i", "__j")
+        new = {"x_min": f"((({lo['x']}) + __i) * w + {left}) / {nw}", "x_max": f"((({hi['x']}) + __i) * w + {left}) / {nw}", "y_min": f"((({lo['y']}) + __j) * h + {above}) / {nh}", "y_max": f"((({hi['y']}) + __j) * h + {above}) / {nh}"}
+        out = moved(tiles, **{k: or_old(df, e, k) for k, e in new.items()}, w=nw, h=nh)
+        return out.where(or_stays(df, "x_max > 0 and x_min < 1 and y_max > 0 and y_min < 1")).drop("__i", "__j")
 
     def on_keypoints(self, df):
-        left, above, right, below = (f"({s})" for s in self.sides())
+        left, above, right, below = self.widths(df)
         nw, nh = f"(w + {left} + {right})", f"(h + {above} + {below})"
         if self.border == "constant":
             return moved(df, x=f"x + {left}", y=f"y + {above}", w=nw, h=nh)
-        tiles = df.withColumn("__i", F.explode(F.expr(f"sequence(-1 - cast(floor({left} / w) as int), 1 + cast(floor({right} / w) as int))")))
-        tiles = tiles.withColumn("__j", F.explode(F.expr(f"sequence(-1 - cast(floor({above} / h) as int), 1 + cast(floor({below} / h) as int))")))
+        tiles = self.tiles(df, left, above, right, below)
         a = f"case when abs(__i) % 2 = 1 and abs(__j) % 2 = 1 then angle + {PI} when abs(__i) % 2 = 1 then {PI} - angle when abs(__j) % 2 = 1 then -angle else angle end"
-        out = moved(tiles, x=f"(case when abs(__i) % 2 = 1 then w - x else x end) + __i * w + {left}", y=f"(case when abs(__j) % 2 = 1 then h - y else y end) + __j * h + {above}", angle=angle(a), w=nw, h=nh)
-        return out.where("x >= 0 and x < w and y >= 0 and y < h").drop("__i", "__j")
+        out = moved(tiles, x=f"(case when abs(__i) % 2 = 1 then w - x else x end) + __i * w + {left}", y=f"(case when abs(__j) % 2 = 1 then h - y else y end) + __j * h + {above}", angle=or_old(df, angle(a), "angle"), w=nw, h=nh)
+        return out.where(or_stays(df, "x >= 0 and x < w and y >= 0 and y < h")).drop("__i", "__j")
 
 
 @operator

@@ -21,15 +21,17 @@ class OverlayElements(Operator):
     overlays: DataFrame | None = None
     p: float = 0.5
 
-    def run(self, frame, seed=0, path="0", forced=False, params=None):
+    def run(self, frame, seed=0, path="0", forced=False, params=None, when=None):
         d = Draws(seed, f"{path}.{self.name}")
         names = values(frame.channels)
         sizes = frame.pixels.select("sample_id", "h", "w").distinct()
         o = self.overlays.join(sizes, "sample_id")
         if "shown" in o.columns:
             o = o.where("shown")
-        if not (forced or self.p >= 1):
-            o = o.where(F.expr(f"{d.unit('gate')} < {num(self.p)}"))
+        if params is not None:
+            o = o.join(params.where("applied").select("sample_id"), "sample_id", "left_semi")
+        elif (gate := self.gate(d, forced, when)) is not None:
+            o = o.where(F.expr(gate))
         x0 = "bx" if "bx" in o.columns else d.integer("x", 0, "greatest(0, w - ow)", "ord")
         y0 = "by" if "by" in o.columns else d.integer("y", 0, "greatest(0, h - oh)", "ord")
         placed = o.select("sample_id", F.expr(f"cast(y + {y0} as int)").alias("y"), F.expr(f"cast(x + {x0} as int)").alias("x"), "ord", F.struct(*names).alias("px"))
@@ -70,10 +72,13 @@ class Mosaic(Operator):
         cells = samples.select("sample_id", F.posexplode(F.expr(f"array_sort(filter(array({every}), c -> c.area < 0))")).alias("cell", "c"))
         return cells.select("sample_id", "cell", "c.y0", "c.x0", "c.y1", "c.x1")
 
-    def run(self, frame, seed=0, path="0", forced=False, params=None):
+    def run(self, frame, seed=0, path="0", forced=False, params=None, when=None):
         d = Draws(seed, f"{path}.{self.name}")
         names = values(frame.channels)
-        gate = "true" if forced or self.p >= 1 else f"{d.unit('gate')} < {num(self.p)}"
+        gate = self.gate(d, forced, when) or "true"
+        if params is not None:  # recorded gates, as a column of every relation
+            frame = frame.each(lambda df, n: df.join(params.select("sample_id", F.col("applied").alias("__applied")), "sample_id", "left").withColumn("__applied", F.coalesce("__applied", F.lit(False))))
+            gate = "__applied"
         samples = frame.pixels.where(gate).select("sample_id", "h", "w").distinct()
         cells = self.cells(samples, d)
         order = F.expr(d.unit("item", "item_ix"))
@@ -85,8 +90,14 @@ class Mosaic(Operator):
         th, tw = self.target_size
 
         def source(own: DataFrame, theirs: DataFrame) -> DataFrame:
+            own = own.drop("__applied")
             return own.withColumn("item_ix", F.lit(-1)).unionByName(theirs.select(*own.columns, F.col("item_ix").cast("int").alias("item_ix")))
 
+        def beside(made: DataFrame, old: DataFrame) -> DataFrame:
+            """With the rows of samples that have no mosaic."""
+            made = made.select(*[c for c in old.columns if c != "__applied"])
+            return made if gate == "true" else made.unionByName(old.where(f"not ({gate})").drop("__applied"))
+
         px = source(frame.pixels, self.items.pixels).join(cells, ["sample_id", "item_ix"])
         ch, cw = "(y1 - y0)", "(x1 - x0)"
         f = f"greatest({ch} / (1e0 * h), {cw} / (1e0 * w))"
@@ -95,13 +106,13 @@ class Mosaic(Operator):
         span = lambda v, side, scaled, size: f"filter(sequence(cast(floor({v} * {scaled} / (1e0 * {side})) as int), cast(ceil(({v} + 1) * {scaled} / (1e0 * {side})) as int)), t -> cast(floor(t * {side} / (1e0 * {scaled})) as int) = {v} and t < {size})"
         px = px.withColumn("ty", F.explode(F.expr(span("y", "h", sh, ch)))).withColumn("tx", F.explode(F.expr(span("x", "w", sw, cw))))
         made = px.select("sample_id", F.lit(th).alias("h"), F.lit(tw).alias("w"), F.expr("cast(y0 + ty as int)").alias("y"), F.expr("cast(x0 + tx as int)").alias("x"), *names)
-        new = {"pixels": made if gate == "true" else made.unionByName(frame.pixels.where(f"not ({gate})").select(*made.columns))}
+        new = {"pixels": beside(made, frame.pixels.select(*made.columns, *[c for c in frame.pixels.columns if c == "__applied"]))}
         if frame.boxes is not None and self.items.boxes is not None:
             b = source(frame.boxes, self.items.boxes).join(cells, ["sample_id", "item_ix"])
             b = moved(b, x_min=f"(least(x1, x0 + x_min * {sw})) / {tw}e0", x_max=f"(least(x1, x0 + x_max * {sw})) / {tw}e0", y_min=f"(least(y1, y0 + y_min * {sh})) / {th}e0", y_max=f"(least(y1, y0 + y_max * {sh})) / {th}e0", h=str(th), w=str(tw))
-            new["boxes"] = b.where("x_max > x_min and y_max > y_min").select(*frame.boxes.columns)
+            new["boxes"] = beside(b.where("x_max > x_min and y_max > y_min"), frame.boxes)
         if frame.keypoints is not None and self.items.keypoints is not None:
             k = source(frame.keypoints, self.items.keypoints).join(cells, ["sample_id", "item_ix"])
             k = moved(k, x=f"x0 + x * {sw} / w", y=f"y0 + y * {sh} / h", scale=f"scale * {f}", h=str(th), w=str(tw)).where("x < x1 and y < y1")
-            new["keypoints"] = k.select(*frame.keypoints.columns)
-        return replace(frame, **new)
+            new["keypoints"] = beside(k, frame.keypoints)
+        return replace(frame, **new).each(lambda df, n: df.drop("__applied"))

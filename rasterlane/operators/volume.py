@@ -7,9 +7,9 @@ from itertools import permutations, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlane.functions.sampling import Draws
+from rasterlane.functions.sampling import Draws, num
 
-from .base import Operator, operator, values
+from .base import Operator, operator, or_old, values
 from .dropout import Holes
 from .geometry import fits, moved
 
@@ -21,6 +21,7 @@ class Window3D(Operator):
     """start(axis), size(axis): what is kept; larger than the side is an error."""
 
     spatial = True
+    own = ("pixels", "masks", "keypoints")
 
     def window(self, axis: str) -> tuple[str, str]:
         raise NotImplementedError
@@ -28,14 +29,14 @@ class Window3D(Operator):
     def on_pixels(self, df, channels, top):
         for a in AXES:
             start, size = self.window(a)
-            df = moved(df.withColumns({"__s": F.expr(start), "__n": F.expr(fits(size, SIDES[a]))}).where(f"{a} >= __s and {a} < __s + __n"), **{a: f"{a} - __s", SIDES[a]: "__n"}).drop("__s", "__n")
+            df = moved(df.withColumns({"__s": F.expr(or_old(df, start, "0")), "__n": F.expr(or_old(df, fits(size, SIDES[a]), SIDES[a]))}).where(f"{a} >= __s and {a} < __s + __n"), **{a: f"{a} - __s", SIDES[a]: "__n"}).drop("__s", "__n")
         return df
 
     def on_keypoints(self, df):
         new = {}
         for a in AXES:
             start, size = self.window(a)
-            new |= {a: f"{a} - ({start})", SIDES[a]: size}
+            new |= {a: or_old(df, f"{a} - ({start})", a), SIDES[a]: or_old(df, size, SIDES[a])}
         return moved(df, **new)
 
 
@@ -66,24 +67,31 @@ class Padded3D(Operator):
     """before(axis), after(axis): new cells are fill, made by the sample's first cell."""
 
     spatial = True
+    own = ("pixels", "masks", "keypoints")
     fill = 0.0
 
     def sides(self, axis: str) -> tuple[str, str]:
         raise NotImplementedError
 
+    def widths(self, df: DataFrame, axis: str) -> tuple[str, ...]:
+        """sides(), or none where a gate is closed."""
+        return tuple(or_old(df, f"({s})", "0") for s in self.sides(axis))
+
     def on_pixels(self, df, channels, top):
         for a in AXES:
-            before, after = self.sides(a)
+            before, after = self.widths(df, a)
             df = df.withColumns({f"__b{a}": F.expr(f"cast({before} as int)"), f"__n{a}": F.expr(f"cast({SIDES[a]} + {before} + {after} as int)")})
-        inner = moved(df, **{a: f"{a} + __b{a}" for a in AXES})
-        corner = df.where("z = 0 and y = 0 and x = 0").withColumn("i", F.explode(F.expr("sequence(0, __nz * __ny * __nx - 1)")))
-        edge = moved(corner, z="cast(floor(i / (__ny * __nx)) as int)", y="cast(floor(i / __nx) as int) % __ny", x="i % __nx")
-        edge = edge.where(" or ".join(f"{a} < __b{a} or {a} >= __b{a} + {SIDES[a]}" for a in AXES)).withColumns({v: F.lit(float(self.fill)) for v in values(channels)}).drop("i")
-        out = moved(inner.unionByName(edge), **{SIDES[a]: f"__n{a}" for a in AXES})
-        return out.drop(*[f"__{k}{a}" for a in AXES for k in "bn"])
+        own = f"array(named_struct({', '.join(f'{chr(39)}{a}{chr(39)}, cast({a} + __b{a} as int)' for a in AXES)}, 'own', true))"
+        cell = "named_struct('z', cast(floor(i / (__ny * __nx)) as int), 'y', cast(floor(i / __nx) % __ny as int), 'x', cast(i % __nx as int), 'own', false)"
+        edge = f"filter(transform(sequence(0, __nz * __ny * __nx - 1), i -> {cell}), c -> {' or '.join(f'c.{a} < __b{a} or c.{a} >= __b{a} + {SIDES[a]}' for a in AXES)})"
+        out = df.withColumn("__at", F.explode(F.expr(f"case when z = 0 and y = 0 and x = 0 then concat({own}, {edge}) else {own} end")))
+        out = out.withColumns({v: F.expr(f"case when __at.own then {v} else {num(float(self.fill))} end") for v in values(channels)})
+        out = moved(out, **{a: f"__at.{a}" for a in AXES}, **{SIDES[a]: f"__n{a}" for a in AXES})
+        return out.drop("__at", *[f"__{k}{a}" for a in AXES for k in "bn"])
 
     def on_keypoints(self, df):
-        return moved(df, **{a: f"{a} + {self.sides(a)[0]}" for a in AXES}, **{SIDES[a]: f"{SIDES[a]} + {self.sides(a)[0]} + {self.sides(a)[1]}" for a in AXES})
+        w = {a: self.widths(df, a) for a in AXES}
+        return moved(df, **{a: f"{a} + {w[a][0]}" for a in AXES}, **{SIDES[a]: f"{SIDES[a]} + {w[a][0]} + {w[a][1]}" for a in AXES})
 
 
 @operator

@@ -7,14 +7,14 @@ from rasterlane.functions import colour
 from rasterlane.functions.sampling import Draws, num
 
 from .base import Operator, clipped, operator, pointwise, values
-from .gather import box_kernel, filtered, WEIGHTED
+from .gather import WEIGHTED, Gathered, box_kernel, filtered
 from .pointwise import recoloured, scaled
 
 from pyspark.sql import functions as F
 
 
 @operator
-class RandomRain(Operator):
+class RandomRain(Gathered):
     """Slanted drops of one colour, blurred, then the sample is darkened."""
 
     slant_range: tuple = (-10, 10)
@@ -40,7 +40,7 @@ class RandomRain(Operator):
 
 
 @operator
-class RandomFog(Operator):
+class RandomFog(Gathered):
     """White discs are blended over the sample one after another, then it is blurred."""
 
     alpha_coef: float = 0.08

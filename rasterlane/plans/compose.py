@@ -1,14 +1,15 @@
 """Plans of operators: in order, one of, some of, on some channels, and again from recorded draws.
 
-A choice is a hash of the sample, so each branch is a filter on the relations' own rows: a plan needs
-no shuffle beyond what its operators need. Specs are plain JSON.
+A choice is a hash of the sample, so it is a condition in the relations' own rows: children follow one
+another, each with the condition under which it acts. A plan reads its input once however many choices
+it has, and needs no shuffle beyond what its operators need. Specs are plain JSON.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,8 @@ from rasterlane.operators import OPERATORS, Frame, Operator, from_spec
 from rasterlane.operators.base import values
 
 
-def united(frames: list[Frame]) -> Frame:
-    def two(a: Frame, b: Frame) -> Frame:
-        if a.channels != b.channels:
-            raise ValueError("branches differ in their number of channels")
-        return a.each(lambda df, n: df.unionByName(getattr(b, n), allowMissingColumns=True))
-
-    return reduce(two, frames)
-
-
-def where(frame: Frame, condition: str) -> Frame:
-    return frame.each(lambda df, n: df.where(condition))
+def both(*conditions: str | None) -> str | None:
+    return " and ".join(f"({c})" for c in conditions if c) or None
 
 
 @dataclass(frozen=True)
@@ -64,16 +56,32 @@ class Plan:
     def gate(self, d: Draws, forced: bool) -> str | None:
         return None if forced or self.p >= 1 else f"{d.unit('gate')} < {num(self.p)}"
 
-    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False) -> Frame:
-        d = Draws(seed, f"{path}.{type(self).__name__}")
-        gate = self.gate(d, forced)
-        if gate is None:
-            return self.body(frame, seed, path, d)
-        return united([self.body(where(frame, gate), seed, path, d), where(frame, f"not ({gate})")])
-
-    def body(self, frame: Frame, seed: int, path: str, d: Draws) -> Frame:
+    def steps(self, seed: int, path: str, forced: bool = False, when: str | None = None) -> Iterator[tuple[str, Operator | Plan, bool, str | None]]:
+        """(path, child, forced, condition) in the order in which children act."""
         for i, t in enumerate(self.transforms):
-            frame = t.run(frame, seed, f"{path}.{i}")
+            yield f"{path}.{i}", t, False, both(when, self.gate(Draws(seed, f"{path}.{type(self).__name__}"), forced))
+
+    def leaves(self, seed: int, path: str = "0", forced: bool = False, when: str | None = None) -> Iterator[tuple[str, Operator, bool, str | None]]:
+        """The same of all operators, however deep."""
+        for at, t, sure, c in self.steps(seed, path, forced, when):
+            if isinstance(t, Operator):
+                yield at, t, sure, c
+            else:
+                yield from t.leaves(seed, at, sure, c)
+
+    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, when: str | None = None, params: dict[str, DataFrame] | None = None) -> Frame:
+        """params: recorded draws by path, to use instead."""
+        for at, t, sure, c in self.steps(seed, path, forced, when):
+            frame = self.after(self.child(t, frame, seed, at, sure, c, params))
+        return frame
+
+    def child(self, t, frame: Frame, seed: int, at: str, sure: bool, c: str | None, params: dict[str, DataFrame] | None) -> Frame:
+        if isinstance(t, Operator) and params is not None:
+            return t.run(frame, seed, at, params=params[at])
+        return t.run(frame, seed, at, sure, when=c, **({} if isinstance(t, Operator) else {"params": params}))
+
+    def after(self, frame: Frame) -> Frame:
+        """What follows each child."""
         return frame
 
     def spec(self) -> dict:
@@ -110,13 +118,11 @@ class Compose(Plan):
             new["keypoints"] = self.keypoints.finished(out.keypoints)
         return replace(out, **new)
 
-    def body(self, frame, seed, path, d):
-        for i, t in enumerate(self.transforms):
-            frame = t.run(frame, seed, f"{path}.{i}")
-            if frame.boxes is not None and self.boxes and self.boxes.check_each_transform:
-                frame = replace(frame, boxes=self.boxes.filtered(frame.boxes))
-            if frame.keypoints is not None and self.keypoints and self.keypoints.check_each_transform:
-                frame = replace(frame, keypoints=self.keypoints.filtered(frame.keypoints))
+    def after(self, frame):
+        if frame.boxes is not None and self.boxes and self.boxes.check_each_transform:
+            frame = replace(frame, boxes=self.boxes.filtered(frame.boxes))
+        if frame.keypoints is not None and self.keypoints and self.keypoints.check_each_transform:
+            frame = replace(frame, keypoints=self.keypoints.filtered(frame.keypoints))
         return frame
 
     def spec(self):
@@ -125,7 +131,9 @@ class Compose(Plan):
 
 
 def choice(d: Draws, weights: list[float]) -> str:
-    """Number of the branch: the first whose cumulative weight exceeds one uniform draw."""
+    """Number of the branch: the first whose cumulative weight exceeds one uniform draw; equal weights
+    where all are zero."""
+    weights = weights if sum(weights) > 0 else [1.0] * len(weights)
     total, at, u = sum(weights), 0.0, d.unit("choice")
     cases = []
     for i, w in enumerate(weights[:-1]):
@@ -143,22 +151,33 @@ class OneOf(Plan):
     def picked(self, d: Draws) -> str:
         return choice(d, [t.p for t in self.transforms])
 
-    def body(self, frame, seed, path, d):
-        c = self.picked(d)
-        return united([t.run(where(frame, f"{c} = {i}"), seed, f"{path}.{i}", True) for i, t in enumerate(self.transforms)])
+    def steps(self, seed, path, forced=False, when=None):
+        d = Draws(seed, f"{path}.{type(self).__name__}")
+        c, gate = self.picked(d), both(when, self.gate(d, forced))
+        for i, t in enumerate(self.transforms):
+            yield f"{path}.{i}", t, True, both(gate, f"{c} = {i}")
+
+    def run(self, frame, seed=0, path="0", forced=False, when=None, params=None):
+        """Children exclude each other, so each takes the frame's channels and range as they came in."""
+        out, shapes = frame, set()
+        for at, t, sure, c in self.steps(seed, path, forced, when):
+            out = self.child(t, replace(out, channels=frame.channels, top=frame.top), seed, at, sure, c, params)
+            shapes.add(out.channels)
+        if len(shapes) > 1:
+            raise ValueError("branches differ in their number of channels")
+        return out
 
 
 @dataclass(frozen=True)
-class OneOrOther(Plan):
+class OneOrOther(OneOf):
     """The first with probability p, else the last."""
 
     p: float = 0.5
 
-    def run(self, frame, seed=0, path="0", forced=False):
-        d = Draws(seed, f"{path}.OneOrOther")
-        first = f"{d.unit('choice')} < {num(self.p)}"
-        a, b = self.transforms[0], self.transforms[-1]
-        return united([a.run(where(frame, first), seed, f"{path}.0", True), b.run(where(frame, f"not ({first})"), seed, f"{path}.1", True)])
+    def steps(self, seed, path, forced=False, when=None):
+        first = f"{Draws(seed, f'{path}.OneOrOther').unit('choice')} < {num(self.p)}"
+        yield f"{path}.0", self.transforms[0], True, both(when, first)
+        yield f"{path}.1", self.transforms[-1], True, both(when, f"not ({first})")
 
 
 @dataclass(frozen=True)
@@ -181,27 +200,25 @@ class SomeOf(Plan):
         m = len(self.transforms)
         return "(" + " + ".join(f"(case when cast(floor({d.unit(f'pick{k}')} * {m}) as int) = {i} then 1 else 0 end)" for k in range(self.n)) + ")"
 
-    def body(self, frame, seed, path, d):
+    def steps(self, seed, path, forced=False, when=None):
+        d = Draws(seed, f"{path}.{type(self).__name__}")
+        gate = both(when, self.gate(d, forced))
         for i, t in enumerate(self.transforms):
             for k in range(self.n if self.replace_ else 1):
-                hit = f"{self.times(d, i)} > {k}"
-                frame = united([t.run(where(frame, hit), seed, f"{path}.{i}.{k}"), where(frame, f"not ({hit})")])
-        return frame
+                yield f"{path}.{i}.{k}", t, False, both(gate, f"{self.times(d, i)} > {k}")
 
 
 @dataclass(frozen=True)
 class RandomOrder(SomeOf):
     """n children in a drawn order: a position at a time, rows go to the child that is theirs."""
 
-    def body(self, frame, seed, path, d):
-        m = len(self.transforms)
+    def steps(self, seed, path, forced=False, when=None):
+        d = Draws(seed, f"{path}.{type(self).__name__}")
+        m, gate = len(self.transforms), both(when, self.gate(d, forced))
         for k in range(self.n if self.replace_ else min(self.n, m)):
-            if self.replace_:
-                mine = [f"cast(floor({d.unit(f'pick{k}')} * {m}) as int) = {i}" for i in range(m)]
-            else:
-                mine = [f"{self.rank(d, i)} = {k}" for i in range(m)]
-            frame = united([t.run(where(frame, mine[i]), seed, f"{path}.{i}.{k}") for i, t in enumerate(self.transforms)])
-        return frame
+            for i, t in enumerate(self.transforms):
+                mine = f"cast(floor({d.unit(f'pick{k}')} * {m}) as int) = {i}" if self.replace_ else f"{self.rank(d, i)} = {k}"
+                yield f"{path}.{i}.{k}", t, False, both(gate, mine)
 
 
 @dataclass(frozen=True)
@@ -211,13 +228,11 @@ class SelectiveChannelTransform(Plan):
     channels: tuple = (0, 1, 2)
     p: float = 1.0
 
-    def body(self, frame, seed, path, d):
+    def run(self, frame, seed=0, path="0", forced=False, when=None, params=None):
         others = [v for i, v in enumerate(values(frame.channels)) if i not in self.channels]
         renamed = frame.pixels.withColumnsRenamed({v: f"keep_{v}" for v in values(frame.channels)})
         part = renamed.withColumns({f"v{k}": F.col(f"keep_v{c}") for k, c in enumerate(self.channels)})
-        inner = Frame(part, len(self.channels), top=frame.top)
-        for i, t in enumerate(self.transforms):
-            inner = t.run(inner, seed, f"{path}.{i}")
+        inner = super().run(Frame(part, len(self.channels), top=frame.top), seed, path, forced, when, params)
         back = inner.pixels.withColumns({f"new_v{c}": F.col(f"v{k}") for k, c in enumerate(self.channels)}).drop(*values(len(self.channels)))
         back = back.select(*[c for c in frame.pixels.columns if c not in values(frame.channels)], *[F.col(f"keep_{v}" if v in others else f"new_{v}").alias(v) for v in values(frame.channels)])
         return replace(frame, pixels=back)
@@ -228,16 +243,19 @@ class SelectiveChannelTransform(Plan):
 
 @dataclass(frozen=True)
 class ReplayCompose(Compose):
-    """Records every operator's draws by sample; replay applies recorded draws to other relations."""
+    """Records every operator's draws by sample, those of nested plans too; replay applies recorded
+    draws to other relations."""
 
     def recorded(self, samples: DataFrame) -> dict[str, DataFrame]:
-        """path -> (sample_id, applied, draws) for samples (sample_id, h, w)."""
-        return {f"0.{i}": t.recorded(samples, self.seed, f"0.{i}") for i, t in enumerate(self.transforms) if isinstance(t, Operator)}
+        """path -> (sample_id, applied, draws) for samples (sample_id, h, w).
+
+        Sizes are those of the samples as given: after an operator that changes them, draws that are
+        shares of a side need samples of that size.
+        """
+        return {at: t.recorded(samples, self.seed, at, sure, c) for at, t, sure, c in self.leaves(self.seed)}
 
     def replay(self, frame: Frame, recorded: dict[str, DataFrame]) -> Frame:
-        for i, t in enumerate(self.transforms):
-            frame = t.run(frame, self.seed, f"0.{i}", params=recorded[f"0.{i}"])
-        return frame
+        return self.run(frame, self.seed, params=recorded)
 
 
 PLANS = {c.__name__: c for c in (Compose, Sequential, OneOf, OneOrOther, SomeOf, RandomOrder, SelectiveChannelTransform, ReplayCompose)}

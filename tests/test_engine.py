@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterlane import catalogue
 from rasterlane.functions.annotations import BoxParams, KeypointParams, boxes_from_internal, boxes_to_internal
+from rasterlane.functions.sampling import Draws
 from rasterlane.operators import OPERATORS, Frame
 from rasterlane.operators.volume import SYMMETRIES
 from rasterlane.plans import compose
@@ -90,6 +91,75 @@ def test_gates_open_as_often_as_they_should(spark):
         assert abs(share - p) < 0.02
 
 
+#: What operators need beyond their defaults on 8 x 8 samples.
+ARGUMENTS = {"crop_non_empty_mask_if_exists": {}, "defocus": {"radius": (2, 3)}, "ringing_overshoot": {"blur_limit": (3, 3)}, "pad": {"padding": (1, 2)}, "random_grid_shuffle": {}, "to_gray": {"num_output_channels": 3}}
+COLUMNS = {
+    "random_crop_near_bbox": {"bx0": "1", "by0": "1", "bx1": "6", "by1": "5"},
+    "crop_non_empty_mask_if_exists": {"mx": "3", "my": "5"},
+    "constrained_coarse_dropout": {"targets": "array(named_struct('x_min', 0.1e0, 'y_min', 0.1e0, 'x_max', 0.9e0, 'y_max', 0.9e0))"},
+} | {n: {f"{'o' if n.startswith('at') else 'u'}{a}{k}": f"{0.25 + k / 4}e0" for a in "xy" for k in (0, 1)} for n in ("bbox_safe_random_crop", "random_sized_bbox_safe_crop", "at_least_one_bbox_random_crop")}
+ELSEWHERE = {"lambda", "mosaic", "overlay_elements", "mask_dropout", "histogram_matching", "pixel_distribution_adaptation", "fda", "text_image"}
+
+
+def everything(frame):
+    """All rows of all relations, as text."""
+    return {n: sorted(str(sorted((k, shown(v) if not isinstance(v, list) else str(v)) for k, v in r.asDict().items())) for r in df.collect()) for n, df in frame.relations().items()}
+
+
+@pytest.mark.parametrize("name", [n for n, c in OPERATORS.items() if n not in ELSEWHERE and ".volume" not in c.__module__])
+def test_a_closed_gate_changes_nothing(spark, pixels, name):
+    """Gated samples are as if they alone had gone through, the others as they came."""
+    op = OPERATORS[name](**(ARGUMENTS.get(name, {}) | {"p": 0.5}))
+    with_columns = lambda df: df.withColumns({k: F.expr(e) for k, e in COLUMNS.get(name, {}).items()})
+    boxes = spark.createDataFrame([(i, 8, 8, k, 0.1 + k / 10, 0.2, 0.7 + k / 5, 0.9, "a") for i in range(4) for k in range(2)], "sample_id long, h int, w int, box_ix int, x_min double, y_min double, x_max double, y_max double, label string")
+    keypoints = spark.createDataFrame([(i, 8, 8, k, 1.0 + 2 * k, 6.0 - k, 0.5, 1.0, "a") for i in range(4) for k in range(3)], "sample_id long, h int, w int, kp_ix int, x double, y double, angle double, scale double, label string")
+    frame = Frame(with_columns(pixels), boxes=with_columns(boxes), keypoints=with_columns(keypoints), masks=with_columns(pixels.drop("v1", "v2")))
+    gate = op.gate(Draws(1, f"0.{op.name}"), False)
+    some, others = frame.each(lambda df, n: df.where(gate)), frame.each(lambda df, n: df.where(f"not ({gate})"))
+    want, rest = everything(op.run(some, 1, forced=True)), everything(others)
+    found = everything(op.run(frame, 1))
+    assert all(found[n] == sorted(want[n] + rest[n]) for n in found), name
+
+
+def test_plans_read_their_input_once_and_keep_rows_without_an_id(spark, tmp_path):
+    src.embedding_pixels(spark, SF).where("sample_id < 6").write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    px = px.withColumn("sample_id", F.expr("nullif(sample_id, 3)"))
+    names = ("horizontal_flip", "random_gamma", "invert_img", "blur", "pad", "coarse_dropout", "center_crop", "affine", "transpose", "gauss_noise")
+    ten = tuple(OPERATORS[n](**({"p": 0.5} | ({"padding": 2} if n == "pad" else {}))) for n in names)
+    plans = [compose.Compose(ten), compose.SomeOf(ten[:4], n=3, replace_=True), compose.RandomOrder(ten[:3], n=3), compose.OneOf((compose.Sequential(ten[:3]), compose.OneOrOther(ten[3:5])), p=0.5)]
+    for plan in plans:
+        out = plan.run(Frame(px)).pixels
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1, plan
+        before, after = px.where("sample_id is null"), out.where("sample_id is null")
+        assert table(Frame(after)) == table(Frame(before)) and after.count() == 64
+
+
+def test_random_order_follows_the_drawn_order(pixels):
+    """Children that do not commute: which comes first shows."""
+    flip, turn = OPERATORS["horizontal_flip"](p=1.0), OPERATORS["transpose"](p=1.0)
+    plan = compose.RandomOrder((flip, turn), n=2)
+    first = f"{plan.rank(Draws(5, '0.RandomOrder'), 0)} = 0"
+    a = compose.Sequential((flip, turn), p=1.0).run(Frame(pixels.where(first)))
+    b = compose.Sequential((turn, flip), p=1.0).run(Frame(pixels.where(f"not ({first})")))
+    assert table(plan.run(Frame(pixels), 5)) == sorted(table(a) + table(b)) and table(a) and table(b)
+
+
+def test_nested_plans_replay(spark, pixels):
+    inner = compose.OneOf((compose.Sequential((OPERATORS["vertical_flip"](p=0.5), OPERATORS["random_gamma"](p=0.5)), p=1.0), OPERATORS["random_crop"](4, 4, p=1.0)), p=0.7)
+    plan = compose.ReplayCompose((OPERATORS["horizontal_flip"](p=0.5), inner, compose.SomeOf((OPERATORS["invert_img"](p=0.6), OPERATORS["transpose"](p=0.5)), n=1)), seed=4)
+    recorded = plan.recorded(pixels.select("sample_id", "h", "w").distinct())
+    assert len(recorded) == 6
+    assert table(plan.replay(Frame(pixels), recorded)) == table(plan.run(Frame(pixels), 4))
+    other = compose.ReplayCompose(plan.transforms, seed=99)
+    assert table(other.replay(Frame(pixels), recorded)) == table(plan.run(Frame(pixels), 4))
+
+
+def test_zero_weights_are_equal_weights(pixels):
+    ops = (OPERATORS["invert_img"](p=0.0), OPERATORS["horizontal_flip"](p=0.0))
+    assert len(table(compose.OneOf(ops, p=1.0).run(Frame(pixels)))) == pixels.count()
+
+
 def test_some_of_and_random_order(pixels):
     ops = (OPERATORS["horizontal_flip"](p=1.0), OPERATORS["vertical_flip"](p=1.0), OPERATORS["invert_img"](p=1.0))
     assert table(compose.SomeOf(ops, n=3).run(Frame(pixels))) == table(compose.Sequential(ops, p=1.0).run(Frame(pixels)))
