@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rasterlane.llm import language_id
 from rasterlane.llm.common import table
-from tests.llm.test_dedup import brute_exact
+from tests.llm.test_dedup import brute_exact, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,6 +61,11 @@ def test_against_plain_python(spark):
     keep = {k for _, k, *_ in brute_exact(rows)}
     rows = [r for r in rows if r[0] in keep]
     split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for _, t in rows]
+    fps = np.array([brute_fingerprint(t, 5) for _, t in rows], np.uint64)
+    near, label = np.bitwise_count(fps[:, None] ^ fps[None]) <= 2, np.arange(len(rows))
+    while (label != (new := np.array([label[n].min() for n in near]))).any():
+        label = new
+    rows, split = [r for k, r in enumerate(rows) if label[k] == k], [w for k, w in enumerate(split) if label[k] == k]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
     label = list(range(len(rows)))
     for i, a in enumerate(sets):
