@@ -6,8 +6,9 @@ speaker marker or none, whether it asks, and how long it is. Viterbi finds the b
 conversation. A transcript comes as rows of one or more lines in any order column; where a row begins
 says nothing, so cutting a transcript into other rows changes no line's state. Conversations are dealt
 by a range of (conversation, order), so one of any size spreads over tasks: a stretch of at most BLOCK
-rows becomes a matrix of best scores from each state before it to each state at its end, and only
-where a conversation has several stretches are their ends settled first, level by level.
+rows becomes a matrix of best scores from each state before it to each state at its end. Where a
+conversation has several stretches, their ends are settled first: the stretches of one partition make
+one matrix, a conversation's few of these settle each other, and each then settles its stretches.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ ROLE_OF = {n: r for r, names in enumerate(NAMES.values()) for n in names}
 #: Marker (none or a role), asks or not, length in three steps; then an empty line.
 SYMBOLS = (1 + len(ROLES)) * 2 * 3 + 1
 EMPTY = SYMBOLS - 1
-#: Rows of a stretch, and stretches that are joined at a time.
+#: Rows of a stretch.
 BLOCK = 256
 #: Counts that every transition and symbol starts with, and symbols that a state should not show:
 #: markers of another role or within a turn, lines with content in a gap.
@@ -173,12 +174,14 @@ def learn(rows: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", t
 
 def stretches(rows: DataFrame, model: Model) -> DataFrame:
     """Rows with node (their stretch, numbered in order), open (whether the conversation may go on
-    before or after it), states and last (of rows in closed stretches), m (of a stretch's first row)."""
+    before or after it), run (the stretches of a conversation in one partition), states and last (of rows
+    in closed stretches), m (of a stretch's first row)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    kinds = {"conv": pa.string(), "ord": pa.list_(pa.int64()), "text": pa.string(), "node": pa.int64(), "open": pa.bool_(), "states": pa.list_(pa.int32()), "m": pa.list_(pa.float64()), "place": pa.int32(), "last": pa.bool_()}
+    kinds = {"conv": pa.string(), "ord": pa.list_(pa.int64()), "text": pa.string(), "node": pa.int64(), "run": pa.int64(), "open": pa.bool_(), "states": pa.list_(pa.int32()), "m": pa.list_(pa.float64()), "place": pa.int32(), "last": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = run = TaskContext.get().partitionId() << 32
+        conv = object()
 
         def every() -> Iterator[tuple]:
             for b in batches:
@@ -200,18 +203,20 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
         out: list[tuple] = []
         for held, is_open in parts():
             number += 1
+            if held[0][0] != conv:
+                conv, run = held[0][0], number
             seen = [symbols(r[2]) for r in held]
             flat = np.concatenate(seen)
             states = [None] * len(held) if is_open else in_rows(sent.value.path(flat), seen)
             m = sent.value.matrix(flat).ravel().tolist() if is_open else None
-            out += [(*r, number, is_open, s, m if i == 0 else None, i, i + 1 == len(held)) for i, (r, s) in enumerate(zip(held, states))]
+            out += [(*r, number, run, is_open, s, m if i == 0 else None, i, i + 1 == len(held)) for i, (r, s) in enumerate(zip(held, states))]
             if len(out) >= 2000:
                 yield table_of(out, kinds)
                 out = []
         if out:
             yield table_of(out, kinds)
 
-    return stored(rows.mapInArrow(run, "conv string, ord array<long>, text string, node long, open boolean, states array<int>, m array<double>, place int, last boolean"), "chat-stretches")
+    return stored(rows.mapInArrow(run, "conv string, ord array<long>, text string, node long, run long, open boolean, states array<int>, m array<double>, place int, last boolean"), "chat-stretches")
 
 
 def in_rows(states: np.ndarray, rows: list[np.ndarray]) -> list[list[int]]:
@@ -226,26 +231,13 @@ def as_matrix(m) -> np.ndarray:
     return np.array(m, float).reshape(STATES + 1, STATES)
 
 
-def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers runs of at most BLOCK nodes of one conversation."""
-    number, size, conv = TaskContext.get().partitionId() << 32, BLOCK, None
-    for batch in batches:
-        up = []
-        for c in batch["conv"]:
-            if size >= BLOCK or c != conv:
-                number, size, conv = number + 1, 0, c
-            size += 1
-            up.append(number)
-        yield batch.assign(up=up)
-
-
 def product(part: pd.DataFrame) -> pd.DataFrame:
-    """A run of nodes as one."""
+    """The stretches of a run as one."""
     part = part.sort_values("node")
     m = as_matrix(part["m"].iloc[0])
     for x in part["m"].iloc[1:]:
         m = joined(m, as_matrix(x))
-    return pd.DataFrame({"conv": part["conv"].iloc[:1], "node": part["up"].iloc[:1], "m": [m.ravel().tolist()]})
+    return pd.DataFrame({"conv": part["conv"].iloc[:1], "node": part["run"].iloc[:1], "m": [m.ravel().tolist()]})
 
 
 def settled(part: pd.DataFrame) -> pd.DataFrame:
@@ -268,24 +260,13 @@ def settled(part: pd.DataFrame) -> pd.DataFrame:
 def boundaries(nodes: DataFrame) -> DataFrame:
     """(node, before, end): the best states before and at the end of each stretch.
 
-    nodes: conv, node, m. Upwards, runs of at most BLOCK nodes of a conversation become one, until
-    none has two; downwards, Viterbi over a run's matrices gives its nodes' ends. No task holds more
-    than BLOCK matrices of a run.
+    nodes: conv, node, run, m. A task holds the matrices of one run, that is of one partition's
+    stretches, or those of one conversation's runs, at most one a partition.
     """
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    levels, kind = [], "conv string, node long, m array<double>"
-    while True:
-        ordered = nodes.repartitionByRange(parts, "conv", "node").sortWithinPartitions("conv", "node")
-        levels.append(stored(ordered.mapInPandas(runs, f"{kind}, up long"), "chat-level"))
-        nodes = stored(levels[-1].groupBy("up").applyInPandas(product, kind), "chat-tops")
-        if not nodes.groupBy("conv").count().where("count > 1").take(1):
-            break
-        parts = max(1, parts // BLOCK)  # runs that met a partition's edge join further up
-    ends = nodes.select(F.col("node").alias("up"), F.lit(START).alias("before"), F.lit(None).cast("int").alias("end"))
-    for level in reversed(levels):
-        found = stored(level.join(ends, "up").groupBy("up").applyInPandas(settled, "node long, before int, end int"), "chat-ends")
-        ends = found.withColumnRenamed("node", "up")
-    return found
+    runs = stored(nodes.groupBy("run").applyInPandas(product, "conv string, node long, m array<double>"), "chat-runs")
+    whole = runs.withColumns({"before": F.lit(START), "end": F.lit(None).cast("int")})
+    ends = stored(whole.groupBy("conv").applyInPandas(settled, "node long, before int, end int"), "chat-ends")
+    return stored(nodes.join(ends.withColumnRenamed("node", "run"), "run").groupBy("run").applyInPandas(settled, "node long, before int, end int"), "chat-ends")
 
 
 def render(text: str, states: list[int], begins: bool, ends: bool) -> str:
@@ -316,7 +297,7 @@ def formatted(rows: DataFrame, model: Model, conv_col: str = "conv_id", order_co
     """
     shared_dir(rows.sparkSession)
     found = stretches(in_order(rows, conv_col, order_cols, text_col), model)
-    nodes = found.where("open and m is not null").select("conv", "node", "m")
+    nodes = found.where("open and m is not null").select("conv", "node", "run", "m")
     last = nodes.groupBy("conv").agg(F.max("node").alias("node")).select("node", F.lit(True).alias("closes"))
     ends = boundaries(nodes).join(last, "node", "left")
     sent = rows.sparkSession.sparkContext.broadcast(model)
