@@ -102,6 +102,8 @@ class Operator:
 
         def apply(df: DataFrame, kind: str) -> DataFrame:
             on = getattr(self, f"on_{kind}")
+            if getattr(type(self), on.__name__) is getattr(Operator, on.__name__) and not (kind == "masks" and self.spatial):
+                return df  # the relation is not touched, so nothing is drawn for it
             act = (lambda x: on(x, frame.channels if kind == "pixels" else 1, frame.top)) if kind in ("pixels", "masks") else on
             if params is not None:
                 drawn = params.withColumnRenamed("applied", gate)

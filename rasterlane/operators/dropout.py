@@ -210,13 +210,6 @@ class PixelDropout(Operator):
     def on_masks(self, df, channels, top):
         return df if self.mask_drop_value is None else df.withColumn("v0", F.expr(f"case when p_u0 < {num(self.dropout_prob)} then {num(self.mask_drop_value)} else v0 end"))
 
-    def run(self, frame, *args, **kwargs):
-        boxes = frame.boxes
-        from dataclasses import replace
-
-        out = super().run(replace(frame, boxes=None), *args, **kwargs)  # boxes have no x and y to draw by
-        return replace(out, boxes=boxes)
-
     def on_keypoints(self, df):
         return df.where(or_stays(df, f"p_u0 >= {num(self.dropout_prob)}"))
 
