@@ -86,6 +86,31 @@ def clip(e: str) -> str:
     return f"greatest(0, least(255, floor({e} + 0.5)))"
 
 
+def drawn(name: str, cte: str = PX, source: str = "px", more: dict | None = None, **args) -> str:
+    """cte with q: the source with an operator's draws (and more columns) beside it."""
+    draws = OPERATORS[name](**({"p": 1.0} | args)).draws(Draws(0, f"0.{name}"))
+    extra = "".join(f", {e} AS {k}" for k, e in (more or {}).items())
+    return f"{cte}, r AS (SELECT *{extra} FROM {source}), q AS (SELECT *{''.join(f', {e} AS p_{k}' for k, e in draws.items())} FROM r)\n"
+
+
+def window_sql(name: str, x0: str, y0: str, x1: str, y1: str, more: dict | None = None, **args) -> str:
+    """Pixels of a window that moves to 0, 0."""
+    return pixel_sql(f"y - {y0}", f"x - {x0}", V, f"x >= {x0} AND x < {x1} AND y >= {y0} AND y < {y1}", drawn(name, more=more, **args), "q")
+
+
+def taps_sql(cte: str, hh: str, ww: str, sy: str, sx: str, fill: str | None = None) -> str:
+    """Each output pixel oy, ox of a sample q (hh x ww) mixes the four sources around (sy, sx); beyond the
+    edge lies fill, or nothing does (then sy and sx are within the sample)."""
+    per = "s AS (SELECT * FROM q WHERE y = 0 AND x = 0)"
+    grid = f"o AS (SELECT *, unnest(range(({ww})::BIGINT)) AS ox FROM (SELECT *, unnest(range(({hh})::BIGINT)) AS oy FROM s))"
+    at = f"m AS (SELECT sample_id, oy, ox, ({sy})::DOUBLE AS sy, ({sx})::DOUBLE AS sx FROM o)"
+    near = "n AS (SELECT m.*, dy, dx, floor(sy) + dy AS ty, floor(sx) + dx AS tx FROM m, (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx))"
+    tap = lambda i, dy, dx: f"coalesce(max(px.v{i}) FILTER (WHERE dy = {dy} AND dx = {dx}), {fill or 0})"
+    row = lambda i, dy: f"((1 - (sx - floor(sx))) * {tap(i, dy, 0)} + (sx - floor(sx)) * {tap(i, dy, 1)})"
+    v = ", ".join(f"{clip(f'((1 - (sy - floor(sy))) * {row(i, 0)} + (sy - floor(sy)) * {row(i, 1)})')} AS v{i}" for i in range(3))
+    return f"{cte}, {per}, {grid}, {at}, {near}\nSELECT n.sample_id, oy::BIGINT AS y, ox::BIGINT AS x, {v} FROM n LEFT JOIN px ON px.sample_id = n.sample_id AND px.y = n.ty AND px.x = n.tx GROUP BY n.sample_id, oy, ox, sy, sx"
+
+
 on_pixels("no_op", pixel_sql("y", "x", V))
 on_pixels("invert_img", pixel_sql("y", "x", same("255 - @")))
 on_pixels("solarize", pixel_sql("y", "x", same("CASE WHEN @ >= 127.5 THEN 255 - @ ELSE @ END")))
@@ -113,15 +138,34 @@ u = [d.unit(f"r{i}") for i in range(3)]
 on_pixels("channel_dropout", pixel_sql("y", "x", tuple(f"CASE WHEN {u[i]} < {u[(i + 1) % 3]} AND {u[i]} < {u[(i + 2) % 3]} THEN 0 ELSE v{i} END" for i in range(3))))
 d = D(0, "0.additive_noise")
 on_pixels("additive_noise", pixel_sql("y", "x", tuple(clip(f"{v} + {d.between(f'n{i}', -0.1, 0.1)} * 255") for i, v in enumerate(V))))
-for k in ("gaussian", "laplace", "beta"):
-    on_pixels("additive_noise", None, f"additive_noise_{k}", noise_type=k, spatial_mode="per_pixel")
+AT = "y * 65537 + x"
+U = [f"({d.unit(f'n{i}', AT)} - 0.5)" for i in range(3)]
+B = [[d.unit(f"n{i}:{k}", AT) for k in range(3)] for i in range(3)]
+NOISE = {
+    "gaussian": [f"0.1 * {d.normal(f'n{i}', AT)}" for i in range(3)],
+    "laplace": [f"-0.1 * sign({u}) * ln(1 - 2 * abs({u}) * 0.999999::DOUBLE)" for u in U],
+    "beta": [f"0.1 * (list_sort([{', '.join(b)}])[2] - 0.5::DOUBLE)" for b in B],
+}
+for k, e in NOISE.items():
+    on_pixels("additive_noise", pixel_sql("y", "x", tuple(clip(f"v{i} + ({e[i]}) * 255") for i in range(3))), f"additive_noise_{k}", noise_type=k, spatial_mode="per_pixel")
 d = D(0, "0.random_tone_curve")
 a, b = (f"greatest(0, least(1, {m} + 0.1 * {d.normal(n)}))" for n, m in (("a", 0.25), ("b", 0.75)))
 on_pixels("random_tone_curve", pixel_sql("y", "x", same(clip(f"(3 * pow(1 - @ / 255.0, 2) * (@ / 255.0) * {a} + 3 * (1 - @ / 255.0) * pow(@ / 255.0, 2) * {b} + pow(@ / 255.0, 3)) * 255"))))
 on_pixels("illumination", pixel_sql("y", "x", same(clip("@ * (1 + 0.1 * exp(-(pow(x - 4, 2) + pow(y - 4, 2)) / (2 * pow(8 * 0.5, 2))))"))), mode="gaussian", intensity_range=(0.1, 0.1), effect_type="brighten", center_range=(0.5, 0.5), sigma_range=(0.5, 0.5))
-for m in ("linear", "corner"):
-    on_pixels("illumination", None, f"illumination_{m}", mode=m)
-for n in ("gauss_noise", "shot_noise", "hue_saturation_value", "color_jitter", "planckian_jitter", "random_shadow", "random_snow", "isonoise", "fancy_pca", "hestain", "superpixels", "image_compression", "clahe", "channel_shuffle"):
+SLOPE = "(((x / 7.0::DOUBLE - 0.5) * cos(p_angle) + (y / 7.0::DOUBLE - 0.5) * sin(p_angle)) / ((abs(cos(p_angle)) + abs(sin(p_angle))) / 2))"
+FAR = "sqrt(pow(x - CASE WHEN p_corner IN (0, 2) THEN 0 ELSE 7 END, 2) + pow(y - CASE WHEN p_corner IN (0, 1) THEN 0 ELSE 7 END, 2)) / sqrt(128.0::DOUBLE)"
+for m, e in {"linear": f"(1 - p_i + p_i * ({SLOPE} + 1))", "corner": f"(1 - p_i * {FAR})"}.items():
+    on_pixels("illumination", pixel_sql("y", "x", same(clip(f"@ * {e}")), cte=drawn("illumination", mode=m), source="q"), f"illumination_{m}", mode=m)
+on_pixels("gauss_noise", pixel_sql("y", "x", tuple(clip(f"v{i} + (p_mean + p_std * p_n{i}) * 255") for i in range(3)), cte=drawn("gauss_noise"), source="q"))
+DEALT = "[[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]"
+on_pixels("channel_shuffle", pixel_sql("y", "x", tuple(f"[v0, v1, v2][{DEALT}[2 * floor(p_a * 3)::INT + floor(p_b * 2)::INT + 1][{i + 1}] + 1]" for i in range(3)), cte=drawn("channel_shuffle"), source="q"))
+PLANCK = "((1 / (exp(1.438776877e-2 / {w} / {t}) - 1)) / (1 / (exp(1.438776877e-2 / {w} / 6500.0) - 1)))"
+GAIN = ["1" if w == "550e-9" else f"{PLANCK.format(w=w, t='p_t')} / {PLANCK.format(w='550e-9', t='p_t')}" for w in ("610e-9", "550e-9", "465e-9")]
+on_pixels("planckian_jitter", pixel_sql("y", "x", (clip(f"v0 * {GAIN[0]}"), "v1", clip(f"v2 * {GAIN[2]}")), cte=drawn("planckian_jitter"), source="q"))
+CROSS = [f"((p_x{{k}}{b} - p_x{{k}}{a}) * (y - p_y{{k}}{a}) - (p_y{{k}}{b} - p_y{{k}}{a}) * (x - p_x{{k}}{a}))" for a, b in ((0, 1), (1, 2), (2, 0))]
+SHADE = " OR ".join(f"(p_n > {k} AND (least({', '.join(CROSS)}) >= 0 OR greatest({', '.join(CROSS)}) <= 0))".format(k=k) for k in (0, 1))
+on_pixels("random_shadow", pixel_sql("y", "x", same(f"CASE WHEN {SHADE} THEN {clip('@ * (1 - p_i)')} ELSE @ END"), cte=drawn("random_shadow"), source="q"))
+for n in ("shot_noise", "hue_saturation_value", "color_jitter", "random_snow", "isonoise", "fancy_pca", "hestain", "superpixels", "image_compression", "clahe"):
     on_pixels(n)
 on_pixels("hestain", None, "hestain_macenko", method="macenko")
 
@@ -139,13 +183,17 @@ on_pixels("crop", pixel_sql("y - 2", "x - 1", V, "y BETWEEN 2 AND 4 AND x BETWEE
 d = D(0, "0.random_crop")
 x0, y0 = f"cast(floor(5 * {d.unit('u')}) as int)", f"cast(floor(5 * {d.unit('v')}) as int)"
 on_pixels("random_crop", pixel_sql(f"y - {y0}", f"x - {x0}", V, f"y >= {y0} AND y < {y0} + 4 AND x >= {x0} AND x < {x0} + 4"))
-on_pixels("random_crop_from_borders", None, crop_left=0.3, crop_right=0.3, crop_top=0.3, crop_bottom=0.3)
-on_pixels("random_crop_near_bbox", None, columns_={"bx0": "1", "by0": "1", "bx1": "6", "by1": "5"})
+on_pixels("random_crop_from_borders", window_sql("random_crop_from_borders", "p_x0", "p_y0", "p_x1", "p_y1", crop_left=0.3, crop_right=0.3, crop_top=0.3, crop_bottom=0.3), crop_left=0.3, crop_right=0.3, crop_top=0.3, crop_bottom=0.3)
+near = {"bx0": "1", "by0": "1", "bx1": "6", "by1": "5"}
+on_pixels("random_crop_near_bbox", window_sql("random_crop_near_bbox", "p_x0", "p_y0", "p_x1", "p_y1", near), columns_=near)
 union = {"ux0": "0.25e0", "uy0": "0.25e0", "ux1": "0.75e0", "uy1": "0.5e0"}
-on_pixels("bbox_safe_random_crop", None, columns_=union)
-on_pixels("random_sized_bbox_safe_crop", None, columns_=union)
-on_pixels("at_least_one_bbox_random_crop", None, columns_={"o" + k[1:]: e for k, e in union.items()})
-on_pixels("crop_non_empty_mask_if_exists", None, columns_={"mx": "3", "my": "5"})
+on_pixels("bbox_safe_random_crop", window_sql("bbox_safe_random_crop", "p_x0", "p_y0", "least(p_x1, 8)", "least(p_y1, 8)", union), columns_=union)
+WITHIN = "greatest(p_{a}0, least(p_{a}1 - 1, p_{a}0 + (o{a} + 0.5::DOUBLE) * (p_{a}1 - p_{a}0) / 8 - 0.5))"
+on_pixels("random_sized_bbox_safe_crop", taps_sql(drawn("random_sized_bbox_safe_crop", more=union), "8", "8", WITHIN.format(a="y"), WITHIN.format(a="x")), columns_=union)
+on_pixels("random_sized_crop", taps_sql(drawn("random_sized_crop"), "8", "8", WITHIN.format(a="y"), WITHIN.format(a="x")))
+one = {"o" + k[1:]: e for k, e in union.items()}
+on_pixels("at_least_one_bbox_random_crop", window_sql("at_least_one_bbox_random_crop", "p_x", "p_y", "p_x + 4", "p_y + 4", one), columns_=one)
+on_pixels("crop_non_empty_mask_if_exists", window_sql("crop_non_empty_mask_if_exists", "p_x", "p_y", "p_x + 4", "p_y + 4", {"mx": "3", "my": "5"}), columns_={"mx": "3", "my": "5"})
 PADDED = ", t AS (SELECT DISTINCT sample_id, unnest(range({h})) AS y FROM px), o AS (SELECT sample_id, y, unnest(range({w})) AS x FROM t)\n"
 on_pixels("pad", PX + PADDED.format(h=11, w=11) + "SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, " + ", ".join(f"coalesce({v}, 7.0) AS {v}" for v in V) + " FROM o LEFT JOIN px ON px.sample_id = o.sample_id AND px.y = o.y - 1 AND px.x = o.x - 1", padding=(1, 1, 2, 2), fill=7.0)
 on_pixels("pad_if_needed", PX + PADDED.format(h=12, w=11) + "SELECT o.sample_id, o.y::BIGINT AS y, o.x::BIGINT AS x, " + ", ".join(f"coalesce({v}, 0.0) AS {v}" for v in V) + " FROM o LEFT JOIN px ON px.sample_id = o.sample_id AND px.y = o.y - 2 AND px.x = o.x - 1", min_height=12, min_width=11)
@@ -161,12 +209,26 @@ on_pixels("blur", PX + OFFSETS + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS
 on_pixels("median_blur", PX + OFFSETS + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"median({v}) AS {v}" for v in V) + group, blur_limit=(3, 3))
 on_pixels("resize", pixel_sql("y // 2", "x // 2", V, "y % 2 = 0 AND x % 2 = 0").replace("y % 2 = 0 AND x % 2 = 0", "y % 2 = 1 AND x % 2 = 1"), "resize_nearest", height=4, width=4, linear=False)
 on_pixels("resize", PX + "SELECT sample_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, " + ", ".join(f"floor(avg({v}) + 0.5) AS {v}" for v in V) + " FROM px GROUP BY sample_id, y // 2, x // 2", height=4, width=4)
-d = D(0, "0.morphological")
-on_pixels("morphological", None)
-on_pixels("longest_max_size", None, max_size=6)
-on_pixels("smallest_max_size", None, max_size=6)
-on_pixels("downscale", None, scale_range=(0.5, 0.5))
-for n in ("gaussian_blur", "advanced_blur", "motion_blur", "glass_blur", "sharpen", "emboss", "unsharp_mask", "random_scale", "random_sized_crop", "random_resized_crop", "affine", "shift_scale_rotate", "rotate", "safe_rotate", "perspective", "optical_distortion", "chromatic_aberration", "grid_distortion", "elastic_transform", "piecewise_affine", "thin_plate_spline", "grid_elastic_deform", "zoom_blur"):
+BESIDE = ", n AS (SELECT a.*, b.v0 AS b0, b.v1 AS b1, b.v2 AS b2 FROM (SELECT *, unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS dx FROM q) a JOIN px b ON b.sample_id = a.sample_id AND b.y = 7 - abs(7 - abs(a.y + dy)) AND b.x = 7 - abs(7 - abs(a.x + dx)))\n"
+SHARP = "sum(b{i} * CASE WHEN dy = 0 AND dx = 0 THEN 8 * p_a + 1 - p_a + p_l * p_a ELSE -p_a END)"
+RELIEF = "sum(b{i} * (p_a * CASE WHEN dy = 0 AND dx = 0 THEN 1 WHEN dy = dx THEN dy * (1 + p_s) WHEN dy + dx = 0 THEN 0 ELSE (dy + dx) * p_s END + CASE WHEN dy = 0 AND dx = 0 THEN 1 - p_a ELSE 0 END))"
+WIDE = "max(b{i}) FILTER (WHERE dx * dx + dy * dy <= p_k * p_k / 4.0::DOUBLE)"
+for n, e in {"sharpen": clip(SHARP), "emboss": clip(RELIEF), "morphological": WIDE}.items():
+    on_pixels(n, drawn(n) + BESIDE + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"{e.format(i=i)} AS v{i}" for i in range(3)) + group)
+SIX = "greatest(0, least(7, (o{a} + 0.5::DOUBLE) * 8 / 6 - 0.5))"
+for n in ("longest_max_size", "smallest_max_size"):
+    on_pixels(n, taps_sql(drawn(n, max_size=6), "6", "6", SIX.format(a="y"), SIX.format(a="x")), max_size=6)
+SIDE = "floor(8 * p_s)"
+on_pixels("random_scale", taps_sql(drawn("random_scale"), SIDE, SIDE, *[f"greatest(0, least(7, (o{a} + 0.5::DOUBLE) * 8 / {SIDE} - 0.5))" for a in "yx"]))
+on_pixels("downscale", PX + "SELECT a.sample_id, a.y::BIGINT AS y, a.x::BIGINT AS x, b.v0, b.v1, b.v2 FROM px a JOIN px b ON b.sample_id = a.sample_id AND b.y = a.y - a.y % 2 AND b.x = a.x - a.x % 2", scale_range=(0.5, 0.5))
+TURN = ("3.5 + {z} * (cos(p_a) * (oy - 3.5 - {ty}) - sin(p_a) * (ox - 3.5 - {tx}))", "3.5 + {z} * (cos(p_a) * (ox - 3.5 - {tx}) + sin(p_a) * (oy - 3.5 - {ty}))")
+on_pixels("affine", pixel_sql("y", "x", V))
+on_pixels("affine", taps_sql(drawn("affine", rotate=(-30, 30), translate_px=(-2, 2)), "8", "8", *[t.format(z=1, ty="p_ty", tx="p_tx") for t in TURN], "0"), "affine_rotated", rotate=(-30, 30), translate_px=(-2, 2))
+on_pixels("rotate", taps_sql(drawn("rotate"), "8", "8", *[t.format(z=1, ty=0, tx=0) for t in TURN], "0"))
+on_pixels("shift_scale_rotate", taps_sql(drawn("shift_scale_rotate"), "8", "8", *[t.format(z="(1 / p_sx)", ty="p_ty", tx="p_tx") for t in TURN], "0"))
+LENS = "(1 + p_k * {r} + p_k * {r} * {r})".format(r="(pow((ox - 4) / 8.0::DOUBLE, 2) + pow((oy - 4) / 8.0::DOUBLE, 2))")
+on_pixels("optical_distortion", taps_sql(drawn("optical_distortion"), "8", "8", f"(oy - 4) * {LENS} + 4", f"(ox - 4) * {LENS} + 4", "0"))
+for n in ("gaussian_blur", "advanced_blur", "motion_blur", "glass_blur", "unsharp_mask", "random_resized_crop", "safe_rotate", "perspective", "chromatic_aberration", "grid_distortion", "elastic_transform", "piecewise_affine", "thin_plate_spline", "grid_elastic_deform", "zoom_blur"):
     on_pixels(n)
 on_pixels("defocus", None, radius=(2, 3))
 on_pixels("ringing_overshoot", None, blur_limit=(3, 3))
@@ -182,8 +244,11 @@ on_pixels("auto_contrast", PX + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS
 on_pixels("auto_contrast", None, "auto_contrast_cdf", cutoff=2.0)
 for n in ("histogram_matching", "pixel_distribution_adaptation", "fda"):
     on_pixels(n, None, reference_=True)
-for k in ("standard", "minmax"):
-    on_pixels("pixel_distribution_adaptation", None, f"pixel_distribution_adaptation_{k}", reference_=True, transform_type=k)
+MOMENTS = ", s AS (SELECT sample_id, " + ", ".join(f"avg(v{i}) AS m{i}, stddev_pop(v{i}) AS s{i}, min(v{i}) AS l{i}, max(v{i}) AS h{i}" for i in range(3)) + " FROM px GROUP BY sample_id), n AS (SELECT max(sample_id) + 1 AS n FROM px), z AS (SELECT q.*, s.* EXCLUDE (sample_id), " + ", ".join(f"t.{c}{i} AS t{c}{i}" for i in range(3) for c in "mslh") + " FROM q CROSS JOIN n JOIN s ON s.sample_id = q.sample_id JOIN s t ON t.sample_id = (q.sample_id + 1) % n.n)\n"
+ADAPTED = {"standard": "CASE WHEN s{i} = 0 THEN tm{i} ELSE (v{i} - m{i}) / s{i} * ts{i} + tm{i} END", "minmax": "CASE WHEN h{i} = l{i} THEN tl{i} ELSE (v{i} - l{i}) / (h{i} - l{i}) * (th{i} - tl{i}) + tl{i} END"}
+for k, e in ADAPTED.items():
+    mixed = tuple(clip(f"round(v{i} * (1 - p_b) + ({e.format(i=i)}) * p_b, 9)") for i in range(3))
+    on_pixels("pixel_distribution_adaptation", pixel_sql("y", "x", mixed, cte=drawn("pixel_distribution_adaptation", transform_type=k) + MOMENTS, source="z"), f"pixel_distribution_adaptation_{k}", reference_=True, transform_type=k)
 
 # holes
 d = D(0, "0.coarse_dropout")
@@ -198,9 +263,10 @@ on_pixels("pixel_dropout", pixel_sql("y", "x", same(f"CASE WHEN {d.unit('u', 'ca
 d = D(0, "0.salt_and_pepper")
 rank = f"row_number() OVER (PARTITION BY sample_id ORDER BY {d.unit('u', 'y * 65537 + x')}, y, x)"
 on_pixels("salt_and_pepper", PX + f", r AS (SELECT *, {rank} AS n FROM px) SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"CASE WHEN n <= 3 THEN 255.0 WHEN n <= 6 THEN 0.0 ELSE {v} END AS {v}" for v in V) + " FROM r", amount=(0.1, 0.1), salt_vs_pepper=(0.5, 0.5))
-on_pixels("time_masking", None, time_mask_param=3)
-on_pixels("frequency_masking", None, freq_mask_param=3)
-on_pixels("erasing", None)
+RECT = "CASE WHEN {e} AND x >= p_x0 AND x < p_{x1} AND y >= p_y0 AND y < p_{y1} THEN 0 ELSE @ END"
+on_pixels("time_masking", pixel_sql("y", "x", same("CASE WHEN x >= p_x0 AND x < p_xx0 THEN 0 ELSE @ END"), cte=drawn("time_masking", time_mask_param=3), source="q"), time_mask_param=3)
+on_pixels("frequency_masking", pixel_sql("y", "x", same("CASE WHEN y >= p_y0 AND y < p_yy0 THEN 0 ELSE @ END"), cte=drawn("frequency_masking", freq_mask_param=3), source="q"), freq_mask_param=3)
+on_pixels("erasing", pixel_sql("y", "x", same(RECT.format(e="p_ok", x1="x1", y1="y1")), cte=drawn("erasing"), source="q"))
 on_pixels("constrained_coarse_dropout", None, columns_={"targets": "array(named_struct('x_min', 0.1e0, 'y_min', 0.1e0, 'x_max', 0.9e0, 'y_max', 0.9e0))"}, hole_height_range=(0.3, 0.5), hole_width_range=(0.3, 0.5))
 
 
@@ -252,7 +318,22 @@ def on_volumes(name: str, sql: str | None, **args) -> None:
         ORACLE_SQL[name] = sql
 
 
-on_volumes("center_crop3_d", VOL + "SELECT sample_id, (z - 1)::BIGINT AS z, (y - 1)::BIGINT AS y, (x - 1)::BIGINT AS x, v0 FROM vx WHERE z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2)") if "center_crop3_d" in OPERATORS else None
+on_volumes("center_crop3d", VOL + "SELECT sample_id, (z - 1)::BIGINT AS z, (y - 1)::BIGINT AS y, (x - 1)::BIGINT AS x, v0 FROM vx WHERE z IN (1, 2) AND y IN (1, 2) AND x IN (1, 2)")
+
+
+def volume_sql(name: str, z: str, y: str, x: str, where: str = "true", v: str = "v0", more: str = "", source: str = "q", **args) -> str:
+    return drawn(name, VOL, "vx", **args) + more + f"SELECT sample_id, ({z})::BIGINT AS z, ({y})::BIGINT AS y, ({x})::BIGINT AS x, round(({v})::DOUBLE, 5) AS v0 FROM {source} WHERE {where}"
+
+
+START = {a: f"floor(3 * p_u{a})" for a in "zyx"}
+on_volumes("random_crop3d", volume_sql("random_crop3d", *[f"{a} - {START[a]}" for a in "zyx"], " AND ".join(f"{a} >= {START[a]} AND {a} < {START[a]} + 2" for a in "zyx")))
+BLANK = ", c AS (SELECT DISTINCT sample_id FROM q), o AS (SELECT sample_id, i // 36 AS z, i // 6 % 6 AS y, i % 6 AS x FROM (SELECT sample_id, unnest(range(216)) AS i FROM c)), z AS (SELECT o.sample_id, o.z, o.y, o.x, coalesce(vx.v0, 0) AS v0 FROM o LEFT JOIN vx ON vx.sample_id = o.sample_id AND vx.z = o.z - 1 AND vx.y = o.y - 1 AND vx.x = o.x - 1)\n"
+for n in ("pad3d", "pad_if_needed3d"):
+    on_volumes(n, volume_sql(n, "z", "y", "x", more=BLANK, source="z"))
+on_volumes("coarse_dropout3d", volume_sql("coarse_dropout3d", "z", "y", "x", v="CASE WHEN p_n > 0 AND " + " AND ".join(f"{a} >= p_{a}0 AND {a} < p_{a}{a}0" for a in "zyx") + " THEN 0 ELSE v0 END"))
+CUBE = [(p, m) for p in ("zyx", "zxy", "yzx", "yxz", "xzy", "xyz") for m in range(8)]
+TO = [f"CASE p_k {' '.join(f'WHEN {j} THEN ' + (f'3 - {p[a]}' if m >> (2 - a) & 1 else p[a]) for j, (p, m) in enumerate(CUBE))} END" for a in range(3)]
+on_volumes("cubic_symmetry", volume_sql("cubic_symmetry", *TO))
 for n in [o for o in OPERATORS if OPERATORS[o].__module__.endswith(".volume") and o not in QUERIES]:
     on_volumes(n, None)
 
@@ -368,6 +449,9 @@ SURE = (geometry.HorizontalFlip(p=1.0), geometry.VerticalFlip(p=1.0))
 u0, u1 = (D(0, "0.SomeOf").unit(f"rank{i}") for i in range(2))
 on_plan("compose_some_of", compose.SomeOf(SURE, n=1), pixel_sql(f"CASE WHEN {u0} <= {u1} THEN y ELSE 7 - y END", f"CASE WHEN {u0} <= {u1} THEN 7 - x ELSE x END", V))
 on_plan("compose_random_order", compose.RandomOrder(SURE, n=2), pixel_sql("7 - y", "7 - x", V))
+TURNS = (OPERATORS["horizontal_flip"](p=1.0), OPERATORS["transpose"](p=1.0))
+u0, u1 = (D(0, "0.RandomOrder").unit(f"rank{i}") for i in range(2))
+on_plan("compose_random_order_turns", compose.RandomOrder(TURNS, n=2), pixel_sql(f"CASE WHEN {u0} <= {u1} THEN 7 - x ELSE x END", f"CASE WHEN {u0} <= {u1} THEN y ELSE 7 - y END", V))
 on_plan("compose_selective_channel", compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0),), channels=(0, 2)), pixel_sql("y", "x", ("255 - v0", "v1", "255 - v2")))
 
 
@@ -384,7 +468,10 @@ def compose_replay(spark, sf_dir):
     return shown(plan.replay(Frame(px), plan.recorded(px.select("sample_id", "h", "w").distinct())).pixels)
 
 
-@query("compose_recorded")
+U4 = {k: D(0, "0.0.random_crop").unit(k) for k in "uv"}
+
+
+@query("compose_recorded", f"SELECT vec_id AS sample_id, true AS applied, {U4['u']} AS p_u, {U4['v']} AS p_v FROM (SELECT vec_id, vec_id AS sample_id FROM embeddings)")
 def compose_recorded(spark, sf_dir):
     px = src.embedding_pixels(spark, sf_dir)
     return compose.ReplayCompose((geometry.RandomCrop(4, 4),)).recorded(px.select("sample_id", "h", "w").distinct())["0.0"]
