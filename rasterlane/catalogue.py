@@ -168,6 +168,16 @@ on_pixels("random_shadow", pixel_sql("y", "x", same(f"CASE WHEN {SHADE} THEN {cl
 for n in ("shot_noise", "hue_saturation_value", "color_jitter", "random_snow", "isonoise", "fancy_pca", "hestain", "superpixels", "image_compression", "clahe"):
     on_pixels(n)
 on_pixels("hestain", None, "hestain_macenko", method="macenko")
+on_pixels("hestain", None, "hestain_vahadane", method="vahadane")
+#: A preset as plain least squares on the two densities, by Cramer's rule.
+STAINS = {"standard": ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11)), "dark": ((0.78, 0.55, 0.28), (0.09, 0.97, 0.21))}
+for n, (a, b) in STAINS.items():
+    at = lambda x, y: " + ".join(f"{i} * {j}" for i, j in zip(x, y))
+    od = [f"(-ln(greatest(1, v{i}) / 255.0::DOUBLE))" for i in range(3)]
+    g = [f"({at(a, a)} + 1e-6)::DOUBLE", f"({at(a, b)})::DOUBLE", f"({at(b, b)} + 1e-6)::DOUBLE"]
+    amounts = f", k AS (SELECT *, (({at(a, od)}) * {g[2]} - ({at(b, od)}) * {g[1]}) / ({g[0]} * {g[2]} - {g[1]} * {g[1]}) AS c0, (({at(b, od)}) * {g[0]} - ({at(a, od)}) * {g[1]}) / ({g[0]} * {g[2]} - {g[1]} * {g[1]}) AS c1 FROM q)\n"
+    back = tuple(clip(f"exp(-((c0 * p_s0 + p_t0) * {a[i]} + (c1 * p_s1 + p_t1) * {b[i]})) * 255") for i in range(3))
+    on_pixels("hestain", pixel_sql("y", "x", back, cte=drawn("hestain", preset=n) + amounts, source="k"), f"hestain_{n}", preset=n, augment_background=True)
 
 # rigid geometry
 GEOMETRY = {"horizontal_flip": ("y", "7 - x"), "vertical_flip": ("7 - y", "x"), "transpose": ("x", "y"), "time_reverse": ("y", "7 - x")}

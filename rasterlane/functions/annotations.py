@@ -126,11 +126,17 @@ class KeypointParams:
 
 
 def labels_encoded(df: DataFrame, label: str = "label") -> DataFrame:
-    """With label_id: numbers before strings, each in order. Distinct labels are few beside the rows."""
-    kinds = df.select(label).distinct()
-    order = Window.orderBy(F.expr(f"try_cast({label} as double) is null"), F.expr(f"try_cast({label} as double)"), label)
-    ids = kinds.select(label, (F.row_number().over(order) - 1).alias("label_id"))
-    return df.join(ids, label)
+    """With label_id: numbers before strings, each in order, null last. Distinct labels are dealt by ranges
+    of this order; a label's number is its place in its range after the sizes of the ranges before."""
+    n = f"try_cast({label} as double)"
+    order = [F.col(label).isNull(), F.expr(f"{n} is null"), F.expr(n), F.col(label)]
+    kinds = df.select(label).distinct().repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    place = Window.partitionBy("__part").orderBy(*order)
+    ranked = kinds.withColumn("__n", F.row_number().over(place))
+    sizes = ranked.groupBy("__part").agg(F.count("*").alias("size"))
+    offsets = sizes.select("__part", (F.sum("size").over(Window.orderBy("__part")) - F.col("size")).alias("__before"))  # a row for each range
+    ids = ranked.join(offsets, "__part").select(F.col(label).alias("__label"), (F.col("__n") + F.col("__before") - 1).alias("label_id"))
+    return df.join(ids, F.col(label).eqNullSafe(F.col("__label"))).drop("__label")
 
 
 def labels_decoded(df: DataFrame, ids: DataFrame, label: str = "label") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterlane.functions import colour
 from rasterlane.functions.sampling import Draws, num
 
-from .base import Operator, clipped, operator, values
+from .base import Operator, clipped, operator, or_old, values
 from .pointwise import recoloured, scaled
 
 
@@ -24,10 +24,10 @@ def histogram(df: DataFrame, channel: str, where: str | None = None) -> DataFram
     return rows.groupBy("sample_id", F.floor(channel).cast("int").alias("v")).agg(F.count("*").alias("n"))
 
 
-def cumulative(hist: DataFrame) -> DataFrame:
-    """With cum (up to v), before, total, first (count of the lowest value) and last."""
-    up = Window.partitionBy("sample_id").orderBy("v")
-    all_ = Window.partitionBy("sample_id")
+def cumulative(hist: DataFrame, *keys: str) -> DataFrame:
+    """With cum (up to v), before, total, first (count of the lowest value) and last, by sample and keys."""
+    all_ = Window.partitionBy("sample_id", *keys)
+    up = all_.orderBy("v")
     out = hist.withColumns({"cum": F.sum("n").over(up), "total": F.sum("n").over(all_), "low": F.min("v").over(all_), "high": F.max("v").over(all_)})
     return out.withColumns({"first": F.max(F.expr("case when v = low then n end")).over(all_), "last": F.max(F.expr("case when v = high then n end")).over(all_)})
 
@@ -39,6 +39,23 @@ def through(df: DataFrame, channel: str, table: DataFrame) -> DataFrame:
     return out.withColumn(channel, F.coalesce("__new", channel)).drop("__v", "__new")
 
 
+def by_tables(df: DataFrame, names: list[str], where: str | None, table) -> DataFrame:
+    """Values of all named columns replaced at once: one histogram of (sample, column, value), one
+    table of 256 entries for each sample and column, one join on the sample.
+
+    table: of a histogram (sample_id, ch, v, n) its new values (sample_id, ch, v, new), by windows on
+    sample and ch. Samples without an id or a table stay as they are.
+    """
+    rows = df.where(where) if where else df
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.floor(v).cast("int").alias("v")) for i, v in enumerate(names)]))
+    hist = rows.select("sample_id", each.alias("c")).groupBy("sample_id", "c.ch", "c.v").agg(F.count("*").alias("n")).repartition("sample_id")
+    entries = F.map_from_entries(F.collect_list(F.struct("v", F.col("new").cast("double").alias("new"))))
+    lists = table(hist).where("v between 0 and 255").groupBy("sample_id", "ch").agg(entries.alias("m")).withColumn("t", F.expr("transform(sequence(0, 255), i -> m[i])"))
+    tables = lists.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("ch", "t"))).alias("__t"))
+    out = df.join(tables, "sample_id", "left")
+    return out.withColumns({v: F.expr(f"coalesce(get(__t[{i}], cast(floor({v}) as int)), {v})") for i, v in enumerate(names)}).drop("__t")
+
+
 @operator
 class Equalize(Operator):
     """Histogram equalisation, by channel or of lightness alone, optionally counting only pixels
@@ -50,21 +67,19 @@ class Equalize(Operator):
     p: float = 0.5
 
     def table(self, hist: DataFrame) -> DataFrame:
-        c = cumulative(hist)
+        c = cumulative(hist, "ch")
         if self.mode == "cv":
             new = "case when total = first then v else greatest(0e0, rint((cum - first) * (255e0 / (total - first)))) end"
         else:
             step = "floor((total - last) / 255e0)"
             new = f"case when {step} = 0 or low = high then v else least(255e0, floor((cum - n + floor({step} / 2)) / {step})) end"
-        return c.selectExpr("sample_id", "v", f"cast({new} as double) as new")
+        return c.withColumn("new", F.expr(f"cast({new} as double)"))
 
     def on_pixels(self, df, channels, top):
         if self.by_channels:
-            for v in values(channels):
-                df = through(df, v, self.table(histogram(df, v, self.mask)))
-            return df
+            return by_tables(df, values(channels), self.mask, self.table)
         df = df.withColumn("__y", F.expr(f"floor({colour.luma('v0', 'v1', 'v2')} + 0.5e0)")).withColumn("__o", F.col("__y"))
-        df = through(df, "__y", self.table(histogram(df, "__y", self.mask)))
+        df = by_tables(df, ["__y"], self.mask, self.table)
         return df.withColumns({v: F.expr(clipped(f"({v} + __y - __o)", top)) for v in values(channels)}).drop("__y", "__o")
 
 
@@ -77,20 +92,19 @@ class AutoContrast(Operator):
     method: str = "cdf"
     p: float = 0.5
 
+    def table(self, hist: DataFrame) -> DataFrame:
+        if self.ignore is not None:
+            hist = hist.where(f"v <> {self.ignore}")
+        c = cumulative(hist, "ch").withColumns({"cut": F.expr(f"total * {num(self.cutoff)} / 100e0"), "above": F.expr("total - cum + n")})
+        w = Window.partitionBy("sample_id", "ch")
+        c = c.withColumns({"lo": F.min(F.expr("case when cum > cut then v end")).over(w), "hi": F.max(F.expr("case when above > cut then v end")).over(w)})
+        c = c.withColumns({"c0": F.min(F.expr("case when v = lo then cum end")).over(w), "c1": F.max(F.expr("case when v = hi then cum end")).over(w)})
+        inside = "floor((cum - c0) * 255e0 / (c1 - c0))" if self.method == "cdf" else "floor((v - lo) * 255e0 / (hi - lo))"
+        new = f"case when lo is null or hi is null or lo >= hi then v when v < lo then 0 when v > hi then 255 else {inside} end"
+        return c.withColumn("new", F.expr(f"cast({new} as double)"))
+
     def on_pixels(self, df, channels, top):
-        for v in values(channels):
-            hist = histogram(df, v, f"floor({v}) <> {self.ignore}" if self.ignore is not None else None)
-            c = cumulative(hist).withColumns({"cut": F.expr(f"total * {num(self.cutoff)} / 100e0"), "above": F.expr("total - cum + n")})
-            w = Window.partitionBy("sample_id")
-            c = c.withColumns({"lo": F.min(F.expr("case when cum > cut then v end")).over(w), "hi": F.max(F.expr("case when above > cut then v end")).over(w)})
-            c = c.withColumns({"c0": F.min(F.expr("case when v = lo then cum end")).over(w), "c1": F.max(F.expr("case when v = hi then cum end")).over(w)})
-            if self.method == "cdf":
-                inside = "floor((cum - c0) * 255e0 / (c1 - c0))"
-            else:
-                inside = "floor((v - lo) * 255e0 / (hi - lo))"
-            new = f"case when lo is null or hi is null or lo >= hi then v when v < lo then 0 when v > hi then 255 else {inside} end"
-            df = through(df, v, c.selectExpr("sample_id", "v", f"cast({new} as double) as new"))
-        return df
+        return by_tables(df, values(channels), None, self.table)
 
 
 @operator
@@ -177,9 +191,45 @@ class FancyPCA(Operator):
 
 
 class Stain:
-    """Optical densities of haematoxylin and eosin, red, green, blue (fixed values of published presets)."""
+    """Optical densities of haematoxylin and eosin: red, green, blue of each."""
+
+    #: Fixed values, under the names that users know them by.
+    PRESETS = {
+        "ruifrok": ((0.644211, 0.716556, 0.266844), (0.092789, 0.954111, 0.283111)),
+        "macenko": ((0.5626, 0.7201, 0.4062), (0.2159, 0.8012, 0.5581)),
+        "standard": ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11)),
+        "high_contrast": ((0.55, 0.88, 0.11), (0.12, 0.86, 0.49)),
+        "h_heavy": ((0.75, 0.61, 0.32), (0.04, 0.93, 0.36)),
+        "e_heavy": ((0.60, 0.75, 0.28), (0.17, 0.95, 0.25)),
+        "dark": ((0.78, 0.55, 0.28), (0.09, 0.97, 0.21)),
+        "light": ((0.57, 0.71, 0.38), (0.15, 0.89, 0.42)),
+    }
+
+
+def factored(density: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Two non-negative unit colours whose non-negative mixtures come nearest to the densities (pixel, 3).
+
+    Lee and Seung's multiplicative updates from the ruifrok preset; haematoxylin, the one that takes
+    the larger share of red, comes first.
+    """
+    colours = np.array(Stain.PRESETS["ruifrok"])
+    amounts = np.maximum(density @ (colours / np.linalg.norm(colours, axis=1, keepdims=True)).T, 1e-6)
+    for _ in range(rounds):
+        amounts = amounts * (density @ colours.T) / (amounts @ (colours @ colours.T) + 1e-6)
+        colours = colours * (amounts.T @ density) / ((amounts.T @ amounts) @ colours + 1e-6)
+        colours = colours / np.maximum(np.linalg.norm(colours, axis=1, keepdims=True), 1e-6)
+    return colours[np.argsort(-colours[:, 0] / np.maximum(colours.sum(axis=1), 1e-9), kind="stable")]
+
+
+def factors(df: DataFrame) -> DataFrame:
+    """(sample_id, __f): factored() of each sample's densities __d0, __d1, __d2, a batch of samples at a time."""
+
+    @F.pandas_udf("array<array<double>>")
+    def factor(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([factored(np.stack([x, y, z], 1).astype(float)).tolist() for x, y, z in zip(a, b, c)])
 
-    PRESETS = {"ruifrok": ((0.644211, 0.716556, 0.266844), (0.092789, 0.954111, 0.283111)), "standard": ((0.5626, 0.7201, 0.4062), (0.2159, 0.8012, 0.5581)), "high_contrast": ((0.5642, 0.7201, 0.4062), (0.2159, 0.5581, 0.8012))}
+    rows = df.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "__d0", "__d1", "__d2"))).alias("q"))
+    return rows.select("sample_id", factor(*[F.expr(f"transform(q, r -> r.__d{i})") for i in range(3)]).alias("__f"))
 
 
 @operator
@@ -195,14 +245,17 @@ class HEStain(Operator):
 
     def draws(self, d: Draws):
         out = {f"s{i}": d.between(f"s{i}", *self.intensity_scale_range) for i in range(2)} | {f"t{i}": d.between(f"t{i}", *self.intensity_shift_range) for i in range(2)}
-        return out | {"preset": d.integer("preset", 0, len(Stain.PRESETS) - 1)}
+        return out | {"preset": d.integer("preset", 0, len(Stain.PRESETS) - 1) if self.preset is None else "0"}
 
     def on_pixels(self, df, channels, top):
         df = df.withColumns({f"__d{i}": F.expr(f"-ln(greatest(1e0, {v} * {num(255 / top)}) / 255e0)") for i, v in enumerate(values(3))})
-        if self.method in ("macenko", "vahadane"):
+        if self.method == "vahadane":
+            df = df.join(factors(df), "sample_id", "left")
+            vec = [[f"coalesce(__f[{k}][{i}], {num(Stain.PRESETS['ruifrok'][k][i])})" for i in range(3)] for k in range(2)]
+        elif self.method == "macenko":
             # the plane of the two largest axes of the densities; stains are its extreme directions
             stats = axes(moments(df, ("__d0", "__d1", "__d2")).withColumnsRenamed({})).select("sample_id", "axes")
-            df = df.join(stats, "sample_id")
+            df = df.join(stats, "sample_id", "left")
             df = df.withColumn("__phi", F.expr("atan2(__d0 * axes[1][1] + __d1 * axes[1][2] + __d2 * axes[1][3], __d0 * axes[0][1] + __d1 * axes[0][2] + __d2 * axes[0][3])"))
             ends = df.where("__d0 + __d1 + __d2 > 0.15").groupBy("sample_id").agg(F.percentile("__phi", F.array(F.lit(0.01), F.lit(0.99))).alias("__e"))
             df = df.join(ends, "sample_id", "left")
@@ -281,7 +334,8 @@ class PixelDistributionAdaptation(Operator):
                 return x.groupBy("sample_id").agg(*[f(v).alias(f"{tag}{n}{i}") for i, v in enumerate(values(channels)) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
             return axes(moments(x)).select("sample_id", *[F.col(f"m{i}").alias(f"{tag}m{i}") for i in range(3)], F.col("axes").alias(f"{tag}axes"))
 
-        out = df.join(stats(df, "s_"), "sample_id").join(stats(self.reference, "t_"), "sample_id")
+        found = stats(self.reference, "t_").withColumn("__ref", F.lit(True))
+        out = df.join(stats(df, "s_"), "sample_id", "left").join(found, "sample_id", "left")
         if self.transform_type == "minmax":
             new = [f"(case when s_hi{i} = s_lo{i} then t_lo{i} else (v{i} - s_lo{i}) / (s_hi{i} - s_lo{i}) * (t_hi{i} - t_lo{i}) + t_lo{i} end)" for i in range(channels)]
         elif self.transform_type == "standard":
@@ -290,7 +344,7 @@ class PixelDistributionAdaptation(Operator):
             part = [f"(({' + '.join(f'(v{j} - s_m{j}) * s_axes[{k}][{j + 1}]' for j in range(3))}) * (case when s_axes[{k}][0] <= 1e-9 then 0e0 else sqrt(abs(t_axes[{k}][0]) / s_axes[{k}][0]) end))" for k in range(3)]
             out = out.withColumns({f"__k{k}": F.expr(e) for k, e in enumerate(part)})
             new = [f"(t_m{i} + {' + '.join(f'__k{k} * t_axes[{k}][{i + 1}]' for k in range(3))})" for i in range(3)]
-        out = out.withColumns({f"v{i}": F.expr(blended(f"v{i}", e, top)) for i, e in enumerate(new)})
+        out = out.withColumns({f"v{i}": F.expr(f"case when __ref then {blended(f'v{i}', e, top)} else v{i} end") for i, e in enumerate(new)})
         return out.select(*df.columns)
 
 
@@ -302,6 +356,7 @@ class FDA(Operator):
     reference: DataFrame | None = None
     beta_limit: tuple = (0.0, 0.1)
     p: float = 0.5
+    own = ("pixels",)
 
     def draws(self, d: Draws):
         return {"beta": d.between("beta", *self.beta_limit)}
@@ -324,9 +379,11 @@ class FDA(Operator):
                 out.append(np.fft.ifft2(amp * np.exp(1j * np.angle(s))).real.ravel().tolist())
             return pd.Series(out)
 
-        rows = source.join(target, "sample_id")
-        rows = rows.withColumns({f"a{i}": swap(f"a{i}", f"r{i}", "h", "w", "p_beta") for i in range(channels)}).drop("rh", "rw", *[f"r{i}" for i in range(channels)])
-        return spread(rows, channels, {v: clipped(f"(a{i}[q.y * w + q.x])", top) for i, v in enumerate(values(channels))})
+        rows = source.join(target, "sample_id", "left")  # a sample without a reference stays as it is
+        rows = rows.withColumns({f"r{i}": F.coalesce(f"r{i}", f"a{i}") for i in range(channels)}).withColumn("__beta", F.coalesce("p_beta", F.lit(0.0)))
+        rows = rows.withColumns({f"__n{i}": swap(f"a{i}", f"r{i}", "h", "w", "__beta") for i in range(channels)})
+        rows = rows.withColumns({f"__n{i}": F.when(F.col("rh").isNull(), F.col(f"a{i}")).otherwise(F.col(f"__n{i}")) for i in range(channels)}).drop("rh", "rw", "__beta", *[f"r{i}" for i in range(channels)])
+        return spread(rows, channels, {v: clipped(f"(__n{i}[q.y * w + q.x])", top) for i, v in enumerate(values(channels))}).drop(*[f"__n{i}" for i in range(channels)])
 
 
 @operator
@@ -368,6 +425,7 @@ class ImageCompression(Operator):
 
     quality_range: tuple = (99, 100)
     p: float = 0.5
+    own = ("pixels",)
 
     def draws(self, d: Draws):
         return {"q": d.integer("q", *self.quality_range)}
@@ -385,5 +443,5 @@ class ImageCompression(Operator):
             step = f"greatest(1e0, (8e0 + 4e0 * (k.u + k.v)) * {scale})"
             coef = f"transform(flatten(transform(sequence(0, bh - 1), u -> transform(sequence(0, bw - 1), v -> named_struct('u', u, 'v', v)))), k -> named_struct('u', k.u, 'v', k.v, 'c', {step} * rint(aggregate(px, 0e0, (s, q) -> s + (q.{v} - 128e0) * {cos('(q.y - __by * 8)', 'k.u', 'bh')} * {cos('(q.x - __bx * 8)', 'k.v', 'bw')}) * sqrt({norm}) / {step}) * sqrt({norm})))"
             blocks = blocks.withColumn(f"k{v}", F.expr(coef))
-        cell = ", ".join(f"'{v}', " + clipped(f"(128e0 + aggregate(k{v}, 0e0, (s, k) -> s + k.c * {cos('(q.y - __by * 8)', 'k.u', 'bh')} * {cos('(q.x - __bx * 8)', 'k.v', 'bw')}))", top) for v in names)
+        cell = ", ".join(f"'{v}', " + or_old(df, clipped(f"(128e0 + aggregate(k{v}, 0e0, (s, k) -> s + k.c * {cos('(q.y - __by * 8)', 'k.u', 'bh')} * {cos('(q.x - __bx * 8)', 'k.v', 'bw')}))", top), f"q.{v}") for v in names)
         return blocks.select("sample_id", "h", "w", *rest, F.inline(F.expr(f"transform(px, q -> named_struct('y', q.y, 'x', q.x, {cell}))")))
