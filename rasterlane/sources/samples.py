@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +81,26 @@ def volume_tensor(volumes: DataFrame, channels: int = 1) -> DataFrame:
     return rows.select("sample_id", F.lit(channels).alias("c"), "d", "h", "w", F.flatten(planes).alias("data"))
 
 
+def embedding_images(spark: SparkSession, sf_dir: str, side: int = 256) -> DataFrame:
+    """Samples as rows: a side x side image of each vector of `embeddings`, its 8 x 8 values (see
+    embedding_pixels) repeated in squares. sample_id, h, w, c, data (bytes)."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("sample_id"), F.slice("embedding", 1, 64).alias("e"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                e = np.array(part.column(1).to_pylist(), np.float32).astype(float)
+                v = np.clip(np.floor((e + 1) * 127.5), 0, 255)
+                small = np.stack([v, v[:, ::-1], (v + 7 * np.arange(64)) % 256], axis=2).reshape(-1, 8, 8, 3).astype(np.uint8)
+                big = small.repeat(side // 8, axis=1).repeat(side // 8, axis=2)
+                n = part.num_rows
+                sizes = [pa.array([s] * n, pa.int32()) for s in (side, side, 3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *sizes, pa.array([x.tobytes() for x in big], pa.binary())], ["sample_id", "h", "w", "c", "data"])
+
+    return rows.mapInArrow(draw, "sample_id long, h int, w int, c int, data binary")
+
+
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Compact rows of image files by Spark's own reader (stored as BGR); sample_id from the path."""
     rows = spark.read.format("image").load(path).select("image.*")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import struct
 
 import duckdb
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterlane import catalogue
 from rasterlane.functions.annotations import BoxParams, KeypointParams, boxes_from_internal, boxes_to_internal
 from rasterlane.functions.sampling import Draws
-from rasterlane.operators import OPERATORS, Frame
+from rasterlane.operators import OPERATORS, Frame, packed
 from rasterlane.operators.volume import SYMMETRIES
 from rasterlane.plans import compose
 from rasterlane.sources import samples as src
@@ -225,3 +226,33 @@ def test_the_entry_without_the_optional_folder():
     import __spark_entry__
 
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+PACKED = [("invert_img", {}), ("solarize", {}), ("posterize", {"num_bits": (2, 6)}), ("random_brightness_contrast", {}), ("random_gamma", {}), ("rgbshift", {}), ("to_gray", {}), ("channel_dropout", {}), ("d4", {}), ("random_rotate90", {}),
+    ("random_crop", {"height": 5, "width": 3}), ("center_crop", {}), ("pad", {"padding": (1, 2, 3, 0), "fill": 7.0}), ("pad", {"padding": 3, "border": "mirror"}), ("coarse_dropout", {"fill": 9.0}), ("equalize", {}), ("auto_contrast", {"cutoff": 5.0}), ("auto_contrast", {"method": "pil"}), ("blur", {}), ("resize", {"height": 5, "width": 11}), ("random_scale", {}), ("rotate", {}), ("perspective", {}), ("affine", {"rotate": (-20, 20), "scale": (0.7, 1.3), "shear": (-9, 9)})]
+
+
+def test_samples_as_rows_give_the_same_pixels(spark):
+    images = src.embedding_images(spark, SF, 8).where("sample_id < 12").cache()
+    px = src.embedding_pixels(spark, SF).where("sample_id < 12").cache()
+    assert table(Frame(packed.unpacked(images, 3))) == table(Frame(px))
+    for name, args in PACKED:
+        op = OPERATORS[name](**(args | {"p": 0.6}))
+        found = packed.apply(op, images, 2)
+        assert table(Frame(packed.unpacked(found, 3))) == table(op.run(Frame(px), 2)), name
+    ops = [OPERATORS[n](**({"p": 0.5} | a)) for n, a in (PACKED[0], PACKED[8], PACKED[12], PACKED[10], PACKED[18], PACKED[14])]
+    plan = compose.Compose((*ops[:3], compose.OneOf((ops[3], ops[4]), p=0.8), ops[5]))
+    out = packed.apply(plan, images, 5)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert table(Frame(packed.unpacked(out, 3))) == table(plan.run(Frame(px), 5)) and "Exchange" not in text and text.count("MapInArrow") <= 2
+
+
+def test_samples_as_rows_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, 2, 2, 1, bytearray([0, 1, 2, 255])), (None, 1, 1, 1, bytearray([9])), (2, 1, 1, 1, None)], "sample_id long, h int, w int, c int, data binary")
+    found = {r["sample_id"]: r["data"] for r in packed.apply(OPERATORS["invert_img"](p=1.0), rows).collect()}
+    assert found == {1: bytearray([255, 254, 253, 0]), None: bytearray([246]), 2: None}
+    floats = packed.apply(OPERATORS["normalize"](mean=(0.5,), std=(0.5,)), rows.limit(1)).first()
+    assert [round(x, 4) for x in struct.unpack("4f", floats["data"])] == [-1.0, -0.9922, -0.9843, 1.0]
+    assert packed.apply(OPERATORS["horizontal_flip"](p=0.5), rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="no kernel"):
+        packed.apply(OPERATORS["clahe"](), rows)
