@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions import annotations as ann
 from rasterlane.functions.sampling import Draws
-from rasterlane.operators import OPERATORS, Frame, dropout, geometry, text
+from rasterlane.operators import OPERATORS, Frame, dropout, geometry, packed, text
 from rasterlane.operators.base import values
 from rasterlane.plans import compose
 from rasterlane.sources import samples as src
@@ -251,7 +251,14 @@ EQ = ", ".join(f"CASE WHEN h{i}.total = h{i}.f THEN h{i}.v ELSE round_even((h{i}
 JOINS = " ".join(f"JOIN h{i} ON h{i}.sample_id = px.sample_id AND h{i}.v = px.v{i}" for i in range(3))
 on_pixels("equalize", f"{HIST} SELECT px.sample_id, y::BIGINT AS y, x::BIGINT AS x, {EQ} FROM px {JOINS}")
 on_pixels("auto_contrast", PX + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"CASE WHEN min({v}) OVER s = max({v}) OVER s THEN {v} ELSE floor(({v} - min({v}) OVER s) * 255.0::DOUBLE / (max({v}) OVER s - min({v}) OVER s)) END AS {v}" for v in V) + " FROM px WINDOW s AS (PARTITION BY sample_id)", method="pil")
-on_pixels("auto_contrast", None, "auto_contrast_cdf", cutoff=2.0)
+CDF = PX + "".join(
+    f", g{i} AS (SELECT sample_id, v{i} AS v, count(*) AS n FROM px GROUP BY ALL), k{i} AS (SELECT *, sum(n) OVER (PARTITION BY sample_id ORDER BY v) AS cum, sum(n) OVER (PARTITION BY sample_id ORDER BY v DESC) AS above FROM g{i}),"
+    f" l{i} AS (SELECT *, min(CASE WHEN cum > 1.28 THEN v END) OVER w AS lo, max(CASE WHEN above > 1.28 THEN v END) OVER w AS hi FROM k{i} WINDOW w AS (PARTITION BY sample_id)),"
+    f" h{i} AS (SELECT *, max(CASE WHEN v = lo THEN cum END) OVER w AS c0, max(CASE WHEN v = hi THEN cum END) OVER w AS c1 FROM l{i} WINDOW w AS (PARTITION BY sample_id))"
+    for i in range(3)
+)
+STRETCH = ", ".join(f"CASE WHEN h{i}.lo >= h{i}.hi THEN h{i}.v WHEN h{i}.v < h{i}.lo THEN 0 WHEN h{i}.v > h{i}.hi THEN 255 ELSE floor((h{i}.cum - h{i}.c0) * 255.0::DOUBLE / (h{i}.c1 - h{i}.c0)) END AS v{i}" for i in range(3))
+on_pixels("auto_contrast", f"{CDF} SELECT px.sample_id, y::BIGINT AS y, x::BIGINT AS x, {STRETCH} FROM px {JOINS}", "auto_contrast_cdf", cutoff=2.0)
 for n in ("histogram_matching", "pixel_distribution_adaptation", "fda"):
     on_pixels(n, None, reference_=True)
 MOMENTS = ", s AS (SELECT sample_id, " + ", ".join(f"avg(v{i}) AS m{i}, stddev_pop(v{i}) AS s{i}, min(v{i}) AS l{i}, max(v{i}) AS h{i}" for i in range(3)) + " FROM px GROUP BY sample_id), n AS (SELECT max(sample_id) + 1 AS n FROM px), z AS (SELECT q.*, s.* EXCLUDE (sample_id), " + ", ".join(f"t.{c}{i} AS t{c}{i}" for i in range(3) for c in "mslh") + " FROM q CROSS JOIN n JOIN s ON s.sample_id = q.sample_id JOIN s t ON t.sample_id = (q.sample_id + 1) % n.n)\n"
@@ -317,6 +324,31 @@ def mosaic(spark, sf_dir):
     return shown(OPERATORS["mosaic"](items=Frame(items), p=1.0).run(Frame(px)).pixels)
 
 
+# samples as rows
+def on_rows(name: str, query: str | None = None, **args) -> None:
+    """An operator over samples as rows, against the SQL of the same operator over pixels."""
+    op = OPERATORS[name](**({"p": 1.0} | args))
+    QUERIES[f"rows_{query or name}"] = lambda spark, sf_dir: shown(packed.unpacked(packed.apply(op, src.embedding_images(spark, sf_dir, 8)), 3))
+    ORACLE_SQL[f"rows_{query or name}"] = ORACLE_SQL[query or name]
+
+
+for n in ("invert_img", "solarize", "posterize", "to_gray", "rgbshift", "channel_dropout", "horizontal_flip", "vertical_flip", "transpose", "d4", "random_rotate90", "center_crop", "random_crop", "equalize", "rotate"):
+    on_rows(n)
+on_rows("random_brightness_contrast", brightness_limit=(0.1, 0.1), contrast_limit=(0.2, 0.2))
+on_rows("random_gamma", gamma_limit=(120, 120))
+on_rows("pad", padding=(1, 1, 2, 2), fill=7.0)
+on_rows("blur", blur_limit=(3, 3))
+on_rows("resize", height=4, width=4)
+on_rows("auto_contrast", method="pil")
+on_rows("coarse_dropout", hole_height_range=(2, 2), hole_width_range=(3, 3), fill=9.0)
+
+
+@query("rows_compose", None)
+def rows_compose(spark, sf_dir):
+    images = src.embedding_images(spark, sf_dir, 8)
+    return shown(packed.unpacked(packed.apply(compose.Compose((geometry.HorizontalFlip(p=0.5), geometry.VerticalFlip(p=0.5))), images), 3))
+
+
 # volumes
 def on_volumes(name: str, sql: str | None, **args) -> None:
     def run(spark, sf_dir):
@@ -449,6 +481,7 @@ def gate(path: str, op: str, p: float = 0.5) -> str:
 
 H, VF = gate("0.0", "horizontal_flip"), gate("0.1", "vertical_flip")
 on_plan("compose", compose.Compose(FLIPS), pixel_sql(f"CASE WHEN {VF} THEN 7 - y ELSE y END", f"CASE WHEN {H} THEN 7 - x ELSE x END", V))
+ORACLE_SQL["rows_compose"] = ORACLE_SQL["compose"]
 S = gate("0", "Sequential")
 on_plan("compose_sequential", compose.Sequential(FLIPS), pixel_sql(f"CASE WHEN {S} AND {VF} THEN 7 - y ELSE y END", f"CASE WHEN {S} AND {H} THEN 7 - x ELSE x END", V))
 C = f"{D(0, '0.OneOf').unit('choice')} < 0.5"

@@ -48,7 +48,8 @@ def normal(x, q, op):
 
 
 def grey(img, q, op):
-    return np.repeat(whole(img[..., :3] @ np.array([0.299, 0.587, 0.114]))[..., None], op.num_output_channels, axis=2)
+    luma = 0.299 * img[..., 0] + 0.587 * img[..., 1] + 0.114 * img[..., 2]
+    return np.repeat(whole(luma)[..., None], op.num_output_channels, axis=2)
 
 
 def dropped(img, q, op):
