@@ -107,35 +107,53 @@ def stretch(n: np.ndarray, op) -> np.ndarray:
 
 
 def boxed(img, q, op):
-    """The mean of k x k by running sums, mirrored at the edges."""
+    """The mean of k x k, mirrored at the edges: shifted rows and columns are added, sums are looked up."""
     k = q["k"]
-    x = np.pad(img, ((k // 2, k // 2), (k // 2, k // 2), (0, 0)), "reflect").astype(np.int32)
-    for axis in (0, 1):
-        total = np.cumsum(x, axis=axis)
-        lead = [slice(None)] * 3
-        lead[axis] = slice(k - 1, None)
-        out = total[tuple(lead)].copy()
-        late, back = [slice(None)] * 3, [slice(None)] * 3
-        late[axis], back[axis] = slice(1, None), slice(None, -k)
-        out[tuple(late)] -= total[tuple(back)]
-        x = out
-    return ((2 * x + k * k) // (2 * k * k)).astype(np.uint8)  # floor(mean + 1/2) in whole numbers
+    h, w = img.shape[:2]
+    x = np.pad(img, ((k // 2, k // 2), (k // 2, k // 2), (0, 0)), "reflect").astype(np.uint16 if k <= 16 else np.uint32)
+    rows = x[:h].copy()
+    for i in range(1, k):
+        rows += x[i : i + h]
+    out = rows[:, :w].copy()
+    for i in range(1, k):
+        out += rows[:, i : i + w]
+    sums = np.arange(255 * k * k + 1)
+    return ((2 * sums + k * k) // (2 * k * k)).astype(np.uint8).take(out)  # floor(mean + 1/2)
 
 
 def bilinear(img, sy, sx, border: str, fill: float):
     """img at (sy, sx); beyond the edge fill, or a mirror without the edge repeated."""
-    h, w = img.shape[:2]
-    fy, fx = np.floor(sy).astype(np.int64), np.floor(sx).astype(np.int64)
-    ty, tx = (sy - fy)[..., None], (sx - fx)[..., None]
-
-    def tap(y, x):
-        if border == "constant":
-            out = img[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)].astype(float)
-            return np.where(((y >= 0) & (y < h) & (x >= 0) & (x < w))[..., None], out, fill)
+    h, w, c = img.shape
+    ty, tx = np.floor(sy), np.floor(sx)
+    fy, fx = ty.astype(np.int64), tx.astype(np.int64)
+    np.subtract(sy, ty, out=ty), np.subtract(sx, tx, out=tx)
+    if border == "constant":
+        flat = np.full((h + 2, w + 2, c), float(fill))
+        flat[1:-1, 1:-1] = img
+        ys, xs = ([np.clip(f + d, -1, n) + 1 for d in (0, 1)] for f, n in ((fy, h), (fx, w)))
+        wide = w + 2
+    else:
         flip = lambda i, n: np.zeros_like(i) if n == 1 else (n - 1) - np.abs((n - 1) - i % (2 * n - 2))
-        return img[flip(y, h), flip(x, w)].astype(float)
-
-    return whole((1 - ty) * ((1 - tx) * tap(fy, fx) + tx * tap(fy, fx + 1)) + ty * ((1 - tx) * tap(fy + 1, fx) + tx * tap(fy + 1, fx + 1)))
+        flat, wide = img.astype(float), w
+        ys, xs = ([flip(f + d, n) for d in (0, 1)] for f, n in ((fy, h), (fx, w)))
+    flat = flat.reshape(-1, c)
+    ty, tx = ty[..., None], tx[..., None]
+    rest = 1 - tx
+
+    def row(y):
+        y = y * wide
+        a = flat.take(y + xs[0], axis=0)
+        a *= rest
+        b = flat.take(y + xs[1], axis=0)
+        b *= tx
+        a += b
+        return a
+
+    above, below = row(ys[0]), row(ys[1])
+    above *= 1 - ty
+    below *= ty
+    above += below
+    return whole(above)
 
 
 def scaled(img, q, op):
