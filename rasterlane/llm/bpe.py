@@ -22,13 +22,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import spans, table, texts
+from .common import spans, table, texts, with_fields
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of one generation of a worker's cache; it holds two at most.
 CACHE = 300_000
 #: Characters that are decoded at a time.
 BLOCK = 4 << 20
+#: Pairs that the table of a worker holds before it begins anew.
+SEAMS = 4_000_000
 #: Where spaces run together, only the last of a run begins a word.
 RUN = regex.compile(r" \s")
 WORD_START = regex.compile(r"(?= \S)", regex.V1)
@@ -82,6 +84,8 @@ class Vocabulary:
         """Whether merging the text of both tokens gives just these two; from the table if met before."""
         known = self.compatible.get((left, right))
         if known is None:
+            if len(self.compatible) >= SEAMS:  # a table of what was met, not of all pairs
+                self.compatible.clear()
             known = self.compatible[left, right] = self._seam_holds(left, right)
         return known
 
@@ -253,7 +257,7 @@ def decode_rows(v: Vocabulary, rows: list[bytes]) -> list[bytes]:
 def tokenised(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit integers) and n_tokens; null text is empty."""
     kept = docs.drop("ids", "n_tokens")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, ids binary, n_tokens long"
+    schema = with_fields(kept, ("ids", "binary"), ("n_tokens", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
@@ -267,7 +271,7 @@ def tokenised(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABUL
 def detokenised(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
     """tokens with the text that the ids stand for; null ids count as none."""
     kept = tokens.drop(out_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, `{out_col}` string"
+    schema = with_fields(kept, (out_col, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(vocabulary).v

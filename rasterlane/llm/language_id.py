@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans, table, texts
+from .common import spans, table, texts, with_fields
 
 #: Characters of an n-gram, slots of the filter (a power of two), hash functions.
 GRAM, SLOTS, HASHES = 4, 1 << 20, 2
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, lang_pred string, score double"
+    schema = with_fields(kept, ("lang_pred", "string"), ("score", "double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
