@@ -234,11 +234,10 @@ class ChannelShuffle(Operator):
             picks = [first, f"case {k} when 0 then {rest[0]} else {rest[1]} end", f"case {k} when 0 then {rest[1]} else {rest[0]} end"]
             old = df.withColumns({f"o{i}": F.col(f"v{i}") for i in range(3)})
             return old.withColumns({f"v{i}": F.expr(e.format("o0", "o1", "o2")) for i, e in enumerate(picks)}).drop("o0", "o1", "o2")
-        n = len(order)
-        old = df.withColumns({f"o{i}": F.col(f"v{i}") for i in range(n)})
-        turn = f"cast(floor(p_a * {n}) as int)"
-        every = f"array({', '.join(f'o{i}' for i in range(n))})"
-        return old.withColumns({f"v{i}": F.expr(f"{every}[({turn} + {i}) % {n}]") for i in range(n)}).drop(*[f"o{i}" for i in range(n)])
+        n = len(order)  # the channels in the order of a hash of the draw and their number
+        keys = ", ".join(f"named_struct('k', (cast(floor(p_a * 1000003) as bigint) * 48271 + {i + 1} * 7919 * cast(floor(p_b * 1000003) as bigint) + {i}) % 2147483647 * 69621 % 2147483629, 'i', {i}, 'v', v{i})" for i in range(n))
+        old = df.withColumn("__s", F.expr(f"array_sort(array({keys}))"))
+        return old.withColumns({f"v{i}": F.expr(f"__s[{i}].v") for i in range(n)}).drop("__s")
 
 
 @operator
@@ -326,7 +325,7 @@ class GaussNoise(Operator):
 
 @operator
 class ShotNoise(Operator):
-    """Photon counts: v^2.2 / scale is a Poisson mean, drawn by its normal limit beyond LARGE and by
+    """Photon counts: v^2.2 / scale is a Poisson mean, drawn by its normal limit from LARGE on and by
     inversion below."""
 
     scale_range: tuple = (0.1, 0.3)
@@ -340,14 +339,10 @@ class ShotNoise(Operator):
     def on_pixels(self, df, channels, top):
         def count(v: str, i: int) -> str:
             mean = f"(pow({v} / {num(top)}, 2.2e0) / p_scale + 1e-6)"
-            term, below, cases = "exp(-m)", "exp(-m)", ["when u < exp(-m) then 0e0"]
-            for k in range(1, 2 * self.LARGE):
-                term = f"{term} * m / {k}e0"
-                below = f"{below} + {term}"
-                if k <= 6:
-                    cases.append(f"when u < {below} then {k}e0")
-            poisson = f"(case {' '.join(cases)} else 7e0 end)".replace("-m)", f"-{mean})").replace("* m /", f"* {mean} /").replace("u <", f"p_u{i % 4} <")
-            return f"(case when {mean} < 2e0 then {poisson} else greatest(0e0, floor({mean} + sqrt({mean}) * p_g{i % 4} + 0.5e0)) end)"
+            # cumulative terms up to 64, where a mean below LARGE has nothing left that a double could show
+            step = f"named_struct('n', case when p_u{i % 4} >= s.c then 1e0 * k else s.n end, 't', s.t * {mean} / k, 'c', s.c + s.t * {mean} / k)"
+            drawn = f"aggregate(sequence(1, 64), named_struct('n', 0e0, 't', exp(-{mean}), 'c', exp(-{mean})), (s, k) -> {step}, s -> s.n)"
+            return f"(case when {mean} < {self.LARGE} then {drawn} else greatest(0e0, floor({mean} + sqrt({mean}) * p_g{i % 4} + 0.5e0)) end)"
 
         return pointwise(df, channels, lambda v, i: clipped(f"(pow(least(1e0, {count(v, i)} * p_scale), {num(1 / 2.2)}) * {num(top)})", top))
 
@@ -380,7 +375,7 @@ class ColorJitter(Operator):
     p: float = 0.5
 
     def draws(self, d: Draws):
-        return {n: d.between(n, *getattr(self, n)) for n in ("brightness", "contrast", "saturation", "hue")} | {"order": f"cast(floor({d.unit('order')} * 4e0) as int)"}
+        return {n: d.between(n, *getattr(self, n)) for n in ("brightness", "contrast", "saturation", "hue")} | {f"o{i}": d.unit(f"o{i}") for i in range(4)}
 
     def on_pixels(self, df, channels, top):
         grey = colour.luma("v0", "v1", "v2")
@@ -388,8 +383,9 @@ class ColorJitter(Operator):
         df = df.join(means, "sample_id")
 
         def step(df: DataFrame, k: int) -> DataFrame:
-            """The four steps begin at p_order and go round."""
-            turn = f"((p_order + {k}) % 4)"
+            """The change whose draw is the k-th smallest."""
+            rank = [" + ".join(f"(case when p_o{j} < p_o{i} or (p_o{j} = p_o{i} and {j} < {i}) then 1 else 0 end)" for j in range(4) if j != i) for i in range(4)]
+            turn = f"(case {' '.join(f'when ({r}) = {k} then {i}' for i, r in enumerate(rank))} end)"
             h, s, v = colour.hsv("r", "g", "b")
             df = scaled(df, top).withColumns({"hh": F.expr(f"({h} + 6e0 + 6e0 * p_hue) % 6e0"), "ss": F.expr(s), "vv": F.expr(v), "gg": F.expr(grey)})
             turned = colour.from_hsv("hh", "ss", "vv")
