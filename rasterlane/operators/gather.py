@@ -364,6 +364,31 @@ class Resampled(Gathered):
         return remap(df, 1, *self.source(), h, w, False, self.border, 0.0, self.bind())
 
 
+class FreeForm(Resampled):
+    """Warps that only say where an output pixel comes from. Where a source point goes is found by
+    ROUNDS of q <- q - (source(q) - point) / 2, which close in where the warp does not fold; boxes become
+    the extent of their corners and the middles of their sides."""
+
+    ROUNDS = 24
+
+    def back(self, x: str, y: str) -> str:
+        """A struct y, x of where the source point (x, y) shows."""
+        sy, sx = self.source()
+        start = f"named_struct('y', cast({y} as double), 'x', cast({x} as double))"
+        return f"aggregate(sequence(1, {self.ROUNDS}), {start}, (q, i) -> named_struct('y', q.y - ({sy} - ({y})) / 2e0, 'x', q.x - ({sx} - ({x})) / 2e0))"
+
+    def on_keypoints(self, df):
+        return moved(df.withColumn("__q", F.expr(self.back("x", "y"))), x="__q.x", y="__q.y").drop("__q")
+
+    def on_boxes(self, df):
+        places = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+        at = lambda lo, hi, k, side: f"(({lo} * {2 - k} + {hi} * {k}) / 2e0 * {side} - 0.5e0)"
+        every = ", ".join(self.back(at("x_min", "x_max", i, "w"), at("y_min", "y_max", j, "h")) for i, j in places)
+        df = df.withColumn("__q", F.expr(f"array({every})"))
+        new = {f"{a}_{n}": f"(array_{n}(transform(__q, q -> q.{a})) + 0.5e0) / {side}" for a, side in (("x", "w"), ("y", "h")) for n in ("min", "max")}
+        return moved(df, **new).drop("__q")
+
+
 class Scaled(Resampled):
     border = "mirror"
 
@@ -714,7 +739,7 @@ class Perspective(Projected):
 
 
 @operator
-class OpticalDistortion(Resampled):
+class OpticalDistortion(FreeForm):
     distort_limit: tuple | float = (-0.05, 0.05)
     mode: str = "camera"
     border: str = "constant"
@@ -757,7 +782,7 @@ class ChromaticAberration(Gathered):
 
 
 @operator
-class GridDistortion(Resampled):
+class GridDistortion(FreeForm):
     """Steps of a grid are stretched by random factors; coordinates run linearly within a step."""
 
     num_steps: int = 5
@@ -787,7 +812,7 @@ class GridDistortion(Resampled):
 
 
 @operator
-class ElasticTransform(Resampled):
+class ElasticTransform(FreeForm):
     """Displacements are a sum of random waves of the given smoothness: a Gaussian random field."""
 
     alpha: float = 1.0
@@ -814,7 +839,7 @@ class ElasticTransform(Resampled):
         return f"(q.y + {shift('y')})", f"(q.x + {shift('x')})"
 
 
-class ControlPoints(Resampled):
+class ControlPoints(FreeForm):
     """A grid of control points with random shifts p_dx<i>, p_dy<i> (pixels)."""
 
     def points(self) -> list[tuple[str, str]]:

@@ -253,3 +253,22 @@ def test_samples_as_rows_of_odd_rows(spark):
     assert packed.apply(OPERATORS["horizontal_flip"](p=0.5), rows.limit(0)).count() == 0
     with pytest.raises(ValueError, match="no kernel"):
         packed.apply(OPERATORS["clahe"](), rows)
+
+
+@pytest.mark.parametrize("name", ["optical_distortion", "grid_distortion", "elastic_transform", "piecewise_affine", "thin_plate_spline", "grid_elastic_deform"])
+def test_keypoints_follow_free_form_warps(spark, name):
+    """The place that a keypoint goes to shows the place that it came from; boxes hold their keypoints."""
+    op = OPERATORS[name](p=1.0, **({"sigma": 4.0} if name == "elastic_transform" else {}))  # a field that does not fold
+    points = [(i, 40, 60, k, 6.0 + 7 * k, 30.0 - 4 * k, 0.5, 1.0, "a") for i in range(3) for k in range(5)]
+    kp = spark.createDataFrame(points, "sample_id long, h int, w int, kp_ix int, x double, y double, angle double, scale double, label string")
+    boxes = kp.selectExpr("sample_id", "h", "w", "kp_ix as box_ix", "(x - 2.5) / w as x_min", "(y - 2.5) / h as y_min", "(x + 3.5) / w as x_max", "(y + 3.5) / h as y_max", "label")
+    out = op.run(Frame(None, 0, keypoints=kp, boxes=boxes), 1)
+    draws = {f"p_{k}": F.expr(v) for k, v in op.draws(Draws(1, f"0.{name}")).items()}
+    sy, sx = op.source()
+    back = out.keypoints.withColumns(draws).selectExpr("sample_id", "kp_ix", "x as nx", "y as ny", "named_struct('x', x, 'y', y) as q", "h", "w", *draws).selectExpr("sample_id", "kp_ix", "nx", "ny", f"{sx} as sx", f"{sy} as sy")
+    want = {(r[0], r[3]): (r[4], r[5]) for r in points}
+    rows_ = back.collect()
+    assert all(abs(r["sx"] - want[r["sample_id"], r["kp_ix"]][0]) < 0.02 and abs(r["sy"] - want[r["sample_id"], r["kp_ix"]][1]) < 0.02 for r in rows_)
+    assert any(abs(r["nx"] - want[r["sample_id"], r["kp_ix"]][0]) > 0.01 for r in rows_)
+    held = {(r["sample_id"], r["box_ix"]): r for r in out.boxes.collect()}
+    assert all(b["x_min"] * 60 <= r["nx"] + 0.5 <= b["x_max"] * 60 and b["y_min"] * 40 <= r["ny"] + 0.5 <= b["y_max"] * 40 for r in rows_ for b in [held[r["sample_id"], r["kp_ix"]]])
