@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,16 +22,18 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import spans, table, texts, with_fields
+from .common import quoted, spans, table, texts, with_fields
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of one generation of a worker's cache; it holds two at most.
-CACHE = 300_000
+#: Bytes of one generation of a worker's cache of words (it holds two at most), and characters of the
+#: longest piece that is kept: a script without spaces has no words to meet again.
+CACHE, LONGEST_KEPT = 64 << 20, 64
 #: Characters that are decoded at a time.
 BLOCK = 4 << 20
 #: Pairs that the table of a worker holds before it begins anew.
-SEAMS = 4_000_000
+SEAMS = 1_000_000
 #: Where spaces run together, only the last of a run begins a word.
 RUN = regex.compile(r" \s")
 WORD_START = regex.compile(r"(?= \S)", regex.V1)
@@ -71,7 +74,7 @@ class Vocabulary:
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.reachable: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
         # reversed, so that all matches reported at one place begin at the same place of the text
@@ -82,11 +85,12 @@ class Vocabulary:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens gives just these two; from the table if met before."""
-        known = self.compatible.get((left, right))
+        pair = left << 32 | right
+        known = self.compatible.get(pair)
         if known is None:
             if len(self.compatible) >= SEAMS:  # a table of what was met, not of all pairs
                 self.compatible.clear()
-            known = self.compatible[left, right] = self._seam_holds(left, right)
+            known = self.compatible[pair] = self._seam_holds(left, right)
         return known
 
     def _seam_holds(self, a: int, b: int) -> bool:
@@ -173,23 +177,32 @@ def plain_merge(v: Vocabulary, word: bytes) -> list[int]:
         out[i : i + 2] = [v.pairs[out[i], out[i + 1]][1]]
 
 
+def weight(piece: str, ids: bytes) -> int:
+    """Bytes that an entry of a cache takes, its place in the table included."""
+    return sys.getsizeof(piece) + sys.getsizeof(ids) + 100
+
+
 class Pieces(dict):
     """Text -> its ids as little-endian unsigned 32-bit integers, made where missing.
 
-    Bounded: a full generation becomes the old one, from which what is met again comes back.
+    Bounded by bytes: a full generation becomes the old one, from which what is met again comes back.
+    Pieces of more than LONGEST_KEPT characters are made anew each time and never kept.
     """
 
     def __init__(self, encode, prefix: str, limit: int = CACHE):
         super().__init__()
-        self.encode, self.before, self.limit, self.old = encode, prefix, limit, {}
+        self.encode, self.before, self.limit, self.held, self.old = encode, prefix, limit, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+        if len(piece) > LONGEST_KEPT:
+            return self.encode(self.before + piece)
         found = self.old.get(piece)
         if found is None:
             found = self.encode(self.before + piece)
+        self.held += weight(piece, found)
+        if self.held > self.limit:
+            self.old, self.held = dict(self), weight(piece, found)
+            self.clear()
         self[piece] = found
         return found
 
@@ -199,8 +212,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN, cache: int = CACHE):
         self.v, self.words = vocabulary, regex.compile(pattern)
-        self.pretokens = Pieces(self.word, "", cache // 2)
-        self.first, self.spaced = Pieces(self.piece, "", cache // 4), Pieces(self.piece, " ", cache)
+        self.pretokens = Pieces(self.word, "", cache // 4)
+        self.first, self.spaced = Pieces(self.piece, "", cache // 8), Pieces(self.piece, " ", cache)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
     def word(self, word: str) -> bytes:
@@ -255,7 +268,11 @@ def decode_rows(v: Vocabulary, rows: list[bytes]) -> list[bytes]:
 
 
 def tokenised(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs with ids (binary: little-endian unsigned 32-bit integers) and n_tokens; null text is empty."""
+    """docs with ids (binary: little-endian unsigned 32-bit integers) and n_tokens; null text is empty.
+
+    Empty texts have no ids; whole texts of any length are encoded, one at a time. Repeated rows are
+    independent, an empty table gives an empty result; columns ids and n_tokens of docs are replaced.
+    """
     kept = docs.drop("ids", "n_tokens")
     schema = with_fields(kept, ("ids", "binary"), ("n_tokens", "long"))
 
@@ -269,7 +286,7 @@ def tokenised(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABUL
 
 
 def detokenised(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
-    """tokens with the text that the ids stand for; null ids count as none."""
+    """tokens with the text that the ids stand for; null ids count as none, an empty table stays empty."""
     kept = tokens.drop(out_col)
     schema = with_fields(kept, (out_col, "string"))
 
@@ -285,7 +302,9 @@ def detokenised(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """<id_col>, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one task, so that no ids move.
 
-    Null and empty texts have no ids. Rows with equal ids are independent; other columns aren't read.
+    Null and empty texts have no ids. Whole texts of any length are encoded, one at a time in a task's
+    memory. Repeated rows and rows with equal ids are independent, an empty table gives an empty result,
+    ids are of any type, other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -299,8 +318,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digests = [[hashlib.sha256(x).hexdigest() for x in side] for side in (ids, back)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(id_col, docs[text_col].alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text"))
+    return rows.mapInArrow(run, f"{quoted(id_col)} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,20 +6,25 @@
 3. The index has a row for each hash with its bucket and the length of its chain. It is dealt by key
    ranges (bucket, hash) and written so, a file for each owner task. Entries of one hash are counted
    before they are dealt, so a hash that a third of all rows share is as short as any other.
-4. A chain of one entry is a text of its own. Texts of longer chains are fetched, dealt by key range
-   once more, and their owners compare them byte by byte: a class is a hash and one whole normalised
-   text. Different texts that share a hash stay in one chain and become different classes.
+4. A chain of one entry is a text of its own. The texts of longer chains go to the owners of their key
+   ranges, once. An owner walks each chain in the order of its bytes and compares every text with the
+   one before it: a class begins where they differ, so different texts that share a hash stay in one
+   chain and become different classes. No text is dealt by its content or for a second time.
+5. A chain of more than CHAIN_ROWS entries is cut into links that owners walk apart. A link names each
+   of its classes by one text; these few are put in order once more to find which of them are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import least_rows, quoted, row_key, shared_dir, stored, table
 
 #: Entries that a bucket should hold; bits that the directory gains where a bucket is overfull.
 BUCKET_ROWS, STEP = 100_000, 6
+#: Entries of a chain that one owner walks; longer chains are cut into links.
+CHAIN_ROWS = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -65,30 +70,49 @@ def build_index(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     return stored(index.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, hash_of, keys: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def walked(members: DataFrame) -> DataFrame:
+    """members (bucket, h, link, norm, uid) with class: the number of the text in its link.
+
+    They are dealt by key range and put in order within it; equal texts stand together, and a class
+    begins at every text that is not byte for byte the one before.
+    """
+    chain = Window.partitionBy("bucket", "h", "link").orderBy("norm", "uid")
+    dealt = members.repartitionByRange("bucket", "h", "link").withColumn("before", F.lag("norm").over(chain))
+    dealt = dealt.withColumn("starts", F.when(F.col("norm") == F.col("before"), 0).otherwise(1))
+    return dealt.withColumn("class", F.sum("starts").over(chain.rowsBetween(Window.unboundedPreceding, 0))).drop("before")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, hash_of, keys: bool, chain_rows: int = CHAIN_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(single, members, found).
 
-    single: rows whose hash no other row has (__id, __sha, and with keys __row, __digest). members:
-    the others with h, norm, n (code points) and uid. found: h, norm of each class, its size and the
-    best (least n negated, then id, null last, then uid) of its members.
+    single: rows whose hash no other row has (__id, __sha, and with keys __row, __digest). members: the
+    others with h, link, class, n (code points), __sha and uid, each row's place in docs. found: for each
+    h, link and class the number `whole` of its text in the chain, the text's rows (size) and the best of
+    them (least n negated, then id, null last, then uid).
     """
     text = F.col(quoted(text_col))
     key = [c.alias(n) for n, c in row_key(docs, text_col).items()] if keys else []
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), *key, F.char_length(F.coalesce(text, F.lit(""))).alias("n"), normalised(text).alias("norm"))
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), *key, F.char_length(F.coalesce(text, F.lit(""))).alias("n"), normalised(text).alias("norm"), F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumn("h", hash_of(F.col("norm")))
     extra = ["__row", "__digest"] if keys else []
     entries = stored(rows.select("h", "__id", *extra, F.sha2("norm", 256).alias("__sha")), "dedup-entries")
     index = build_index(entries, bucket_rows)
-    chains = stored(index.where("rows > 1").select("bucket", "h"), "dedup-chains")
+    chains = stored(index.where("rows > 1").select("bucket", "h", F.ceil(F.col("rows") / chain_rows).alias("links")), "dedup-chains")
     single = entries.join(chains.select("h"), "h", "left_anti")
-    members = rows.join(chains, "h").withColumn("uid", F.monotonically_increasing_id())
-    members = stored(members.repartitionByRange("bucket", "h", "uid").sortWithinPartitions("bucket", "h"), "dedup-members")
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("__id").isNull().alias("none"), "__id", "uid"))
-    found = members.groupBy("bucket", "h", "norm").agg(F.count("*").alias("size"), best.alias("best"))
-    return single, members, found
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64) -> DataFrame:
+    members = walked(rows.join(chains, "h").withColumn("link", F.pmod(F.xxhash64("uid"), F.col("links"))))
+    # only the first text of each class in a chain of several links is kept, to compare the links
+    name = F.when((F.col("links") > 1) & (F.col("starts") == 1), F.col("norm")).alias("name")
+    members = stored(members.select("bucket", "h", "links", "link", "class", "__id", *extra, "n", "uid", F.sha2("norm", 256).alias("__sha"), name), "dedup-members")
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("__id").isNull().alias("none"), "__id", "uid")).alias("best")
+    found = stored(members.groupBy("bucket", "h", "links", "link", "class").agg(F.count("*").alias("size"), best, F.max("name").alias("name")), "dedup-classes")
+    alone = found.where("links = 1").select("h", "link", "class", F.col("class").alias("whole"), "size", "best")
+    cut = walked(found.where("links > 1").withColumnsRenamed({"link": "of", "class": "part", "name": "norm"}).withColumns({"link": F.lit(0), "uid": F.struct("of", "part")}))
+    same = Window.partitionBy("bucket", "h", "link", "class")
+    cut = cut.select("h", F.col("of").alias("link"), F.col("part").alias("class"), F.col("class").alias("whole"), F.sum("size").over(same).alias("size"), F.min("best").over(same).alias("best"))
+    return single, members, alone.unionByName(cut)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64, chain_rows: int = CHAIN_ROWS) -> DataFrame:
     """One row per input row: <id_col>, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after white space (U+0020, U+0009 to U+000D) is deleted; null is
@@ -97,22 +121,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; other columns are not read. hash_of: the index's 64-bit hash of a text.
     """
     shared_dir(docs.sparkSession)
-    single, members, found = classes(docs, id_col, text_col, bucket_rows, hash_of, False)
+    single, members, found = classes(docs, id_col, text_col, bucket_rows, hash_of, False, chain_rows)
     alone = single.select(F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    # both sides are dealt anew for this join, so that Spark may split what a hot text makes large
-    both = members.select("h", "norm", "__id", "uid").join(found.drop("bucket"), ["h", "norm"])
-    shared = both.select(
-        F.col("__id").alias(id_col), F.col("best.__id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), F.sha2("norm", 256).alias("text_sha256")
-    )
+    both = members.join(found, ["h", "link", "class"])
+    shared = both.select(F.col("__id").alias(id_col), F.col("best.__id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("best.uid") == F.col("uid")).alias("kept"), F.col("__sha").alias("text_sha256"))
     return alone.unionByName(shared)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hash_of=F.xxhash64, chain_rows: int = CHAIN_ROWS) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns (see least_rows)."""
     shared_dir(docs.sparkSession)
-    single, members, _ = classes(docs, id_col, text_col, bucket_rows, hash_of, True)
+    single, members, found = classes(docs, id_col, text_col, bucket_rows, hash_of, True, chain_rows)
     alone = single.select(F.concat(F.lit("s"), "__row").alias("g"), F.col("__digest").alias("t"), F.lit(0).alias("n"), "__id", "__row", "__digest")
-    shared = members.select(F.col("h").cast("string").alias("g"), F.col("norm").alias("t"), (-F.col("n")).alias("n"), "__id", "__row", "__digest")
+    shared = members.join(found.select("h", "link", "class", "whole"), ["h", "link", "class"])
+    shared = shared.select(F.col("h").cast("string").alias("g"), F.col("whole").cast("string").alias("t"), (-F.col("n")).alias("n"), "__id", "__row", "__digest")
     return least_rows(docs, alone.unionByName(shared), id_col, text_col, ["g", "t"], ["n"])
 
 

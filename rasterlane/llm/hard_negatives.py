@@ -32,8 +32,9 @@ LONG = (-(1 << 63), (1 << 63) - 1)
 
 def products(a: np.ndarray, x: np.ndarray, scale: int) -> np.ndarray:
     """Exact inner products of floor(scale * component); held at the ends of a long beyond it."""
-    left, right = np.floor(a * scale), np.floor(x * scale)
-    bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, a.shape[1])
+    with np.errstate(over="ignore"):
+        left, right = np.floor(a * scale), np.floor(x * scale)
+        bound = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, a.shape[1])
     if bound < 2**53:  # every sum is exact in a double
         return (left @ right.T).astype(np.int64)
     if bound < 2**62:

@@ -28,17 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import WORD_START, Vocabulary
-from .common import open_input, open_output, shared_path, spans, stored, table
+from .bpe import LONGEST_KEPT, WORD_START, Pieces, Vocabulary, weight
+from .common import open_input, open_output, quoted, shared_path, spans, stored, table
 
 MAGIC = b"RLTOKHF1"
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 MAX_BITS = 16
-#: Ids of a block; blocks of a segment (packed and unpacked together); ids that a file should hold.
-BLOCK, LANES, FILE_IDS = 1024, 2048, 32_000_000
-#: Pieces that a worker's cache may hold in each of two generations; characters tokenised together.
-CACHE, CHARS = 400_000, 8 << 20
+#: Ids of a block; blocks of a segment (packed and unpacked together); ids and documents that a file
+#: should hold; documents that leave a reader together.
+BLOCK, LANES, FILE_IDS, FILE_DOCS, ROWS = 1024, 2048, 32_000_000, 2_000_000, 65_536
+#: Bytes that a worker's cache may hold in each of two generations; characters tokenised together.
+CACHE, CHARS = 64 << 20, 8 << 20
 #: Signs that often end words, and the end of the Latin letters.
 SIGNS, LATIN_END = (",", "."), "\u0250"
 #: A space before other white space: such texts are cut with more care.
@@ -147,40 +148,34 @@ class LibraryEncoder:
         self.bytes = np.diff(Vocabulary(path).offsets)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.signs = {x: self.alone(x) for x in SIGNS}
-        self.heads: dict[str, bytes] = {}
+        self.heads = Pieces(self.alone, "", CACHE // 8)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def head(self, text: str) -> bytes:
-        found = self.heads.get(text)
-        if found is None:
-            if len(self.heads) >= CACHE // 4:
-                self.heads.clear()
-            found = self.heads[text] = self.alone(text)
-        return found
-
-    def learn(self, missing: list[str]) -> None:
-        """Puts the ids of pieces (their space left out) into the cache.
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces (their space left out) that are not in the cache.
 
         A comma or full stop after letters is a pre-token of its own, so word and sign are looked up
         apart.
         """
-        new, old, ask, signed = self.new, self.old, [], []
+        found, ask, signed = {}, [], []
         for x in missing:
             if x[-1:] in SIGNS and x[:-1].isalpha() and max(x) < LATIN_END:
                 signed.append(x)
-                if x[:-1] in new:
-                    continue
                 x = x[:-1]
-                if x in old:
-                    new[x] = old[x]
+                if x in found:
+                    continue
+                known = self.new.get(x) or self.old.get(x)
+                if known is not None:
+                    found[x] = known
                     continue
-                new[x] = b""  # asked for below
+                found[x] = b""  # asked for below
             if not x or x[-1].isspace():  # white space would run into the next piece's
-                new[x] = self.alone(" " + x)
+                found[x] = self.alone(" " + x)
             else:
                 ask.append(x)
         if ask:
@@ -191,26 +186,28 @@ class LibraryEncoder:
             ends = (cut * self.kind.itemsize).tolist()
             raw = ids.tobytes()
             for x, at, end in zip(ask, [0, *ends], ends):
-                new[x] = raw[at:end]
+                found[x] = raw[at:end]
         for x in signed:
-            new[x] = new[x[:-1]] + self.signs[x[-1]]
+            found[x] = found[x[:-1]] + self.signs[x[-1]]
+        return found
 
     def pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words with the space before them, from the cache or the library."""
+        """Ids of distinct words with the space before them, from the cache or the library.
+
+        The cache is bounded by bytes, and words of more than LONGEST_KEPT characters are never kept.
+        """
         found = list(map(self.new.get, words))
         missing = [w for w, f in zip(words, found) if f is None]
         if missing:
-            if len(self.new) + len(missing) > CACHE:
-                self.old, self.new = self.new, {}
-            old, ask = self.old, []
-            for w in missing:
-                f = old.get(w)
-                if f is None:
-                    ask.append(w)
-                else:
+            again = {w: f for w in missing if (f := self.old.get(w)) is not None}
+            fresh = again | self.learn([w for w in missing if w not in again])
+            found = [fresh[w] if f is None else f for w, f in zip(words, found)]
+            for w, f in fresh.items():
+                if len(w) <= LONGEST_KEPT:
+                    self.held += weight(w, f)
+                    if self.held > CACHE:
+                        self.old, self.new, self.held = self.new, {}, weight(w, f)
                     self.new[w] = f
-            self.learn(ask)
-            found = [self.new[w] if f is None else f for w, f in zip(words, found)]
         return found
 
     def encode(self, rows: list[str] | pa.Array) -> list[bytes]:
@@ -231,7 +228,7 @@ class LibraryEncoder:
         offsets, every = parts.offsets.to_numpy() - parts.offsets[0].as_py(), parts.flatten()
         is_word = np.ones(len(every), bool)
         is_word[offsets[:-1]] = False
-        heads = [self.head(x) if x else b"" for x in every.take(pa.array(offsets[:-1])).to_pylist()]
+        heads = [self.heads[x] if x else b"" for x in every.take(pa.array(offsets[:-1])).to_pylist()]
         coded = every.filter(pa.array(is_word)).dictionary_encode()
         found = self.pieces(coded.dictionary.to_pylist())
         width = self.kind.itemsize
@@ -256,7 +253,7 @@ class LibraryEncoder:
         if any(s in text for s in self.special):
             return self.alone(text)
         head, *rest = WORD_START.split(text)
-        return (self.head(head) if head else b"") + b"".join(self.pieces([x[1:] for x in rest]))
+        return (self.heads[head] if head else b"") + b"".join(self.pieces([x[1:] for x in rest]))
 
 
 ENCODERS: dict[str, LibraryEncoder] = {}
@@ -269,7 +266,11 @@ def library_encoder(name: str = VOCABULARY) -> LibraryEncoder:
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """id, n, z (Zstandard of the ids, end id included), tie; in the shared folder. Null text is empty."""
+    """id, n, z (Zstandard of the ids, end id included), tie; in the shared folder.
+
+    Null text is empty, an empty text has the end id alone, whole texts of any length are encoded one at
+    a time; ids are of any type; repeated rows give a row each, an empty table none.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +285,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
                     ["id", "n", "z", "tie"],
                 )
 
-    return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).mapInArrow(run, f"id {kind}, n long, z binary, tie long"), "token-ids")
+    return stored(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("__text")).mapInArrow(run, f"id {kind}, n long, z binary, tie long"), "token-ids")
 
 
 def unzipped(batch: pa.RecordBatch, kind: np.dtype) -> list[np.ndarray]:
@@ -322,14 +323,16 @@ class Writer:
         self.ids, self.n, self.docs, self.held, self.waiting = [], [], 0, 0, []
         self.offsets, self.bytes, self.tokens = [], [0], 0
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.n.append(len(ids))
-        self.tokens += len(ids)
-        self.waiting.append(ids)
-        self.held += len(ids)
-        if self.held >= BLOCK * LANES:
-            self.flush(False)
+    def add(self, doc_ids: pa.Array, rows: list[np.ndarray]) -> None:
+        self.ids.append(doc_ids)
+        self.n.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+        self.docs += len(rows)
+        for ids in rows:
+            self.tokens += len(ids)
+            self.waiting.append(ids)
+            self.held += len(ids)
+            if self.held >= BLOCK * LANES:
+                self.flush(False)
 
     def flush(self, last: bool) -> None:
         ids = np.concatenate([*self.waiting, np.zeros(0, np.int64)]).astype(np.int64)
@@ -342,9 +345,9 @@ class Writer:
             self.bytes.append(self.bytes[-1] + len(packed))
         self.waiting, self.held = [ids[stop:]], len(ids) - stop
 
-    def close(self, kind: pa.DataType) -> None:
+    def close(self) -> None:
         self.flush(True)
-        docs = pa.table({"doc_id": pa.array(self.ids, kind), "n": pa.array(self.n, pa.int64())})
+        docs = pa.table({"doc_id": pa.chunked_array(self.ids), "n": np.concatenate(self.n)})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_table(docs)
@@ -355,60 +358,95 @@ class Writer:
         self.commit()
 
 
-def write_files(ids: DataFrame, folder: str, lengths: np.ndarray, vocabulary: str, kind: np.dtype, file_ids: int = FILE_IDS) -> list[dict]:
-    """Writes the ids in ascending order of id (nulls first), a file for each range; the files' manifest."""
+def write_files(ids: DataFrame, folder: str, lengths: np.ndarray, vocabulary: str, kind: np.dtype, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> list[dict]:
+    """Writes the ids in ascending order of id (nulls first), a file for each range; the files' manifest.
+
+    A file should hold at most file_ids ids and file_docs documents. Of equal ids the order is that of
+    their ids' check sums, and rows that are equal in both may be dealt to any file.
+    """
     spark = ids.sparkSession
-    total = int(ids.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    parts = max(1, -(-total // file_ids), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000))
+    size = ids.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
+    total = int(size["n"] or 0)
+    parts = max(1, -(-total // file_ids), -(-size["docs"] // file_docs), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000))
     sent = spark.sparkContext.broadcast(lengths)
-    id_type = "long" if ids.schema["id"].dataType.simpleString() in ("bigint", "int") else "string"
-    arrow = pa.int64() if id_type == "long" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            for doc_id, row in zip(batch.column(0).to_pylist(), unzipped(batch, kind)):
-                if writer is None:
-                    writer = Writer(f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.tok", Coder(sent.value), vocabulary)
-                writer.add(doc_id, row)
+            if batch.num_rows:
+                writer = writer or Writer(f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.tok", Coder(sent.value), vocabulary)
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    writer.add(part.column(0), unzipped(part, kind))
         if writer is not None:
-            writer.close(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([writer.uri]), pa.array([len(writer.ids)], pa.int64()), pa.array([writer.tokens], pa.int64())], ["part", "uri", "docs", "tokens"])
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([writer.uri]), pa.array([writer.docs], pa.int64()), pa.array([writer.tokens], pa.int64())], ["part", "uri", "docs", "tokens"])
 
-    ordered = ids.select("id", "z", "tie").repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie")
-    manifest = stored(ordered.mapInArrow(run, "part long, uri string, docs long, tokens long"), "token-manifest")
+    # the last key lets rows that are equal in id and text be dealt apart; it is a place in a stored table
+    ordered = ids.select("id", "z", "tie", F.monotonically_increasing_id().alias("at")).repartitionByRange(parts, "id", "tie", "at").sortWithinPartitions("id", "tie")
+    manifest = stored(ordered.select("id", "z").mapInArrow(run, "part long, uri string, docs long, tokens long"), "token-manifest")
     return [r.asDict() for r in manifest.orderBy("part").collect()]  # one row for each file
 
 
-def read_file(uri: str) -> Iterator[tuple[object, np.ndarray, bool]]:
-    """(doc_id, ids, last) of a file's documents in order; a long document comes in several parts."""
-    with open_input(uri) as f:
-        size = f.size()
-        assert f.read_at(len(MAGIC), 0) == MAGIC and f.read_at(len(MAGIC), size - len(MAGIC)) == MAGIC, f"{uri}: not a token file"
+class TokenFile:
+    """A file's documents (Arrow: doc_id, n) and its ids, by segments or a block alone."""
+
+    def __init__(self, f):
+        self.f, size = f, f.size()
+        assert f.read_at(len(MAGIC), 0) == MAGIC and f.read_at(len(MAGIC), size - len(MAGIC)) == MAGIC, "not a token file"
         (n,) = struct.unpack("<I", f.read_at(4, 8))
-        header = json.loads(f.read_at(n, 12))
-        coder = Coder(np.frombuffer(zlib.decompress(f.read_at(header["lengths"], 12 + n)), np.uint8))
-        begin = 12 + n + header["lengths"]
+        self.header = json.loads(f.read_at(n, 12))
+        self.coder = Coder(np.frombuffer(zlib.decompress(f.read_at(self.header["lengths"], 12 + n)), np.uint8))
+        self.begin = 12 + n + self.header["lengths"]
         (m,) = struct.unpack("<I", f.read_at(4, size - 12))
-        footer = json.loads(f.read_at(m, size - 12 - m))
-        end = size - 12 - m - footer["offsets"]
-        offsets = np.frombuffer(f.read_at(footer["offsets"], end), "<u8")
-        docs = pa.ipc.open_stream(f.read_at(footer["documents"], end - footer["documents"])).read_all()
-        doc_ids, left, at = docs["doc_id"].to_pylist(), docs["n"].to_pylist(), 0
-        lookup, per = coder.table(), header["segment"] // header["block"]
-        for k, (a, b) in enumerate(zip(footer["segments"], footer["segments"][1:])):
-            count = min(header["segment"], footer["tokens"] - k * header["segment"])
-            ids, used = coder.unpack(f.read_at(b - a, begin + a), offsets[k * per : (k + 1) * per], count, lookup), 0
-            while used < count:
-                n = min(left[at], count - used)
-                left[at] -= n
-                yield doc_ids[at], ids[used : used + n], left[at] == 0
-                used += n
-                at += left[at] == 0
-
-
-def read_digests(spark: SparkSession, manifest: list[dict], id_col: str = "doc_id", kind: str = "long") -> DataFrame:
-    """<id_col>, start, n_tokens, ids_crc32 of every document, from the files."""
+        self.footer = json.loads(f.read_at(m, size - 12 - m))
+        end = size - 12 - m - self.footer["offsets"]
+        self.offsets = np.frombuffer(f.read_at(self.footer["offsets"], end), "<u8")
+        self.documents = pa.ipc.open_stream(f.read_at(self.footer["documents"], end - self.footer["documents"])).read_all()
+        self.lookup, self.per = self.coder.table(), self.header["segment"] // self.header["block"]
+
+    def segments(self) -> Iterator[np.ndarray]:
+        """The ids in order, a segment's at a time."""
+        for k, (a, b) in enumerate(zip(self.footer["segments"], self.footer["segments"][1:])):
+            count = min(self.header["segment"], self.footer["tokens"] - k * self.header["segment"])
+            yield self.coder.unpack(self.f.read_at(b - a, self.begin + a), self.offsets[k * self.per : (k + 1) * self.per], count, self.lookup)
+
+    def block(self, k: int) -> np.ndarray:
+        """The ids of block k alone: only its own bytes are read, from its bit offset on."""
+        a, b = self.footer["segments"][k // self.per : k // self.per + 2]
+        bit = int(self.offsets[k])
+        last = (k + 1) % self.per == 0 or k + 1 == len(self.offsets)
+        end = b - a if last else -(-int(self.offsets[k + 1]) // 8)
+        count = min(self.header["block"], self.footer["tokens"] - k * self.header["block"])
+        data = self.f.read_at(end - bit // 8, self.begin + a + bit // 8)
+        return self.coder.unpack(data, np.array([bit % 8]), count, self.lookup)
+
+
+def read_file(uri: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(documents, their lengths, check sums of their ids) of a file, ROWS documents at a time, in order."""
+    with open_input(uri) as f:
+        file = TokenFile(f)
+        n = file.documents["n"].to_numpy()
+        at, left, crc, sums = 0, int(n[0]) if len(n) else 0, 0, []
+        for ids in file.segments():
+            raw, used = ids.astype("<u4"), 0
+            while used < len(raw):
+                take = min(left, len(raw) - used)
+                crc = zlib.crc32(raw[used : used + take], crc)
+                used, left = used + take, left - take
+                if left == 0:
+                    sums.append(crc)
+                    at, crc = at + 1, 0
+                    left = int(n[at]) if at < len(n) else 0
+                    if len(sums) == ROWS:
+                        yield file.documents.slice(at - ROWS, ROWS), n[at - ROWS : at], np.array(sums, np.int64)
+                        sums = []
+        if sums:
+            yield file.documents.slice(at - len(sums)), n[at - len(sums) :], np.array(sums, np.int64)
+
+
+def read_digests(spark: SparkSession, manifest: list[dict], id_col: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """<id_col> (of type kind), start, n_tokens, ids_crc32 of every document, from the files."""
     base, rows = 0, []
     for m in manifest:
         rows.append((m["uri"], base))
@@ -418,20 +456,22 @@ def read_digests(spark: SparkSession, manifest: list[dict], id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out, n, crc = [], 0, 0
-                for doc_id, ids, last in read_file(uri):
-                    n, crc = n + len(ids), zlib.crc32(ids.astype("<u4").tobytes(), crc)
-                    if last:
-                        out.append((doc_id, start, n, crc))
-                        start, n, crc = start + n, 0, 0
-                kinds = (pa.int64() if kind == "long" else pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [id_col, "start", "n_tokens", "ids_crc32"])
+                for documents, n, sums in read_file(uri):
+                    ends = start + np.cumsum(n)
+                    ids = documents["doc_id"].combine_chunks()
+                    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(ends - n), pa.array(n), pa.array(sums)], [id_col, "start", "n_tokens", "ids_crc32"])
+                    start = int(ends[-1])
 
-    return files.mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(run, f"{quoted(id_col)} {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> list[dict]:
-    """Tokenises docs and writes the token files into folder; returns the manifest (part, uri, docs, tokens)."""
+    """Tokenises docs and writes the token files into folder; returns the manifest (part, uri, docs, tokens).
+
+    Ids of any type that sorts stand in the files as they are (nulls first); see encoded() for odd texts.
+    An empty table gives no files.
+    """
     e = library_encoder(vocabulary)
     size, kind = max(e.size, end_id + 1), e.kind
     ids = encoded(docs, id_col, text_col, vocabulary, end_id)
@@ -439,5 +479,6 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_tokens(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"))
-    return read_digests(spark, manifest)
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_tokens(docs, shared_path(spark, "tokens"))
+    return read_digests(spark, manifest, "doc_id", docs.schema["doc_id"].dataType.simpleString())

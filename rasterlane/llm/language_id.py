@@ -10,19 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spans, table, texts, with_fields
+from .common import quoted, spans, stored, table, texts, with_fields
 
 #: Characters of an n-gram, slots of the filter (a power of two), hash functions.
 GRAM, SLOTS, HASHES = 4, 1 << 20, 2
-#: Bound of the sample: documents of each language, in the order of a hash, that the filter learns from.
-DOCS_PER_LANGUAGE = 2000
+#: Bounds of the sample: different texts of each language, in the order of a hash, that the filter learns
+#: from, and the bytes of text after which no more are taken.
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 2000, 64 << 20
 #: An n-gram is a language's own if this share of its sampled documents, and at least LEAST_DOCS, have it.
 SHARE, LEAST_DOCS = 0.004, 2
 #: Characters that are worked on at a time.
@@ -63,6 +65,7 @@ class LanguageFilter:
     languages: list[str]
     words: np.ndarray  # (word, slot)
 
+    @cached_property
     def fill(self) -> np.ndarray:
         """The share of n-grams that would carry each language's bit by accident."""
         return np.array([np.mean((self.words[i // 8] >> np.uint8(i % 8)) & np.uint8(1)) for i in range(len(self.languages))]) ** HASHES
@@ -99,7 +102,7 @@ class LanguageFilter:
             c = codes("".join(whole))
             hits[a:b] += self.counts(c, starts)
             total[a:b] += n - GRAM + 1
-        by_accident = self.fill()
+        by_accident = self.fill
         share = np.maximum(hits / np.maximum(total, 1)[:, None] - by_accident, 0) / np.maximum(1 - by_accident, 1e-9)
         langs, scores = [], []
         for text, s in zip(rows, share):
@@ -113,22 +116,37 @@ class LanguageFilter:
         return langs, scores
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageFilter:
-    """Learns from at most about docs_per_language documents of each language, chosen by a hash of the text.
+def sampled(rows: DataFrame, docs_per_language: int, bytes_per_language: int) -> tuple[DataFrame, dict[str, int]]:
+    """(the sample of rows (lang, text), different texts of each language).
 
-    Tasks count in how many sampled documents each n-gram occurs; the driver gets the n-grams that
-    are some language's own (their number is bounded by the sample), with the bits of their languages.
+    Different texts are ranked by a hash, so a text that repeats counts once and is taken once; ranks and
+    bytes are summed over hashes alone, of about docs_per_language texts of a language.
     """
-    spark = train.sparkSession
-    rows = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    keys = stored(keyed.select("lang", "h", F.octet_length("text").alias("b")).groupBy("lang", "h").agg(F.max("b").alias("b")), "language-texts")
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for lang in sorted(sizes):
+        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * docs_per_language / sizes[lang]))).otherwise(rate)
+    some = keys.where(F.pmod(F.xxhash64("h", "lang"), F.lit(1 << 20)) < rate * (1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("h", "lang"), "h")
+    some = some.withColumns({"rank": F.row_number().over(order), "before": F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    some = some.where((F.col("rank") <= docs_per_language) & (F.coalesce("before", F.lit(0)) < bytes_per_language))
+    return keyed.join(some.select("lang", "h"), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text"), sizes
+
+
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> LanguageFilter:
+    """Learns from at most docs_per_language different texts of each language, chosen by a hash of the text.
+
+    No text is taken once bytes_per_language are reached. Tasks count in how many sampled documents each
+    n-gram occurs; the driver gets the n-grams that are some language's own (their number is bounded by
+    the sample), with the bits of their languages. Rows with a null text or language teach nothing.
+    """
+    rows = train.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text")).where("lang is not null and text is not null")
+    sample, sizes = sampled(rows, docs_per_language, bytes_per_language)
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter([], np.zeros((0, SLOTS), np.uint8))
-    rate = F.lit(0.0)
-    for lang in languages:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / sizes[lang]))).otherwise(rate)
-    sample = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < rate * (1 << 20))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

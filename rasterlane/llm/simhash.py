@@ -25,6 +25,8 @@ from .common import components, least_rows, quoted, row_key, shared_dir, stored,
 #: bound of the sample that deals them out, and its size for each shard.
 SHARD_ROWS, SAMPLE, SAMPLE_PER_SHARD = 100_000, 1 << 20, 64
 LEAF = 48
+#: Candidates that a search compares at once, however dense a shard is.
+CANDIDATES = 1 << 20
 #: Candidates for a vantage point, and rows on which their spread is measured.
 TRIED, MEASURED = 8, 256
 SEED = 42
@@ -106,16 +108,25 @@ class VPTree:
             q, node = np.concatenate([q[near], q[far]]), np.concatenate([self.inner[node[near]], self.outer[node[far]]])
         return np.concatenate(out_q), np.concatenate(out_leaf)
 
-    def pairs(self, points: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, point row) for all pairs within the radius."""
-        q, leaf = self.reach(queries, radius)
+    def pairs(self, points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query row, point row) for all pairs within the radius, about CANDIDATES at a time."""
+        every_q, every_leaf = self.reach(queries, radius)
         sizes = np.fromiter(map(len, self.leaves), np.int64, len(self.leaves))
         begin, rows = np.cumsum(sizes) - sizes, np.concatenate(self.leaves)
-        n = sizes[leaf]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[leaf], n)
-        q, p = np.repeat(q, n), rows[at]
-        near = np.bitwise_count(queries[q] ^ points[p]) <= radius
-        return q[near], p[near]
+        for a, b in cuts(sizes[every_leaf], CANDIDATES):
+            q, leaf = every_q[a:b], every_leaf[a:b]
+            n = sizes[leaf]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[leaf], n)
+            q, p = np.repeat(q, n), rows[at]
+            near = np.bitwise_count(queries[q] ^ points[p]) <= radius
+            yield q[near], p[near]
+
+
+def cuts(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of about limit candidates; a larger one stands alone."""
+    part = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
 def local_components(points: np.ndarray, home: np.ndarray, radius: int, at_once: int = 1024) -> np.ndarray:
@@ -134,14 +145,14 @@ def local_components(points: np.ndarray, home: np.ndarray, radius: int, at_once:
     if len(own):
         tree = VPTree.build(points[own], LEAF)
         for a in range(0, len(points), at_once):
-            q, p = tree.pairs(points[own], points[a : a + at_once], radius)
-            q, p = q + a, own[p]
-            link = np.unique(np.stack([parent[q], parent[p]], 1)[parent[q] != parent[p]], axis=0)
-            for x, y in link.tolist():
-                x, y = root(x), root(y)
-                parent[max(x, y)] = min(x, y)
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
+            for q, p in tree.pairs(points[own], points[a : a + at_once], radius):
+                q, p = q + a, own[p]
+                link = np.unique(np.stack([parent[q], parent[p]], 1)[parent[q] != parent[p]], axis=0)
+                for x, y in link.tolist():
+                    x, y = root(x), root(y)
+                    parent[max(x, y)] = min(x, y)
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
     out = np.empty_like(points)
     out[order] = points[parent]
     return out

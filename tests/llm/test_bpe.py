@@ -32,7 +32,7 @@ def test_words_merge_exactly():
 
 
 def test_small_caches_change_nothing():
-    e = bpe.Encoder(bpe.encoder().v, cache=4)
+    e = bpe.Encoder(bpe.encoder().v, cache=400)
     text = "the cat and the dog and the cat " * 5
     assert np.frombuffer(e.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
@@ -47,3 +47,30 @@ def test_round_trip_of_odd_rows(spark):
     assert bpe.round_trip(docs.limit(0)).count() == 0
     back = bpe.detokenised(bpe.tokenised(docs)).where("doc_id = 1").first()
     assert back["decoded"] == "a b"
+
+
+def test_long_pieces_are_encoded_but_never_kept():
+    """Scripts without spaces: a cache holds bytes, not entries."""
+    rng = random.Random(5)
+    rows = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)) for _ in range(20)]
+    e, h = bpe.Encoder(bpe.encoder().v), huffman.LibraryEncoder(huffman.VOCABULARY)
+    for text in rows:
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        spaced = LIBRARY.encode(f"x {text}", add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == ids and np.frombuffer(e.encode(f"x {text}"), "<u4").tolist() == spaced
+        assert np.frombuffer(h.encode([text])[0], h.kind).tolist() == ids and np.frombuffer(h.encode([f"x {text}"])[0], h.kind).tolist() == spaced
+    held = sum(len(k) for cache in (e.pretokens, e.first, e.spaced, h.heads, h.new) for k in cache)
+    assert held < 3000
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    p = bpe.Pieces(lambda x: x.encode(), "", 10_000)
+    for i in range(5000):
+        assert p[f"piece {i}"] == f"piece {i}".encode()
+        assert sum(bpe.weight(k, v) for k, v in p.items()) <= 10_000 and sum(bpe.weight(k, v) for k, v in p.old.items()) <= 10_000
+    monkeypatch.setattr(huffman, "CACHE", 10_000)
+    h = huffman.LibraryEncoder(huffman.VOCABULARY)
+    for i in range(40):
+        text = " ".join(f"word{i * 50 + j}," for j in range(50))
+        assert np.frombuffer(h.encode([text])[0], h.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert sum(bpe.weight(k, v) for k, v in h.new.items()) <= 10_000

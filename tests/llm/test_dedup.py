@@ -26,7 +26,7 @@ def test_exact_dedup_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a b", "ab", "a\tb ", "", None, " ", "é x", "éx", "long " * 3000, f"one {i}", "A b"])) for i in range(300)]
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, h string, size int")
-    found = exact_dedup.exact_dedup(docs, bucket_rows=10).collect()
+    found = exact_dedup.exact_dedup(docs, bucket_rows=10, chain_rows=7).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found) == brute_exact(rows)
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in found)
     kept = exact_dedup.keep_first(docs)
@@ -56,18 +56,29 @@ def test_directory_splits_overfull_buckets_only(spark):
     assert depth > exact_dedup.STEP + 3  # it doubled beyond its first size, without a bound
 
 
-def test_colliding_hashes_make_chains_of_different_texts(spark):
-    """Every text has one of two hashes: only the bytes tell them apart."""
+@pytest.mark.parametrize("chain_rows", [1, 9, 1000])
+def test_colliding_hashes_make_chains_of_different_texts(spark, chain_rows):
+    """Every text has one of two hashes: only the bytes tell them apart, within links and across them."""
     rng = random.Random(2)
     rows = [(i, rng.choice(["a b", "ab", "", None, "é x", "éx", f"one {i}", "z" * 5000])) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     weak = lambda norm: F.length(norm) % 2
-    found = exact_dedup.exact_dedup(docs, bucket_rows=10, hash_of=lambda norm: weak(norm).cast("long")).collect()
+    found = exact_dedup.exact_dedup(docs, bucket_rows=10, hash_of=lambda norm: weak(norm).cast("long"), chain_rows=chain_rows).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found) == brute_exact(rows)
-    kept = exact_dedup.keep_first(docs, hash_of=lambda norm: weak(norm).cast("long"))
+    kept = exact_dedup.keep_first(docs, hash_of=lambda norm: weak(norm).cast("long"), chain_rows=chain_rows)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["keep_id"] for r in found})
 
 
+def test_owners_walk_chains_without_dealing_texts_again(spark):
+    """One exchange by key range, and none by a text's content."""
+    members = spark.createDataFrame([(0, 1, 0, "a", 1), (0, 1, 0, "b", 2), (0, 1, 0, "a", 3), (0, 2, 0, "a", 4)], "bucket long, h long, link long, norm string, uid long")
+    out = exact_dedup.walked(members)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "rangepartitioning(bucket" in exchanges[0] and "norm" not in exchanges[0].partition("]")[0].partition("rangepartitioning")[2].partition(")")[0]
+    assert sorted((r["uid"], r["class"]) for r in out.collect()) == [(1, 1), (2, 2), (3, 1), (4, 1)]
+
+
 def test_any_id_type_and_odd_names(spark):
     docs = spark.createDataFrame([("b", "x y", 1), ("a", "xy", 2), (None, "xy", 3), ("c", None, 4), ("d", " ", 5)], "`my``id` string, text string, h int")
     found = {r[0]: r["keep_id"] for r in exact_dedup.exact_dedup(docs, "my`id").collect()}
@@ -101,6 +112,21 @@ def test_fingerprints():
     assert simhash.fingerprints(texts).tolist() == [brute_fingerprint(t) for t in texts]
 
 
+def test_dense_balls_are_searched_in_bounded_parts():
+    """4000 fingerprints within two bits of each other: candidates are compared a part at a time, none is lost."""
+    bits = [(1 << a) | (1 << b) for a in range(64) for b in range(a)] + [1 << a for a in range(64)] + [0]
+    points = np.array(bits, np.uint64)
+    tree, got, most = simhash.VPTree.build(points, simhash.LEAF), 0, 0
+    old, simhash.CANDIDATES = simhash.CANDIDATES, 5000
+    try:
+        for q, p in tree.pairs(points, points[:300], 2):
+            got, most = got + len(q), max(most, len(q))
+    finally:
+        simhash.CANDIDATES = old
+    assert got == int((np.bitwise_count(points[:300, None] ^ points[None]) <= 2).sum()) and most <= 5000 + simhash.LEAF
+    assert simhash.cuts(np.array([3, 9, 1, 1, 1]), 4) == [(0, 2), (2, 5)] and simhash.cuts(np.zeros(0, np.int64), 4) == []
+
+
 @pytest.mark.parametrize("shard_rows", [40, 10_000])
 def test_links_against_brute_force(spark, shard_rows):
     rng = random.Random(5)

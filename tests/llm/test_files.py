@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rasterlane.llm import huffman, warc
-from rasterlane.llm.common import shared_path, table
+from rasterlane.llm.common import open_input, shared_path, table
 
 
 @settings(max_examples=100, deadline=None)
@@ -109,6 +109,77 @@ def test_every_archive_has_a_dictionary(spark):
     assert one[0]["bytes"] < sum(len(packed.compress((r["html"] or "").encode())) for r in pages.collect())  # the dictionary pays
 
 
+def plain_ids(codes, lengths, data, bit, count):
+    """Ids from a bit on, one bit at a time by a table of code words."""
+    words = {(int(n), int(c)): i for i, (n, c) in enumerate(zip(lengths, codes)) if n}
+    bits, out, n, c = "".join(f"{b:08b}" for b in data), [], 0, 0
+    while len(out) < count:
+        n, c, bit = n + 1, c * 2 + int(bits[bit]), bit + 1
+        if (n, c) in words:
+            out.append(words[n, c])
+            n = c = 0
+    return out
+
+
+def test_blocks_decode_alone_with_a_plain_decoder(spark, monkeypatch):
+    """The file format from its description: header, code lengths, offsets, documents."""
+    import json
+    import struct
+
+    monkeypatch.setattr(huffman, "LANES", 2)
+    docs = spark.createDataFrame([(i, f"text number {i} " + "and so on " * (i % 7 * 100), "x") for i in range(40)], "doc_id long, text string, n string").coalesce(1)
+    (m,) = huffman.write_tokens(docs, shared_path(spark, "test-tokens"))
+    lib = huffman.library_encoder().library
+    want = [x for i in range(40) for x in [*lib.encode(f"text number {i} " + "and so on " * (i % 7 * 100), add_special_tokens=False).ids, 2]]
+    with open_input(m["uri"]) as f:
+        raw = f.read()
+    assert raw[:8] == raw[-8:] == huffman.MAGIC
+    n = struct.unpack("<I", raw[8:12])[0]
+    header = json.loads(raw[12 : 12 + n])
+    lengths = np.frombuffer(zlib.decompress(raw[12 + n : 12 + n + header["lengths"]]), np.uint8)
+    codes, top = {}, 0  # canonical: by length, then id
+    code = np.zeros(len(lengths), np.int64)
+    for length in range(1, int(lengths.max()) + 1):
+        top *= 2
+        for i in np.flatnonzero(lengths == length):
+            code[i], top = top, top + 1
+    begin, k = 12 + n + header["lengths"], struct.unpack("<I", raw[-12:-8])[0]
+    footer = json.loads(raw[-12 - k : -12])
+    end = len(raw) - 12 - k - footer["offsets"]
+    offsets = np.frombuffer(raw[end : end + footer["offsets"]], "<u8")
+    assert footer["tokens"] == len(want) and len(offsets) == -(-len(want) // header["block"]) > 3
+    per = header["segment"] // header["block"]
+    with open_input(m["uri"]) as f:
+        file = huffman.TokenFile(f)
+        for b, bit in enumerate(offsets.tolist()):
+            mine = want[b * header["block"] : (b + 1) * header["block"]]
+            a, z = footer["segments"][b // per : b // per + 2]
+            assert plain_ids(code, lengths, raw[begin + a : begin + z], bit, len(mine)) == mine
+            assert file.block(b).tolist() == mine
+
+
+def test_token_files_take_ids_of_any_type(spark):
+    for kind, value in (("smallint", "3"), ("double", "2.5"), ("date", "date'2020-01-02'"), ("decimal(10,2)", "1.25"), ("binary", "x'00ff'"), ("boolean", "true"), ("timestamp", "timestamp'2020-01-02 03:04:05'"), ("string", "'a'")):
+        docs = spark.range(3).selectExpr(f"case when id > 0 then cast({value} as {kind}) end as `d id`", "concat('some text ', id) as text", "1 as start")
+        found = huffman.read_digests(spark, huffman.write_tokens(docs, shared_path(spark, "test-tokens"), "d id"), "d id", kind).collect()
+        assert sorted(str(r["d id"]) for r in found) == sorted(str(r["d id"]) for r in docs.collect()) and len({r["ids_crc32"] for r in found}) == 3
+
+
+def test_a_file_holds_a_bounded_number_of_documents(spark, monkeypatch):
+    """Empty texts that all have one id are dealt to several files, and leave a reader in several batches."""
+    monkeypatch.setattr(huffman, "ROWS", 100)
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'' as text")
+    ids = huffman.encoded(docs)
+    lengths = np.zeros(50_000, np.uint8)
+    lengths[2] = 1
+    manifest = huffman.write_files(ids, shared_path(spark, "test-tokens"), lengths, huffman.VOCABULARY, huffman.library_encoder().kind, file_docs=500)
+    assert len(manifest) > 4 and sum(m["docs"] for m in manifest) == 3000 and max(m["docs"] for m in manifest) < 1500
+    found = huffman.read_digests(spark, manifest).collect()
+    assert sorted(r["start"] for r in found) == list(range(3000)) and {r["n_tokens"] for r in found} == {1}
+    sizes = [d.num_rows for d, _, _ in huffman.read_file(manifest[0]["uri"])]
+    assert max(sizes) == 100 and sum(sizes) == manifest[0]["docs"]
+
+
 def test_archives_of_odd_ids_and_long_payloads(spark):
     rows = [("b", "same", 1), ("a", "same", 2), ("", "same", 3), (None, "same", 4), (None, "own", 5), ('q"\n%é', "x" * 3_000_000, 6), ("%0A", None, 7)]
     pages = spark.createDataFrame(rows, "`p``id` string, html string, id int")

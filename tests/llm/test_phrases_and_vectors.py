@@ -164,7 +164,7 @@ def test_hard_negatives_against_brute_force(spark, scale):
 def test_hard_negatives_beyond_a_long_and_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [1e300], "a"), (2, [1e300], "a"), (3, [1e-300], "b"), (4, [0.5], "b")], "vec_id long, embedding array<double>, label string")
     assert hard_negatives.hard_negatives(df, df.where("vec_id = 1")).collect() == []  # the negatives score 0 and the long's end
-    assert hard_negatives.products(np.array([[1e300]]), np.array([[1e300], [-1e300]]), 256).tolist() == [[(1 << 63) - 1], [-(1 << 63)]]
+    assert hard_negatives.products(np.array([[1e300]]), np.array([[1e300], [-1e300]]), 256).tolist() == [[(1 << 63) - 1, -(1 << 63)]]
     assert hard_negatives.hard_negatives(df.limit(0)).count() == 0
     assert hard_negatives.hard_negatives(df.where("label = 'a'")).count() == 0
 

@@ -31,7 +31,7 @@ def has_a_language(model, text):
             h ^= h >> 29
         for k in range(len(hits)):
             hits[k] += all(int(model.words[k // 8][(h >> s) % language_id.SLOTS]) >> k % 8 & 1 for s in (0, 22))
-    return any(n / grams > f for n, f in zip(hits, model.fill()))
+    return any(n / grams > f for n, f in zip(hits, model.fill))
 
 
 def jaccard(a, b):
