@@ -3,15 +3,15 @@
 Each word is a lattice over its bytes: arcs are the pieces of an existing vocabulary (and single
 bytes), and a word's probability is the sum over all segmentations, by a forward recursion in log
 space. Arc weights start at the vocabulary's scores and are re-estimated on all training words
-(expected counts by forward and backward recursion). A word that the corpus has is one more arc over
-its whole length, weighted by its discounted count; what the discount frees goes to the pieces.
+(expected counts by forward and backward recursion).
 
 A corpus has texts of several kinds, so there are KINDS such lattices, each learned from the texts that
 are nearest to it. A text's score is the log10 of its marginal probability: over the kinds, over all
-segmentations of each word, and its end.
+segmentations of each word, and its end. Kinds begin at a few texts that are far from each other and
+are re-estimated on all training texts.
 
-Texts are read once: tasks cut them into chunks with a local vocabulary and numbered documents.
-Chunks' words meet the global counts by one join on the word and go back to their chunk.
+Tasks cut texts into chunks with a local vocabulary and numbered documents. Chunks' words meet the
+global counts by one join on the word and go back to their chunk.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,9 +35,10 @@ from .common import quoted, shared_dir, stored, table, texts, with_fields
 VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of text in a chunk; rounds of re-estimation; words that a lattice pass takes at once.
 CHUNK, ROUNDS, WORDS = 16 << 20, 4, 50_000
-#: Lattices; the bound of the sample that kinds of texts are told apart on (distinct training texts, in
-#: the order of a hash); slots of a text's histogram of three-byte runs; rounds over the sample.
-KINDS, KIND_TEXTS, SLOTS, KIND_ROUNDS = 4, 2000, 4096, 25
+#: Lattices; slots of a text's histogram of three-byte runs; rounds over all training texts.
+KINDS, SLOTS, KIND_ROUNDS = 4, 4096, 3
+#: Bounds of the texts that kinds begin at, in the order of a hash: different texts, and bytes after which no more are taken.
+SEEDS, SEED_BYTES = 1000, 16 << 20
 #: Bytes of words of one length that are worked on at a time.
 CELLS = 1 << 20
 #: Expected count that all pieces start with, spread as the vocabulary's own scores.
@@ -198,46 +199,72 @@ def histogram(text: bytes) -> np.ndarray:
     return np.bincount(h >> np.uint32(32 - 12), minlength=SLOTS)
 
 
-def kinds_of(hist: np.ndarray, kinds: int = KINDS) -> np.ndarray:
-    """(kind, slot): log shares of each kind's texts, by expectation and maximisation over histograms.
-
-    Starts from texts that are far from each other; the same rows in the same order give the same kinds.
-    """
+def begun(hist: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """(kind, slot): log shares of texts that are far from each other, by their histograms."""
     share = (hist + 0.1) / (hist + 0.1).sum(axis=1, keepdims=True)
     log = np.log(share)
     far = np.full(len(hist), np.inf)
-    picked = [int(hist.sum(axis=1).argmax())]
+    size = hist.sum(axis=1)
+    picked = [int(size.argmax())]
     while len(picked) < kinds:
-        far = np.minimum(far, (share * (log - log[picked[-1]])).sum(axis=1) * (hist.sum(axis=1) >= np.median(hist.sum(axis=1))))
+        far = np.minimum(far, (share * (log - log[picked[-1]])).sum(axis=1) * (size >= np.median(size)))
         picked.append(int(far.argmax()))
-    centre = log[picked]
-    scaled = hist / np.maximum(1, hist.sum(axis=1, keepdims=True)) * 200  # long texts do not decide alone
-    for _ in range(KIND_ROUNDS):
-        fit = scaled @ centre.T
-        r = np.exp(fit - fit.max(axis=1, keepdims=True))
-        r /= r.sum(axis=1, keepdims=True)
-        mass = r.T @ hist + 0.1
-        centre = np.log(mass / mass.sum(axis=1, keepdims=True))
-    return centre
+    return log[picked]
+
+
+def mass(hist: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """(kind, slot): what each kind has of the histograms, by its share of each text."""
+    fit = hist / np.maximum(1, hist.sum(axis=1, keepdims=True)) * 200 @ centre.T  # long texts do not decide alone
+    r = np.exp(fit - fit.max(axis=1, keepdims=True))
+    return (r / r.sum(axis=1, keepdims=True)).T @ hist
+
+
+def centred(total: np.ndarray) -> np.ndarray:
+    return np.log((total + 0.1) / (total + 0.1).sum(axis=1, keepdims=True))
+
+
+def histograms(rows: list[str]) -> np.ndarray:
+    return np.array([histogram(x.encode("utf-8", "surrogatepass").lower()) for x in rows]).reshape(-1, SLOTS)
 
 
 def kinds(rows: DataFrame) -> np.ndarray:
-    """kinds_of() a bounded sample of rows (text, learn); equal kinds where there is no text to learn from."""
-    known = rows.where("learn and text <> ''").select("text", F.xxhash64("text").alias("h"))
-    count = known.count()
-    part = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * KIND_TEXTS / max(1, count)))
-    some = known.where(part).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(KIND_TEXTS)
+    """(kind, slot) of the texts of rows (text, learn) to learn from; equal kinds where there are none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, hist = [], []
+    Expectation and maximisation over all training texts, KIND_ROUNDS times: a task sends one sum for each
+    kind and slot. Only the beginning comes from SEEDS different texts and SEED_BYTES.
+    """
+    known = rows.where("learn and text <> ''")
+    keys = known.select(F.xxhash64("text").alias("h"), F.octet_length("text").alias("b")).groupBy("h").agg(F.max("b").alias("b"))
+    least = keys.orderBy(F.xxhash64("h"), "h").limit(SEEDS).withColumn("before", F.sum("b").over(Window.orderBy(F.xxhash64("h"), "h").rowsBetween(Window.unboundedPreceding, -1)))
+    least = least.where(F.coalesce("before", F.lit(0)) < SEED_BYTES).select("h")
+    some = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h += batch.column(0).to_pylist()
-            hist += [histogram(x.encode("utf-8", "surrogatepass").lower()) for x in texts(batch, "text")]
-        found = kinds_of(np.array(hist)[np.argsort(h)]) if hist else np.zeros((KINDS, SLOTS))
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["kinds"])
+            hist = histograms(texts(batch, "text")).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in hist], pa.binary())], ["h", "hist"])
+
+    found = some.mapInArrow(seeds, "h long, hist binary").orderBy(F.xxhash64("h"), "h").collect()  # SEEDS rows at most
+    if not found:
+        return np.zeros((KINDS, SLOTS))
+    centre = begun(np.array([np.frombuffer(r["hist"], np.float32) for r in found], np.float64))
+    for _ in range(KIND_ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast(centre)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((KINDS, SLOTS))
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    out += mass(histograms(texts(batch.slice(a, 256), "text")), sent.value)
+            k, at = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(out[k, at])], ["kind", "slot", "n"])
 
-    found = some.repartition(1).mapInArrow(run, "kinds binary").first()
-    return np.frombuffer(found["kinds"]).reshape(KINDS, SLOTS) if found else np.zeros((KINDS, SLOTS))
+        total = np.zeros((KINDS, SLOTS))
+        # sums of doubles in the order of their size, so that the same texts give the same kinds
+        for r in known.select("text").mapInArrow(run, "kind long, slot long, n double").groupBy("kind", "slot").agg(F.expr("aggregate(array_sort(collect_list(n)), 0e0, (s, x) -> s + x)").alias("n")).collect():
+            total[r["kind"], r["slot"]] = r["n"]
+        centre = centred(total)
+    return centre
 
 
 class Chunk:
@@ -312,25 +339,16 @@ def chunked(rows: DataFrame, kinds: np.ndarray) -> DataFrame:
 
 @dataclass(frozen=True)
 class Totals:
-    """tokens and types (with the end) of all; by kind: ends, words, types and discount."""
+    """tokens and types (with the end) of all; by kind the ends and words."""
 
     tokens: int
     types: int
     ends: np.ndarray
     words: np.ndarray
-    kinds: np.ndarray
-    discount: np.ndarray
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def word(self, k: int, c: np.ndarray, log_pieces: np.ndarray) -> np.ndarray:
-        """log10 probability of words of kind k: over their own arc and all others."""
-        rest = self.discount[k] * self.kinds[k] / self.words[k] if self.words[k] else 1.0
-        with np.errstate(divide="ignore"):
-            own = np.log(np.maximum(c - self.discount[k], 0) / max(1, self.words[k]))
-        return np.logaddexp(own, log_pieces + np.log(rest)) / np.log(10)
-
     def end(self) -> float:
         """Probability of the end after any word."""
         ends = int(self.ends.sum())
@@ -347,14 +365,8 @@ class Totals:
 
 
 def totals(counts: DataFrame, ends: np.ndarray) -> Totals:
-    every = [F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum("c").alias("n")]
-    for c in COUNTS:
-        every += [F.sum(c).alias(f"n_{c}"), *[F.sum(F.expr(f"cast({c} {test} as long)")).alias(f"{name}_{c}") for name, test in (("v", "> 0"), ("one", "= 1"), ("two", "= 2"))]]
-    r = counts.agg(*every).first()
-    get = lambda name: np.array([r[f"{name}_{c}"] or 0 for c in COUNTS])
-    one, two = get("one"), get("two")
-    discount = np.where((one > 0) & (two > 0), one / np.maximum(1, one + 2 * two), 0.75)
-    return Totals((r["n"] or 0) + int(ends.sum()), (r["v"] or 0) + (ends.sum() > 0), ends, get("n"), get("v"), discount)
+    r = counts.agg(F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum("c").alias("n"), *[F.sum(c).alias(c) for c in COUNTS]).first()
+    return Totals((r["n"] or 0) + int(ends.sum()), (r["v"] or 0) + (ends.sum() > 0), ends, np.array([r[c] or 0 for c in COUNTS]))
 
 
 def estimate(counts: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -427,10 +439,10 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             w = part.column(0).to_pylist()
             lp = np.zeros((len(w), 2 * len(pairs)), np.float32)
             for k, lattice in enumerate(lattices):
-                lp[:, k] = t.word(k, part.column(k + 2).to_numpy(), log_probabilities(lattice, w))
+                lp[:, k] = log_probabilities(lattice, w) / np.log(10)
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), part.column(1).combine_chunks(), *[pa.array(x) for x in lp.view(np.int64).T]], ["w", "c", *pairs])
 
-    weighed = m.counts.select("w", "c", *COUNTS).mapInArrow(weigh, f"w binary, c long, {', '.join(f'{p} long' for p in pairs)}")
+    weighed = m.counts.select("w", "c").mapInArrow(weigh, f"w binary, c long, {', '.join(f'{p} long' for p in pairs)}")
     values = m.rows.where("w is not null").select("chunk", "n", "w").join(weighed, "w").select("chunk", "n", "c", *pairs)
 
     def add_up(v: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:

@@ -141,12 +141,9 @@ def test_scores_against_brute_force(spark):
     def brute(x):
         out = 0.0
         for k, c in enumerate(counts):
-            n, one, two = sum(c.values()), sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
-            d = one / (one + 2 * two) if one and two else 0.75
             p = (ends[k] + 1) / (sum(ends) + len(ends)) * stop
             for w in (x or "").lower().encode().split():
-                own = max(c[w] - d, 0) / max(1, n)
-                p *= (1 - stop) * (own + (d * len(c) / n if n else 1) * math.exp(brute_lattice(t, m.weights[k], w)))
+                p *= (1 - stop) * math.exp(brute_lattice(t, m.weights[k], w))
             out += p
         return math.log10(out)
 
@@ -166,16 +163,28 @@ def test_re_estimation_never_lowers_the_likelihood(spark):
     assert got[0] < got[1] < got[2]
 
 
-def test_kinds_are_told_apart():
+def test_kinds_are_told_apart(spark):
+    """By all training texts: the same kinds in plain Python, and groups that share no runs."""
     rng = np.random.default_rng(0)
     groups = [[b"abc abd aba ", b"bca "], [b"xyz xyy ", b"zzx "], [b"123 456 ", b"789 "], [b"mno nop ", b"opm "]]
-    rows = [b"".join(rng.choice(g, 40)) for g in groups for _ in range(15)]
-    centre = subword_lm.kinds_of(np.array([subword_lm.histogram(r) for r in rows]))
-    found = [int((centre @ subword_lm.histogram(r)).argmax()) for r in rows]
+    rows = [b"".join(rng.choice(g, 40)).decode() for g in groups for _ in range(15)]
+    docs = spark.createDataFrame([(x, i % 15 > 0) for i, x in enumerate(rows)] + [(None, True)], "text string, learn boolean").fillna("").repartition(3)
+    centre = subword_lm.kinds(docs)
+    found = [int((centre @ subword_lm.histogram(r.encode())).argmax()) for r in rows]
     assert [len(set(found[i : i + 15])) for i in range(0, 60, 15)] == [1, 1, 1, 1] and len(set(found)) == 4
+    hist = subword_lm.histograms([x for i, x in enumerate(rows) if i % 15 > 0])
+    assert np.allclose(subword_lm.centred(subword_lm.mass(hist, centre)), centre, atol=1e-6)  # at rest over all texts
     assert (subword_lm.histogram(b"") == 0).all() and subword_lm.histogram(b"abcd").sum() == 2
 
 
+def test_every_training_text_moves_the_kinds(spark, monkeypatch):
+    """More texts than seeds: those that are no seeds count too."""
+    monkeypatch.setattr(subword_lm, "SEEDS", 4)
+    docs = spark.range(200).selectExpr("concat('some words ', id, case when id % 2 = 0 then ' zzq zzq' else ' kkj kkj' end) as text", "true as learn")
+    some, every = subword_lm.kinds(docs.limit(50)), subword_lm.kinds(docs)
+    assert not np.allclose(some, every)
+
+
 def test_base_scores_and_counts(spark):
     rows = [(1, "The the cat"), (2, None), (3, ""), (4, "a\x1cb \x85 cat"), (5, "dog " * 2000), (5, "dog " * 2000), (6, "unseen words")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, w int")
