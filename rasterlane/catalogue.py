@@ -498,6 +498,17 @@ on_plan("compose_random_order_turns", compose.RandomOrder(TURNS, n=2), pixel_sql
 on_plan("compose_selective_channel", compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0),), channels=(0, 2)), pixel_sql("y", "x", ("255 - v0", "v1", "255 - v2")))
 
 
+SOME = compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0), OPERATORS["horizontal_flip"](p=0.5)), channels=(0, 2))
+half = D(0, "0.1.horizontal_flip").unit("gate")
+FLIPPED = f"{PX} SELECT px.sample_id, px.y::BIGINT AS y, px.x::BIGINT AS x, 255 - o.v0 AS v0, px.v1, (255 - o.v2)::DOUBLE AS v2 FROM (SELECT *, CASE WHEN {half} < 0.5 THEN 7 - x ELSE x END AS ox FROM px) AS px JOIN px AS o ON o.sample_id = px.sample_id AND o.y = px.y AND o.x = px.ox"
+on_plan("compose_selective_channel_flip", SOME, FLIPPED)
+
+
+@query("rows_compose_selective_channel", FLIPPED)
+def rows_compose_selective_channel(spark, sf_dir):
+    return shown(packed.unpacked(packed.apply(SOME, src.embedding_images(spark, sf_dir, 8)), 3))
+
+
 @query("compose_spec_round_trip", ORACLE_SQL["compose_one_of"])
 def compose_spec_round_trip(spark, sf_dir):
     plan = compose.plan_from_spec(compose.OneOf(FLIPS, p=1.0).spec())
@@ -517,7 +528,45 @@ U4 = {k: D(0, "0.0.random_crop").unit(k) for k in "uv"}
 @query("compose_recorded", f"SELECT vec_id AS sample_id, true AS applied, {U4['u']} AS p_u, {U4['v']} AS p_v FROM (SELECT vec_id, vec_id AS sample_id FROM embeddings)")
 def compose_recorded(spark, sf_dir):
     px = src.embedding_pixels(spark, sf_dir)
-    return compose.ReplayCompose((geometry.RandomCrop(4, 4),)).recorded(px.select("sample_id", "h", "w").distinct())["0.0"]
+    found = compose.ReplayCompose((geometry.RandomCrop(4, 4),)).recorded(px.select("sample_id", "h", "w").distinct())
+    return found.rows.selectExpr("sample_id", "step0.applied", "step0.u as p_u", "step0.v as p_v")
+
+
+RESIZED = compose.ReplayCompose((geometry.RandomCrop(5, 4, p=0.7), geometry.Pad(padding=(1, 0, 0, 0), p=0.5), OPERATORS["coarse_dropout"](p=1.0, num_holes_range=(1, 1), fill=9.0, hole_height_range=(0.3, 0.6), hole_width_range=(0.3, 0.6))), seed=3)
+
+
+def resized_sql() -> str:
+    """The plan's three operators in turn: window, one column before, a hole that is a share of the size by then."""
+    (_, crop, *_), (_, pad, *_), (_, drop, *_) = RESIZED.leaves(3)
+    at = [Draws(3, f"0.{i}.{op.name}") for i, op in enumerate((crop, pad, drop))]
+    first = drawn_from("px", crop.draws(at[0]), crop.gate(at[0], False))
+    second = "SELECT sample_id, 5 AS h, 4 AS w, y - cast(floor((h - 5 + 1) * p_v) as int) AS y, x - cast(floor((w - 4 + 1) * p_u) as int) AS x, v0, v1, v2 FROM a WHERE g AND y >= cast(floor((h - 5 + 1) * p_v) as int) AND y < cast(floor((h - 5 + 1) * p_v) as int) + 5 AND x >= cast(floor((w - 4 + 1) * p_u) as int) AND x < cast(floor((w - 4 + 1) * p_u) as int) + 4 UNION ALL SELECT sample_id, h, w, y, x, v0, v1, v2 FROM a WHERE NOT g"
+    third = f"SELECT sample_id, h, w + g::INT AS w, y, x + g::INT AS x, v0, v1, v2 FROM ({drawn_from('b', {}, pad.gate(at[1], False))}) UNION ALL SELECT sample_id, h, w + 1, y, 0, 0, 0, 0 FROM ({drawn_from('b', {}, pad.gate(at[1], False))}) WHERE g AND x = 0"
+    last = drawn_from("c", drop.draws(at[2]), "true")
+    inside = "y >= p_y0 AND y < p_yy0 AND x >= p_x0 AND x < p_xx0"
+    return f"{PX}, a AS ({first}), b AS ({second}), c AS ({third}), d AS ({last})\nSELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, h::BIGINT AS h, w::BIGINT AS w, " + ", ".join(f"CASE WHEN {inside} THEN 9.0 ELSE {v} END AS {v}" for v in V) + " FROM d"
+
+
+def drawn_from(source: str, draws: dict[str, str], gate: str) -> str:
+    return f"SELECT *{''.join(f', {e} AS p_{k}' for k, e in draws.items())}, ({gate}) AS g FROM {source}"
+
+
+@query("compose_replay_resized", resized_sql())
+def compose_replay_resized(spark, sf_dir):
+    """Sizes change before an operator whose draws are shares of the side: followed while recording."""
+    px = src.embedding_pixels(spark, sf_dir)
+    out = RESIZED.replay(Frame(px), RESIZED.recorded(px.select("sample_id", "h", "w").distinct())).pixels
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("sample_id", "y", "x", "h", "w")], *V)
+
+
+@query("compose_params", resized_sql().partition("SELECT sample_id, y::BIGINT")[0] + "SELECT DISTINCT sample_id, 'coarse_dropout' AS operator, true AS applied, h::BIGINT AS h, w::BIGINT AS w, p_y0::BIGINT AS y0, p_xx0::BIGINT AS xx0 FROM d")
+def compose_params(spark, sf_dir):
+    """The parameters that a run applied, as a relation, and the sizes that samples end with."""
+    px = src.embedding_pixels(spark, sf_dir)
+    found = RESIZED.recorded(px.select("sample_id", "h", "w").distinct())
+    params = found.params().where("path = '0.2'").select("sample_id", "operator", "applied", F.from_json("params", "y0 long, xx0 long").alias("j"))
+    sizes = found.rows.select("sample_id", F.col("h").cast("long").alias("h"), F.col("w").cast("long").alias("w"))
+    return params.join(sizes, "sample_id").select("sample_id", "operator", "applied", "h", "w", "j.y0", "j.xx0")
 
 
 # texts and spectrograms

@@ -13,7 +13,9 @@ rigid operators in a chain become one projection.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, fields, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,14 @@ class Frame:
         return replace(self, **{n: f(df, n) for n, df in self.relations().items()})
 
 
+class Record(NamedTuple):
+    """One operator's recorded draws: a struct column of applied and the draws named, in rows by sample_id."""
+
+    rows: DataFrame
+    column: str
+    names: tuple[str, ...]
+
+
 def operator(cls: type[Operator]) -> type[Operator]:
     """Registers a dataclass operator under its snake_case name."""
     cls = dataclass(frozen=True)(cls)
@@ -62,10 +72,20 @@ class Operator:
     name = "operator"
     #: Whether masks follow the pixels (spatial operators) or stay.
     spatial = False
+    #: Whether it needs a statistic of the sample, which samples without an id do not have.
+    statistic = False
 
     def draws(self, d: Draws) -> dict[str, str]:
         return {}
 
+    def every_draw(self, d: Draws) -> dict[str, str]:
+        """draws() and what a family of operators draws beside them."""
+        return self.draws(d)
+
+    def out_size(self) -> tuple[str, str]:
+        """Height and width of the result, over h, w and the draws (p_<name>)."""
+        return "h", "w"
+
     def on_pixels(self, df: DataFrame, channels: int, top: float) -> DataFrame:
         return df
 
@@ -88,27 +108,23 @@ class Operator:
     #: drops, adds or gathers rows has to); for others old values are put back in the same projection.
     own: tuple = ()
 
-    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, params: DataFrame | None = None, when: str | None = None) -> Frame:
+    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, params: Record | None = None, when: str | None = None) -> Frame:
         """The frame with this operator applied where its gate opens (everywhere if forced).
 
         A closed gate is a condition in the row, never a branch of the plan: each relation is read
         once however many operators a plan has. when: a condition that has to hold too. params:
-        recorded draws (sample_id, applied and a column for each draw) to use instead. Samples
-        without an id, and samples that params does not have, stay as they are.
+        recorded draws to use instead, in a column that the relations have. Samples without an id,
+        and samples that were not recorded, stay as they are.
         """
         d = Draws(seed, f"{path}.{self.name}")
-        gate = self.gate(d, forced, when) if params is None else f"{GATE}_recorded"
-        named = {f"p_{k}": v for k, v in self.draws(d).items()}
+        gate = self.gate(d, forced, when) if params is None else f"coalesce({params.column}.applied, false)"
+        named = {f"p_{k}": v if params is None or k not in params.names else f"{params.column}.{k}" for k, v in self.every_draw(d).items()}
 
         def apply(df: DataFrame, kind: str) -> DataFrame:
             on = getattr(self, f"on_{kind}")
             if getattr(type(self), on.__name__) is getattr(Operator, on.__name__) and not (kind == "masks" and self.spatial):
                 return df  # the relation is not touched, so nothing is drawn for it
             act = (lambda x: on(x, frame.channels if kind == "pixels" else 1, frame.top)) if kind in ("pixels", "masks") else on
-            if params is not None:
-                drawn = params.withColumnRenamed("applied", gate)
-                df = df.join(drawn, "sample_id", "left").withColumn(gate, F.coalesce(gate, F.lit(False)))
-                return gated(df, kind, frame, lambda x, g: x, self, act, gate).drop(*named, gate)
             if gate is None:
                 return act(df.withColumns({k: F.expr(v) for k, v in named.items()})).drop(*named)
             if gate == "false":
@@ -124,6 +140,8 @@ class Operator:
         mine = [] if forced or self.p >= 1 else ["false"] if self.p <= 0 else [f"{d.unit('gate')} < {num(self.p)}"]
         if "false" in mine:
             return "false"
+        if not mine and (self.statistic or self.every_draw(d)):
+            mine = ["sample_id is not null"]
         both = [*([f"({when})"] if when else []), *mine]
         return f"coalesce({' and '.join(both)}, false)" if both else None
 
@@ -131,7 +149,11 @@ class Operator:
         """(sample_id, applied, p_<name> ...): this operator's draws for samples (sample_id, h, w)."""
         d = Draws(seed, f"{path}.{self.name}")
         gate = self.gate(d, forced, when) or "true"
-        return samples.select("sample_id", F.expr(gate).alias("applied"), *[F.expr(v).alias(f"p_{k}") for k, v in self.draws(d).items()])
+        return samples.select("sample_id", F.expr(gate).alias("applied"), *[F.expr(v).alias(f"p_{k}") for k, v in self.by_sample(d).items()])
+
+    def by_sample(self, d: Draws) -> dict[str, str]:
+        """The draws that are one for a sample; those of its pixels follow from the same seed again."""
+        return {k: v for k, v in self.every_draw(d).items() if not re.search(r"(?<![\w'.])[xyz](?![\w'(])", v)}
 
     def spec(self) -> dict:
         return {"operator": self.name, **{f.name: getattr(self, f.name) for f in fields(self)}}

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlane.functions.sampling import Draws, num
+from rasterlane.functions.sampling import STEPS, Draws, mixed, num
 
 from .base import Operator, operator, or_old, or_stays, values
 from .geometry import moved
@@ -29,9 +29,13 @@ class Holes(Operator):
         tests = [f"(({e}) and {x} >= {x0} and {x} < {x1} and {y} >= {y0} and {y} < {y1})" for x0, y0, x1, y1, e in self.holes()]
         return "(" + (" or ".join(tests) or "false") + ")"
 
+    def every_draw(self, d: Draws):
+        """With fill "random": a number of the sample, from which its pixels' values follow."""
+        return self.draws(d) | ({"fill": f"cast(floor({d.unit('fill')} * 1e9) as bigint)"} if self.fill == "random" else {})
+
     def filled(self, v: str, i: int, top: float) -> str:
         if self.fill == "random":
-            return f"floor(((sample_id * 48271 + y * 7919 + x * 104729 + {i} * 31) % 10007) / 10007e0 * {num(top + (top == 255))})"
+            return f"floor({mixed(f'(p_fill + y * 65537 + x)', 31 + i)} / {STEPS[-1][1]}e0 * {num(top + (top == 255))})"
         return num(self.fill)
 
     def on_pixels(self, df, channels, top):
@@ -292,7 +296,7 @@ class MaskDropout(Operator):
         d = Draws(seed, f"{path}.{self.name}")
         gone = self.chosen(d).withColumn("__gone", F.lit(True))
         if params is not None:
-            gone = gone.join(params.where("applied").select("sample_id"), "sample_id", "left_semi")
+            gone = gone.join(params.rows.where(F.expr(f"{params.column}.applied")).select("sample_id"), "sample_id", "left_semi")
         elif (gate := self.gate(d, forced, when)) is not None:
             gone = gone.where(F.expr(gate))
 

@@ -349,6 +349,9 @@ class Resampled(Gathered):
     def size(self) -> tuple[str, str]:
         return "h", "w"
 
+    def out_size(self):
+        return self.size()
+
     def source(self) -> tuple[str, str]:
         raise NotImplementedError
 

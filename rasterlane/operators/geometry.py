@@ -78,6 +78,9 @@ class Symmetry(Operator):
     def sizes(self) -> dict[str, str]:
         return {"h": self.pick(lambda e: "w" if D4_PIXELS[e][2] else "h"), "w": self.pick(lambda e: "h" if D4_PIXELS[e][2] else "w")}
 
+    def out_size(self):
+        return tuple(self.sizes().values())
+
     def on_pixels(self, df, channels, top):
         return moved(df, y=self.pick(lambda e: D4_PIXELS[e][0]), x=self.pick(lambda e: D4_PIXELS[e][1]), **self.sizes())
 
@@ -145,6 +148,10 @@ class Window(Operator):
     def bounds(self) -> tuple[str, str, str, str]:
         raise NotImplementedError
 
+    def out_size(self):
+        x0, y0, x1, y1 = self.bounds()
+        return f"({y1}) - ({y0})", f"({x1}) - ({x0})"
+
     def edges(self, df: DataFrame) -> tuple[str, ...]:
         """bounds(), or the whole sample where a gate is closed."""
         return tuple(or_old(df, f"({b})", side) for b, side in zip(self.bounds(), ("0", "0", "w", "h")))
@@ -363,6 +370,10 @@ class Padded(Operator):
     def sides(self) -> tuple[str, str, str, str]:
         raise NotImplementedError
 
+    def out_size(self):
+        left, above, right, below = self.sides()
+        return f"h + ({above}) + ({below})", f"w + ({left}) + ({right})"
+
     def widths(self, df: DataFrame) -> tuple[str, ...]:
         """sides(), or none where a gate is closed."""
         return tuple(or_old(df, f"({s})", "0") for s in self.sides())
@@ -475,6 +486,11 @@ class CropAndPad(Padded):
         above, right, below, left = self.px
         return tuple(str(max(0, s)) for s in (left, above, right, below))
 
+    def out_size(self):
+        h, w = self.cut().out_size() if self.cut() else ("h", "w")
+        left, above, right, below = self.sides()
+        return f"{h} + {above} + {below}", f"{w} + {left} + {right}"
+
     def cut(self) -> Crop | None:
         above, right, below, left = (max(0, -s) for s in self.px)
         return CutBorders(left, above, right, below) if any((above, right, below, left)) else None

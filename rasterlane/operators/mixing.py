@@ -29,7 +29,7 @@ class OverlayElements(Operator):
         if "shown" in o.columns:
             o = o.where("shown")
         if params is not None:
-            o = o.join(params.where("applied").select("sample_id"), "sample_id", "left_semi")
+            o = o.join(params.rows.where(F.expr(f"{params.column}.applied")).select("sample_id"), "sample_id", "left_semi")
         elif (gate := self.gate(d, forced, when)) is not None:
             o = o.where(F.expr(gate))
         x0 = "bx" if "bx" in o.columns else d.integer("x", 0, "greatest(0, w - ow)", "ord")
@@ -56,6 +56,9 @@ class Mosaic(Operator):
     center_range: tuple = (0.3, 0.7)
     p: float = 0.5
 
+    def out_size(self):
+        return tuple(map(str, self.target_size))
+
     def lines(self, d: Draws) -> dict[str, list[str]]:
         """Cell edges on the canvas, per axis: the middle line is the drawn centre."""
         out = {}
@@ -77,7 +80,7 @@ class Mosaic(Operator):
         names = values(frame.channels)
         gate = self.gate(d, forced, when) or "true"
         if params is not None:  # recorded gates, as a column of every relation
-            frame = frame.each(lambda df, n: df.join(params.select("sample_id", F.col("applied").alias("__applied")), "sample_id", "left").withColumn("__applied", F.coalesce("__applied", F.lit(False))))
+            frame = frame.each(lambda df, n: df.withColumn("__applied", F.expr(f"coalesce({params.column}.applied, false)")))
             gate = "__applied"
         samples = frame.pixels.where(gate).select("sample_id", "h", "w").distinct()
         cells = self.cells(samples, d)

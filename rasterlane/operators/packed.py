@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions.sampling import Draws
 
-from . import dropout, gather, geometry, pointwise, statistics
+from . import dropout, gather, geometry, pointwise, statistics, volume
 from .base import Operator
 
 #: Samples that cross to Python at a time.
@@ -198,7 +198,7 @@ KERNELS = {
 
 
 def kernel_of(op: Operator):
-    found = next((KERNELS[c] for c in type(op).__mro__ if c in KERNELS), None)
+    found = None if type(op).__module__ == volume.__name__ else next((KERNELS[c] for c in type(op).__mro__ if c in KERNELS), None)
     special = {"brightness_by_max": True, "ensure_safe_range": False, "by_channels": True, "mask": None, "mode": ("cv", "camera"), "ignore": None, "method": ("weighted_average", "cdf", "pil"), "normalization": "standard", "linear": True}
     odd = [n for n, v in special.items() if hasattr(op, n) and getattr(op, n) not in (v if isinstance(v, tuple) else (v,))]
     if found is None or odd or isinstance(op, geometry.CropAndPad) or getattr(op, "fill", 0) == "random":
@@ -206,47 +206,54 @@ def kernel_of(op: Operator):
     return found
 
 
-def expressions(op: Operator) -> tuple[dict[str, str], tuple[str, str]]:
-    """What a kernel needs beside the draws, and the new h and w, over h, w and the draws."""
-    if isinstance(op, geometry.Symmetry):
-        size = op.sizes()
-        return {}, (size["h"], size["w"])
+def expressions(op: Operator) -> dict[str, str]:
+    """What a kernel needs beside the draws, over h, w and the draws."""
     if isinstance(op, geometry.Window):
-        b = op.bounds()
-        return {f"w{i}": e for i, e in enumerate(b)}, (f"({b[3]}) - ({b[1]})", f"({b[2]}) - ({b[0]})")
+        return {f"w{i}": f"cast({e} as int)" for i, e in enumerate(op.bounds())}
     if isinstance(op, geometry.Padded):
-        b = op.sides()
-        return {f"w{i}": e for i, e in enumerate(b)}, (f"h + ({b[1]}) + ({b[3]})", f"w + ({b[0]}) + ({b[2]})")
+        return {f"w{i}": e for i, e in enumerate(op.sides())}
     if isinstance(op, dropout.Holes):
-        return {f"hole{k}": "named_struct('x0', {}, 'y0', {}, 'x1', {}, 'y1', {}, 'e', {})".format(*h) for k, h in enumerate(op.holes())}, ("h", "w")
+        return {f"hole{k}": "named_struct('x0', cast({} as int), 'y0', cast({} as int), 'x1', cast({} as int), 'y1', cast({} as int), 'e', {})".format(*h) for k, h in enumerate(op.holes())}
     if isinstance(op, gather.Scaled):
-        return {f"w{i}": e for i, e in enumerate(op.size())}, op.size()
+        return {f"w{i}": e for i, e in enumerate(op.size())}
     if isinstance(op, gather.Projected):
-        return {f"w{i}": f"cast({e} as double)" for i, e in enumerate(op.matrix())}, ("h", "w")
-    return {}, ("h", "w")
+        return {f"w{i}": f"cast({e} as double)" for i, e in enumerate(op.matrix())}
+    return {}
+
+
+def on_channels(kernel, img: np.ndarray, q: dict, op, channels: list[int]) -> np.ndarray:
+    """img with the kernel's result in some of its channels."""
+    part = kernel(np.ascontiguousarray(img[..., channels]), q, op)
+    if part.shape != (*img.shape[:2], len(channels)) or part.dtype != img.dtype:
+        raise ValueError(f"{op.name} changes size or type, so it cannot act on some channels alone")
+    out = img.copy()
+    out[..., channels] = part
+    return out
 
 
 def apply(plan, samples: DataFrame, seed: int = 0, forced: bool = False) -> DataFrame:
-    """samples (sample_id, h, w, c, data) through an operator or a plan; other columns are left out.
+    """samples (sample_id, h, w, c, data) through an operator or a plan.
 
-    data of an operator that leaves whole numbers (Normalize, which has to come last) is float32.
-    Null data stays null, samples without an id pass unchanged where a gate has to be drawn, and an
-    empty table gives an empty result.
+    Draws may name other columns of samples (boxes, mask places); the result has the five alone. data of
+    an operator that leaves whole numbers (Normalize, which has to come last) is float32. Null data stays
+    null, samples without an id pass unchanged where anything has to be drawn, and an empty table gives
+    an empty result. Inside SelectiveChannelTransform a kernel sees and changes those channels alone.
     """
-    leaves = [("0", plan, forced, None)] if isinstance(plan, Operator) else list(plan.leaves(seed, "0", forced))
-    df = samples.select("sample_id", F.col("h").alias("h0"), F.col("w").alias("w0"), "c", "data", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"))
+    leaves = [(("0", plan, forced, None, None))] if isinstance(plan, Operator) else list(plan.leaves(seed, "0", forced))
+    kernels = [kernel_of(op) for _, op, *_ in leaves]
+    df = samples.withColumns({"__h0": F.col("h"), "__w0": F.col("w"), "h": F.col("h").cast("int"), "w": F.col("w").cast("int")})
     steps = []
-    for n, (path, op, sure, when) in enumerate(leaves):
+    for n, (path, op, sure, when, channels) in enumerate(leaves):
         d = Draws(seed, f"{path}.{op.name}")
         gate = op.gate(d, sure, when) or "true"
-        draws = op.draws(d)
+        draws = op.every_draw(d)
         df = df.withColumn("__on", F.expr(gate)).withColumns({f"p_{k}": F.expr(f"case when __on then {v} end") for k, v in draws.items()})
-        more, (h, w) = expressions(op)
-        more = {k: F.expr(f"case when __on then {e} end") for k, e in more.items()}
+        h, w = op.out_size()
+        more = {k: F.expr(f"case when __on then {e} end") for k, e in expressions(op).items()}
         step = F.when(F.col("__on"), F.struct(*[F.col(f"p_{k}").alias(k) for k in draws], *[e.alias(k) for k, e in more.items()], F.lit(0).alias("__")))
-        df = df.withColumns({f"s{n}": step, "__h": F.expr(f"cast(case when __on then {h} else h end as int)"), "__w": F.expr(f"cast(case when __on then {w} else w end as int)")})
+        df = df.withColumns({f"__s{n}": step, "__h": F.expr(f"cast(case when __on then {h} else h end as int)"), "__w": F.expr(f"cast(case when __on then {w} else w end as int)")})
         df = df.drop("__on", "h", "w", *[f"p_{k}" for k in draws]).withColumnsRenamed({"__h": "h", "__w": "w"})
-        steps.append((f"s{n}", op, kernel_of(op)))
+        steps.append((f"__s{n}", op, kernels[n], None if channels is None else list(channels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -255,16 +262,16 @@ def apply(plan, samples: DataFrame, seed: int = 0, forced: bool = False) -> Data
 
     def done(batch: pa.RecordBatch) -> pa.RecordBatch:
         named = dict(zip(batch.schema.names, batch.columns))
-        shapes = list(zip(*(named[k].to_pylist() for k in ("h0", "w0", "c"))))
+        shapes = list(zip(*(named[k].to_pylist() for k in ("__h0", "__w0", "c"))))
         images = [None if raw is None else np.frombuffer(raw, np.uint8).reshape(s) for raw, s in zip((x.as_buffer() if x.is_valid else None for x in named["data"]), shapes)]
-        for name, op, kernel in steps:
-            images = [img if q is None or img is None else kernel(img, q, op) for img, q in zip(images, named[name].to_pylist())]
+        for name, op, kernel, channels in steps:
+            images = [img if q is None or img is None else kernel(img, q, op) if channels is None else on_channels(kernel, img, q, op, channels) for img, q in zip(images, named[name].to_pylist())]
         size = [img.shape if img is not None else s for img, s in zip(images, shapes)]
         data = pa.array([None if img is None else memoryview(np.ascontiguousarray(img)).cast("B") for img in images], pa.binary())
         return pa.RecordBatch.from_arrays([named["sample_id"], *[pa.array([s[i] for s in size], pa.int32()) for i in range(3)], data], ["sample_id", "h", "w", "c", "data"])
 
     kind = samples.schema["sample_id"].dataType.simpleString()
-    return df.drop("h", "w").mapInArrow(run, f"sample_id {kind}, h int, w int, c int, data binary")
+    return df.select("sample_id", "__h0", "__w0", "c", "data", *[s[0] for s in steps]).mapInArrow(run, f"sample_id {kind}, h int, w int, c int, data binary")
 
 
 def unpacked(samples: DataFrame, channels: int) -> DataFrame:

@@ -75,7 +75,7 @@ class RandomBrightnessContrast(Operator):
         if not self.brightness_by_max:
             mean = " + ".join(values(channels))
             means = df.groupBy("sample_id").agg(F.avg(F.expr(f"({mean}) / {channels}")).alias("mean"))
-            df, beta = df.join(means, "sample_id"), "p_beta * mean"
+            df, beta = df.join(means, "sample_id", "left"), "p_beta * mean"
         alpha = "p_alpha"
         if self.ensure_safe_range:
             beta = f"greatest(0e0, least({num(top)}, {beta}))"
@@ -104,6 +104,10 @@ class Normalize(Operator):
     normalization: str = "standard"
     p: float = 1.0
 
+    @property
+    def statistic(self):
+        return self.normalization != "standard"
+
     def on_pixels(self, df, channels, top):
         if self.normalization == "standard":
             return pointwise(df, channels, lambda v, i: f"({v} / {num(self.max_pixel_value)} - {num(self.mean[i % len(self.mean)])}) / {num(self.std[i % len(self.std)])}")
@@ -132,7 +136,7 @@ class Normalize(Operator):
             hi = f"q{i}" if each else over("q", "greatest")
             return f"({v} - {lo}) / ({hi} - {lo} + 1e-4)"
 
-        return pointwise(df.join(stats, "sample_id"), channels, scale).drop(*agg)
+        return pointwise(df.join(stats, "sample_id", "left"), channels, scale).drop(*agg)
 
     def out_top(self, top):
         return 1.0
@@ -170,6 +174,10 @@ class ToGray(Operator):
     method: str = "weighted_average"
     p: float = 0.5
 
+    @property
+    def statistic(self):
+        return self.method == "pca"
+
     def on_pixels(self, df, channels, top):
         r, g, b = values(3)
         unit = [f"({x} / {num(top)})" for x in (r, g, b)]
@@ -380,7 +388,7 @@ class ColorJitter(Operator):
     def on_pixels(self, df, channels, top):
         grey = colour.luma("v0", "v1", "v2")
         means = df.groupBy("sample_id").agg(F.avg(F.expr(grey)).alias("mean"))
-        df = df.join(means, "sample_id")
+        df = df.join(means, "sample_id", "left")
 
         def step(df: DataFrame, k: int) -> DataFrame:
             """The change whose draw is the k-th smallest."""
@@ -594,5 +602,5 @@ class ISONoise(Operator):
         h, light, s = colour.hls("r", "g", "b")
         df = scaled(df, top).withColumns({"hh": F.expr(h), "ll": F.expr(light), "ss": F.expr(s)})
         spread = df.groupBy("sample_id").agg(F.stddev_pop("ll").alias("spread"))
-        df = df.join(spread, "sample_id").withColumns({"hh": F.expr("(hh + p_nh * p_c * 6e0 * p_i + 60e0) % 6e0"), "ll": F.expr("greatest(0e0, least(1e0, ll + p_nl * sqrt(spread) * p_i * 0.1e0 * (1e0 - ll)))")})
+        df = df.join(spread, "sample_id", "left").withColumns({"hh": F.expr("(hh + p_nh * p_c * 6e0 * p_i + 60e0) % 6e0"), "ll": F.expr("greatest(0e0, least(1e0, ll + p_nl * sqrt(spread) * p_i * 0.1e0 * (1e0 - ll)))")})
         return recoloured(df, top, colour.from_hls("hh", "ll", "ss")).drop("r", "g", "b", "hh", "ll", "ss", "spread")

@@ -115,6 +115,7 @@ class CLAHE(Operator):
     clip_limit: float = 4.0
     tile_grid_size: tuple = (2, 2)
     p: float = 0.5
+    statistic = True
 
     def on_pixels(self, df, channels, top):
         rows, cols = self.tile_grid_size
@@ -127,7 +128,7 @@ class CLAHE(Operator):
         # what was clipped is spread over all 256 values; a table has a row for each value that a tile has
         lists = hist.groupBy("sample_id", "__ty", "__tx").agg(F.array_sort(F.collect_list(F.struct(F.col("__l").alias("l"), F.expr("(cum + spare * (__l + 1) / 256e0) * 255e0 / total").alias("new")))).alias("t"), F.min("spare").alias("spare"), F.min("total").alias("total"))
         tables = lists.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"__ty * {cols} + __tx"), F.struct("t", "spare", "total")))).alias("__t"))
-        df = df.join(tables, "sample_id")
+        df = df.join(tables, "sample_id", "left")
         fy, fx = f"((y + 0.5e0) * {rows} / h - 0.5e0)", f"((x + 0.5e0) * {cols} / w - 0.5e0)"
 
         def at(ty: str, tx: str) -> str:
@@ -169,9 +170,9 @@ def axes(stats: DataFrame) -> DataFrame:
 def principal_grey(df: DataFrame, top: float, channels: int) -> DataFrame:
     """Position along the first principal axis, stretched to the full range."""
     stats = axes(moments(df)).select("sample_id", "m0", "m1", "m2", "axes")
-    df = df.join(stats, "sample_id").withColumn("__t", F.expr("(v0 - m0) * axes[0][1] + (v1 - m1) * axes[0][2] + (v2 - m2) * axes[0][3]"))
+    df = df.join(stats, "sample_id", "left").withColumn("__t", F.expr("(v0 - m0) * axes[0][1] + (v1 - m1) * axes[0][2] + (v2 - m2) * axes[0][3]"))
     ends = df.groupBy("sample_id").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
-    df = df.join(ends, "sample_id").withColumn("__g", F.expr(clipped(f"(case when __hi = __lo then 0e0 else (__t - __lo) / (__hi - __lo) * {num(top)} end)", top)))
+    df = df.join(ends, "sample_id", "left").withColumn("__g", F.expr(clipped(f"(case when __hi = __lo then 0e0 else (__t - __lo) / (__hi - __lo) * {num(top)} end)", top)))
     return df.drop("v0", "v1", "v2", "m0", "m1", "m2", "axes", "__t", "__lo", "__hi").withColumns({v: F.col("__g") for v in values(channels)}).drop("__g")
 
 
@@ -186,7 +187,7 @@ class FancyPCA(Operator):
     def on_pixels(self, df, channels, top):
         unit = df.withColumns({v: F.col(v) / top for v in values(3)})
         stats = axes(moments(unit)).select("sample_id", "axes")
-        df = df.join(stats, "sample_id")
+        df = df.join(stats, "sample_id", "left")
         return df.withColumns({v: F.expr(clipped(f"({v} + {num(top)} * ({' + '.join(f'axes[{k}][{i + 1}] * p_a{k} * axes[{k}][0]' for k in range(3))}))", top)) for i, v in enumerate(values(3))}).drop("axes")
 
 
@@ -271,7 +272,8 @@ class HEStain(Operator):
         tissue = "true" if self.augment_background else f"{colour.luma('v0', 'v1', 'v2')} < {num(0.85 * top)}"
         df = df.withColumns({f"__c{k}": F.expr(f"case when {tissue} then __c{k} * p_s{k} + p_t{k} else __c{k} end") for k in range(2)})
         out = df.withColumns({v: F.expr(clipped(f"(exp(-(__c0 * __a0{i} + __c1 * __a1{i})) * {num(top)})", top)) for i, v in enumerate(values(3))})
-        return out.drop(*[c for c in out.columns if c.startswith("__")], "axes")
+        own = [f"__{n}{k}" for n, m in (("d", 3), ("g", 3), ("b", 2), ("c", 2), ("a0", 3), ("a1", 3)) for k in range(m)]
+        return out.drop(*own, "__f", "__phi", "__e", "axes")
 
 
 def matched(df: DataFrame, reference: DataFrame, v: str) -> DataFrame:
@@ -408,12 +410,12 @@ class Superpixels(Operator):
         for _ in range(self.rounds):
             means = df.groupBy("sample_id", "__cell").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), *[F.avg(v).alias(f"c{v}") for v in names])
             lists = means.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("__cell", F.struct("cy", "cx", *[f"c{v}" for v in names])))).alias("__m"))
-            df = df.join(lists, "sample_id")
+            df = df.join(lists, "sample_id", "left")
             near = "filter(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> __cell + i * __c + j))), c -> __m[c] is not null)"
             far = f"pow(y - __m[c].cy, 2) + pow(x - __m[c].cx, 2) + ({' + '.join(f'pow({v} - __m[c].c{v}, 2)' for v in names)}) / {num(self.compactness**2)}"
             df = df.withColumn("__cell", F.expr(f"array_min(transform({near}, c -> named_struct('d', {far}, 'c', c))).c")).drop("__m")
         means = df.groupBy("sample_id", "__cell").agg(*[F.avg(v).alias(f"c{v}") for v in names])
-        df = df.join(means, ["sample_id", "__cell"])
+        df = df.join(means, ["sample_id", "__cell"], "left")
         hit = "((p_seed * 48271 + __cell * 7919 + 12345) % 10007) / 10007e0 < p_replace"
         return df.withColumns({v: F.expr(f"case when {hit} then {clipped(f'(c{v})', top)} else {v} end") for v in names}).drop("__cell", "__c", "__r", *[f"c{v}" for v in names])
 
@@ -434,10 +436,10 @@ class ImageCompression(Operator):
         names = values(channels)
         df = df.withColumns({"__by": F.expr("cast(floor(y / 8) as int)"), "__bx": F.expr("cast(floor(x / 8) as int)")})
         rest = [c for c in df.columns if c not in {"sample_id", "h", "w", "y", "x", "__by", "__bx", *names}]
-        blocks = df.groupBy("sample_id", "h", "w", "__by", "__bx").agg(F.array_sort(F.collect_list(F.struct("y", "x", *names))).alias("px"), F.max("y").alias("my"), F.max("x").alias("mx"), *[F.min(c).alias(c) for c in rest])
+        blocks = df.groupBy("sample_id", "h", "w", "__by", "__bx").agg(F.array_sort(F.collect_list(F.struct("y", "x", *names))).alias("px"), F.max("y").alias("__my"), F.max("x").alias("__mx"), *[F.min(c).alias(c) for c in rest])
         scale = "(case when p_q < 50 then 5000e0 / p_q else 200e0 - 2e0 * p_q end / 100e0)"
         cos = lambda a, u, n: f"cos((2e0 * {a} + 1e0) * {u} * 3.141592653589793e0 / (2e0 * {n}))"
-        blocks = blocks.withColumns({"bh": F.expr("my - __by * 8 + 1"), "bw": F.expr("mx - __bx * 8 + 1")})
+        blocks = blocks.withColumns({"bh": F.expr("__my - __by * 8 + 1"), "bw": F.expr("__mx - __bx * 8 + 1")})
         for v in names:
             norm = "(case when k.u = 0 then 1e0 else 2e0 end) * (case when k.v = 0 then 1e0 else 2e0 end) / (bh * bw)"
             step = f"greatest(1e0, (8e0 + 4e0 * (k.u + k.v)) * {scale})"

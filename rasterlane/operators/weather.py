@@ -189,7 +189,7 @@ class PlasmaBrightnessContrast(Plasma):
     def on_pixels(self, df, channels, top):
         means = df.groupBy("sample_id").agg(F.avg(F.expr(f"({' + '.join(values(channels))}) / {channels}")).alias("mean"))
         p = self.pattern()
-        df = df.join(means, "sample_id")
+        df = df.join(means, "sample_id", "left")
         return pointwise(df, channels, lambda v, i: clipped(f"(({v} + p_b * {p} * {num(top)}) * (1e0 + p_c * {p}) + mean * (1e0 - (1e0 + p_c * {p})))", top)).drop("mean")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,49 @@ from pyspark.sql import functions as F
 from rasterlane.functions.annotations import BoxParams, KeypointParams
 from rasterlane.functions.sampling import Draws, num
 from rasterlane.operators import OPERATORS, Frame, Operator, from_spec
-from rasterlane.operators.base import values
+from rasterlane.operators.base import Record, values
 
 
 def both(*conditions: str | None) -> str | None:
     return " and ".join(f"({c})" for c in conditions if c) or None
 
 
+class Leaf(NamedTuple):
+    """An operator of a plan: where it stands, whether it acts for certain, the condition under which it
+    acts, and the channels that it sees (None: all)."""
+
+    path: str
+    operator: Operator
+    forced: bool
+    when: str | None
+    channels: tuple[int, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Recording:
+    """What a plan drew: a row for each sample, a struct column for each operator.
+
+    rows: sample_id, h, w (after the last operator) and step0 ... (applied, the draws of the sample).
+    """
+
+    rows: DataFrame
+    steps: dict[str, tuple[str, str, tuple[str, ...]]]  # path -> column, operator, names of the draws
+    seed: int
+
+    def record(self, path: str) -> Record:
+        column, _, names = self.steps[path]
+        return Record(self.rows, column, names)
+
+    def params(self) -> DataFrame:
+        """sample_id, step, path, operator, applied, params (JSON of the draws; null where not applied)."""
+        every = []
+        for n, (path, (column, name, names)) in enumerate(self.steps.items()):
+            drawn = F.to_json(F.struct(*[F.col(f"{column}.{k}").alias(k) for k in names])) if names else F.lit("{}")
+            applied = F.col(f"{column}.applied")
+            every.append(F.struct(F.lit(n).alias("step"), F.lit(path).alias("path"), F.lit(name).alias("operator"), applied.alias("applied"), F.when(applied, drawn).alias("params")))
+        return self.rows.select("sample_id", F.explode(F.array(*every)).alias("s")).select("sample_id", "s.*")
+
+
 @dataclass(frozen=True)
 class Plan:
     transforms: tuple = ()
@@ -61,23 +98,23 @@ class Plan:
         for i, t in enumerate(self.transforms):
             yield f"{path}.{i}", t, False, both(when, self.gate(Draws(seed, f"{path}.{type(self).__name__}"), forced))
 
-    def leaves(self, seed: int, path: str = "0", forced: bool = False, when: str | None = None) -> Iterator[tuple[str, Operator, bool, str | None]]:
+    def leaves(self, seed: int, path: str = "0", forced: bool = False, when: str | None = None) -> Iterator[Leaf]:
         """The same of all operators, however deep."""
         for at, t, sure, c in self.steps(seed, path, forced, when):
             if isinstance(t, Operator):
-                yield at, t, sure, c
+                yield Leaf(at, t, sure, c)
             else:
                 yield from t.leaves(seed, at, sure, c)
 
-    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, when: str | None = None, params: dict[str, DataFrame] | None = None) -> Frame:
-        """params: recorded draws by path, to use instead."""
+    def run(self, frame: Frame, seed: int = 0, path: str = "0", forced: bool = False, when: str | None = None, params: Recording | None = None) -> Frame:
+        """params: recorded draws to use instead; the relations have their columns."""
         for at, t, sure, c in self.steps(seed, path, forced, when):
             frame = self.after(self.child(t, frame, seed, at, sure, c, params))
         return frame
 
-    def child(self, t, frame: Frame, seed: int, at: str, sure: bool, c: str | None, params: dict[str, DataFrame] | None) -> Frame:
+    def child(self, t, frame: Frame, seed: int, at: str, sure: bool, c: str | None, params: Recording | None) -> Frame:
         if isinstance(t, Operator) and params is not None:
-            return t.run(frame, seed, at, params=params[at])
+            return t.run(frame, seed, at, params=params.record(at))
         return t.run(frame, seed, at, sure, when=c, **({} if isinstance(t, Operator) else {"params": params}))
 
     def after(self, frame: Frame) -> Frame:
@@ -118,6 +155,25 @@ class Compose(Plan):
             new["keypoints"] = self.keypoints.finished(out.keypoints)
         return replace(out, **new)
 
+    def recorded(self, samples: DataFrame) -> Recording:
+        """What the plan draws for samples (sample_id, h, w, and columns that its operators name).
+
+        Sizes are followed from operator to operator, so draws that are shares of a side are those of
+        the run. Draws of single pixels are not stored: they follow from the seed, the place and the pixel.
+        """
+        df, steps = samples.withColumns({"h": F.col("h").cast("int"), "w": F.col("w").cast("int")}), {}
+        for n, leaf in enumerate(self.leaves(self.seed)):
+            op, d = leaf.operator, Draws(self.seed, f"{leaf.path}.{leaf.operator.name}")
+            draws = op.by_sample(d)
+            df = df.withColumn("__on", F.expr(op.gate(d, leaf.forced, leaf.when) or "true"))
+            df = df.withColumns({f"p_{k}": F.expr(f"case when __on then {v} end") for k, v in draws.items()})
+            h, w = op.out_size()
+            step = F.struct(F.col("__on").alias("applied"), *[F.col(f"p_{k}").alias(k) for k in draws])
+            df = df.withColumns({f"step{n}": step, "__h": F.expr(f"cast(case when __on then {h} else h end as int)"), "__w": F.expr(f"cast(case when __on then {w} else w end as int)")})
+            df = df.drop("__on", "h", "w", *[f"p_{k}" for k in draws]).withColumnsRenamed({"__h": "h", "__w": "w"})
+            steps[leaf.path] = (f"step{n}", op.name, tuple(draws))
+        return Recording(df.select("sample_id", "h", "w", *[s[0] for s in steps.values()]), steps, self.seed)
+
     def after(self, frame):
         if frame.boxes is not None and self.boxes and self.boxes.check_each_transform:
             frame = replace(frame, boxes=self.boxes.filtered(frame.boxes))
@@ -223,12 +279,30 @@ class RandomOrder(SomeOf):
 
 @dataclass(frozen=True)
 class SelectiveChannelTransform(Plan):
-    """Children see only some channels of the pixels."""
+    """Children see only some channels of the pixels, as if these were the sample; sizes must stay.
+
+    Where a child moves pixels, only these channels move: they are put back beside the others by a join
+    on the place. Otherwise all is done in the row.
+    """
 
     channels: tuple = (0, 1, 2)
     p: float = 1.0
 
+    def leaves(self, seed, path="0", forced=False, when=None):
+        for leaf in super().leaves(seed, path, forced, when):
+            if leaf.operator.out_size() != ("h", "w"):
+                raise ValueError(f"{leaf.operator.name} changes sizes, so it cannot act on some channels alone")
+            yield leaf._replace(channels=tuple(self.channels[i] for i in leaf.channels) if leaf.channels else tuple(self.channels))
+
     def run(self, frame, seed=0, path="0", forced=False, when=None, params=None):
+        if any(leaf.operator.spatial for leaf in self.leaves(seed, path, forced, when)):
+            keys = ["sample_id", "y", "x"]
+            part = frame.pixels.withColumnsRenamed({v: f"keep_{v}" for v in values(frame.channels)}).withColumns({f"v{k}": F.col(f"keep_v{c}") for k, c in enumerate(self.channels)}).drop(*[f"keep_{v}" for v in values(frame.channels)])
+            inner = super().run(Frame(part, len(self.channels), top=frame.top), seed, path, forced, when, params)
+            new = inner.pixels.select(*keys, *[F.col(f"v{k}").alias(f"new_v{c}") for k, c in enumerate(self.channels)])
+            back = frame.pixels.join(new, keys, "left")
+            changed = {f"v{c}": F.coalesce(f"new_v{c}", f"v{c}") for c in self.channels}
+            return replace(frame, pixels=back.withColumns(changed).select(*frame.pixels.columns))
         others = [v for i, v in enumerate(values(frame.channels)) if i not in self.channels]
         renamed = frame.pixels.withColumnsRenamed({v: f"keep_{v}" for v in values(frame.channels)})
         part = renamed.withColumns({f"v{k}": F.col(f"keep_v{c}") for k, c in enumerate(self.channels)})
@@ -243,19 +317,13 @@ class SelectiveChannelTransform(Plan):
 
 @dataclass(frozen=True)
 class ReplayCompose(Compose):
-    """Records every operator's draws by sample, those of nested plans too; replay applies recorded
-    draws to other relations."""
-
-    def recorded(self, samples: DataFrame) -> dict[str, DataFrame]:
-        """path -> (sample_id, applied, draws) for samples (sample_id, h, w).
-
-        Sizes are those of the samples as given: after an operator that changes them, draws that are
-        shares of a side need samples of that size.
-        """
-        return {at: t.recorded(samples, self.seed, at, sure, c) for at, t, sure, c in self.leaves(self.seed)}
+    """Replays recorded draws (see Compose.recorded), those of nested plans too, on other relations."""
 
-    def replay(self, frame: Frame, recorded: dict[str, DataFrame]) -> Frame:
-        return self.run(frame, self.seed, params=recorded)
+    def replay(self, frame: Frame, recorded: Recording) -> Frame:
+        """The frame as the recorded run would have left it: one join for each relation."""
+        columns = [s[0] for s in recorded.steps.values()]
+        joined = frame.each(lambda df, n: df.join(recorded.rows.select("sample_id", *columns), "sample_id", "left"))
+        return self.run(joined, recorded.seed, params=recorded).each(lambda df, n: df.drop(*columns))
 
 
 PLANS = {c.__name__: c for c in (Compose, Sequential, OneOf, OneOrOther, SomeOf, RandomOrder, SelectiveChannelTransform, ReplayCompose)}

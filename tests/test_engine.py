@@ -144,12 +144,99 @@ def test_nested_plans_replay(spark, pixels):
     inner = compose.OneOf((compose.Sequential((OPERATORS["vertical_flip"](p=0.5), OPERATORS["random_gamma"](p=0.5)), p=1.0), OPERATORS["random_crop"](4, 4, p=1.0)), p=0.7)
     plan = compose.ReplayCompose((OPERATORS["horizontal_flip"](p=0.5), inner, compose.SomeOf((OPERATORS["invert_img"](p=0.6), OPERATORS["transpose"](p=0.5)), n=1)), seed=4)
     recorded = plan.recorded(pixels.select("sample_id", "h", "w").distinct())
-    assert len(recorded) == 6
+    assert len(recorded.steps) == 6
     assert table(plan.replay(Frame(pixels), recorded)) == table(plan.run(Frame(pixels), 4))
     other = compose.ReplayCompose(plan.transforms, seed=99)
     assert table(other.replay(Frame(pixels), recorded)) == table(plan.run(Frame(pixels), 4))
 
 
+def test_replay_follows_sizes_with_one_join_for_each_relation(spark, pixels):
+    """A crop and a pad before draws that are shares of a side, noise of single pixels, boxes."""
+    inner = compose.OneOf((OPERATORS["random_crop"](4, 4), OPERATORS["random_scale"](scale_limit=(0.4, 0.6), p=1.0)), p=0.8)
+    plan = compose.ReplayCompose((inner, OPERATORS["coarse_dropout"](p=1.0, hole_height_range=(0.2, 0.7), fill="random"), OPERATORS["gauss_noise"](p=0.7), OPERATORS["pad"](padding=1, p=0.5)), seed=6)
+    boxes = spark.createDataFrame([(i, 8, 8, k, 0.1 + k / 10, 0.2, 0.7 + k / 5, 0.9, "a") for i in range(4) for k in range(2)], "sample_id long, h int, w int, box_ix int, x_min double, y_min double, x_max double, y_max double, label string")
+    frame = Frame(pixels, boxes=boxes)
+    recorded = plan.recorded(spark.range(4).selectExpr("id as sample_id", "8 as h", "8 as w"))
+    other = compose.ReplayCompose(plan.transforms, seed=1)
+    ran = plan.run(frame, 6)
+    assert everything(other.replay(frame, recorded)) == everything(ran)
+    ends = {tuple(r) for r in ran.pixels.select("sample_id", "h", "w").distinct().collect()}
+    assert {tuple(r) for r in recorded.rows.select("sample_id", "h", "w").collect()} == ends and len({e[1:] for e in ends}) > 1
+    rigid = compose.ReplayCompose((OPERATORS["random_crop"](4, 4), OPERATORS["horizontal_flip"](), OPERATORS["coarse_dropout"]()))
+    text = rigid.replay(Frame(pixels), rigid.recorded(pixels.select("sample_id", "h", "w"))).pixels._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1
+    params = recorded.params().collect()
+    assert len(params) == 4 * len(recorded.steps) and all((r["params"] is not None) == r["applied"] for r in params)
+    assert {r["operator"] for r in params} == {"random_crop", "random_scale", "coarse_dropout", "gauss_noise", "pad"}
+
+
+#: What an operator needs to be made, and columns that its draws name.
+NEEDS = {"pad": {"padding": (1, 2)}, "crop": {"x_max": 6, "y_max": 6}, "pad3d": {}, "lambda": {}}
+COLUMNS = {"ux0": 0.2, "uy0": 0.2, "ux1": 0.8, "uy1": 0.8, "ox0": 0.2, "oy0": 0.2, "ox1": 0.8, "oy1": 0.8, "bx0": 1.0, "by0": 1.0, "bx1": 6.0, "by1": 6.0, "mx": 3.0, "my": 4.0}
+VARIANTS = [("to_gray", {"method": "pca"}), ("normalize", {"normalization": "image"}), ("random_brightness_contrast", {"brightness_by_max": False}), ("hestain", {"method": "macenko"}), ("hestain", {"method": "vahadane"}), ("equalize", {"by_channels": False})]
+
+
+@pytest.mark.parametrize("p", [0.5, 1.0])
+def test_no_operator_touches_or_loses_a_sample_without_an_id(spark, pixels, p):
+    """All operators over images and volumes: its rows come out as they went in, beside samples that change."""
+    px = pixels.withColumns({k: F.lit(v) for k, v in COLUMNS.items()} | {"targets": F.expr("array(named_struct('x_min', 0.1e0, 'y_min', 0.1e0, 'x_max', 0.9e0, 'y_max', 0.9e0))"), "sample_id": F.expr("nullif(sample_id, 3)")}).cache()
+    vol = src.embedding_volumes(spark, SF).where("sample_id < 4").withColumn("sample_id", F.expr("nullif(sample_id, 3)")).cache()
+    objects = px.selectExpr("sample_id", "y", "x", "1 as object").where("y < 3")
+    tried = 0
+    for name, args in [(n, NEEDS.get(n, {})) for n in OPERATORS] + VARIANTS:
+        if name in ("text_image", "lambda", "overlay_elements", "mosaic", "to_tensor_v2", "to_tensor3_d"):
+            continue
+        given = dict(args) | {"p": p}
+        fields_ = OPERATORS[name].__dataclass_fields__
+        if "reference" in fields_:
+            given["reference"] = pixels.withColumn("sample_id", F.expr("(sample_id + 1) % 3"))
+        if "objects" in fields_:
+            given["objects"] = objects
+        solid = type(OPERATORS[name]()).__module__.endswith("volume")
+        op = OPERATORS[name](**given)
+        if p == 1 and not (op.statistic or (name, args) in VARIANTS):
+            continue
+        before = vol if solid else px
+        out = op.run(Frame(before, 1 if solid else 3), 1)
+        keys = [c for c in ("z", "y", "x", "h", "w", "v0") if c in before.columns]
+        want = before.where("sample_id is null").select(*keys).collect()
+        found = out.pixels.where("sample_id is null").select(*keys).collect()
+        assert sorted(tuple(map(shown, r)) for r in found) == sorted(tuple(map(shown, r)) for r in want), name
+        tried += 1
+    assert tried > (60 if p < 1 else 5)
+
+
+def test_some_channels_as_rows(spark):
+    """Kernels see the chosen channels alone; sizes must stay; columns that draws name are found; no 3-D."""
+    images = src.embedding_images(spark, SF, 8).where("sample_id < 12").withColumns({k: F.lit(v) for k, v in COLUMNS.items()}).cache()
+    px = src.embedding_pixels(spark, SF).where("sample_id < 12").withColumns({k: F.lit(v) for k, v in COLUMNS.items()}).cache()
+    for inner in (("invert_img",), ("horizontal_flip", "random_gamma"), ("equalize", "coarse_dropout", "blur")):
+        plan = compose.Compose((compose.SelectiveChannelTransform(tuple(OPERATORS[n](p=0.7) for n in inner), channels=(2, 0), p=0.8), OPERATORS["vertical_flip"](p=0.5)))
+        assert table(Frame(packed.unpacked(packed.apply(plan, images, 3), 3))) == table(plan.run(Frame(px), 3)), inner
+    for plan in (compose.SelectiveChannelTransform((OPERATORS["random_crop"](4, 4),), channels=(0,)),):
+        with pytest.raises(ValueError, match="changes sizes"):
+            packed.apply(plan, images)
+        with pytest.raises(ValueError, match="changes sizes"):
+            plan.run(Frame(px))
+    for name in ("bbox_safe_random_crop", "random_crop_near_bbox", "crop_non_empty_mask_if_exists", "at_least_one_bbox_random_crop"):
+        op = OPERATORS[name](p=0.6)
+        assert table(Frame(packed.unpacked(packed.apply(op, images, 2), 3))) == table(op.run(Frame(px), 2)), name
+    target = F.expr("array(named_struct('x_min', 0.1e0, 'y_min', 0.1e0, 'x_max', 0.9e0, 'y_max', 0.9e0))")
+    op = OPERATORS["constrained_coarse_dropout"](p=0.6, hole_height_range=(0.3, 0.5), hole_width_range=(0.3, 0.5))
+    assert table(Frame(packed.unpacked(packed.apply(op, images.withColumn("targets", target), 2), 3))) == table(op.run(Frame(px.withColumn("targets", target)), 2))
+    for name in ("coarse_dropout3d", "center_crop3d"):
+        with pytest.raises(ValueError, match="no kernel"):
+            packed.apply(OPERATORS[name](), images)
+    odd = packed.apply(OPERATORS["random_gamma"](p=1.0), images.withColumn("sample_id", F.expr("nullif(sample_id, 3)"))).where("sample_id is null").first()
+    assert odd["data"] == images.where("sample_id = 3").first()["data"]
+
+
+def test_random_fills_follow_seed_and_place(spark, pixels):
+    op = OPERATORS["coarse_dropout"](p=1.0, fill="random", hole_height_range=(4, 4), hole_width_range=(4, 4))
+    a, b = (table(op.run(Frame(pixels), 1, path)) for path in ("0", "1"))
+    assert a == table(op.run(Frame(pixels), 1, "0")) and a != b and a != table(op.run(Frame(pixels), 2, "0"))
+
+
 def test_zero_weights_are_equal_weights(pixels):
     ops = (OPERATORS["invert_img"](p=0.0), OPERATORS["horizontal_flip"](p=0.0))
     assert len(table(compose.OneOf(ops, p=1.0).run(Frame(pixels)))) == pixels.count()
@@ -220,9 +307,25 @@ def test_compact_rows_and_streams(spark, pixels, tmp_path):
 
 
 def test_the_entry_without_the_optional_folder():
-    import __spark_entry__
-
-    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    """In a Python that cannot find them: the subpackage and the pipeline are hidden, all else is there."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("rasterlane.llm"):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as e
+from rasterlane import catalogue
+assert set(e.queries()) == set(catalogue.QUERIES) and set(e.oracle_sql()) == set(catalogue.ORACLE_SQL) and len(e.queries()) > 200
+assert not any(m.startswith("rasterlane.llm") for m in sys.modules)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
 
 
 PACKED = [("invert_img", {}), ("solarize", {}), ("posterize", {"num_bits": (2, 6)}), ("random_brightness_contrast", {}), ("random_gamma", {}), ("rgbshift", {}), ("to_gray", {}), ("channel_dropout", {}), ("d4", {}), ("random_rotate90", {}),
