@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions import annotations as ann
 from rasterlane.functions.sampling import Draws
-from rasterlane.operators import OPERATORS, Frame, dropout, geometry, packed, text
+from rasterlane.operators import OPERATORS, Frame, Named, dropout, geometry, packed, text
 from rasterlane.operators.base import values
 from rasterlane.plans import compose
 from rasterlane.sources import samples as src
@@ -498,6 +498,37 @@ on_plan("compose_random_order_turns", compose.RandomOrder(TURNS, n=2), pixel_sql
 on_plan("compose_selective_channel", compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0),), channels=(0, 2)), pixel_sql("y", "x", ("255 - v0", "v1", "255 - v2")))
 
 
+def named_frame(spark: SparkSession, sf_dir: str) -> Frame:
+    """Images, a mask, a second image and clips of two frames, all of the same samples."""
+    px = src.embedding_pixels(spark, sf_dir)
+    second = px.withColumns({v: 255 - F.col(v) for v in V})
+    clip_ = px.withColumn("frame_ix", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("v0", F.expr("case when frame_ix = 1 then v2 else v0 end"))
+    return Frame(px, masks=px.drop("v1", "v2").withColumn("v0", F.expr("floor(v0 / 64)")), named={"second": Named("pixels", second), "clip": Named("pixels", clip_, ("frame_ix",))})
+
+
+NAMED = compose.Compose((OPERATORS["horizontal_flip"](p=0.5), OPERATORS["random_crop"](5, 4), OPERATORS["solarize"](p=0.5)), seed=2, additional_targets=(("second", "pixels"), ("clip", "pixels")), strict=True)
+(_, nf, *_), (_, nc, *_), (_, ns, *_) = NAMED.leaves(2)
+NAMED_PARTS = " UNION ALL ".join(f"SELECT '{n}' AS relation, {k} AS frame_ix, sample_id, h, w, y, x, {v} AS v0 FROM px" for n, k, v in (("pixels", 0, "v0"), ("masks", 0, "floor(v0 / 64)"), ("second", 0, "255 - v0"), ("clip", 0, "v0"), ("clip", 1, "v2")))
+NAMED_SQL = f"""{PX}, n AS ({NAMED_PARTS}),
+f AS (SELECT * REPLACE (CASE WHEN {nf.gate(Draws(2, '0.0.horizontal_flip'), False)} THEN 7 - x ELSE x END AS x) FROM n),
+c AS (SELECT *, cast(floor(4 * {D(2, '0.1.random_crop').unit('v')}) as int) AS y0, cast(floor(5 * {D(2, '0.1.random_crop').unit('u')}) as int) AS x0, relation <> 'masks' AND {ns.gate(Draws(2, '0.2.solarize'), False)} AS s FROM f)
+SELECT relation, frame_ix::BIGINT AS frame_ix, sample_id, (y - y0)::BIGINT AS y, (x - x0)::BIGINT AS x, (CASE WHEN s AND v0 >= 127.5 THEN 255 - v0 ELSE v0 END)::DOUBLE AS v0
+FROM c WHERE y >= y0 AND y < y0 + 5 AND x >= x0 AND x < x0 + 4"""
+
+
+@query("compose_named_relations", NAMED_SQL)
+def compose_named_relations(spark, sf_dir):
+    """A plan over two images, a mask and clips: one draw for all relations of a sample."""
+    out, parts = NAMED(named_frame(spark, sf_dir)), []
+    for name, df in out.relations().items():
+        ix = F.col("frame_ix") if "frame_ix" in df.columns else F.lit(0)
+        parts.append(df.select(F.lit(name).alias("relation"), ix.cast("long").alias("frame_ix"), "sample_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v0").cast("double").alias("v0")))
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
 SOME = compose.SelectiveChannelTransform((OPERATORS["invert_img"](p=1.0), OPERATORS["horizontal_flip"](p=0.5)), channels=(0, 2))
 half = D(0, "0.1.horizontal_flip").unit("gate")
 FLIPPED = f"{PX} SELECT px.sample_id, px.y::BIGINT AS y, px.x::BIGINT AS x, 255 - o.v0 AS v0, px.v1, (255 - o.v2)::DOUBLE AS v2 FROM (SELECT *, CASE WHEN {half} < 0.5 THEN 7 - x ELSE x END AS ox FROM px) AS px JOIN px AS o ON o.sample_id = px.sample_id AND o.y = px.y AND o.x = px.ox"

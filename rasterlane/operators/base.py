@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -23,10 +23,24 @@ from pyspark.sql import functions as F
 from rasterlane.functions.sampling import Draws, num
 
 OPERATORS: dict[str, type[Operator]] = {}
+KINDS = ("pixels", "masks", "boxes", "keypoints")
 #: Whether a row's sample is to change, while an operator that looks after closed gates itself is at work.
 GATE = "__gate"
 
 
+@dataclass(frozen=True)
+class Named:
+    """A further relation of the samples: a second image, the frames of a clip, boxes of another source.
+
+    kind: pixels, masks, boxes or keypoints. keys: columns that tell a sample's parts apart (the frames of
+    a clip): all parts share the sample's draws, and statistics and neighbourhoods are a part's own.
+    """
+
+    kind: str
+    rows: DataFrame
+    keys: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Frame:
     pixels: DataFrame | None
@@ -35,13 +49,20 @@ class Frame:
     boxes: DataFrame | None = None
     keypoints: DataFrame | None = None
     top: float = 255.0  # largest value: 255, or 1 for floating point
+    named: dict[str, Named] = field(default_factory=dict)  # their pixels have as many channels
 
     def relations(self) -> dict[str, DataFrame]:
-        found = {n: getattr(self, n) for n in ("pixels", "masks", "boxes", "keypoints")}
-        return {n: df for n, df in found.items() if df is not None}
+        found = {n: getattr(self, n) for n in KINDS}
+        return {n: df for n, df in found.items() if df is not None} | {n: x.rows for n, x in self.named.items()}
 
     def each(self, f) -> Frame:
-        return replace(self, **{n: f(df, n) for n, df in self.relations().items()})
+        """f(relation, kind) for all relations, those with names of their own too."""
+        return self.each_part(lambda df, kind, keys: f(df, kind))
+
+    def each_part(self, f) -> Frame:
+        """The same with the keys of a relation's parts."""
+        own = {n: f(getattr(self, n), n, ()) for n in KINDS if getattr(self, n) is not None}
+        return replace(self, **own, named={n: replace(x, rows=f(x.rows, x.kind, x.keys)) for n, x in self.named.items()})
 
 
 class Record(NamedTuple):
@@ -120,11 +141,15 @@ class Operator:
         gate = self.gate(d, forced, when) if params is None else f"coalesce({params.column}.applied, false)"
         named = {f"p_{k}": v if params is None or k not in params.names else f"{params.column}.{k}" for k, v in self.every_draw(d).items()}
 
-        def apply(df: DataFrame, kind: str) -> DataFrame:
+        def apply(df: DataFrame, kind: str, keys: tuple[str, ...]) -> DataFrame:
             on = getattr(self, f"on_{kind}")
             if getattr(type(self), on.__name__) is getattr(Operator, on.__name__) and not (kind == "masks" and self.spatial):
                 return df  # the relation is not touched, so nothing is drawn for it
             act = (lambda x: on(x, frame.channels if kind == "pixels" else 1, frame.top)) if kind in ("pixels", "masks") else on
+            if keys:
+                if getattr(self, "reference", None) is not None:
+                    raise ValueError(f"{self.name} has one reference for a sample, so it cannot act on parts of samples")
+                act = by_parts(act, keys)
             if gate is None:
                 return act(df.withColumns({k: F.expr(v) for k, v in named.items()})).drop(*named)
             if gate == "false":
@@ -132,7 +157,7 @@ class Operator:
             draw = lambda x, g: x.withColumns({k: F.expr(f"case when {g} then {v} end") for k, v in named.items()})
             return gated(df, kind, frame, draw, self, act, gate).drop(*named)
 
-        out = frame.each(apply)
+        out = frame.each_part(apply)
         return replace(out, channels=self.out_channels(frame.channels), top=self.out_top(frame.top))
 
     def gate(self, d: Draws, forced: bool, when: str | None = None) -> str | None:
@@ -176,6 +201,16 @@ def gated(df: DataFrame, kind: str, frame: Frame, draw, op: Operator, act, gate:
     return out.withColumns(back | new).drop(shut, *was)
 
 
+def by_parts(act, keys: tuple[str, ...]):
+    """act with every part of a sample as a sample of its own; draws are in the rows by then."""
+
+    def on_parts(df: DataFrame) -> DataFrame:
+        out = act(df.withColumn("sample_id", F.struct("sample_id", *keys)).drop(*keys))
+        return out.withColumns({k: F.col(f"sample_id.{k}") for k in keys}).withColumn("sample_id", F.col("sample_id.sample_id"))
+
+    return on_parts
+
+
 def or_old(df: DataFrame, new: str, old: str) -> str:
     """new, or old where df has a gate that is closed."""
     return f"(case when {GATE} then {new} else {old} end)" if GATE in df.columns else new

@@ -368,26 +368,39 @@ class Resampled(Gathered):
 
 
 class FreeForm(Resampled):
-    """Warps that only say where an output pixel comes from. Where a source point goes is found by
-    ROUNDS of q <- q - (source(q) - point) / 2, which close in where the warp does not fold; boxes become
-    the extent of their corners and the middles of their sides."""
+    """Warps that only say where an output pixel comes from.
+
+    Where a source point shows is found in two steps. ROUNDS of q <- q - (source(q) - point) / 2 close in
+    where the warp does not fold, between pixels and beyond the frame too; the place is taken if its
+    source is within CLOSE of the point. Otherwise the point's whole distance map is searched: the output
+    pixel whose source is nearest, of ties the first by row and column. Keypoints whose nearest source is
+    further than LOST pixels are shown nowhere and go. Boxes become the extent of their corners and the
+    middles of their sides, each at its nearest place.
+    """
 
-    ROUNDS = 24
+    ROUNDS, CLOSE, LOST = 24, 0.01, 2.0
 
     def back(self, x: str, y: str) -> str:
-        """A struct y, x of where the source point (x, y) shows."""
+        """A struct d (squared distance of its source), y, x of where the source point (x, y) shows."""
         sy, sx = self.source()
         start = f"named_struct('y', cast({y} as double), 'x', cast({x} as double))"
-        return f"aggregate(sequence(1, {self.ROUNDS}), {start}, (q, i) -> named_struct('y', q.y - ({sy} - ({y})) / 2e0, 'x', q.x - ({sx} - ({x})) / 2e0))"
+        near = f"aggregate(sequence(1, {self.ROUNDS}), {start}, (q, i) -> named_struct('y', q.y - ({sy} - ({y})) / 2e0, 'x', q.x - ({sx} - ({x})) / 2e0))"
+        far = f"(pow({sy} - ({y}), 2) + pow({sx} - ({x}), 2))"
+        first = f"transform(array({near}), q -> named_struct('d', {far}, 'y', q.y, 'x', q.x))"
+        cell = f"named_struct('d', {far.replace('q.y', '(1e0 * r)').replace('q.x', '(1e0 * k)')}, 'y', 1e0 * r, 'x', 1e0 * k)"
+        row = f"aggregate(sequence(0, cast(w as int) - 1), best, (least_, k) -> least(least_, {cell}))"
+        every = f"aggregate(sequence(0, cast(h as int) - 1), named_struct('d', cast('infinity' as double), 'y', -1e0, 'x', -1e0), (best, r) -> {row})"
+        return f"transform({first}, t -> case when t.d <= {num(self.CLOSE**2)} then t when t.d is null then null else {every} end)[0]"
 
     def on_keypoints(self, df):
-        return moved(df.withColumn("__q", F.expr(self.back("x", "y"))), x="__q.x", y="__q.y").drop("__q")
+        placed = df.withColumn("__q", F.expr(self.back("x", "y"))).where(f"coalesce(__q.d <= {num(self.LOST**2)}, true)")
+        return moved(placed, x="__q.x", y="__q.y").drop("__q")
 
     def on_boxes(self, df):
         places = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
         at = lambda lo, hi, k, side: f"(({lo} * {2 - k} + {hi} * {k}) / 2e0 * {side} - 0.5e0)"
-        every = ", ".join(self.back(at("x_min", "x_max", i, "w"), at("y_min", "y_max", j, "h")) for i, j in places)
-        df = df.withColumn("__q", F.expr(f"array({every})"))
+        points = ", ".join(f"named_struct('x', {at('x_min', 'x_max', i, 'w')}, 'y', {at('y_min', 'y_max', j, 'h')})" for i, j in places)
+        df = df.withColumn("__q", F.expr(f"transform(array({points}), o -> {self.back('o.x', 'o.y')})"))
         new = {f"{a}_{n}": f"(array_{n}(transform(__q, q -> q.{a})) + 0.5e0) / {side}" for a, side in (("x", "w"), ("y", "h")) for n in ("min", "max")}
         return moved(df, **new).drop("__q")
 

@@ -138,22 +138,31 @@ class Compose(Plan):
     keypoints: KeypointParams | None = None
     strict: bool = False
     seed: int = 0
+    #: (name, kind) of the named relations that the plan acts on; others pass unchanged, or fail if strict.
+    additional_targets: tuple = ()
+    #: Whether all pixels and masks of a sample must have one size.
+    is_check_shapes: bool = True
 
     def __call__(self, frame: Frame) -> Frame:
         if self.strict and (unknown := [t for t in self.transforms if not isinstance(t, (Operator, Plan))]):
             raise ValueError(f"not operators: {unknown}")
-        new = {}
-        if frame.boxes is not None and self.boxes:
-            new["boxes"] = self.boxes.prepared(frame.boxes)
-        if frame.keypoints is not None and self.keypoints:
-            new["keypoints"] = self.keypoints.prepared(frame.keypoints)
-        out = self.run(replace(frame, **new), self.seed)
-        new = {}
-        if out.boxes is not None and self.boxes:
-            new["boxes"] = self.boxes.finished(out.boxes)
-        if out.keypoints is not None and self.keypoints:
-            new["keypoints"] = self.keypoints.finished(out.keypoints)
-        return replace(out, **new)
+        known = dict(self.additional_targets)
+        if wrong := sorted(n for n, x in frame.named.items() if n in known and x.kind != known[n]):
+            raise ValueError(f"relations of another kind than declared: {wrong}")
+        others = {n: x for n, x in frame.named.items() if n not in known}
+        if self.strict and others:
+            raise ValueError(f"relations that are no additional targets: {sorted(others)}")
+        frame = replace(frame, named={n: x for n, x in frame.named.items() if n in known})
+        if self.is_check_shapes:
+            check_shapes(frame)
+        out = self.run(self.annotated(frame, "prepared"), self.seed)
+        out = self.annotated(out, "finished")
+        return replace(out, named=out.named | others)
+
+    def annotated(self, frame: Frame, step: str) -> Frame:
+        """A step of the box and keypoint parameters on all relations of these kinds."""
+        params = {"boxes": self.boxes, "keypoints": self.keypoints}
+        return frame.each(lambda df, kind: getattr(params[kind], step)(df) if params.get(kind) else df)
 
     def recorded(self, samples: DataFrame) -> Recording:
         """What the plan draws for samples (sample_id, h, w, and columns that its operators name).
@@ -175,17 +184,30 @@ class Compose(Plan):
         return Recording(df.select("sample_id", "h", "w", *[s[0] for s in steps.values()]), steps, self.seed)
 
     def after(self, frame):
-        if frame.boxes is not None and self.boxes and self.boxes.check_each_transform:
-            frame = replace(frame, boxes=self.boxes.filtered(frame.boxes))
-        if frame.keypoints is not None and self.keypoints and self.keypoints.check_each_transform:
-            frame = replace(frame, keypoints=self.keypoints.filtered(frame.keypoints))
-        return frame
+        params = {"boxes": self.boxes, "keypoints": self.keypoints}
+        return frame.each(lambda df, kind: params[kind].filtered(df) if params.get(kind) and params[kind].check_each_transform else df)
 
     def spec(self):
-        out = super().spec() | {"seed": self.seed, "strict": self.strict}
+        out = super().spec() | {"seed": self.seed, "strict": self.strict, "is_check_shapes": self.is_check_shapes}
+        if self.additional_targets:
+            out["additional_targets"] = [list(x) for x in self.additional_targets]
         return out | {n: vars(getattr(self, n)) for n in ("boxes", "keypoints") if getattr(self, n)}
 
 
+def check_shapes(frame: Frame) -> None:
+    """Fails if two pixel or mask relations give a sample different sizes: one small job over their first pixels."""
+    sizes = []
+    frame.each(lambda df, kind: sizes.append(df.where("y = 0 and x = 0").select("sample_id", "h", "w")) or df if kind in ("pixels", "masks") else df)
+    if len(sizes) < 2 and not any(x.keys for x in frame.named.values()):
+        return
+    every = sizes[0]
+    for more in sizes[1:]:
+        every = every.unionByName(more)
+    odd = every.where("sample_id is not null").groupBy("sample_id").agg(F.count_distinct(F.struct("h", "w")).alias("n")).where("n > 1").take(1)
+    if odd:
+        raise ValueError(f"relations differ in the size of sample {odd[0]['sample_id']}")
+
+
 def choice(d: Draws, weights: list[float]) -> str:
     """Number of the branch: the first whose cumulative weight exceeds one uniform draw; equal weights
     where all are zero."""
@@ -281,8 +303,8 @@ class RandomOrder(SomeOf):
 class SelectiveChannelTransform(Plan):
     """Children see only some channels of the pixels, as if these were the sample; sizes must stay.
 
-    Where a child moves pixels, only these channels move: they are put back beside the others by a join
-    on the place. Otherwise all is done in the row.
+    Where a child moves or gathers pixels, only these channels do: they are put back beside the others by
+    a join on the place. Otherwise all is done in the row.
     """
 
     channels: tuple = (0, 1, 2)
@@ -295,7 +317,7 @@ class SelectiveChannelTransform(Plan):
             yield leaf._replace(channels=tuple(self.channels[i] for i in leaf.channels) if leaf.channels else tuple(self.channels))
 
     def run(self, frame, seed=0, path="0", forced=False, when=None, params=None):
-        if any(leaf.operator.spatial for leaf in self.leaves(seed, path, forced, when)):
+        if any(leaf.operator.spatial or "pixels" in leaf.operator.own for leaf in self.leaves(seed, path, forced, when)):
             keys = ["sample_id", "y", "x"]
             part = frame.pixels.withColumnsRenamed({v: f"keep_{v}" for v in values(frame.channels)}).withColumns({f"v{k}": F.col(f"keep_v{c}") for k, c in enumerate(self.channels)}).drop(*[f"keep_{v}" for v in values(frame.channels)])
             inner = super().run(Frame(part, len(self.channels), top=frame.top), seed, path, forced, when, params)
@@ -339,7 +361,7 @@ def plan_from_spec(spec: dict) -> Plan | Operator:
     if spec["plan"] not in PLANS:
         raise ValueError(f"no plan {spec['plan']!r}")
     cls, more = PLANS[spec["plan"]], {k: v for k, v in spec.items() if k not in ("plan", "transforms", "boxes", "keypoints")}
-    more = {k: tuple(v) if isinstance(v, list) else v for k, v in more.items()}
+    more = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in more.items()}
     if "boxes" in spec:
         more["boxes"] = BoxParams(**spec["boxes"])
     if "keypoints" in spec:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rasterlane import catalogue
 from rasterlane.functions.annotations import BoxParams, KeypointParams, boxes_from_internal, boxes_to_internal
 from rasterlane.functions.sampling import Draws
-from rasterlane.operators import OPERATORS, Frame, packed
+from rasterlane.operators import OPERATORS, Frame, Named, packed
 from rasterlane.operators.volume import SYMMETRIES
 from rasterlane.plans import compose
 from rasterlane.sources import samples as src
@@ -375,3 +375,63 @@ def test_keypoints_follow_free_form_warps(spark, name):
     assert any(abs(r["nx"] - want[r["sample_id"], r["kp_ix"]][0]) > 0.01 for r in rows_)
     held = {(r["sample_id"], r["box_ix"]): r for r in out.boxes.collect()}
     assert all(b["x_min"] * 60 <= r["nx"] + 0.5 <= b["x_max"] * 60 and b["y_min"] * 40 <= r["ny"] + 0.5 <= b["y_max"] * 40 for r in rows_ for b in [held[r["sample_id"], r["kp_ix"]]])
+
+
+def sources(op, points, seed):
+    """(y, x) of the source of every output pixel, by sample: (sample, row, column, 2)."""
+    draws = {f"p_{k}": F.expr(v) for k, v in op.draws(Draws(seed, f"0.{op.name}")).items()}
+    sy, sx = op.source()
+    grid = points.select("sample_id", "h", "w").distinct().withColumns(draws).withColumn("q", F.explode(F.expr("flatten(transform(sequence(0, h - 1), r -> transform(sequence(0, w - 1), k -> named_struct('y', 1e0 * r, 'x', 1e0 * k))))")))
+    return {(r["sample_id"], int(r["y"]), int(r["x"])): (r["sy"], r["sx"]) for r in grid.selectExpr("sample_id", "q.y", "q.x", f"{sy} as sy", f"{sx} as sx").collect()}
+
+
+def test_keypoints_under_folding_fields_go_to_the_nearest_place_or_go(spark):
+    """Against the whole distance map in plain Python: no keypoint is placed where its source is not."""
+    op = OPERATORS["elastic_transform"](p=1.0, alpha=6.0, sigma=2.0)
+    points = [(i, 18, 24, k, 0.7 + 2.3 * k, 16.6 - 1.7 * k, 0.5, 1.0, "a") for i in range(3) for k in range(9)]
+    kp = spark.createDataFrame(points, "sample_id long, h int, w int, kp_ix int, x double, y double, angle double, scale double, label string")
+    maps = sources(op, kp, 1)
+    found = {(r["sample_id"], r["kp_ix"]): r for r in op.run(Frame(None, 0, keypoints=kp), 1).keypoints.collect()}
+    back = op.run(Frame(None, 0, keypoints=kp), 1).keypoints
+    draws = {f"p_{k}": F.expr(v) for k, v in op.draws(Draws(1, f"0.{op.name}")).items()}
+    sy, sx = op.source()
+    shown_ = {(r["sample_id"], r["kp_ix"]): (r["sy"], r["sx"]) for r in back.withColumns(draws).withColumn("q", F.expr("named_struct('x', x, 'y', y)")).selectExpr("sample_id", "kp_ix", f"{sy} as sy", f"{sx} as sx").collect()}
+    searched = lost = 0
+    for i, _, _, k, x, y, *_ in points:
+        d, ny, nx = min(((sy_ - y) ** 2 + (sx_ - x) ** 2, r, c) for (s, r, c), (sy_, sx_) in maps.items() if s == i)
+        r = found.get((i, k))
+        if r is None:
+            lost += 1
+            assert d > op.LOST**2
+            continue
+        at = shown_[i, k]
+        if math.hypot(at[0] - y, at[1] - x) > op.CLOSE + 1e-9:
+            searched += 1
+            assert (r["y"], r["x"]) == (ny, nx) and d <= op.LOST**2
+    assert searched > 3 and searched + lost < len(points)
+
+
+def test_named_relations_share_draws_and_parts_keep_apart(spark, pixels):
+    """Each frame of a clip comes out as if it were the sample; one scan each; unequal sizes and strangers fail."""
+    ops = tuple(OPERATORS[n](**a) for n, a in (("horizontal_flip", {"p": 0.5}), ("equalize", {"p": 0.8}), ("blur", {"p": 0.6}), ("random_crop", {"height": 5, "width": 4}), ("coarse_dropout", {"p": 1.0, "fill": "random"}), ("gauss_noise", {"p": 0.7})))
+    plan = compose.Compose(ops, seed=3, strict=True, additional_targets=(("other", "pixels"), ("clip", "pixels")))
+    other = pixels.withColumns({f"v{i}": 255 - F.col(f"v{i}") for i in range(3)})
+    clip = pixels.withColumn("frame_ix", F.lit(0)).unionByName(other.withColumn("frame_ix", F.lit(1)))
+    frame = Frame(pixels, masks=pixels.drop("v1", "v2"), named={"other": Named("pixels", other), "clip": Named("pixels", clip, ("frame_ix",))})
+    out = plan(frame)
+    alone = {n: table(plan.run(Frame(px), 3)) for n, px in (("pixels", pixels), ("other", other))}
+    found = {n: x.rows for n, x in out.named.items()}
+    assert table(Frame(out.pixels)) == alone["pixels"] and table(Frame(found["other"])) == alone["other"]
+    for i, n in enumerate(("pixels", "other")):
+        assert table(Frame(found["clip"].where(f"frame_ix = {i}"))) == alone[n]
+    assert set(found["clip"].columns) == set(clip.columns)
+    narrow = Named("pixels", other.where("sample_id <> 2 or x < 7").withColumn("w", F.expr("case when sample_id = 2 then 7 else w end")))
+    with pytest.raises(ValueError, match="size of sample 2"):
+        plan(Frame(pixels, named={"other": narrow}))
+    loose = compose.Compose(ops[:1], is_check_shapes=False)
+    assert table(Frame(loose(Frame(pixels, named={"stranger": Named("pixels", other)})).named["stranger"].rows)) == table(Frame(other))
+    with pytest.raises(ValueError, match="no additional targets"):
+        plan(Frame(pixels, named={"stranger": Named("pixels", other)}))
+    with pytest.raises(ValueError, match="another kind"):
+        plan(Frame(pixels, named={"other": Named("masks", other)}))
+    assert compose.plan_from_spec(plan.spec()) == plan
