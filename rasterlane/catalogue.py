@@ -226,6 +226,32 @@ WIDE = "max(b{i}) FILTER (WHERE dx * dx + dy * dy <= p_k * p_k / 4.0::DOUBLE)"
 for n, e in {"sharpen": clip(SHARP), "emboss": clip(RELIEF), "morphological": WIDE}.items():
     on_pixels(n, drawn(n) + BESIDE + "SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, " + ", ".join(f"{e.format(i=i)} AS v{i}" for i in range(3)) + group)
 SIX = "greatest(0, least(7, (o{a} + 0.5::DOUBLE) * 8 / 6 - 0.5))"
+CUBED = "CASE WHEN abs(t) <= 1 THEN (1.25::DOUBLE * abs(t) - 2.25) * abs(t) * abs(t) + 1 WHEN abs(t) < 2 THEN ((-0.75::DOUBLE * abs(t) + 3.75) * abs(t) - 6) * abs(t) + 3 ELSE 0 END"
+SINC = "CASE WHEN t = 0 THEN 1 WHEN abs(t) >= 4 THEN 0 ELSE sin(pi() * t) * sin(pi() * t / 4) / (pi() * pi() * t * t / 4) END"
+
+
+def weights_sql(kind: str, n: int) -> str:
+    """(o, i, w): the weights of 8 source pixels in each of n."""
+    if kind in ("cubic", "lanczos"):
+        r = 2 if kind == "cubic" else 4
+        every = f"SELECT o, greatest(0, least(7, floor(s) + k)) AS i, {CUBED if kind == 'cubic' else SINC} AS w FROM (SELECT *, s - floor(s) - k AS t FROM (SELECT o, (o + 0.5::DOUBLE) * 8 / {n} - 0.5 AS s, unnest(range({1 - r}, {r + 1})) AS k FROM range({n}) AS r(o)))"
+    elif n <= 8:
+        every = f"SELECT o, i, greatest(0, least(i + 1, (o + 1) * 8::DOUBLE / {n}) - greatest(i, o * 8::DOUBLE / {n})) AS w FROM range({n}) AS r(o), range(8) AS s(i)"
+    else:
+        end = f"(o + 1 - (floor(o * 8::DOUBLE / {n}) + 1) * {n} / 8.0::DOUBLE)"
+        part = f"CASE WHEN {end} <= 0 THEN 0 ELSE {end} - floor({end}) END"
+        every = f"SELECT o, least(7, floor(o * 8::DOUBLE / {n}) + k) AS i, CASE k WHEN 0 THEN 1 - ({part}) ELSE {part} END AS w FROM range({n}) AS r(o), range(2) AS s(k)"
+    return f"SELECT o, i, sum(w) AS w, sum(sum(w)) OVER (PARTITION BY o) AS t FROM ({every}) GROUP BY o, i"
+
+
+def weighed_sql(kind: str, h: int, w: int) -> str:
+    v = ", ".join(f"{clip(f'round(sum({v} * a.w * b.w) / (min(a.t) * min(b.t)), 6)')} AS {v}" for v in V)
+    return f"{PX}, wy AS ({weights_sql(kind, h)}), wx AS ({weights_sql(kind, w)})\nSELECT sample_id, a.o::BIGINT AS y, b.o::BIGINT AS x, {v} FROM px JOIN wy AS a ON a.i = px.y JOIN wx AS b ON b.i = px.x GROUP BY sample_id, a.o, b.o"
+
+
+for k in ("area", "cubic", "lanczos"):
+    for way, size in (("down", (5, 3)), ("up", (13, 11))):
+        on_pixels("resize", weighed_sql(k, *size), f"resize_{k}_{way}", height=size[0], width=size[1], interpolation=k)
 for n in ("longest_max_size", "smallest_max_size"):
     on_pixels(n, taps_sql(drawn(n, max_size=6), "6", "6", SIX.format(a="y"), SIX.format(a="x")), max_size=6)
 SIDE = "floor(8 * p_s)"
@@ -339,6 +365,9 @@ on_rows("random_gamma", gamma_limit=(120, 120))
 on_rows("pad", padding=(1, 1, 2, 2), fill=7.0)
 on_rows("blur", blur_limit=(3, 3))
 on_rows("resize", height=4, width=4)
+for k in ("area", "cubic", "lanczos"):
+    for way, size in (("down", (5, 3)), ("up", (13, 11))):
+        on_rows("resize", f"resize_{k}_{way}", height=size[0], width=size[1], interpolation=k)
 on_rows("auto_contrast", method="pil")
 on_rows("coarse_dropout", hole_height_range=(2, 2), hole_width_range=(3, 3), fill=9.0)
 

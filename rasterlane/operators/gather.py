@@ -338,6 +338,52 @@ def remap(df: DataFrame, channels: int, sy: str, sx: str, h: str = "h", w: str =
     return spread(grouped(df, channels), channels, cell, h, w, tuple(steps))
 
 
+#: Ways to resample beside nearest and linear, with the taps on either side (area: as many as it covers).
+TAPS = {"cubic": 2, "lanczos": 4, "area": 0}
+#: The slope of the cubic at its first zero (fixed value).
+CUBIC = -0.75
+
+
+def weight(kind: str, t: str) -> str:
+    """Weight of a tap at distance t."""
+    if kind == "cubic":
+        a, d = num(CUBIC), f"abs({t})"
+        near = f"((({a} + 2e0) * {d} - ({a} + 3e0)) * {d} * {d} + 1e0)"
+        return f"(case when {d} <= 1 then {near} when {d} < 2 then ((({a} * {d} - 5e0 * {a}) * {d} + 8e0 * {a}) * {d} - 4e0 * {a}) else 0e0 end)"
+    pi = "3.141592653589793e0"
+    return f"(case when {t} = 0 then 1e0 when abs({t}) >= 4 then 0e0 else sin({pi} * {t}) * sin({pi} * {t} / 4e0) / ({pi} * {pi} * {t} * {t} / 4e0) end)"
+
+
+def taps(kind: str, at: str, low: str, high: str, size: str) -> str:
+    """Array of (i, wt): the source pixels in [low, high) that output pixel `at` of `size` mixes.
+
+    Beyond the edge the edge repeats. Area shares a pixel out by how much of it an output pixel covers;
+    where it enlarges it mixes two pixels by where the output pixel's end lies.
+    """
+    n = f"(({high}) - ({low}))"
+    scale = f"(1e0 * {n} / ({size}))"
+    if kind != "area":
+        r, s = TAPS[kind], f"(({at} + 0.5e0) * {scale} - 0.5e0)"
+        return f"transform(sequence({1 - r}, {r}), k -> named_struct('i', cast(({low}) + greatest(0, least({n} - 1, floor({s}) + k)) as int), 'wt', {weight(kind, f'({s} - floor({s}) - k)')}))"
+    a, b = f"({at} * {scale})", f"(({at} + 1) * {scale})"
+    down = f"transform(sequence(cast(floor({a}) as int), cast(ceil({b}) as int) - 1), k -> named_struct('i', cast(({low}) + least({n} - 1, k) as int), 'wt', (least(k + 1e0, {b}) - greatest(1e0 * k, {a})) / {scale}))"
+    end = f"({at} + 1 - (floor({a}) + 1) / {scale})"
+    part = f"(case when {end} <= 0 then 0e0 else {end} - floor({end}) end)"
+    up = f"array(named_struct('i', cast(({low}) + floor({a}) as int), 'wt', 1e0 - {part}), named_struct('i', cast(({low}) + least({n} - 1, floor({a}) + 1) as int), 'wt', {part}))"
+    return f"(case when {scale} >= 1 then {down} else {up} end)"
+
+
+def weighed(df: DataFrame, channels: int, kind: str, window: tuple[str, str, str, str], h: str, w: str, top: float) -> DataFrame:
+    """Output pixels of an h x w sample as weighted sums over a window (y0, x0, y1, x1): a table of
+    weights for its row and one for its column. Sums are taken to six decimals, so their order never shows."""
+    y0, x0, y1, x1 = window
+    total = lambda t: f"aggregate(q.{t}, 0e0, (s, c) -> s + c.wt)"
+    bind = ({"ty": taps(kind, "q.y", y0, y1, h), "tx": taps(kind, "q.x", x0, x1, w)}, {"all": f"{total('ty')} * {total('tx')}"})
+    row = lambda i: f"aggregate(q.tx, 0e0, (u, c) -> u + c.wt * a{i}[r.i * w + c.i])"
+    cell = {v: clipped(f"round(aggregate(q.ty, 0e0, (s, r) -> s + r.wt * {row(i)}) / q.all, 6)", top) for i, v in enumerate(values(channels))}
+    return spread(grouped(df, channels), channels, cell, h, w, bind)
+
+
 class Resampled(Gathered):
     """Output size out_h, out_w, and the source of each output pixel."""
 
@@ -407,16 +453,26 @@ class FreeForm(Resampled):
 
 class Scaled(Resampled):
     border = "mirror"
+    interpolation = None
 
     def source(self):
         h, w = self.size()
         return f"((q.y + 0.5e0) * h / ({h}) - 0.5e0)", f"((q.x + 0.5e0) * w / ({w}) - 0.5e0)"
 
+    def way(self) -> str:
+        """interpolation, or what linear says."""
+        found = self.interpolation or ("linear" if self.linear else "nearest")
+        if found not in ("nearest", "linear", *TAPS):
+            raise ValueError(f"{self.name}: no interpolation {found!r}")
+        return found
+
     def on_pixels(self, df, channels, top):
         h, w = self.size()
+        if (way := self.way()) in TAPS:
+            return weighed(df, channels, way, ("0", "0", "h", "w"), h, w, top)
         y, x = self.source()
         edge = (f"greatest(0e0, least(h - 1e0, {y}))", f"greatest(0e0, least(w - 1e0, {x}))")
-        return remap(df, channels, *edge, h, w, self.linear, "mirror", 0.0, (), top)
+        return remap(df, channels, *edge, h, w, way == "linear", "mirror", 0.0, (), top)
 
     def on_masks(self, df, channels, top):
         h, w = self.size()
@@ -436,6 +492,7 @@ class Resize(Scaled):
     height: int = 4
     width: int = 4
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def size(self):
@@ -446,6 +503,7 @@ class Resize(Scaled):
 class RandomScale(Scaled):
     scale_limit: tuple | float = (-0.1, 0.1)
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 0.5
 
     def draws(self, d: Draws):
@@ -459,6 +517,7 @@ class RandomScale(Scaled):
 class LongestMaxSize(Scaled):
     max_size: int = 1024
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def size(self):
@@ -469,6 +528,7 @@ class LongestMaxSize(Scaled):
 class SmallestMaxSize(Scaled):
     max_size: int = 1024
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def size(self):
@@ -496,6 +556,12 @@ class CropResized(Resampled):
     """A window p_x0, p_y0, p_x1, p_y1 shown at height x width."""
 
     border = "mirror"
+    interpolation = None
+
+    def on_pixels(self, df, channels, top):
+        if (way := Scaled.way(self)) in TAPS:
+            return weighed(df, channels, way, ("p_y0", "p_x0", "p_y1", "p_x1"), *self.size(), top)
+        return remap(df, channels, *self.source(), *self.size(), way == "linear", self.border, self.fill, self.bind(), top)
 
     def size(self):
         return str(self.height), str(self.width)
@@ -520,6 +586,7 @@ class RandomSizedCrop(CropResized):
     width: int = 8
     w2h_ratio: float = 1.0
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def draws(self, d: Draws):
@@ -538,6 +605,7 @@ class RandomResizedCrop(CropResized):
     scale: tuple = (0.08, 1.0)
     ratio: tuple = (0.75, 1.3333333333333333)
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def draws(self, d: Draws):
@@ -562,6 +630,7 @@ class RandomSizedBBoxSafeCrop(CropResized):
     width: int = 8
     erosion_rate: float = 0.0
     linear: bool = True
+    interpolation: str | None = None  # nearest, linear, cubic, area or lanczos
     p: float = 1.0
 
     def draws(self, d: Draws):

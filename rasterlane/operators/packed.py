@@ -156,8 +156,47 @@ def bilinear(img, sy, sx, border: str, fill: float):
     return whole(above)
 
 
+def axis_taps(kind: str, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, weight) of the taps of each of size output pixels over n source pixels; see gather.taps."""
+    at, scale = np.arange(size, dtype=float)[:, None], 1.0 * n / size
+    if kind != "area":
+        r, s = gather.TAPS[kind], (at + 0.5) * scale - 0.5
+        i = np.floor(s) + np.arange(1 - r, r + 1)
+        t = s - np.floor(s) - np.arange(1 - r, r + 1)
+        d = np.abs(t)
+        if kind == "cubic":
+            a = gather.CUBIC
+            wt = np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, np.where(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a, 0))
+        else:
+            safe = np.where(t == 0, 1, t)
+            wt = np.where(t == 0, 1, np.where(d >= 4, 0, np.sin(np.pi * safe) * np.sin(np.pi * safe / 4) / (np.pi * np.pi * safe * safe / 4)))
+    elif scale >= 1:
+        a, b = at * scale, (at + 1) * scale
+        i = np.floor(a) + np.arange(int((np.ceil(b) - np.floor(a)).max()))
+        wt = np.maximum(0, np.minimum(i + 1, b) - np.maximum(i, a)) / scale
+    else:
+        first = np.floor(at * scale)
+        end = at + 1 - (first + 1) / scale
+        part = np.where(end <= 0, 0, end - np.floor(end))
+        i, wt = np.hstack([first, first + 1]), np.hstack([1 - part, part])
+    return np.clip(i, 0, n - 1).astype(np.int64), wt
+
+
+def weighed(img, kind: str, hh: int, ww: int):
+    """Columns first, then rows, a tap at a time."""
+    (iy, wy), (ix, wx) = axis_taps(kind, img.shape[0], hh), axis_taps(kind, img.shape[1], ww)
+    across = sum(wx[None, :, k, None] * img[:, ix[:, k]] for k in range(ix.shape[1]))
+    out = sum(wy[:, None, k, None] * across[iy[:, k]] for k in range(iy.shape[1]))
+    return whole(np.round(out / (wy.sum(1)[:, None] * wx.sum(1)[None])[..., None], 6))
+
+
 def scaled(img, q, op):
     (h, w), hh, ww = img.shape[:2], q["w0"], q["w1"]
+    if op.way() in gather.TAPS:
+        return weighed(img, op.way(), hh, ww)
+    if op.way() == "nearest":
+        near = lambda n, size: np.floor(np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1) + 0.5).astype(np.int64)
+        return img[near(h, hh)][:, near(w, ww)]
     y, x = np.clip((np.arange(hh) + 0.5) * h / hh - 0.5, 0, h - 1), np.clip((np.arange(ww) + 0.5) * w / ww - 0.5, 0, w - 1)
     fy, fx = np.floor(y).astype(int), np.floor(x).astype(int)
     ty, tx = (y - fy)[:, None, None], (x - fx)[None, :, None]
@@ -200,6 +239,9 @@ KERNELS = {
 def kernel_of(op: Operator):
     found = None if type(op).__module__ == volume.__name__ else next((KERNELS[c] for c in type(op).__mro__ if c in KERNELS), None)
     special = {"brightness_by_max": True, "ensure_safe_range": False, "by_channels": True, "mask": None, "mode": ("cv", "camera"), "ignore": None, "method": ("weighted_average", "cdf", "pil"), "normalization": "standard", "linear": True}
+    if isinstance(op, gather.Scaled):
+        op.way()
+        special.pop("linear")
     odd = [n for n, v in special.items() if hasattr(op, n) and getattr(op, n) not in (v if isinstance(v, tuple) else (v,))]
     if found is None or odd or isinstance(op, geometry.CropAndPad) or getattr(op, "fill", 0) == "random":
         raise ValueError(f"{op.name}: no kernel for samples as rows ({', '.join(odd) or 'use the pixel relation'})")
