@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import LONGEST_KEPT, WORD_START, Pieces, Vocabulary, weight
+from .bpe import LONGEST_KEPT, WORD_START, Pieces, Vocabulary
 from .common import open_input, open_output, quoted, shared_path, spans, stored, table
 
 MAGIC = b"RLTOKHF1"
@@ -39,7 +40,7 @@ MAX_BITS = 16
 #: should hold; documents that leave a reader together.
 BLOCK, LANES, FILE_IDS, FILE_DOCS, ROWS = 1024, 2048, 32_000_000, 2_000_000, 65_536
 #: Bytes that a worker's cache may hold in each of two generations; characters tokenised together.
-CACHE, CHARS = 64 << 20, 8 << 20
+CACHE, CHARS = 96 << 20, 8 << 20
 #: Signs that often end words, and the end of the Latin letters.
 SIGNS, LATIN_END = (",", "."), "\u0250"
 #: A space before other white space: such texts are cut with more care.
@@ -202,12 +203,14 @@ class LibraryEncoder:
             again = {w: f for w in missing if (f := self.old.get(w)) is not None}
             fresh = again | self.learn([w for w in missing if w not in again])
             found = [fresh[w] if f is None else f for w, f in zip(words, found)]
-            for w, f in fresh.items():
-                if len(w) <= LONGEST_KEPT:
-                    self.held += weight(w, f)
-                    if self.held > CACHE:
-                        self.old, self.new, self.held = self.new, {}, weight(w, f)
-                    self.new[w] = f
+            if max(map(len, fresh)) > LONGEST_KEPT:
+                fresh = {w: f for w, f in fresh.items() if len(w) <= LONGEST_KEPT}
+            more = sum(map(sys.getsizeof, fresh)) + sum(map(sys.getsizeof, fresh.values())) + 100 * len(fresh)  # see weight()
+            if self.held + more > CACHE:
+                self.old, self.new, self.held = self.new, {}, 0
+            if more <= CACHE:
+                self.new.update(fresh)
+                self.held += more
         return found
 
     def encode(self, rows: list[str] | pa.Array) -> list[bytes]:
