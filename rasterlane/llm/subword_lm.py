@@ -36,7 +36,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of text in a chunk; rounds of re-estimation; words that a lattice pass takes at once.
 CHUNK, ROUNDS, WORDS = 16 << 20, 4, 50_000
 #: Lattices; slots of a text's histogram of three-byte runs; rounds over all training texts.
-KINDS, SLOTS, KIND_ROUNDS = 4, 4096, 3
+KINDS, SLOTS, KIND_ROUNDS = 4, 4096, 2
 #: Bounds of the texts that kinds begin at, in the order of a hash: different texts, and bytes after which no more are taken.
 SEEDS, SEED_BYTES = 1000, 16 << 20
 #: Bytes of words of one length that are worked on at a time.
@@ -214,9 +214,9 @@ def begun(hist: np.ndarray, kinds: int = KINDS) -> np.ndarray:
 
 def mass(hist: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """(kind, slot): what each kind has of the histograms, by its share of each text."""
-    fit = hist / np.maximum(1, hist.sum(axis=1, keepdims=True)) * 200 @ centre.T  # long texts do not decide alone
+    fit = (hist @ centre.T.astype(hist.dtype)).astype(np.float64) * (200 / np.maximum(1, hist.sum(axis=1, dtype=np.float64)))[:, None]  # long texts do not decide alone
     r = np.exp(fit - fit.max(axis=1, keepdims=True))
-    return (r / r.sum(axis=1, keepdims=True)).T @ hist
+    return ((r / r.sum(axis=1, keepdims=True)).T.astype(hist.dtype) @ hist).astype(np.float64)
 
 
 def centred(total: np.ndarray) -> np.ndarray:
@@ -224,7 +224,10 @@ def centred(total: np.ndarray) -> np.ndarray:
 
 
 def histograms(rows: list[str]) -> np.ndarray:
-    return np.array([histogram(x.encode("utf-8", "surrogatepass").lower()) for x in rows]).reshape(-1, SLOTS)
+    out = np.zeros((len(rows), SLOTS), np.float32)
+    for i, x in enumerate(rows):
+        out[i] = histogram(x.encode("utf-8", "surrogatepass").lower())
+    return out
 
 
 def kinds(rows: DataFrame) -> np.ndarray:
@@ -241,7 +244,7 @@ def kinds(rows: DataFrame) -> np.ndarray:
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hist = histograms(texts(batch, "text")).astype(np.float32)
+            hist = histograms(texts(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in hist], pa.binary())], ["h", "hist"])
 
     found = some.mapInArrow(seeds, "h long, hist binary").orderBy(F.xxhash64("h"), "h").collect()  # SEEDS rows at most
