@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +102,65 @@ def test_edited_items_in_a_very_long_text_and_odd_keys(spark):
     assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
     assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [(d, k, 1) for d in ("a", None) for k in (Decimal("1.50"), Decimal("1.50"), None)]))
     assert sorted(r["item"] for r in dec.decontaminated(docs, bench, "d`id").collect()) == [2, 4, 5]
+
+
+def plain_hash(gram):
+    h = 0
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 29
+    return h
+
+
+def plain_grams(text):
+    x = "  " + text.lower() + "  "
+    return [x[i : i + 4] for i in range(len(x) - 3)]
+
+
+def plain_slots(gram):
+    h = plain_hash(gram)
+    return [h % lid.SLOTS, (h >> 22) % lid.SLOTS]
+
+
+def test_the_filter_against_sets_of_n_grams(spark):
+    """Bits, shares and predictions from Python sets of each language's own n-grams."""
+    rng = random.Random(8)
+    words = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["quick", "brown", "fox", "über"], "cc": ["lorem", "brown", "zzz", "漢字"]}
+    train = [(" ".join(rng.choices(words[k], k=rng.randrange(1, 9))), k) for k in words for _ in range(40)]
+    train += [("lorem ipsum", "aa")] * 200 + [(None, "aa"), ("no language", None), ("", "bb")]
+    model = lid.fit(spark.createDataFrame(train, "text string, lang string"))
+    own = {}
+    for k in sorted(words):
+        texts = {t for t, lang in train if lang == k and t is not None}  # a text that repeats counts once
+        counts = Counter(g for t in texts for g in set(plain_grams(t)))
+        own[k] = {g for g, n in counts.items() if n >= max(min(2, len(texts)), lid.SHARE * min(lid.DOCS_PER_LANGUAGE, len(texts)))}
+    assert model.languages == sorted(words)
+    filled = {k: {p for g in own[k] for p in plain_slots(g)} for k in own}
+    for i, k in enumerate(model.languages):
+        assert set(np.flatnonzero(model.words[i // 8] >> np.uint8(i % 8) & 1).tolist()) == filled[k]
+    asked = ["lorem brown fox", "zzz 漢字", "ipsum " * 50, "unheard", "1 2 3", "", "x"]
+    langs, scores = model.predict(asked)
+    for text, lang, score in zip(asked, langs, scores):
+        grams = plain_grams(text)
+        share = []
+        for k in model.languages:
+            accident = (len(filled[k]) / lid.SLOTS) ** 2
+            hit = sum(all(p in filled[k] for p in plain_slots(g)) for g in grams) / max(1, len(grams))
+            share.append(max(hit - accident, 0) / max(1 - accident, 1e-9))
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        best = max(range(3), key=lambda i: share[i])
+        assert lang == model.languages[best] and abs(score - (share[best] / sum(share) if sum(share) else 0)) < 1e-9
+
+
+def test_the_sample_is_of_different_texts_and_bounded(spark):
+    """One hot text is taken once; rows and bytes are limits, not aims."""
+    rows = [("hot text of all", "aa")] * 3000 + [(f"text number {i} " + "w" * 80, "aa") for i in range(500)] + [(f"other {i}", "bb") for i in range(5)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    sample, sizes = lid.sampled(frame, 50, 1 << 20)
+    found = Counter(r["lang"] for r in sample.collect())
+    assert sizes == {"aa": 501, "bb": 5} and found["aa"] == 50 and found["bb"] == 5
+    assert sample.where("text like 'hot%'").count() <= 1
+    small, _ = lid.sampled(frame.where("lang = 'aa'"), 400, 2000)
+    assert 2000 <= sum(len(r["text"]) for r in small.collect()) < 2000 + 120
