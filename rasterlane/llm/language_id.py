@@ -132,7 +132,8 @@ def sampled(rows: DataFrame, docs_per_language: int, bytes_per_language: int) ->
     order = Window.partitionBy("lang").orderBy(F.xxhash64("h", "lang"), "h")
     some = some.withColumns({"rank": F.row_number().over(order), "before": F.sum("b").over(order.rowsBetween(Window.unboundedPreceding, -1))})
     some = some.where((F.col("rank") <= docs_per_language) & (F.coalesce("before", F.lit(0)) < bytes_per_language))
-    return keyed.join(some.select("lang", "h"), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text"), sizes
+    # docs_per_language keys for each language that the driver holds a row of: small enough for every task
+    return keyed.join(F.broadcast(some.select("lang", "h")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text"), sizes
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> LanguageFilter:
