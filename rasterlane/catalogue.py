@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions import annotations as ann
 from rasterlane.functions.sampling import Draws
-from rasterlane.operators import OPERATORS, Frame, Named, dropout, geometry, packed, text
+from rasterlane.operators import OPERATORS, Frame, Named, dropout, geometry, packed, pointwise, text
 from rasterlane.operators.base import values
 from rasterlane.plans import compose
 from rasterlane.sources import samples as src
@@ -654,3 +654,70 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantise, equalise by histogram, mirror."""
     plan = compose.Compose((OPERATORS["equalize"](p=1.0), geometry.HorizontalFlip(p=1.0)))
     return shown(plan(Frame(src.embedding_pixels(spark, sf_dir))).pixels)
+
+
+# colour spaces
+LINEAR = {c: f"(CASE WHEN {v} / 255 <= 0.04045 THEN {v} / 255 / 12.92 ELSE pow(({v} / 255 + 0.055) / 1.055, 2.4) END)" for c, v in zip("rgb", V)}
+XYZ_SQL = {n: f"(({a}::DOUBLE * {LINEAR['r']} + {b}::DOUBLE * {LINEAR['g']} + {c}::DOUBLE * {LINEAR['b']}) / {w}::DOUBLE)" for n, (a, b, c), w in zip("xyz", ((0.412453, 0.35758, 0.180423), (0.212671, 0.71516, 0.072169), (0.019334, 0.119193, 0.950227)), (0.950456, 1.0, 1.088754))}
+CURVE = {n: f"(CASE WHEN {e} > 0.008856 THEN pow({e}, 1 / 3.0::DOUBLE) ELSE 7.787::DOUBLE * {e} + 16 / 116.0::DOUBLE END)" for n, e in XYZ_SQL.items()}
+LUMA_SQL = "(0.299::DOUBLE * v0 + 0.587::DOUBLE * v1 + 0.114::DOUBLE * v2)"
+SPACES_SQL = {
+    "lab": (f"(116 * {CURVE['y']} - 16) * 2.55", f"500 * ({CURVE['x']} - {CURVE['y']}) + 128", f"200 * ({CURVE['y']} - {CURVE['z']}) + 128"),
+    "ycrcb": (LUMA_SQL, f"(v0 - {LUMA_SQL}) * 0.713 + 127.5", f"(v2 - {LUMA_SQL}) * 0.564 + 127.5"),
+}
+for n, e in SPACES_SQL.items():
+    QUERIES[f"colour_{n}"] = lambda spark, sf_dir, n=n: pointwise.into_space(src.embedding_pixels(spark, sf_dir), n, 255.0).select(*[F.col(k).cast("long").alias(k) for k in ("sample_id", "y", "x")], *[F.round(v, 7).alias(v) for v in V])
+    ORACLE_SQL[f"colour_{n}"] = f"{PX} SELECT sample_id, y::BIGINT AS y, x::BIGINT AS x, {', '.join(f'round(({x})::DOUBLE, 7) AS v{i}' for i, x in enumerate(e))} FROM px"
+for n in ("lab", "ycrcb", "hsv"):  # there and back: the same values
+    QUERIES[f"colour_{n}_round_trip"] = lambda spark, sf_dir, n=n: shown(pointwise.out_of_space(pointwise.into_space(src.embedding_pixels(spark, sf_dir), n, 255.0), n, 255.0))
+    ORACLE_SQL[f"colour_{n}_round_trip"] = pixel_sql("y", "x", V)
+on_pixels("clahe", None, "clahe_luma", space="luma")
+on_pixels("histogram_matching", None, "histogram_matching_lab", reference_=True, space="lab")
+
+# warps with a frame of their own
+on_pixels("rotate", taps_sql(drawn("rotate", crop_border=True), "p_fh", "p_fw", *[t.format(z=1, ty=0, tx=0).replace("oy", "(oy + p_fy)").replace("ox", "(ox + p_fx)") for t in TURN], "0"), "rotate_crop_border", crop_border=True)
+FIT = {"rotate": (20, 70), "translate_px": (-2, 2), "fit_output": True}
+on_pixels("affine", taps_sql(drawn("affine", **FIT), "p_fh", "p_fw", *[t.format(z=1, ty="p_ty", tx="p_tx").replace("oy", "(oy + p_fy)").replace("ox", "(ox + p_fx)") for t in TURN], "0"), "affine_fit_output", **FIT)
+#: A turn by 30 degrees of 90 x 60: the rectangle inside is narrow against its turn.
+COS30, SIN30 = 0.8660254037844387, 0.49999999999999994
+RW, RH = (0.5 * 60 / SIN30, 0.5 * 60 / COS30) if 60 <= 2 * SIN30 * COS30 * 90 else ((90 * COS30 - 60 * SIN30) / (COS30**2 - SIN30**2), (60 * COS30 - 90 * SIN30) / (COS30**2 - SIN30**2))
+FX, FY = int(45 - RW / 2), int(30 - RH / 2)
+FW, FH = int(45 + RW / 2) - FX, int(30 + RH / 2) - FY
+AX = [f"({COS30} * ({x} * 90 - 45) - {SIN30} * ({y} * 60 - 30) + 45)" for x in ("x_min", "x_max") for y in ("y_min", "y_max")]
+AY = [f"({SIN30} * ({x} * 90 - 45) + {COS30} * ({y} * 60 - 30) + 30)" for x in ("x_min", "x_max") for y in ("y_min", "y_max")]
+on_boxes("box_rotate_crop_border", lambda b: OPERATORS["rotate"](limit=(30, 30), crop_border=True, p=1.0).run(Frame(None, 0, boxes=b)).boxes, box_sql(f"(least({', '.join(AX)}) - {FX}) / {FW}", f"(least({', '.join(AY)}) - {FY}) / {FH}", f"(greatest({', '.join(AX)}) - {FX}) / {FW}", f"(greatest({', '.join(AY)}) - {FY}) / {FH}"))
+on_keypoints("kp_rotate_crop_border", lambda k: OPERATORS["rotate"](limit=(30, 30), crop_border=True, p=1.0).run(Frame(None, 0, keypoints=k)).keypoints, f"{COS30} * (x - 44.5) - {SIN30} * (y - 29.5) + 44.5 - {FX}", f"{SIN30} * (x - 44.5) + {COS30} * (y - 29.5) + 29.5 - {FY}", "angle + 0.5235987755982988 - 6.283185307179586 * floor((angle + 0.5235987755982988) / 6.283185307179586)", "scale")
+
+
+def kp_formats(fmt: str):
+    """Keypoints as arrays in a format, through a flip, and as arrays again."""
+    params = ann.KeypointParams(fmt, label_fields=("label",))
+    names = ann.KEYPOINT_FORMATS[fmt]
+
+    def run(spark, sf_dir):
+        k = src.event_keypoints(spark, sf_dir).where("x < w and y < h")
+        arrays = k.select("sample_id", "h", "w", "kp_ix", "label", F.array(*[F.col(c).cast("double") for c in names]).alias("keypoint"))
+        out = params.shown(compose.Compose((OPERATORS["horizontal_flip"](p=1.0),), keypoints=params)(Frame(None, 0, keypoints=arrays)).keypoints)
+        return out.select("sample_id", "kp_ix", "label", *[F.round(F.col("keypoint")[i], 5).alias(f"k{i}") for i in range(len(names))])
+
+    return run
+
+
+for fmt in ("xy", "yx", "xys"):
+    QUERIES[f"kp_format_{fmt}"] = kp_formats(fmt)
+    ORACLE_SQL[f"kp_format_{fmt}"] = f"{KP} SELECT sample_id, kp_ix, label, {', '.join(f'round(({dict(x="89 - x", y="y", scale="scale")[c]})::DOUBLE, 5) AS k{i}' for i, c in enumerate(ann.KEYPOINT_FORMATS[fmt]))} FROM k WHERE x < 90 AND y < 60"
+
+
+def shuffled_boxes_sql() -> str:
+    """Pieces of a box in the four cells of 90 x 60, moved; pieces that touch take the least number, three times."""
+    r = [D(0, "0.random_grid_shuffle").unit(f"r{i}") for i in range(4)]
+    rank = [" + ".join(f"(CASE WHEN {r[k]} < {r[j]} OR ({r[k]} = {r[j]} AND {k} < {j}) THEN 1 ELSE 0 END)" for k in range(4) if k != j) for j in range(4)]
+    ranks = "t AS (SELECT sample_id, " + ", ".join(f"{e} AS k{j}" for j, e in enumerate(rank)) + " FROM (SELECT DISTINCT sample_id FROM b))"
+    goes = "g AS (SELECT sample_id, c, CASE c WHEN k0 THEN 0 WHEN k1 THEN 1 WHEN k2 THEN 2 ELSE 3 END AS d FROM t, range(4) AS s(c))"
+    clipped_ = "n AS (SELECT b.sample_id, box_ix, label, c, d, greatest(floor(x_min * 90), 45 * (c % 2)) AS x0, greatest(floor(y_min * 60), 30 * (c // 2)) AS y0, least(floor(x_max * 90), 45 * (c % 2) + 45) AS x1, least(floor(y_max * 60), 30 * (c // 2) + 30) AS y1 FROM b JOIN g USING (sample_id))"
+    moved_ = "l0 AS (SELECT sample_id, box_ix, label, c, c AS l, x0 + 45 * (d % 2 - c % 2) AS x0, x1 + 45 * (d % 2 - c % 2) AS x1, y0 + 30 * (d // 2 - c // 2) AS y0, y1 + 30 * (d // 2 - c // 2) AS y1 FROM n WHERE x1 > x0 AND y1 > y0)"
+    step = "l{} AS (SELECT a.sample_id, a.box_ix, a.label, a.c, min(o.l) AS l, a.x0, a.x1, a.y0, a.y1 FROM l{} AS a JOIN l{} AS o ON o.sample_id = a.sample_id AND o.box_ix = a.box_ix AND a.x0 <= o.x1 AND o.x0 <= a.x1 AND a.y0 <= o.y1 AND o.y0 <= a.y1 GROUP BY ALL)"
+    return f"{BX}, {ranks}, {goes}, {clipped_}, {moved_}, {', '.join(step.format(i + 1, i, i) for i in range(3))} SELECT sample_id, box_ix, round(min(x0) / 90.0::DOUBLE, 6) AS x_min, round(min(y0) / 60.0::DOUBLE, 6) AS y_min, round(max(x1) / 90.0::DOUBLE, 6) AS x_max, round(max(y1) / 60.0::DOUBLE, 6) AS y_max, label FROM l3 GROUP BY sample_id, box_ix, label, l HAVING sum((x1 - x0) * (y1 - y0)) >= 12"
+
+
+on_boxes("box_random_grid_shuffle", lambda b: OPERATORS["random_grid_shuffle"](p=1.0, min_area=12.0).run(Frame(None, 0, boxes=b)).boxes, shuffled_boxes_sql())

@@ -62,9 +62,21 @@ class BoxParams:
     check_each_transform: bool = True
     clip: bool = False
     filter_invalid_bboxes: bool = False
+    label_fields: tuple = ()
+
+    def __post_init__(self):
+        if self.format not in TO_INTERNAL:
+            raise ValueError(f"format: {self.format!r} is none of {sorted(TO_INTERNAL)}")
+        for name in ("min_area", "min_width", "min_height"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name}: {getattr(self, name)} is negative")
+        if not 0 <= self.min_visibility <= 1:
+            raise ValueError(f"min_visibility: {self.min_visibility} is not within 0 and 1")
+        if self.max_accept_ratio is not None and self.max_accept_ratio < 1:
+            raise ValueError(f"max_accept_ratio: {self.max_accept_ratio} is below 1")
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        df = boxes_to_internal(df, self.format)
+        df = boxes_to_internal(fields_kept(df, self.label_fields), self.format)
         if self.clip:
             df = boxes_clipped(df)
         if self.filter_invalid_bboxes:
@@ -106,14 +118,54 @@ def keypoints_as(df: DataFrame, fmt: str, degrees: bool = True) -> DataFrame:
     return shown.select("sample_id", "kp_ix", "label", F.array(*[F.col(c).cast("double") for c in KEYPOINT_FORMATS[fmt]]).alias("keypoint"))
 
 
+def keypoints_from_arrays(df: DataFrame, fmt: str) -> DataFrame:
+    """Columns x, y (and z, angle, scale where the format has them) of the array column keypoint.
+
+    A null array, or one of another length than the format's, fails.
+    """
+    names = KEYPOINT_FORMATS[fmt]
+    at = F.expr(f"case when size(keypoint) = {len(names)} then keypoint else cast(raise_error(concat('keypoint of sample ', sample_id, ' is not {fmt}')) as array<double>) end")
+    df = df.withColumn("__k", at)
+    return df.withColumns({c: F.col("__k")[i].cast("double") for i, c in enumerate(names)}).drop("__k", "keypoint")
+
+
+def keypoints_checked(df: DataFrame) -> DataFrame:
+    """Fails on a keypoint that is null or not a number, lies outside its sample (to 1e-6 of a pixel) or
+    has an angle outside [0, 2 pi) (to 1e-6). Rows without a keypoint at all are not there to fail."""
+    inside = " and ".join(f"{c} >= -1e-6 and {c} < {side}" for c, side in (("x", "w"), ("y", "h"), *((("z", "d"),) if "d" in df.columns else ())))
+    turn = "angle >= -1e-6 and angle < 6.283185307179586e0 + 1e-6"
+    good = f"coalesce({inside} and {turn} and not isnan(x) and not isnan(y), false)"
+    return df.withColumn("x", F.expr(f"case when {good} then x else cast(raise_error(concat('invalid keypoint of sample ', sample_id)) as double) end"))
+
+
+def fields_kept(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """df, which has to have the label fields; any other columns are kept too."""
+    if missing := sorted(set(fields) - set(df.columns)):
+        raise ValueError(f"no label fields {missing}")
+    return df
+
+
 @dataclass(frozen=True)
 class KeypointParams:
+    """format: of the array column keypoint where the relation has one, else the columns x, y, z, angle,
+    scale are read as they are. label_fields: columns that have to be there; all columns are kept."""
+
     format: str = "xy"
     remove_invisible: bool = True
     angle_in_degrees: bool = True
     check_each_transform: bool = True
+    label_fields: tuple = ()
+
+    def __post_init__(self):
+        if self.format not in KEYPOINT_FORMATS:
+            raise ValueError(f"format: {self.format!r} is none of {sorted(KEYPOINT_FORMATS)}")
 
     def prepared(self, df: DataFrame) -> DataFrame:
+        df = fields_kept(df, self.label_fields)
+        if "keypoint" in df.columns:
+            df = keypoints_from_arrays(df, self.format)
+            df = keypoints_to_internal(df, self.angle_in_degrees)
+            return df if not self.remove_invisible else keypoints_checked(df)
         return keypoints_to_internal(df, self.angle_in_degrees)
 
     def filtered(self, df: DataFrame) -> DataFrame:
@@ -124,6 +176,11 @@ class KeypointParams:
     def finished(self, df: DataFrame) -> DataFrame:
         return keypoints_from_internal(self.filtered(df), self.angle_in_degrees)
 
+    def shown(self, df: DataFrame) -> DataFrame:
+        """A finished relation with its keypoints as arrays in the format, and its other columns."""
+        rest = [c for c in df.columns if c not in ("x", "y", "z", "angle", "scale", "keypoint")]
+        return df.select(*rest, F.array(*[F.col(c).cast("double") for c in KEYPOINT_FORMATS[self.format]]).alias("keypoint"))
+
 
 def labels_encoded(df: DataFrame, label: str = "label") -> DataFrame:
     """With label_id: numbers before strings, each in order, null last. Distinct labels are dealt by ranges

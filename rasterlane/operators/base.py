@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from rasterlane.functions.sampling import Draws, num
 
+from .arguments import checked
+
 OPERATORS: dict[str, type[Operator]] = {}
 KINDS = ("pixels", "masks", "boxes", "keypoints")
 #: Whether a row's sample is to change, while an operator that looks after closed gates itself is at work.
@@ -96,6 +98,9 @@ class Operator:
     #: Whether it needs a statistic of the sample, which samples without an id do not have.
     statistic = False
 
+    def __post_init__(self):
+        checked(self)
+
     def draws(self, d: Draws) -> dict[str, str]:
         return {}
 

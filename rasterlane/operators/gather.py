@@ -6,6 +6,8 @@ index. Nothing is multiplied by the kernel's size or joined by coordinate.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -654,9 +656,22 @@ class Projected(Resampled):
 
 
 class AffineWarp(Projected):
-    """Scale, shear, rotation (radians) and shift about the centre, as draws p_sx, p_sy, p_hx, p_hy, p_a, p_tx, p_ty."""
+    """Scale, shear, rotation (radians) and shift about the centre, as draws p_sx, p_sy, p_hx, p_hy, p_a, p_tx, p_ty.
+
+    framed: only the part at p_fx, p_fy of size p_fw x p_fh is shown, on the canvas of the sample.
+    """
 
     rotate_method = "largest_box"
+    framed = False
+
+    def size(self):
+        return ("p_fh", "p_fw") if self.framed else ("h", "w")
+
+    def shown(self, df: DataFrame, x_min: str, y_min: str, x_max: str, y_max: str) -> DataFrame:
+        """Boxes at these places of the canvas (pixels), as shares of what is shown."""
+        if not self.framed:
+            return moved(df, x_min=f"({x_min}) / w", x_max=f"({x_max}) / w", y_min=f"({y_min}) / h", y_max=f"({y_max}) / h")
+        return moved(df, x_min=f"(({x_min}) - p_fx) / p_fw", x_max=f"(({x_max}) - p_fx) / p_fw", y_min=f"(({y_min}) - p_fy) / p_fh", y_max=f"(({y_max}) - p_fy) / p_fh", h="p_fh", w="p_fw")
 
     def forward(self) -> dict[str, str]:
         """Entries of translate * shear * rotate * scale about the centre (linear part)."""
@@ -669,7 +684,8 @@ class AffineWarp(Projected):
         det = f"({m['a']} * {m['e']} - {m['b']} * {m['d']})"
         cx, cy = "(w / 2e0 - 0.5e0)", "(h / 2e0 - 0.5e0)"
         a, b, d, e = f"({m['e']} / {det})", f"(-{m['b']} / {det})", f"(-{m['d']} / {det})", f"({m['a']} / {det})"
-        return a, b, f"({cx} - {a} * ({cx} + p_tx) - {b} * ({cy} + p_ty))", d, e, f"({cy} - {d} * ({cx} + p_tx) - {e} * ({cy} + p_ty))", "0e0", "0e0"
+        left, above = (f"({cx} + p_tx - p_fx)", f"({cy} + p_ty - p_fy)") if self.framed else (f"({cx} + p_tx)", f"({cy} + p_ty)")
+        return a, b, f"({cx} - {a} * {left} - {b} * {above})", d, e, f"({cy} - {d} * {left} - {e} * {above})", "0e0", "0e0"
 
     def point(self, x: str, y: str, cx: str, cy: str) -> tuple[str, str]:
         m = self.forward()
@@ -683,14 +699,45 @@ class AffineWarp(Projected):
             mx, my = self.point("((x_min + x_max) / 2e0 * w)", "((y_min + y_max) / 2e0 * h)", cx, cy)
             hx, hy = "((x_max - x_min) / 2e0 * w)", "((y_max - y_min) / 2e0 * h)"
             rx, ry = f"sqrt(pow({m['a']} * {hx}, 2) + pow({m['b']} * {hy}, 2))", f"sqrt(pow({m['d']} * {hx}, 2) + pow({m['e']} * {hy}, 2))"
-            return moved(df, x_min=f"({mx} - {rx}) / w", x_max=f"({mx} + {rx}) / w", y_min=f"({my} - {ry}) / h", y_max=f"({my} + {ry}) / h")
+            return self.shown(df, f"{mx} - {rx}", f"{my} - {ry}", f"{mx} + {rx}", f"{my} + {ry}")
         corners = [self.point(f"({x} * w)", f"({y} * h)", cx, cy) for x in ("x_min", "x_max") for y in ("y_min", "y_max")]
         xs, ys = ", ".join(c[0] for c in corners), ", ".join(c[1] for c in corners)
-        return moved(df, x_min=f"least({xs}) / w", x_max=f"greatest({xs}) / w", y_min=f"least({ys}) / h", y_max=f"greatest({ys}) / h")
+        return self.shown(df, f"least({xs})", f"least({ys})", f"greatest({xs})", f"greatest({ys})")
 
     def on_keypoints(self, df):
         x, y = self.point("x", "y", "(w / 2e0 - 0.5e0)", "(h / 2e0 - 0.5e0)")
-        return moved(df, x=x, y=y, angle=angle("angle + p_a"), scale="scale * greatest(p_sx, p_sy)")
+        new = {"x": f"{x} - p_fx", "y": f"{y} - p_fy", "h": "p_fh", "w": "p_fw"} if self.framed else {"x": x, "y": y}
+        return moved(df, **new, angle=angle("angle + p_a"), scale="scale * greatest(p_sx, p_sy)")
+
+
+def inscribed(a: str) -> dict[str, str]:
+    """The largest upright rectangle within a sample that has turned by a: corner and size in whole pixels.
+
+    Where the sample is narrow against its turn, two corners lie on its long sides at half its width; else
+    all four sides touch, and width and height solve w = W cos + H sin, h = W sin + H cos.
+    """
+    s, c = f"abs(sin({a}))", f"abs(cos({a}))"
+    long, short = "greatest(w, h)", "least(w, h)"
+    narrow = f"({short} <= 2e0 * {s} * {c} * {long} or abs({s} - {c}) < 1e-10)"
+    part = lambda u, v, first, second: f"(case when {narrow} then 0.5e0 * {short} / (case when w >= h then {first} else {second} end) else ({u} * {c} - {v} * {s}) / ({c} * {c} - {s} * {s}) end)"
+    out = {}
+    for n, side, size in (("x", "w", part("w", "h", s, c)), ("y", "h", part("h", "w", c, s))):
+        low = f"cast(greatest(0e0, floor({side} / 2e0 - {size} / 2e0)) as int)"
+        out |= {f"f{n}": low, f"f{side}": f"greatest(1, cast(least(1e0 * {side}, floor({side} / 2e0 + {size} / 2e0)) as int) - {low})"}
+    return out
+
+
+def circumscribed(op: AffineWarp, draws: dict[str, str]) -> dict[str, str]:
+    """The canvas that holds the whole warped sample: the least corner (between pixels) and its size."""
+    corners = [op.point(x, y, "(w / 2e0 - 0.5e0)", "(h / 2e0 - 0.5e0)") for x in ("0e0", "(w - 1e0)") for y in ("0e0", "(h - 1e0)")]
+    out = {}
+    for i, (n, side) in enumerate((("x", "w"), ("y", "h"))):
+        ends = ", ".join(c[i] for c in corners)
+        for k, v in draws.items():
+            ends = re.sub(rf"\bp_{k}\b", lambda _, v=v: f"({v})", ends)
+        size = f"cast(ceil(greatest({ends}) - least({ends}) + 1e0 - 1e-9) as int)"
+        out |= {f"f{n}": f"least({ends})", f"f{side}": size}
+    return out
 
 
 @operator
@@ -702,6 +749,7 @@ class Affine(AffineWarp):
     shear: tuple | float = (0.0, 0.0)
     keep_ratio: bool = False
     balanced_scale: bool = False
+    fit_output: bool = False  # the output holds the whole warped sample
     rotate_method: str = "largest_box"
     border: str = "constant"
     fill: float = 0.0
@@ -716,12 +764,17 @@ class Affine(AffineWarp):
             return d.between(n, lo, hi)
 
         px, pc = self.translate_px, self.translate_percent
-        return {
+        out = {
             "sx": scale("sx"), "sy": scale("sx" if self.keep_ratio else "sy"),
             "hx": f"tan(radians(-{d.between('hx', *pair(self.shear))}))", "hy": "0e0",
             "a": f"radians({d.between('a', *pair(self.rotate))})",
             "tx": f"(cast({d.integer('tx', *px)} as double) + {d.between('cx', *pc)} * w)", "ty": f"(cast({d.integer('ty', *px)} as double) + {d.between('cy', *pc)} * h)",
         }
+        return out | (circumscribed(self, out) if self.fit_output else {})
+
+    @property
+    def framed(self):
+        return self.fit_output
 
 
 @operator
@@ -747,10 +800,16 @@ class Rotate(AffineWarp):
     border: str = "constant"
     fill: float = 0.0
     linear: bool = True
+    crop_border: bool = False  # only the largest rectangle without a border is shown
     p: float = 0.5
 
     def draws(self, d: Draws):
-        return {"sx": "1e0", "sy": "1e0", "hx": "0e0", "hy": "0e0", "a": f"radians({d.between('a', *pair(self.limit))})", "tx": "0e0", "ty": "0e0"}
+        a = f"radians({d.between('a', *pair(self.limit))})"
+        return {"sx": "1e0", "sy": "1e0", "hx": "0e0", "hy": "0e0", "a": a, "tx": "0e0", "ty": "0e0"} | (inscribed(a) if self.crop_border else {})
+
+    @property
+    def framed(self):
+        return self.crop_border
 
 
 @operator

@@ -524,12 +524,18 @@ class CutBorders(Window):
 class RandomGridShuffle(Operator):
     """Cells of a grid trade places with cells of the same size, by a seeded order.
 
-    The table of cells is made from literals, so the order is a rank over constants in the row.
+    The table of cells is made from literals, so the order is a rank over constants in the row. A box, in
+    whole pixels, is cut at the cells' edges and its pieces move with them; pieces that then touch, at a
+    corner too, are one box. Boxes of fewer pixels than min_area, or of a smaller share than
+    min_visibility of what the box was, go. New boxes keep the box_ix and label of their box.
     """
 
     grid: tuple = (2, 2)
+    min_area: float = 1.0
+    min_visibility: float = 0.0
     p: float = 0.5
     spatial = True
+    own = ("boxes",)
 
     def draws(self, d: Draws):
         n = self.grid[0] * self.grid[1]
@@ -560,3 +566,30 @@ class RandomGridShuffle(Operator):
 
     def on_keypoints(self, df):
         return self.on_pixels(df, 0, 0)
+
+    def on_boxes(self, df):
+        rows, cols = self.grid
+        n, t = rows * cols, self.target()
+        ys, xs = self.edges("h", rows), self.edges("w", cols)
+        df = df.withColumns({f"__{a}{k}": F.expr(f"cast(floor({a}_{m} * {side}) as int)") for a, side in (("x", "w"), ("y", "h")) for k, m in enumerate(("min", "max"))})
+        to = F.expr(f"transform(sequence(0, {n - 1}), __cell -> {t['to']})")
+        df = df.withColumn("__to", to)
+        pieces = []
+        for i in range(n):
+            left, right = f"greatest(__x0, {xs[i % cols]})", f"least(__x1, {xs[i % cols + 1]})"
+            above, below = f"greatest(__y0, {ys[i // cols]})", f"least(__y1, {ys[i // cols + 1]})"
+            dx, dy = (f"(({t[a + '0'].format(f'__to[{i}]')}) - {e})" for a, e in (("x", xs[i % cols]), ("y", ys[i // cols])))
+            pieces.append(f"named_struct('x0', {left} + {dx}, 'y0', {above} + {dy}, 'x1', {right} + {dx}, 'y1', {below} + {dy})")
+        df = df.withColumn("__p", F.expr(f"filter(array({', '.join(pieces)}), o -> o.x1 > o.x0 and o.y1 > o.y0)"))
+        touch = "__p[i].x0 <= __p[j].x1 and __p[j].x0 <= __p[i].x1 and __p[i].y0 <= __p[j].y1 and __p[j].y0 <= __p[i].y1"
+        each = "sequence(0, size(__p) - 1)"
+        # every piece takes the least number that it touches, as often as there are pieces
+        labels = f"aggregate({each}, {each}, (l, step) -> transform({each}, i -> array_min(transform(filter({each}, j -> {touch}), j -> l[j]))))"
+        df = df.withColumn("__l", F.expr(f"case when size(__p) > 0 then {labels} else array() end"))
+        of = "filter(transform(__p, (o, i) -> named_struct('o', o, 'l', __l[i])), u -> u.l = g)"
+        ends = ", ".join(f"'{a}_{m}', array_{m}(transform({of}, u -> u.o.{a}{k})) / (1e0 * {side})" for k, m in enumerate(("min", "max")) for a, side in (("x", "w"), ("y", "h")))
+        area = f"aggregate(transform({of}, u -> (u.o.x1 - u.o.x0) * (u.o.y1 - u.o.y0)), 0, (s, v) -> s + v)"
+        made = f"filter(transform(array_distinct(__l), g -> named_struct({ends}, 'area', {area})), m -> m.area >= {num(self.min_area)} and m.area >= {num(self.min_visibility)} * (__x1 - __x0) * (__y1 - __y0))"
+        kept = "array(named_struct('x_min', x_min, 'y_min', y_min, 'x_max', x_max, 'y_max', y_max, 'area', 0))"
+        out = df.withColumn("__b", F.explode(F.expr(or_old(df, made, kept)))).drop("__p", "__l", "__to", "__x0", "__x1", "__y0", "__y1")
+        return moved(out, **{f"{a}_{m}": f"__b.{a}_{m}" for a in "xy" for m in ("min", "max")}).drop("__b")

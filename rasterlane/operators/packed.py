@@ -206,7 +206,7 @@ def scaled(img, q, op):
 
 
 def warped(img, q, op):
-    y, x = np.mgrid[: img.shape[0], : img.shape[1]].astype(float)
+    y, x = np.mgrid[: q["w8"], : q["w9"]].astype(float)
     a, b, c, d, e, f, g, k = (q[f"w{i}"] for i in range(8))
     z = g * x + k * y + 1
     return bilinear(img, (d * x + e * y + f) / z, (a * x + b * y + c) / z, op.border, op.fill)
@@ -259,7 +259,7 @@ def expressions(op: Operator) -> dict[str, str]:
     if isinstance(op, gather.Scaled):
         return {f"w{i}": e for i, e in enumerate(op.size())}
     if isinstance(op, gather.Projected):
-        return {f"w{i}": f"cast({e} as double)" for i, e in enumerate(op.matrix())}
+        return {f"w{i}": f"cast({e} as double)" for i, e in enumerate(op.matrix())} | {f"w{i}": f"cast({e} as int)" for i, e in enumerate(op.size(), 8)}
     return {}
 
 

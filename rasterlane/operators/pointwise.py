@@ -20,6 +20,19 @@ def recoloured(df: DataFrame, top: float, rgb: list[str]) -> DataFrame:
     return df.withColumns({f"v{i}": F.expr(clipped(f"({e}) * {num(top)}", top)) for i, e in enumerate(rgb)})
 
 
+def into_space(df: DataFrame, space: str, top: float) -> DataFrame:
+    """v0, v1, v2 as the space's axes, each over 0 to 255: lab (L* stretched, a* and b* moved by 128), ycrcb, hsv."""
+    a, b, c = colour.SPACES[space][0]("r", "g", "b")
+    stretch = {"lab": (f"{a} * 2.55e0", f"{b} + 128e0", f"{c} + 128e0"), "ycrcb": tuple(f"{x} * 255e0" for x in (a, b, c)), "hsv": (f"{a} * 42.5e0", f"{b} * 255e0", f"{c} * 255e0")}[space]
+    return scaled(df, top).withColumns({f"v{i}": F.expr(e) for i, e in enumerate(stretch)}).drop("r", "g", "b")
+
+
+def out_of_space(df: DataFrame, space: str, top: float) -> DataFrame:
+    axes = {"lab": ("v0 / 2.55e0", "v1 - 128e0", "v2 - 128e0"), "ycrcb": tuple(f"v{i} / 255e0" for i in range(3)), "hsv": ("v0 / 42.5e0", "v1 / 255e0", "v2 / 255e0")}[space]
+    df = df.withColumns({f"__s{i}": F.expr(e) for i, e in enumerate(axes)})
+    return recoloured(df, top, colour.SPACES[space][1]("__s0", "__s1", "__s2")).drop("__s0", "__s1", "__s2")
+
+
 @operator
 class NoOp(Operator):
     p: float = 1.0

@@ -15,7 +15,7 @@ from rasterlane.functions import colour
 from rasterlane.functions.sampling import Draws, num
 
 from .base import Operator, clipped, operator, or_old, values
-from .pointwise import recoloured, scaled
+from .pointwise import into_space, out_of_space, recoloured, scaled
 
 
 def histogram(df: DataFrame, channel: str, where: str | None = None) -> DataFrame:
@@ -110,14 +110,25 @@ class AutoContrast(Operator):
 @operator
 class CLAHE(Operator):
     """Clipped histogram equalisation of lightness in tiles; a pixel mixes the tables of the four
-    nearest tiles. Colour channels follow the lightness."""
+    nearest tiles. space: lab or ycrcb, whose first axis is equalised and whose others stay; or luma,
+    which colour channels follow in proportion."""
 
     clip_limit: float = 4.0
     tile_grid_size: tuple = (2, 2)
+    space: str = "lab"
     p: float = 0.5
     statistic = True
 
     def on_pixels(self, df, channels, top):
+        if channels >= 3 and self.space != "luma":
+            rgb = [f"__rgb{i}" for i in range(3)]
+            df = into_space(df.withColumns({c: F.col(v) for c, v in zip(rgb, values(3))}), self.space, top).withColumnsRenamed({"v1": "__v1", "v2": "__v2"})
+            df = self.tiled(df, 1, 255.0).withColumnsRenamed({"__v1": "v1", "__v2": "v2"})
+            out = out_of_space(df, self.space, top)
+            return out.withColumns({v: F.coalesce(v, c) for v, c in zip(values(3), rgb)}).drop(*rgb)
+        return self.tiled(df, channels, top)
+
+    def tiled(self, df: DataFrame, channels: int, top: float) -> DataFrame:
         rows, cols = self.tile_grid_size
         grey = colour.luma("v0", "v1", "v2") if channels >= 3 else "v0"
         df = df.withColumns({"__l": F.expr(f"cast(floor({grey} + 0.5e0) as int)"), "__ty": F.expr(f"cast(floor(y * {rows} / h) as int)"), "__tx": F.expr(f"cast(floor(x * {cols} / w) as int)")})
@@ -300,18 +311,25 @@ def blended(old: str, new: str, top: float) -> str:
 
 @operator
 class HistogramMatching(Operator):
-    """reference: pixels of the same sample ids."""
+    """reference: pixels of the same sample ids. space: match axes of lab, ycrcb or hsv instead of channels."""
 
     reference: DataFrame | None = None
     blend_ratio: tuple = (0.5, 1.0)
+    space: str | None = None
     p: float = 0.5
 
     def draws(self, d: Draws):
         return {"b": d.between("b", *self.blend_ratio)}
 
     def on_pixels(self, df, channels, top):
+        if self.space is None:
+            return self.matched_by(df, self.reference, channels, top)
+        out = self.matched_by(into_space(df, self.space, top), into_space(self.reference, self.space, top), 3, 255.0)
+        return out_of_space(out, self.space, top)
+
+    def matched_by(self, df: DataFrame, reference: DataFrame, channels: int, top: float) -> DataFrame:
         for v in values(channels):
-            df = through(df.withColumn("__old", F.col(v)), v, matched(df, self.reference, v))
+            df = through(df.withColumn("__old", F.col(v)), v, matched(df, reference, v))
             df = df.withColumn(v, F.expr(blended("__old", f"floor({v})", top))).drop("__old")
         return df
 

@@ -363,9 +363,9 @@ def plan_from_spec(spec: dict) -> Plan | Operator:
     cls, more = PLANS[spec["plan"]], {k: v for k, v in spec.items() if k not in ("plan", "transforms", "boxes", "keypoints")}
     more = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in more.items()}
     if "boxes" in spec:
-        more["boxes"] = BoxParams(**spec["boxes"])
+        more["boxes"] = BoxParams(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec["boxes"].items()})
     if "keypoints" in spec:
-        more["keypoints"] = KeypointParams(**spec["keypoints"])
+        more["keypoints"] = KeypointParams(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec["keypoints"].items()})
     return cls(transforms=tuple(plan_from_spec(t) for t in spec["transforms"]), **more)
 
 

@@ -435,3 +435,67 @@ def test_named_relations_share_draws_and_parts_keep_apart(spark, pixels):
     with pytest.raises(ValueError, match="another kind"):
         plan(Frame(pixels, named={"other": Named("masks", other)}))
     assert compose.plan_from_spec(plan.spec()) == plan
+
+
+INVALID = [("invert_img", {"p": 1.5}, "p"), ("posterize", {"num_bits": 9}, "num_bits"), ("solarize", {"threshold_range": (0.9, 0.2)}, "threshold_range"), ("random_gamma", {"gamma_limit": (-1, 5)}, "gamma_limit"), ("image_compression", {"quality_range": (0, 90)}, "quality_range"), ("resize", {"height": 0}, "height"), ("resize", {"interpolation": "spline"}, "interpolation"),
+    ("pad", {"border": "wrap"}, "border"), ("coarse_dropout", {"num_holes_range": (0, 2)}, "num_holes_range"), ("coarse_dropout", {"hole_height_range": (0.4, 0.1)}, "hole_height_range"), ("morphological", {"operation": "open"}, "operation"), ("blur", {"blur_limit": (-3, 3)}, "blur_limit"), ("random_crop", {"height": 4.5}, "height"),
+    ("random_grid_shuffle", {"grid": (0, 2)}, "grid"), ("auto_contrast", {"cutoff": float("nan")}, "cutoff"), ("to_gray", {"num_output_channels": True}, "num_output_channels"), ("histogram_matching", {"blend_ratio": (0.5, 1.5)}, "blend_ratio"), ("gauss_noise", {"std_range": (-0.1, 0.2)}, "std_range"), ("rotate", {"crop_border": 1}, "crop_border")]
+
+
+@pytest.mark.parametrize(("name", "args", "field_"), INVALID)
+def test_invalid_arguments_are_named(name, args, field_):
+    """When an operator is made, and from a spec."""
+    with pytest.raises(ValueError, match=rf"{name}: {field_} = "):
+        OPERATORS[name](**args)
+    with pytest.raises(ValueError, match=field_):
+        compose.plan_from_spec({"plan": "Compose", "transforms": [{"operator": name, **args}]})
+    with pytest.raises((TypeError, ValueError), match="no_such"):
+        OPERATORS[name](no_such=1)
+
+
+def test_annotation_parameters_are_checked(spark):
+    for made in (lambda: BoxParams("coc"), lambda: BoxParams(min_visibility=2), lambda: BoxParams(min_area=-1), lambda: KeypointParams("xyzw")):
+        with pytest.raises(ValueError):
+            made()
+    kp = spark.createDataFrame([(1, 10, 20, 0, [3.0, 4.0], "a")], "sample_id long, h int, w int, kp_ix int, keypoint array<double>, label string")
+    assert KeypointParams("yx").prepared(kp).first()["x"] == 4.0
+    for bad, fmt in (([3.0, 4.0], "xya"), ([30.0, 4.0], "xy"), ([3.0, -4.0], "xy"), ([float("nan"), 4.0], "xy"), ([3.0, None], "xy"), (None, "xy")):
+        row = spark.createDataFrame([(1, 10, 20, 0, bad, "a")], kp.schema)
+        with pytest.raises(Exception, match="keypoint of sample"):
+            KeypointParams(fmt).prepared(row).collect()
+    assert KeypointParams("xy", remove_invisible=False).prepared(spark.createDataFrame([(1, 10, 20, 0, [30.0, 4.0], "a")], kp.schema)).first()["x"] == 30.0
+    with pytest.raises(ValueError, match="label fields"):
+        KeypointParams("xy", label_fields=("class_",)).prepared(kp)
+    for fmt, array in (("xyas", [1.0, 2.0, 30.0, 4.0]), ("xysa", [1.0, 2.0, 4.0, 30.0]), ("xyz", [1.0, 2.0, 0.5]), ("xya", [1.0, 2.0, 359.0])):
+        p = KeypointParams(fmt, label_fields=("label",))
+        df = spark.createDataFrame([(1, 10, 20, 0, array, "a")], kp.schema)
+        assert [round(v, 9) for v in p.shown(p.finished(p.prepared(df))).first()["keypoint"]] == array
+
+
+def test_grid_shuffle_moves_boxes_with_their_pixels(spark):
+    """Against masks of the boxes, moved and labelled pixel by pixel."""
+    op = OPERATORS["random_grid_shuffle"](grid=(3, 2), p=0.7, min_area=2.0, min_visibility=0.1)
+    boxes = spark.createDataFrame([(i, 12, 10, k, a / 10, b / 12, c / 10, e / 12, "a") for i in range(8) for k, (a, b, c, e) in enumerate(((0, 0, 10, 12), (3, 2, 7, 9), (4, 3, 5, 5), (1, 1, 9, 2)))], "sample_id long, h int, w int, box_ix int, x_min double, y_min double, x_max double, y_max double, label string")
+    px = boxes.select("sample_id", "h", "w").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("v0", F.expr("y * 10.0 + x"))
+    out = op.run(Frame(px, 1, boxes=boxes), 2)
+    goes = {}
+    for r in out.pixels.collect():
+        goes[r["sample_id"], int(r["v0"]) // 10, int(r["v0"]) % 10] = (r["y"], r["x"])
+    want = []
+    for r in boxes.collect():
+        left, top, right, bottom = (round(v) for v in (r["x_min"] * 10, r["y_min"] * 12, r["x_max"] * 10, r["y_max"] * 12))
+        cells = {goes[r["sample_id"], y, x] for y in range(top, bottom) for x in range(left, right)}
+        still = all(goes[r["sample_id"], y, x] == (y, x) for y in range(12) for x in range(10))
+        total = len(cells)
+        while cells:
+            todo, part = [cells.pop()], []
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & cells
+                cells -= near
+                todo += near
+            if still or len(part) >= 2 and len(part) >= 0.1 * total:
+                want.append((r["sample_id"], r["box_ix"], min(x for _, x in part), min(y for y, _ in part), max(x for _, x in part) + 1, max(y for y, _ in part) + 1))
+    found = [(r["sample_id"], r["box_ix"], *(round(v, 6) for v in (r["x_min"] * 10, r["y_min"] * 12, r["x_max"] * 10, r["y_max"] * 12))) for r in out.boxes.collect()]
+    assert sorted(found) == sorted(want) and len(found) > len({f[:2] for f in found})
