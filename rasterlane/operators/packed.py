@@ -212,6 +212,72 @@ def warped(img, q, op):
     return bilinear(img, (d * x + e * y + f) / z, (a * x + b * y + c) / z, op.border, op.fill)
 
 
+def sepia(img, q, op):
+    r, g, b = (img[..., i].astype(float) for i in range(3))
+    return np.stack([whole(x * r + y * g + z * b) for x, y, z in op.MATRIX], axis=2)
+
+
+def dealt(img, q, op):
+    if img.shape[2] != 3:
+        raise ValueError(f"{op.name}: samples as rows have three channels here")
+    first = int(q["a"] * 3)
+    rest = [i for i in range(3) if i != first]
+    return img[..., [first, *(rest[::-1] if int(q["b"] * 2) else rest)]]
+
+
+def toned(x, q, op):
+    t = x / 255
+    u = 1 - t
+    return np.stack([whole((3 * u * u * t * q[f"a{i}"] + 3 * u * t * t * q[f"b{i}"] + t * t * t) * 255) for i in range(4)])
+
+
+def hue_shifted(img, q, op):
+    """Hue in sixths of a turn; see functions.colour."""
+    r, g, b = (img[..., i] / 255 for i in range(3))
+    hi, lo = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = hi - lo
+    safe = np.where(span == 0, 1, span)
+    h = np.where(span == 0, 0, np.where(hi == r, ((g - b) / safe + 6) % 6, np.where(hi == g, (b - r) / safe + 2, (r - g) / safe + 4)))
+    s = np.where(hi == 0, 0, span / np.where(hi == 0, 1, hi))
+    h = (h + q["h"] / 30 + 12) % 6
+    s, v = np.where(s == 0, 0, np.clip(s + q["s"] / 255, 0, 1)), np.clip(hi + q["v"] / 255, 0, 1)
+    turn = [(n + h) % 6 for n in (5, 3, 1)]
+    return np.stack([whole(v * (1 - s * np.maximum(0, np.minimum(np.minimum(t, 4 - t), 1))) * 255) for t in turn], axis=2)
+
+
+def shifts(img, places: list[tuple[int, int]]) -> np.ndarray:
+    """The image moved by each of the places, mirrored at its edges: (place, row, column, channel)."""
+    r = max(max(abs(y), abs(x)) for y, x in places)
+    h, w = img.shape[:2]
+    wide = np.pad(img, ((r, r), (r, r), (0, 0)), "reflect")
+    return np.stack([wide[r + y : r + y + h, r + x : r + x + w] for y, x in places])
+
+
+def medians(img, q, op):
+    r = q["k"] // 2
+    every = shifts(img, [(y, x) for y in range(-r, r + 1) for x in range(-r, r + 1)])
+    return np.partition(every, len(every) // 2, axis=0)[len(every) // 2]
+
+
+def extremes(img, q, op):
+    r = q["k"] / 2
+    at = range(-int(r), int(r) + 1)
+    every = shifts(img, [(y, x) for y in at for x in at if y * y + x * x <= r * r])
+    return every.max(axis=0) if op.operation == "dilation" else every.min(axis=0)
+
+
+def windowed(img, q, op):
+    """A window at the operator's size."""
+    y0, x0, y1, x1 = (q[n] for n in ("y0", "x0", "y1", "x1"))
+    way, hh, ww = gather.Scaled.way(op), op.height, op.width
+    if way in gather.TAPS:
+        return weighed(img[y0:y1, x0:x1], way, hh, ww)
+    y, x = (np.clip(a + (np.arange(n) + 0.5) * (b - a) / n - 0.5, a, b - 1) for a, b, n in ((y0, y1, hh), (x0, x1, ww)))
+    if way == "nearest":
+        return img[np.floor(y + 0.5).astype(np.int64)][:, np.floor(x + 0.5).astype(np.int64)]
+    return bilinear(img, *np.meshgrid(y, x, indexing="ij"), "mirror", 0)
+
+
 #: Operator class -> kernel(image, draws and expressions of the row, operator).
 KERNELS = {
     pointwise.NoOp: lambda img, q, op: img,
@@ -223,6 +289,10 @@ KERNELS = {
     pointwise.RGBShift: curve(shifted),
     pointwise.Normalize: curve(normal),
     pointwise.ToGray: grey,
+    pointwise.ToSepia: sepia,
+    pointwise.ChannelShuffle: dealt,
+    pointwise.RandomToneCurve: curve(toned),
+    pointwise.HueSaturationValue: hue_shifted,
     pointwise.ChannelDropout: dropped,
     geometry.Symmetry: turned,
     geometry.Window: cut,
@@ -231,6 +301,9 @@ KERNELS = {
     statistics.Equalize: by_histogram(level),
     statistics.AutoContrast: by_histogram(stretch),
     gather.Blur: boxed,
+    gather.MedianBlur: medians,
+    gather.Morphological: extremes,
+    gather.CropResized: windowed,
     gather.Scaled: scaled,
     gather.Projected: warped,
 }
@@ -239,8 +312,8 @@ KERNELS = {
 def kernel_of(op: Operator):
     found = None if type(op).__module__ == volume.__name__ else next((KERNELS[c] for c in type(op).__mro__ if c in KERNELS), None)
     special = {"brightness_by_max": True, "ensure_safe_range": False, "by_channels": True, "mask": None, "mode": ("cv", "camera"), "ignore": None, "method": ("weighted_average", "cdf", "pil"), "normalization": "standard", "linear": True}
-    if isinstance(op, gather.Scaled):
-        op.way()
+    if isinstance(op, (gather.Scaled, gather.CropResized)):
+        gather.Scaled.way(op)
         special.pop("linear")
     odd = [n for n, v in special.items() if hasattr(op, n) and getattr(op, n) not in (v if isinstance(v, tuple) else (v,))]
     if found is None or odd or isinstance(op, geometry.CropAndPad) or getattr(op, "fill", 0) == "random":

@@ -329,7 +329,7 @@ assert not any(m.startswith("rasterlane.llm") for m in sys.modules)
 
 
 PACKED = [("invert_img", {}), ("solarize", {}), ("posterize", {"num_bits": (2, 6)}), ("random_brightness_contrast", {}), ("random_gamma", {}), ("rgbshift", {}), ("to_gray", {}), ("channel_dropout", {}), ("d4", {}), ("random_rotate90", {}),
-    ("random_crop", {"height": 5, "width": 3}), ("center_crop", {}), ("pad", {"padding": (1, 2, 3, 0), "fill": 7.0}), ("pad", {"padding": 3, "border": "mirror"}), ("coarse_dropout", {"fill": 9.0}), ("equalize", {}), ("auto_contrast", {"cutoff": 5.0}), ("auto_contrast", {"method": "pil"}), ("blur", {}), ("resize", {"height": 5, "width": 11}), ("random_scale", {}), ("rotate", {}), ("perspective", {}), ("affine", {"rotate": (-20, 20), "scale": (0.7, 1.3), "shear": (-9, 9)})]
+    ("random_crop", {"height": 5, "width": 3}), ("center_crop", {}), ("pad", {"padding": (1, 2, 3, 0), "fill": 7.0}), ("pad", {"padding": 3, "border": "mirror"}), ("coarse_dropout", {"fill": 9.0}), ("equalize", {}), ("auto_contrast", {"cutoff": 5.0}), ("auto_contrast", {"method": "pil"}), ("blur", {}), ("resize", {"height": 5, "width": 11}), ("random_scale", {}), ("to_sepia", {}), ("channel_shuffle", {}), ("random_tone_curve", {"per_channel": True}), ("hue_saturation_value", {}), ("median_blur", {"blur_limit": (3, 5)}), ("morphological", {}), ("morphological", {"operation": "erosion", "scale": (3, 5)}), ("random_sized_crop", {}), ("random_resized_crop", {"interpolation": "area"}), ("random_sized_crop", {"linear": False}), ("longest_max_size", {"max_size": 11, "interpolation": "cubic"}), ("rotate", {"crop_border": True}), ("affine", {"rotate": (10, 60), "fit_output": True}), ("rotate", {}), ("perspective", {}), ("affine", {"rotate": (-20, 20), "scale": (0.7, 1.3), "shear": (-9, 9)})]
 
 
 def test_samples_as_rows_give_the_same_pixels(spark):
