@@ -30,7 +30,7 @@ LONGEST, LEAST, COVERED = 4, 30, 80
 #: Log2 of the buckets (a byte each in a task, a bit each in what is sent out), and of a slice of them.
 BUCKET_BITS, SLICE_BITS = 25, 16
 #: Bytes of text counted together; parts of a language that are ranked apart before the last ranking.
-AT_ONCE, PARTS = 8 << 20, 1024
+AT_ONCE, PARTS = 4 << 20, 1024
 #: Signs that end a piece, and the white space between words (fixed values).
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SPLIT = bytes.maketrans(ENDS + BLANKS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(ENDS) + b" " * len(BLANKS) + b"abcdefghijklmnopqrstuvwxyz")
