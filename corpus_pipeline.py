@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlane.llm import bpe, decontaminate, exact_dedup, language_id, shingle_dedup, simhash
-from rasterlane.llm.common import shared_path, stored, table
+from rasterlane.llm.common import shared_path, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     First the vantage-point trees drop what is within 2 bits of SimHash over 5-word shingles; of the
     rest, what has 0.8 or more of its 5-word shingles in common.
     """
-    return shingle_dedup.keep_one(stored(simhash.keep_one(docs, width=5, radius=2), "pipeline-simhash"))
+    return shingle_dedup.keep_one(docs, among=simhash.kept_keys(docs, width=5, radius=2))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

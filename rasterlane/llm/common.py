@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 SPACE = " \t\n\x0b\x0c\r"
 #: The folder that stands in for spark.checkpoint.dir in a local session that has none.
 LOCAL: dict[str, str] = {}
+#: Slots of rows' keys that tell rows which surely stay, or are surely not looked for, from the rest.
+SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,21 +78,44 @@ def row_key(df: DataFrame, text_col: str) -> dict[str, Column]:
     return {"__row": F.xxhash64(*plain, *[c.isNull() for c in every]), "__digest": F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256)}
 
 
-def least_rows(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, group: list[str], first: list | None = None) -> DataFrame:
+def slots(keys: DataFrame) -> DataFrame:
+    """The slots (SLOTS at most) that rows' __row fall into, small enough to go to every task."""
+    return F.broadcast(keys.select(F.pmod("__row", F.lit(SLOTS)).alias("__slot")).distinct())
+
+
+def slot(docs: DataFrame, text_col: str) -> Column:
+    return F.pmod(row_key(docs, text_col)["__row"], F.lit(SLOTS)).alias("__slot")
+
+
+def least_keys(keyed: DataFrame, group: list[str], first: list | None = None) -> DataFrame:
+    """__row, __digest of the row that stays of each group, in the shared folder (see least_rows)."""
+    order = F.struct(*(first or []), F.col("__id").isNull().alias("none"), "__id", "__row", "__digest")
+    kept = keyed.groupBy(*group).agg(F.min(order).alias("__k"))
+    return stored(kept.select(F.col("__k.__row").alias("__row"), F.col("__k.__digest").alias("__digest")), "kept")
+
+
+def least_rows(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, group: list[str], first: list | None = None, every: DataFrame | None = None) -> DataFrame:
     """Of each group one row of docs stays, with all its columns.
 
     keyed: group columns, __id, __row, __digest (of row_key) and what first needs. The row that is
     least in first (if given), then has the smallest id (null last), then the smallest key stays; of
     rows that are equal in every column one stays. Rows are found by their key, never by id alone.
+    every: the keys of all rows of docs, where keyed has not all of them.
+
+    Rows in whose slot nothing goes stay where they are; the others are matched with the keys that stay.
     """
-    order = F.struct(*(first or []), F.col("__id").isNull().alias("none"), "__id", "__row", "__digest")
-    kept = keyed.groupBy(*group).agg(F.min(order).alias("__k"))
-    kept = stored(kept.select(F.col("__k.__row").alias("__row"), F.col("__k.__digest").alias("__digest")), "kept")
-    here = docs.withColumns(row_key(docs, text_col)).join(kept.hint("shuffle_hash"), ["__row", "__digest"], "left_semi")
-    repeats = keyed.groupBy("__row", "__digest").agg(F.count("*").alias("n")).where("n > 1")
-    if repeats.take(1):
-        here = here.dropDuplicates(["__row", "__digest"])
-    return here.select(*[F.col(quoted(c)) for c in docs.columns])
+    kept = least_keys(keyed, group, first)
+    counts = (keyed if every is None else every).groupBy("__row", "__digest").agg(F.count("*").alias("n"))
+    going = counts.join(kept.withColumn("stays", F.lit(True)), ["__row", "__digest"], "left").where("n > 1 or stays is null")
+    going = stored(going.select("__row", "n"), "going")
+    marked = docs.withColumn("__slot", slot(docs, text_col))
+    safe = marked.join(slots(going), "__slot", "left_anti").drop("__slot")
+    found = marked.join(slots(going), "__slot", "left_semi").drop("__slot")
+    found = found.withColumns(row_key(docs, text_col)).join(kept.hint("shuffle_hash"), ["__row", "__digest"], "left_semi")
+    if going.where("n > 1").take(1):
+        found = found.dropDuplicates(["__row", "__digest"])
+    own = [F.col(quoted(c)) for c in docs.columns]
+    return safe.select(*own).unionByName(found.select(*own))
 
 
 def spans(lengths, limit: int) -> Iterator[tuple[int, int]]:

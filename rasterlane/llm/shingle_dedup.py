@@ -2,15 +2,18 @@
 
 Texts whose shingle sets have a Jaccard similarity of at least SIMILARITY are linked. Such pairs
 lie up to 17 of 64 SimHash bits apart on the test tables, a radius that leaves a metric tree nothing to
-prune; candidates therefore come from bands of min-hashes, and each is decided by the sets themselves,
-so that clean texts stay.
-
-Two sets at 0.8 share none of the BANDS bands with probability 5e-8. A bucket never becomes all of its
-pairs: its members are put in two orders (by the size of the set, and by the key of another band, which
-brings those together that share two bands), and each is compared with the next one in either. Work is
-linear in the entries however large a group is. A link between two members of one bucket is missed only
-if in each of their common buckets (13 of 32 on average at 0.8) and in both orders texts that are not
-linked to them stand between them.
+prune; candidates are therefore found in two rounds, and each is decided by the sets themselves, so that
+clean texts stay.
+
+The first round joins most of each group at a cost that is linear in the entries: buckets are bands of
+min-hashes, whose members are put in two orders (by the size of the set, and by the key of another band,
+which brings those together that share two bands), and each is compared with the next one in either.
+
+The second round is exact and finds every link between what the first left apart (prefix filtering): with
+shingles in one order, two sets at s share one among the first n - ceil(s * n) + 1 of each, so all sets
+that have such a shingle in common meet, in pairs whose sizes fit and that are not yet joined. A pair is
+passed over only where the sets' parity words prove that they differ in too much. The order begins with
+what a sample of the sets does not hold twice; any order gives all links, a good one small buckets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, least_rows, quoted, row_key, shared_dir, spans, stored, texts, with_fields
+from .common import components, least_rows, quoted, row_key, shared_dir, slot, slots, spans, stored, texts, with_fields
 from .simhash import SEED
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -36,6 +39,10 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.
 DIFFER = 50
 #: Shingles that are min-hashed at a time; bytes of text whose sets are held at a time.
 BLOCK, PART = 4096, 4 << 20
+#: Sets of the sample that orders shingles, and frequent shingles that it names at most.
+SAMPLE, FREQUENT = 4096, 1 << 18
+#: Words of a set's parity; bucket members that are compared by shifting all rows; comparisons at a time.
+PARITY, SHIFTS, AT_ONCE = 4, 16, 1 << 20
 
 
 def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,6 +82,51 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY words whose bits say whether the set has an odd number of shingles there.
+
+    Two sets' words differ in at most as many bits as the sets have shingles not in common.
+    """
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, in the order of the sample's counts and then of the hash, of which two
+    sets that are similar enough share one."""
+    if not len(s):
+        return s
+    known, counts = frequent
+    size = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        count = np.where(known[at] == s, counts[at], 0)
+        s = s[np.argsort(count, kind="stable")]  # s is sorted by hash
+    return s[:size]
+
+
+def unlike_roots(token: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs (i, j) of one bucket and different roots, each once. Rows are sorted by token, then root."""
+    first = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+    size = np.diff([*first, len(token)])
+    mixed_roots = root[first] != root[first + size - 1]
+    bucket = np.repeat(np.arange(len(first)), size)
+    small = np.flatnonzero((mixed_roots & (size <= SHIFTS))[bucket])
+    for d in range(1, SHIFTS):
+        i = small[:-d] if d < len(small) else small[:0]
+        j = small[d:] if d < len(small) else small[:0]
+        keep = (bucket[i] == bucket[j]) & (root[i] != root[j])
+        yield i[keep], j[keep]
+    for k in np.flatnonzero(mixed_roots & (size > SHIFTS)).tolist():
+        end = first[k] + size[k]
+        starts = first[k] + np.flatnonzero(np.diff(root[first[k] : end], prepend=root[first[k]] - 1))
+        for a, b in zip(starts.tolist(), starts[1:].tolist()):  # each root's rows against all later ones
+            step = max(1, AT_ONCE // (b - a))
+            for c in range(b, int(end), step):
+                later = np.arange(c, min(c + step, int(end)))
+                yield np.repeat(np.arange(a, b), len(later)), np.tile(later, b - a)
+
+
 def differing(a: str, b: str) -> str:
     """How many of two sketches' min-hashes differ, as SQL."""
     part = []
@@ -95,17 +147,17 @@ def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """__id, __row, __digest, fp (the set's key), n (its size), keys, sketch for every row, in the shared folder."""
+    """__id, __row, __digest, fp (the set's key), n (its size), keys, sketch, parity for every row, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body in in_parts(batches):
             sets = [shingles(t, width) for t in body]
             keys = [bands(s) for s in sets]
-            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in range(2)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "fp", "n", "keys", "sketch"])
+            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in range(2)], pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "fp", "n", "keys", "sketch", "parity"])
 
     rows = docs.select(F.col(quoted(id_col)).alias("__id"), *[c.alias(n) for n, c in row_key(docs, text_col).items()], F.col(quoted(text_col)).alias("__text"))
-    schema = with_fields(rows.drop("__text"), ("fp", "long"), ("n", "long"), ("keys", "array<long>"), ("sketch", "array<long>"))
+    schema = with_fields(rows.drop("__text"), ("fp", "long"), ("n", "long"), ("keys", "array<long>"), ("sketch", "array<long>"), ("parity", "array<long>"))
     return stored(rows.mapInArrow(run, schema), "shingle-signatures")
 
 
@@ -119,15 +171,20 @@ def set_table(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) ->
             s = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), s], ["fp", "s"])
 
-    rows = docs.select(*[c.alias(n) for n, c in row_key(docs, text_col).items()], F.col(quoted(text_col)).alias("__text"))
+    rows = docs.join(slots(wanted), slot(docs, text_col) == F.col("__slot"), "left_semi")
+    rows = rows.select(*[c.alias(n) for n, c in row_key(docs, text_col).items()], F.col(quoted(text_col)).alias("__text"))
     found = rows.join(wanted.hint("shuffle_hash"), ["__row", "__digest"]).select("fp", "__text")
     return stored(found.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "shingle-sets")
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough; sketches tell most others apart first."""
-    close = pairs.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b").where(f"{differing('ka', 'kb')} <= {DIFFER}").select("a", "b")
-    both = close.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are close."""
+    return pairs.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b").where(f"{differing('ka', 'kb')} <= {DIFFER}").select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are similar enough."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return stored(both.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "shingle-links")
 
@@ -139,25 +196,116 @@ def adjacent(entries: DataFrame, order: list[str]) -> DataFrame:
     return near.where("b is not null or not first").select("key", "fp", "n", "b", "m", "turn")
 
 
-def link_components(docs: DataFrame, fps: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """(node, root) for the sets that have a similar one. fps: distinct fp with a row's key, n, keys, sketch."""
+def first_links(docs: DataFrame, fps: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """Links (a, b) between neighbours in the buckets of min-hashes."""
     entries = fps.select("fp", "n", "keys", F.posexplode("keys").alias("i", "key"))
     entries = entries.select("fp", "n", "key", F.expr(f"keys[(i + {BANDS // 2}) % {BANDS}]").alias("turn"))
     shared = stored(adjacent(entries, ["n", "fp"]), "shingle-buckets")
     again = adjacent(shared.select("key", "fp", "n", "turn"), ["turn", "n", "fp"])
     fits = F.least("n", "m") >= least * F.greatest("n", "m")
     pairs = shared.unionByName(again).where(F.col("b").isNotNull() & fits).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b"))
-    pairs = stored(pairs.distinct(), "shingle-pairs")
-    held = stored(fps.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch", "__row", "__digest"), "shingle-held")
-    sketches, sets = held.select("fp", "sketch"), set_table(docs, held.select("__row", "__digest", "fp"), text_col, width)
-    return stored(components(verified(pairs, sketches, sets, least)), "shingle-roots")
+    held = stored(fps.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch"), "shingle-held")
+    close = stored(likely(pairs.distinct(), held), "shingle-pairs")
+    return verified(close, sets_of(docs, fps, close, text_col, width), least)
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """__id, __row, __digest, root, component_id for every row."""
-    shared_dir(docs.sparkSession)
-    rows = signatures(docs, id_col, text_col, width)
-    fps = stored(rows.groupBy("fp").agg(F.min("__id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("__row", "__digest")).alias("k")).select("*", "k.*").drop("k"), "shingle-distinct")
+def sets_of(docs: DataFrame, fps: DataFrame, pairs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """fp, s of the sets in pairs (a, b)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return set_table(docs, stored(fps.join(ends, "fp", "left_semi").select("__row", "__digest", "fp"), "shingle-wanted"), text_col, width)
+
+
+def frequent_shingles(docs: DataFrame, fps: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that occur in two or more of SAMPLE sets, and in how many: the FREQUENT most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, body in in_parts(batches):
+            for t in body:
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, width).view(np.int64))], ["token"])
+
+    chosen = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("__row", "__digest")
+    rows = docs.select(*[c.alias(n) for n, c in row_key(docs, text_col).items()], F.col(quoted(text_col)).alias("__text"))
+    rows = rows.join(F.broadcast(chosen), ["__row", "__digest"], "left_semi").select("__text")
+    counts = rows.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
+    known, c = counts["token"].to_numpy(np.int64).view(np.uint64), counts["c"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], c[order]
+
+
+def prefix_buckets(docs: DataFrame, fps: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """token, fp: the prefixes' shingles that two or more sets have in theirs."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, fps, text_col, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, body in in_parts(batches):
+            sets = [shingles(t, width) for t in body]
+            first = [prefix(s, sent.value, least) for s in sets]
+            fp = np.repeat(np.array([set_key(s) for s in sets], np.int64), [len(x) for x in first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(fp)], ["token", "fp"])
+
+    rows = docs.select(F.col(quoted(text_col)).alias("__text"))
+    own = Window.partitionBy("token")
+    entries = rows.mapInArrow(run, "token long, fp long").withColumns({"low": F.min("fp").over(own), "high": F.max("fp").over(own)})
+    return stored(entries.where("low <> high").select("token", "fp"), "shingle-prefixes")
+
+
+def remaining_pairs(entries: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that share a prefix's shingle, have different roots, and may be similar enough.
+
+    entries: token, fp. sets: fp, n, parity, root of distinct fp. A bucket's rows are held at once, 64 bytes each.
+    """
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        token, fp, n, root = (table[c].to_numpy() for c in ("token", "fp", "n", "root"))
+        words = np.stack([table[f"p{k}"].to_numpy() for k in range(PARITY)], axis=1).view(np.uint64)
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in unlike_roots(token, root):
+            fits = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6
+            i, j = i[fits], j[fits]
+            apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+            near = apart <= (n[i] + n[j]) * (1 - least) / (1 + least) + 1e-6
+            out.append(np.stack([fp[i[near]], fp[j[near]]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            begin = int(np.searchsorted(token, token[-1]))  # the last bucket may go on in the next batch
+            if waiting and (begin or waiting[-1].column(0)[-1].as_py() != token[0]):
+                yield compared(pa.Table.from_batches([*waiting, batch.slice(0, begin)]))
+                waiting = []
+            elif begin:
+                yield compared(pa.Table.from_batches([batch.slice(0, begin)]))
+            waiting.append(batch.slice(begin))
+        if waiting:
+            yield compared(pa.Table.from_batches(waiting))
+
+    rows = entries.distinct().join(sets.select("fp", "n", "root", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)]), "fp")
+    rows = rows.select("token", "fp", "n", "root", *[f"p{k}" for k in range(PARITY)])
+    own = Window.partitionBy("token")
+    apart = rows.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own)}).where("low <> high").drop("low", "high")
+    return stored(apart.repartition("token").sortWithinPartitions("token", "root").mapInArrow(run, "a long, b long").distinct(), "shingle-rest")
+
+
+def link_components(docs: DataFrame, fps: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """(node, root) for the sets that have a similar one. fps: distinct fp with a row's key, n, keys, sketch, parity."""
+    links = first_links(docs, fps, text_col, width, least)
+    roots = stored(components(links), "shingle-roots")
+    sets = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "n", "parity", F.coalesce("root", "fp").alias("root"))
+    pairs = remaining_pairs(prefix_buckets(docs, fps, text_col, width, least), sets, least)
+    if not pairs.take(1):
+        return roots
+    more = verified(pairs, sets_of(docs, fps, pairs, text_col, width), least)
+    return stored(components(links.unionByName(more)), "shingle-roots") if more.take(1) else roots
+
+
+def grouped(docs: DataFrame, rows: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """__id, __row, __digest, root, component_id for every row of signatures."""
+    fps = stored(rows.groupBy("fp").agg(F.min("__id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.min(F.struct("__row", "__digest")).alias("k")).select("*", "k.*").drop("k"), "shingle-distinct")
     roots = link_components(docs, fps, text_col, width, least)
     joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     by_fp = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -169,9 +317,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without a word have one empty set and are linked. Null ids count as larger than all others.
     """
-    return grouped(docs, id_col, text_col, width, least).select(F.col("__id").alias(id_col), "component_id")
+    shared_dir(docs.sparkSession)
+    return grouped(docs, signatures(docs, id_col, text_col, width), text_col, width, least).select(F.col("__id").alias(id_col), "component_id")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY, among: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that stay when one row of each component does: that with the smallest id (see least_rows).
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay when one row of each component does: that with the smallest id (see least_rows)."""
-    return least_rows(docs, grouped(docs, id_col, text_col, width, least), id_col, text_col, ["root"])
+    among: keys (__row, __digest) of the rows that take part; the others go.
+    """
+    shared_dir(docs.sparkSession)
+    every = signatures(docs, id_col, text_col, width)
+    rows = every if among is None else every.join(among, ["__row", "__digest"], "left_semi")
+    return least_rows(docs, grouped(docs, rows, text_col, width, least), id_col, text_col, ["root"], every=every)

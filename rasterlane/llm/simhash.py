@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, least_rows, quoted, row_key, shared_dir, stored, table, texts, with_fields
+from .common import components, least_keys, least_rows, quoted, row_key, shared_dir, stored, table, texts, with_fields
 
 #: Distinct fingerprints that a shard should hold (a few hundred bytes of working memory each);
 #: bound of the sample that deals them out, and its size for each shard.
@@ -231,12 +231,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs that stay when one row of each component does: that with the smallest id (see least_rows)."""
+def keyed_roots(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
+    """__id, __row, __digest, fp, root for every row."""
     shared_dir(docs.sparkSession)
     rows = fingerprint_table(docs, id_col, text_col, width, keys=True)
-    keyed = rows.join(roots_of(rows, radius, SHARD_ROWS).select("fp", "root"), "fp")
-    return least_rows(docs, keyed, id_col, text_col, ["root"])
+    return rows.join(roots_of(rows, radius, SHARD_ROWS).select("fp", "root"), "fp")
+
+
+def kept_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """The keys (__row, __digest) of the rows that keep_one keeps."""
+    return least_keys(keyed_roots(docs, id_col, text_col, width, radius), ["root"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs that stay when one row of each component does: that with the smallest id (see least_rows)."""
+    return least_rows(docs, keyed_roots(docs, id_col, text_col, width, radius), id_col, text_col, ["root"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

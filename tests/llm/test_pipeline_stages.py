@@ -1,6 +1,9 @@
 """What the pipeline's stages drop and keep beyond the plain cases."""
 
+import numpy as np
+
 import corpus_pipeline
+from rasterlane.llm import shingle_dedup
 from rasterlane.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +59,32 @@ def test_near_copies_by_shingle_similarity(spark):
     assert 6 < len(set(label)) < len(texts)
 
 
+
+
+def test_no_link_is_lost_in_a_crowded_bucket(spark, monkeypatch):
+    """All min-hashes put every text into one bucket, with unlinked ones between; its links are found all the same."""
+    base = [[f"w{(i * 7919 + d * 104729) % 50021}" for i in range(60)] for d in range(60)]
+    common = [f"c{i}" for i in range(70)]
+    texts = [" ".join(common + b) for b in base] + [" ".join([*common, *b[:57], "x", "y", "z"]) for b in base]
+    monkeypatch.setattr(shingle_dedup, "bands", lambda s: (np.zeros(shingle_dedup.BANDS if len(s) else 0, np.int64), np.zeros(8 if len(s) else 0, np.int64)))
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, texts[60:])) and max(jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i] if i < 60) < 0.8
+    sets = [shingle_dedup.shingles(t) for t in texts]
+    pairs = {(i, j) for i, a in enumerate(sets) for j in range(i) if len(np.intersect1d(a, b := sets[j])) >= 0.8 * len(np.union1d(a, b))}
+    label = list(range(len(texts)))
+    for i, j in sorted(pairs):
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    order = np.random.default_rng(3).permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+    assert {r[0]: r[1] for r in shingle_dedup.near_duplicates(docs).collect()} == dict(enumerate(label))
+
+
+def test_pairs_of_unlike_roots():
+    """Small and large buckets alike give each pair of one bucket and different roots once."""
+    rng = np.random.default_rng(5)
+    token = np.sort(np.concatenate([rng.integers(0, 40, 200), np.full(90, 99)]))
+    root = rng.integers(0, 6, len(token))
+    order = np.lexsort((root, token))
+    token, root = token[order], root[order]
+    found = [(min(i, j), max(i, j)) for x, y in shingle_dedup.unlike_roots(token, root) for i, j in zip(x.tolist(), y.tolist())]
+    want = {(i, j) for i in range(len(token)) for j in range(i + 1, len(token)) if token[i] == token[j] and root[i] != root[j]}
+    assert len(found) == len(set(found)) and set(found) == want
