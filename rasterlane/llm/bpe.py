@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: longest piece that is kept: a script without spaces has no words to meet again.
 CACHE, LONGEST_KEPT = 64 << 20, 64
 #: Characters that are decoded at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Pairs that the table of a worker holds before it begins anew.
 SEAMS = 1_000_000
 #: Where spaces run together, only the last of a run begins a word.
@@ -245,14 +245,14 @@ class Encoder:
         return b"".join([*out, self.plain(text[at:])])
 
 
-#: One encoder for each file and worker; workers serve many tasks.
-ENCODERS: dict[str, Encoder] = {}
+#: One encoder for each file, bound of its cache and worker; workers serve many tasks.
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(name: str = VOCABULARY) -> Encoder:
-    if name not in ENCODERS:
-        ENCODERS[name] = Encoder(Vocabulary(public_tokenizers.path(name)))
-    return ENCODERS[name]
+def encoder(name: str = VOCABULARY, cache: int = CACHE) -> Encoder:
+    if (name, cache) not in ENCODERS:
+        ENCODERS[name, cache] = Encoder(Vocabulary(public_tokenizers.path(name)), cache=cache)
+    return ENCODERS[name, cache]
 
 
 def decode_rows(v: Vocabulary, rows: list[bytes]) -> list[bytes]:
@@ -299,17 +299,17 @@ def detokenised(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded
     return kept.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, cache: int = CACHE) -> DataFrame:
     """<id_col>, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one task, so that no ids move.
 
     Null and empty texts have no ids. Whole texts of any length are encoded, one at a time in a task's
     memory. Repeated rows and rows with equal ids are independent, an empty table gives an empty result,
-    ids are of any type, other columns aren't read.
+    ids are of any type, other columns aren't read. cache: bytes of a generation of a worker's cache.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, cache)
         for batch in batches:
             rows = texts(batch, "__text")
             for a, b in spans([len(x) for x in rows], BLOCK):
