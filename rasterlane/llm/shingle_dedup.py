@@ -41,8 +41,8 @@ DIFFER = 50
 BLOCK, PART = 4096, 4 << 20
 #: Sets of the sample that orders shingles, and frequent shingles that it names at most.
 SAMPLE, FREQUENT = 4096, 1 << 18
-#: Words of a set's parity; bucket members that are compared by shifting all rows; comparisons at a time.
-PARITY, SHIFTS, AT_ONCE = 4, 16, 1 << 20
+#: Words of a set's parity, and of the wider one that pairs are held to; bucket members that are compared by shifting all rows; comparisons at a time.
+PARITY, WIDE, SHIFTS, AT_ONCE = 4, 128, 16, 1 << 20
 
 
 def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,12 +82,12 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """PARITY words whose bits say whether the set has an odd number of shingles there.
+def parity(s: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """Words whose bits say whether the set has an odd number of shingles there.
 
     Two sets' words differ in at most as many bits as the sets have shingles not in common.
     """
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -162,19 +162,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """fp, s (the set) of the rows with these keys (__row, __digest, fp)."""
+    """fp, s (the set), wide (its WIDE parity words) of the rows with these keys (__row, __digest, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body in in_parts(batches):
             sets = [shingles(t, width) for t in body]
             ends = np.cumsum([0, *map(len, sets)])
             s = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), s], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), s, pa.array([parity(x, WIDE) for x in sets], pa.list_(pa.int64()))], ["fp", "s", "wide"])
 
     rows = docs.join(slots(wanted), slot(docs, text_col) == F.col("__slot"), "left_semi")
     rows = rows.select(*[c.alias(n) for n, c in row_key(docs, text_col).items()], F.col(quoted(text_col)).alias("__text"))
     found = rows.join(wanted.hint("shuffle_hash"), ["__row", "__digest"]).select("fp", "__text")
-    return stored(found.mapInArrow(run, "fp long, s array<long>").dropDuplicates(["fp"]), "shingle-sets")
+    return stored(found.mapInArrow(run, "fp long, s array<long>, wide array<long>").dropDuplicates(["fp"]), "shingle-sets")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -183,8 +183,15 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar enough."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """Of the pairs (a, b) those whose sets are similar enough.
+
+    Wide parity words go out first: whole sets are copied only for pairs that these cannot rule out.
+    """
+    words = sets.select("fp", "wide", F.size("s").alias("n"))
+    apart = F.expr("aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
+    close = pairs.join(words.toDF("a", "wa", "na"), "a").join(words.toDF("b", "wb", "nb"), "b")
+    close = stored(close.where(apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b"), "shingle-close")
+    both = close.join(sets.select("fp", "s").toDF("a", "sa"), "a").join(sets.select("fp", "s").toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return stored(both.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "shingle-links")
 
