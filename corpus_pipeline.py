@@ -9,7 +9,7 @@ from rasterlane.llm import bpe, decontaminate, exact_dedup, language_id, shingle
 from rasterlane.llm.common import shared_path, table
 
 #: Bytes of a generation of the encoder's cache: a worker has served the other stages before.
-CACHE = 16 << 20
+CACHE = 8 << 20
 #: Rows that Spark sends to Python at once (10,000 otherwise, which is 35 MB of text several times over).
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, spans, table, texts, with_fields
+from .common import quoted, released, spans, table, texts, with_fields
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of one generation of a worker's cache of words (it holds two at most), and characters of the
@@ -32,8 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CACHE, LONGEST_KEPT = 64 << 20, 64
 #: Characters that are decoded at a time.
 BLOCK = 1 << 20
-#: Pairs that the table of a worker holds before it begins anew.
-SEAMS = 1_000_000
+#: Bytes of a worker's cache for each pair that its table of seams may hold before it begins anew.
+SEAM_BYTES = 64
 #: Where spaces run together, only the last of a run begins a word.
 RUN = regex.compile(r" \s")
 WORD_START = regex.compile(r"(?= \S)", regex.V1)
@@ -49,7 +49,8 @@ def byte_alphabet() -> dict[str, int]:
 class Vocabulary:
     """Token bytes, merge parents and special tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, seams: int = 1_000_000):
+        self.seams = seams
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         of = byte_alphabet()
@@ -88,7 +89,7 @@ class Vocabulary:
         pair = left << 32 | right
         known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) >= SEAMS:  # a table of what was met, not of all pairs
+            if len(self.compatible) >= self.seams:  # a table of what was met, not of all pairs
                 self.compatible.clear()
             known = self.compatible[pair] = self._seam_holds(left, right)
         return known
@@ -251,7 +252,7 @@ ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 def encoder(name: str = VOCABULARY, cache: int = CACHE) -> Encoder:
     if (name, cache) not in ENCODERS:
-        ENCODERS[name, cache] = Encoder(Vocabulary(public_tokenizers.path(name)), cache=cache)
+        ENCODERS[name, cache] = Encoder(Vocabulary(public_tokenizers.path(name), seams=max(1, cache // SEAM_BYTES)), cache=cache)
     return ENCODERS[name, cache]
 
 
@@ -310,7 +311,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, cache)
-        for batch in batches:
+        for batch in released(batches):
             rows = texts(batch, "__text")
             for a, b in spans([len(x) for x in rows], BLOCK):
                 ids = [e.encode(x) for x in rows[a:b]]

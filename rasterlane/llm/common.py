@@ -130,6 +130,14 @@ def spans(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after the last one Arrow gives back what it keeps of freed memory, as workers serve on."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A column of strings; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.names.index(name)).to_pylist()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted, row_key, shared_dir, stored, table, text_bytes, texts, with_fields
+from .common import quoted, released, row_key, shared_dir, stored, table, text_bytes, texts, with_fields
 
 #: Edits allowed per character of the item.
 ERROR_RATE = 0.05
@@ -137,7 +137,7 @@ def find_contamination(
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, error_rate)
-            for batch in batches:
+            for batch in released(batches):
                 found = [(n, k, d) for n, text in enumerate(texts(batch, "__text")) for k, d in matcher.find(text)]
                 at = pa.array([x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int32())], ["__id", "item", "distance"])

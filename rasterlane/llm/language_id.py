@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, spans, stored, table, texts, with_fields
+from .common import quoted, released, spans, stored, table, texts, with_fields
 
 #: Characters of an n-gram, slots of the filter (a power of two), hash functions.
 GRAM, SLOTS, HASHES = 4, 1 << 20, 2
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
     schema = with_fields(kept, ("lang_pred", "string"), ("score", "double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             langs, scores = shared.value.predict(texts(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -12,8 +12,9 @@ which brings those together that share two bands), and each is compared with the
 The second round is exact and finds every link between what the first left apart (prefix filtering): with
 shingles in one order, two sets at s share one among the first n - ceil(s * n) + 1 of each, so all sets
 that have such a shingle in common meet, in pairs whose sizes fit and that are not yet joined. A pair is
-passed over only where the sets' parity words prove that they differ in too much. The order begins with
-what a sample of the sets does not hold twice; any order gives all links, a good one small buckets.
+passed over only where the sets' parity words, a bit a shingle, prove that they differ in too much. Shingles
+that the same sets hold (a passage that was copied) make one bucket. The order begins with what a sample of
+the sets does not hold twice; any order gives all links, a good one small buckets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, least_rows, quoted, row_key, shared_dir, slot, slots, spans, stored, texts, with_fields
+from .common import components, least_rows, quoted, released, row_key, shared_dir, slot, slots, spans, stored, texts, with_fields
 from .simhash import SEED
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -41,8 +42,10 @@ DIFFER = 50
 BLOCK, PART = 4096, 4 << 20
 #: Sets of the sample that orders shingles, and frequent shingles that it names at most.
 SAMPLE, FREQUENT = 4096, 1 << 18
-#: Words of a set's parity, and of the wider one that pairs are held to; bucket members that are compared by shifting all rows; comparisons at a time.
-PARITY, WIDE, SHIFTS, AT_ONCE = 4, 128, 16, 1 << 20
+#: Words of a set's parity, which has a bit a shingle within these bounds, and of the wider one that pairs are held to.
+PARITY, MOST, WIDE = 4, 128, 128
+#: Bucket members that are compared by shifting all rows; comparisons, and words of parity, at a time.
+SHIFTS, AT_ONCE, WORDS = 16, 1 << 20, 1 << 20
 
 
 def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,11 +85,13 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
 
 
-def parity(s: np.ndarray, words: int = PARITY) -> np.ndarray:
-    """Words whose bits say whether the set has an odd number of shingles there.
+def parity(s: np.ndarray, words: int = 0) -> np.ndarray:
+    """Words (a power of two; 0: PARITY to MOST, by the set's size) whose bits say whether the set has an odd number of shingles there.
 
-    Two sets' words differ in at most as many bits as the sets have shingles not in common.
+    Two sets' words differ in at most as many bits as the sets have shingles not in common. Halves of
+    the words added without carry are the parity in half as many words.
     """
+    words = words or min(MOST, max(PARITY, 1 << (max(len(s) - 1, 0) >> 6).bit_length()))
     odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -127,6 +132,27 @@ def unlike_roots(token: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarr
                 yield np.repeat(np.arange(a, b), len(later)), np.tile(later, b - a)
 
 
+def folded(words: np.ndarray, begin: np.ndarray, width: np.ndarray, rows: np.ndarray, w: int) -> np.ndarray:
+    """Parity of the rows in w words each, from their own width words at begin."""
+    at = np.arange(w)
+    out = words[begin[rows][:, None] + at]
+    for k in range(1, int(width[rows].max(initial=0)) // w):
+        wider = np.flatnonzero(width[rows] > k * w)
+        out[wider] ^= words[begin[rows[wider]][:, None] + k * w + at]
+    return out
+
+
+def parities_apart(words: np.ndarray, begin: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of rows i and j differ, each pair in the narrower one's words."""
+    out, narrow = np.zeros(len(i), np.int64), np.minimum(width[i], width[j])
+    for w in np.unique(narrow).tolist():
+        of = np.flatnonzero(narrow == w)
+        for a in range(0, len(of), max(1, WORDS // w)):
+            part = of[a : a + max(1, WORDS // w)]
+            out[part] = np.bitwise_count(folded(words, begin, width, i[part], w) ^ folded(words, begin, width, j[part], w)).sum(axis=1)
+    return out
+
+
 def differing(a: str, b: str) -> str:
     """How many of two sketches' min-hashes differ, as SQL."""
     part = []
@@ -139,7 +165,7 @@ def differing(a: str, b: str) -> str:
 
 def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches whose last column has about PART bytes of text (or one text), with that text."""
-    for batch in batches:
+    for batch in released(batches):
         last = batch.column(batch.num_columns - 1)
         for a, b in spans(pc.fill_null(pc.binary_length(last), 0).to_pylist(), PART):
             part = batch.slice(a, b - a)
@@ -256,28 +282,41 @@ def prefix_buckets(docs: DataFrame, fps: DataFrame, text_col: str, width: int, l
     return stored(entries.where("low <> high").select("token", "fp"), "shingle-prefixes")
 
 
+def unlike_buckets(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, fp, n, root of buckets with two or more roots; shingles with the same sets share a bucket.
+
+    A bucket's name is a hash of its members: buckets that it confuses become one, which loses no pair.
+    """
+    own = Window.partitionBy("token")
+    members = entries.distinct().select(F.bit_xor(F.xxhash64("fp")).over(own).alias("token"), "fp").distinct()
+    rows = members.join(sets.select("fp", "n", "root"), "fp").withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own)})
+    return rows.where("low <> high").select("token", "fp", "n", "root")
+
+
 def remaining_pairs(entries: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that share a prefix's shingle, have different roots, and may be similar enough.
 
-    entries: token, fp. sets: fp, n, parity, root of distinct fp. A bucket's rows are held at once, 64 bytes each.
+    entries: token, fp. sets: fp, n, parity, root of distinct fp. A bucket's rows are held at once, a
+    bit a shingle and some 50 bytes each (MOST words at most).
     """
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         token, fp, n, root = (table[c].to_numpy() for c in ("token", "fp", "n", "root"))
-        words = np.stack([table[f"p{k}"].to_numpy() for k in range(PARITY)], axis=1).view(np.uint64)
+        lists = table["parity"].combine_chunks()
+        begin = lists.offsets.to_numpy()
+        begin, width, words = begin[:-1] - begin[0], np.diff(begin), lists.flatten().to_numpy().view(np.uint64)
         out = [np.zeros((0, 2), np.int64)]
         for i, j in unlike_roots(token, root):
             fits = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6
             i, j = i[fits], j[fits]
-            apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
-            near = apart <= (n[i] + n[j]) * (1 - least) / (1 + least) + 1e-6
+            near = parities_apart(words, begin, width, i, j) <= (n[i] + n[j]) * (1 - least) / (1 + least) + 1e-6
             out.append(np.stack([fp[i[near]], fp[j[near]]], axis=1))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             token = batch.column(0).to_numpy()
@@ -291,11 +330,8 @@ def remaining_pairs(entries: DataFrame, sets: DataFrame, least: float) -> DataFr
         if waiting:
             yield compared(pa.Table.from_batches(waiting))
 
-    rows = entries.distinct().join(sets.select("fp", "n", "root", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)]), "fp")
-    rows = rows.select("token", "fp", "n", "root", *[f"p{k}" for k in range(PARITY)])
-    own = Window.partitionBy("token")
-    apart = rows.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own)}).where("low <> high").drop("low", "high")
-    return stored(apart.repartition("token").sortWithinPartitions("token", "root").mapInArrow(run, "a long, b long").distinct(), "shingle-rest")
+    rows = unlike_buckets(entries, sets).join(sets.select("fp", "parity"), "fp").select("token", "fp", "n", "root", "parity")
+    return stored(rows.repartition("token").sortWithinPartitions("token", "root").mapInArrow(run, "a long, b long").distinct(), "shingle-rest")
 
 
 def link_components(docs: DataFrame, fps: DataFrame, text_col: str, width: int, least: float) -> DataFrame:

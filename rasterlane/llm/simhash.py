@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, least_keys, least_rows, quoted, row_key, shared_dir, stored, table, texts, with_fields
+from .common import components, least_keys, least_rows, quoted, released, row_key, shared_dir, stored, table, texts, with_fields
 
 #: Distinct fingerprints that a shard should hold (a few hundred bytes of working memory each);
 #: bound of the sample that deals them out, and its size for each shard.
@@ -162,7 +162,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """__id, fp (long), and with keys __row and __digest, for every row, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = fingerprints(texts(batch, "__text"), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "fp"])
 

@@ -88,3 +88,38 @@ def test_pairs_of_unlike_roots():
     found = [(min(i, j), max(i, j)) for x, y in shingle_dedup.unlike_roots(token, root) for i, j in zip(x.tolist(), y.tolist())]
     want = {(i, j) for i in range(len(token)) for j in range(i + 1, len(token)) if token[i] == token[j] and root[i] != root[j]}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_parity_tells_long_unlike_sets_apart(spark):
+    """A family of long sets that share half of their shingles: 256 bits say nothing about them, a bit a shingle does."""
+    rng = np.random.default_rng(11)
+    common = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 600).astype(np.uint64)])) for _ in range(40)]
+    sets.append(np.unique(np.concatenate([sets[0][:-60], rng.integers(0, 1 << 63, 60).astype(np.uint64)])))
+    sets.append(sets[1][: int(0.81 * len(sets[1]))])  # similar enough, and in fewer words of parity at times
+    rows = [(i, len(s), shingle_dedup.parity(s).tolist(), i) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame([(int(t), i) for i, s in enumerate(sets) for t in s[:400].view(np.int64)], "token long, fp long")
+    frame = spark.createDataFrame(rows, "fp long, n long, parity array<long>, root long")
+    found = {(r["a"], r["b"]) for r in shingle_dedup.remaining_pairs(entries, frame, 0.8).collect()}
+    assert {(0, 40), (1, 41)} <= found and len(found) < 20
+
+
+def test_shingles_of_the_same_sets_share_a_bucket(spark):
+    entries = spark.createDataFrame([(t, fp) for t in range(500) for fp in (1, 2)] + [(900, 1), (900, 3), (901, 3), (901, 4)], "token long, fp long")
+    sets = spark.createDataFrame([(1, 9, 1), (2, 9, 2), (3, 9, 3), (4, 9, 3)], "fp long, n long, root long")
+    found = shingle_dedup.unlike_buckets(entries.unionByName(entries), sets).collect()
+    assert sorted((r["fp"], r["root"]) for r in found) == [(1, 1), (1, 1), (2, 2), (3, 3)] and len({r["token"] for r in found}) == 2
+
+
+def test_parity_in_fewer_words():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 3, 256, 257, 700, 5000, 20000)]
+    words = [shingle_dedup.parity(s).view(np.uint64) for s in sets]
+    assert list(map(len, words)) == [4, 4, 4, 8, 16, 128, 128]
+    width = np.array(list(map(len, words)))
+    i, j = np.triu_indices(len(sets), 1)
+    found = shingle_dedup.parities_apart(np.concatenate(words), np.cumsum(width) - width, width, i, j)
+    for a, b, n in zip(i.tolist(), j.tolist(), found.tolist()):
+        w = min(width[a], width[b])
+        assert n == np.bitwise_count(shingle_dedup.parity(sets[a], w).view(np.uint64) ^ shingle_dedup.parity(sets[b], w).view(np.uint64)).sum()
+        assert n <= len(np.setxor1d(sets[a], sets[b]))
