@@ -14,10 +14,10 @@ from __future__ import annotations
 import json
 import os
 import struct
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -41,8 +41,9 @@ MAX_BITS = 16
 BLOCK, LANES, FILE_IDS, FILE_DOCS, ROWS = 1024, 2048, 32_000_000, 2_000_000, 65_536
 #: Bytes that a worker's cache may hold in each of two generations; characters tokenised together.
 CACHE, CHARS = 96 << 20, 8 << 20
-#: Signs that often end words, and the end of the Latin letters.
-SIGNS, LATIN_END = (",", "."), "\u0250"
+#: Signs that often end words; Latin words that end in one.
+SIGNS = (",", ".")
+SIGNED = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[,.]$"
 #: A space before other white space: such texts are cut with more care.
 SPACES = r" [\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -130,6 +131,42 @@ class Coder:
         return out.T.ravel()[:count]
 
 
+def gathered(ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ids, one after the other."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Words(dict):
+    """Word -> its number; its ids are size[number] at begin[number] of one array, which grows by doubling."""
+
+    def __init__(self, kind: np.dtype):
+        super().__init__()
+        self.ids, self.used, self.held = np.zeros(1024, kind), 0, 0
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after the other, and how many each has."""
+        size = self.size[numbers].astype(np.int64)
+        return gathered(self.ids, self.begin[numbers], size), size
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self)
+        while n + len(words) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.update(zip(words, range(n, n + len(words))))
+
+
+def numbers(of: dict, words: list[str]) -> np.ndarray:
+    """The words' numbers, -1 where they have none."""
+    return np.fromiter(map(of.get, words, repeat(-1)), np.int64, len(words))
+
+
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library.
 
@@ -148,75 +185,90 @@ class LibraryEncoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.bytes = np.diff(Vocabulary(path).offsets)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.signs = {x: self.alone(x) for x in SIGNS}
+        self.signs = {x: np.frombuffer(self.alone(x), self.kind) for x in SIGNS}
         self.heads = Pieces(self.alone, "", CACHE // 8)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        self.new, self.old = Words(self.kind), Words(self.kind)
 
     def alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of pieces (their space left out) that are not in the cache.
-
-        A comma or full stop after letters is a pre-token of its own, so word and sign are looked up
-        apart.
-        """
-        found, ask, signed = {}, [], []
-        for x in missing:
-            if x[-1:] in SIGNS and x[:-1].isalpha() and max(x) < LATIN_END:
-                signed.append(x)
-                x = x[:-1]
-                if x in found:
-                    continue
-                known = self.new.get(x) or self.old.get(x)
-                if known is not None:
-                    found[x] = known
-                    continue
-                found[x] = b""  # asked for below
-            if not x or x[-1].isspace():  # white space would run into the next piece's
-                found[x] = self.alone(" " + x)
-            else:
-                ask.append(x)
-        if ask:
-            text = " " + " ".join(ask)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            sizes = np.fromiter(map(len, map(str.encode, ask)), np.int64, len(ask)) + 1
-            cut = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
-            ends = (cut * self.kind.itemsize).tolist()
-            raw = ids.tobytes()
-            for x, at, end in zip(ask, [0, *ends], ends):
-                found[x] = raw[at:end]
-        for x in signed:
-            found[x] = found[x[:-1]] + self.signs[x[-1]]
-        return found
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words with the space before them, from the cache or the library.
+    def learn(self, missing: pa.Array, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the space before them, one after the other, and how many each has; from the library."""
+        odd = [k for k, x in enumerate(names) if not x or x[-1].isspace()]  # white space would run into the next word's
+        ask = list(names)
+        for k in odd:
+            ask[k] = "."
+        text = " " + " ".join(ask)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        sizes = pc.binary_length(missing).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        sizes[odd] = 2
+        size = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1, prepend=0)
+        if odd:
+            rows = np.split(ids, np.cumsum(size)[:-1])
+            for k in odd:
+                rows[k] = np.frombuffer(self.alone(" " + names[k]), self.kind)
+            ids, size = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+        return ids, size
+
+    def stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of distinct words with the space before them, from the cache or the library.
 
         The cache is bounded by bytes, and words of more than LONGEST_KEPT characters are never kept.
         """
-        found = list(map(self.new.get, words))
-        missing = [w for w, f in zip(words, found) if f is None]
-        if missing:
-            again = {w: f for w in missing if (f := self.old.get(w)) is not None}
-            fresh = again | self.learn([w for w in missing if w not in again])
-            found = [fresh[w] if f is None else f for w, f in zip(words, found)]
-            if max(map(len, fresh)) > LONGEST_KEPT:
-                fresh = {w: f for w, f in fresh.items() if len(w) <= LONGEST_KEPT}
-            more = sum(map(sys.getsizeof, fresh)) + sum(map(sys.getsizeof, fresh.values())) + 100 * len(fresh)  # see weight()
-            if self.held + more > CACHE:
-                self.old, self.new, self.held = self.new, {}, 0
-            if more <= CACHE:
-                self.new.update(fresh)
-                self.held += more
-        return found
+        names = words.to_pylist()
+        number = numbers(self.new, names)
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            ids, size = self.new.of(number)
+            return ids, np.cumsum(size) - size, size
+        asked = [names[i] for i in missing.tolist()]
+        before = numbers(self.old, asked)
+        again, fresh = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        parts = [self.new.of(number[number >= 0]), self.old.of(before[again])]
+        place = np.concatenate([np.flatnonzero(number >= 0), missing[again], missing[fresh]])
+        if len(fresh):
+            parts.append(self.learn(words.take(pa.array(missing[fresh])), [asked[i] for i in fresh.tolist()]))
+        ids, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+        begin, size = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        begin[place], size[place] = np.cumsum(sizes) - sizes, sizes
+        kept = missing[pc.less_equal(pc.utf8_length(words.take(pa.array(missing))), LONGEST_KEPT).to_numpy(zero_copy_only=False)]
+        some = words.take(pa.array(kept))
+        b = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        # a string takes 49 bytes more than its characters, or 60 and four a character at most; then its number and places
+        more = int(np.where(pc.string_is_ascii(some).to_numpy(zero_copy_only=False), 49 + b, 60 + 4 * b).sum() + 150 * len(b) + size[kept].sum() * 2 * self.kind.itemsize)
+        if self.new.held + more > CACHE:
+            self.old, self.new = self.new, Words(self.kind)
+        if more <= CACHE:
+            self.new.add([names[i] for i in kept.tolist()], gathered(ids, begin[kept], size[kept]), size[kept])
+            self.new.held += more
+        return ids, begin, size
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with the space before them, one after the other, and how many each has.
+
+        A comma or full stop after letters is a pre-token of its own, so it is cut off, and only the
+        stems are looked up.
+        """
+        signed = pc.match_substring_regex(words, SIGNED)
+        cut = pc.if_else(signed, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        ids, begin, size = self.stems(cut.dictionary)
+        of, signed = cut.indices.to_numpy(), signed.to_numpy(zero_copy_only=False)
+        size = size[of]
+        more = np.zeros(len(words), np.int64)
+        ended = {x: signed & pc.ends_with(words, x).to_numpy(zero_copy_only=False) for x in SIGNS}
+        for x, at in ended.items():
+            more[at] = len(self.signs[x])
+        ends = np.cumsum(size + more)
+        out = np.empty(ends[-1] if len(ends) else 0, self.kind)
+        out[np.repeat(np.cumsum(more) - more, size) + np.arange(size.sum())] = gathered(ids, begin[of], size)
+        for x, at in ended.items():
+            out[(ends[at] - more[at])[:, None] + np.arange(len(self.signs[x]))] = self.signs[x]
+        return out, size + more
 
     def encode(self, rows: list[str] | pa.Array) -> list[bytes]:
         """Ids of whole texts. Arrow cuts the texts at spaces and numbers the distinct words; only
         these meet Python, and the texts' ids are gathered from theirs by index."""
-        rows = pa.array(rows, pa.string()) if isinstance(rows, list) else rows.cast(pa.large_string())
+        rows = pa.array(rows, pa.large_string()) if isinstance(rows, list) else rows.cast(pa.large_string())
         odd = pc.match_substring_regex(rows, SPACES)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(rows, s))
@@ -233,17 +285,15 @@ class LibraryEncoder:
         is_word[offsets[:-1]] = False
         heads = [self.heads[x] if x else b"" for x in every.take(pa.array(offsets[:-1])).to_pylist()]
         coded = every.filter(pa.array(is_word)).dictionary_encode()
-        found = self.pieces(coded.dictionary.to_pylist())
-        width = self.kind.itemsize
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-        begin, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.kind)
+        blob, sizes = self.pieces(coded.dictionary)
+        width, begin = self.kind.itemsize, np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy()
         ids, ends = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
         for a in range(0, len(codes), 1 << 20):
             c = codes[a : a + (1 << 20)]
             n = sizes[c]
             end = np.cumsum(n)
-            ids.append(blob[np.repeat(begin[c] - (end - n), n) + np.arange(end[-1])])
+            ids.append(gathered(blob, begin[c], n))
             ends.append(end + ends[-1][-1])
         raw, ends = np.concatenate(ids).tobytes(), np.concatenate(ends)
         cut = (ends[offsets - np.arange(len(offsets))] * width).tolist()
@@ -256,7 +306,7 @@ class LibraryEncoder:
         if any(s in text for s in self.special):
             return self.alone(text)
         head, *rest = WORD_START.split(text)
-        return (self.heads[head] if head else b"") + b"".join(self.pieces([x[1:] for x in rest]))
+        return (self.heads[head] if head else b"") + self.pieces(pa.array([x[1:] for x in rest], pa.large_string()))[0].tobytes()
 
 
 ENCODERS: dict[str, LibraryEncoder] = {}

@@ -74,3 +74,11 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
         text = " ".join(f"word{i * 50 + j}," for j in range(50))
         assert np.frombuffer(h.encode([text])[0], h.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
         assert sum(bpe.weight(k, v) for k, v in h.new.items()) <= 10_000
+
+
+def test_words_with_a_sign_are_kept_once():
+    """The cache holds stems; a comma or full stop after letters costs no entry, and odd words keep their own ids."""
+    h = huffman.LibraryEncoder(huffman.VOCABULARY)
+    for text in ("x elephant elephant, elephant. été, été x1, a.b, , .. É.", "x elephant. brandnew, elephant\n two　 　three 漢字, été", "x " + "y" * 70 + ", z"):
+        assert np.frombuffer(h.encode([text])[0], h.kind).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert {"elephant", "été", "brandnew", "x1,"} <= set(h.new) and not {"elephant,", "elephant.", "été,", "brandnew,"} & set(h.new)
