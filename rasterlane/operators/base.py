@@ -97,6 +97,9 @@ class Operator:
     spatial = False
     #: Whether it needs a statistic of the sample, which samples without an id do not have.
     statistic = False
+    #: Whether its draws can be made for rows whose gate is closed, too: Spark works out what draws have
+    #: in common once only where no condition is around them.
+    unconditional = False
 
     def __post_init__(self):
         checked(self)
@@ -159,7 +162,7 @@ class Operator:
                 return act(df.withColumns({k: F.expr(v) for k, v in named.items()})).drop(*named)
             if gate == "false":
                 return df
-            draw = lambda x, g: x.withColumns({k: F.expr(f"case when {g} then {v} end") for k, v in named.items()})
+            draw = lambda x, g: x.withColumns({k: F.expr(v if self.unconditional else f"case when {g} then {v} end") for k, v in named.items()})
             return gated(df, kind, frame, draw, self, act, gate).drop(*named)
 
         out = frame.each_part(apply)

@@ -12,6 +12,15 @@ from rasterlane.functions.sampling import STEPS, Draws, mixed, num
 from .base import Operator, operator, or_old, or_stays, values
 from .geometry import moved
 
+#: With up to so many holes boxes are cut by plain expressions, whose number grows with the square; with more by arrays.
+FEW = 4
+
+
+def apart(condition: str) -> str:
+    """The condition as a lambda's result. Spark compiles a projection that has a lambda by itself, in methods of
+    a fit size; others become one method with what is around them, and the JVM compiles none beyond 8000 bytes."""
+    return f"exists(array({condition}), c -> c)"
+
 
 class Holes(Operator):
     """holes(): SQL of (x0, y0, x1, y1, exists) for each hole. Pixels inside are filled; keypoints
@@ -21,6 +30,7 @@ class Holes(Operator):
     fill_mask = None
     min_visibility = 0.0
     own = ("boxes", "keypoints")
+    unconditional = True
 
     def holes(self) -> list[tuple[str, str, str, str, str]]:
         raise NotImplementedError
@@ -53,14 +63,56 @@ class Holes(Operator):
         return [e for h in found for e in (h[0], h[2])], [e for h in found for e in (h[1], h[3])]
 
     def on_boxes(self, df):
-        """Boxes end where their last visible column or row does.
-
-        The edges of the holes cut a box into cells that are wholly seen or wholly hidden, so a box
-        costs as many cells as holes, not pixels.
-        """
+        """Boxes end where their last visible column or row does."""
+        columns, types = df.columns, dict(df.dtypes)
         size = {"__x0": "cast(floor(x_min * w) as int)", "__y0": "cast(floor(y_min * h) as int)", "__x1": "cast(ceil(x_max * w) as int)", "__y1": "cast(ceil(y_max * h) as int)"}
-        df = df.withColumns({k: F.expr(v) for k, v in size.items()}).where(or_stays(df, "__x1 > __x0 and __y1 > __y0"))
-        cuts = self.cuts()
+        df = df.withColumns({k: F.expr(v) for k, v in size.items()})
+        few = self.cuts() is not None and 0 < len(self.holes()) <= FEW and not self.min_visibility
+        df, keep, hidden, ends = self.by_edges(df) if few else self.by_cells(df)
+        new = {c: or_old(df, f"case when {hidden} then {ends[c]} / (1e0 * {side}) else {c} end", c) for c, side in (("x_min", "w"), ("y_min", "h"), ("x_max", "w"), ("y_max", "h"))}
+        row = ", ".join(f"'__{c}', cast({e} as {types[c]})" for c, e in new.items())
+        # not where(): the optimizer would copy all that keep is made of into a filter below, once for each place that names it
+        df = df.select("*", F.expr(f"inline(case when {or_stays(df, keep)} then array(named_struct({row})) end)"))
+        return df.select(*[F.col(f"__{c}").alias(c) if c in new else F.col(c) for c in columns])
+
+    def by_edges(self, df):
+        """df with a box's visible columns and rows, and SQL: whether any is, whether any pixel is hidden, the ends.
+
+        The first visible column begins where the box or a hole's right edge does, and so do rows: the
+        first of each lie on crossings of these, the last on crossings of the other edges. A column and a
+        row each have a number with a bit for every hole that they go through; a crossing is hidden where
+        both have the same bit. All of it is plain arithmetic in the row.
+        """
+        holes = self.holes()
+        n = range(len(holes))
+        at = {f"__{a}{i}": f"__{a}{i}" for a in "xy" for i in "01"}
+        for k, (x0, y0, x1, y1, e) in enumerate(holes):
+            within = {f"__x0{k}": ("x", x0), f"__x1{k}": ("x", x1), f"__y0{k}": ("y", y0), f"__y1{k}": ("y", y1)}
+            at |= {c: f"case when {e} then cast(least(__{a}1, greatest(__{a}0, {v})) as int) else __{a}0 end" for c, (a, v) in within.items()}
+        box = " and ".join(["__x1 > __x0 and __y1 > __y0", *[f"({h[4]}) is not null" for h in holes]])
+        df = df.withColumns({k: F.expr(f"coalesce({v}, 0)") for k, v in at.items()} | {"__box": F.expr(apart(box))})
+        hidden = " or ".join(f"(__x1{k} > __x0{k} and __y1{k} > __y0{k})" for k in n)
+        # the box's own edge first; one bit more for places outside the box, which never counts as seen
+        places = {f"{a}{i}": [f"__{a}{i}" + (" - 1" if i else ""), *[f"__{a}{1 - i}{k}" + (" - 1" if i else "") for k in n]] for a in "xy" for i in (0, 1)}
+        through = {}
+        for name, found in places.items():
+            a, (one, two) = name[0], (1 << len(n), 2 << len(n)) if name[0] == "x" else (2 << len(n), 1 << len(n))
+            for j, c in enumerate(found):
+                bits = [f"case when {c} >= __{a}0{k} and {c} < __{a}1{k} then {1 << k} else 0 end" for k in n]
+                through[f"__{name}_{j}"] = " | ".join([f"case when {c} >= __{a}0 and {c} < __{a}1 then {one} else {one + two} end", *bits])
+        df = df.withColumns({k: F.expr(v) for k, v in (through | {"__hidden": apart(hidden)}).items()})
+        ends = {}
+        for a, other in ("xy", "yx"):
+            for i, pick in ((0, "least"), (1, "greatest")):
+                seen = [" or ".join(f"(__{a}{i}_{j} & __{other}{i}_{m}) = 0" for m in range(len(n) + 1)) for j in range(len(n) + 1)]
+                ends[f"__{a}_{i}"] = f"{pick}({', '.join(f'case when {s} then {c} end' for s, c in zip(seen, places[f'{a}{i}']))})" + (" + 1" if i else "")
+        df = df.withColumns({k: F.expr(v) for k, v in ends.items()})
+        return df, "__box and __x_0 is not null", "__hidden", {"x_min": "__x_0", "y_min": "__y_0", "x_max": "__x_1", "y_max": "__y_1"}
+
+    def by_cells(self, df):
+        """The same for any number of holes: their edges cut a box into cells that are wholly seen or
+        wholly hidden, so a box costs as many cells as holes, not pixels."""
+        cuts, df = self.cuts(), df.where(or_stays(df, "__x1 > __x0 and __y1 > __y0"))
         for a, at in zip("xy", cuts or (None, None)):
             inner = or_old(df, f"sequence(__{a}0, __{a}1)", f"array(__{a}0, __{a}1)") if at is None else f"array(__{a}0, __{a}1, {', '.join(f'cast(least(__{a}1, greatest(__{a}0, coalesce({e}, __{a}0))) as int)' for e in at)})"
             df = df.withColumn(f"__c{a}", F.array_sort(F.array_distinct(F.expr(inner))))
@@ -68,9 +120,8 @@ class Holes(Operator):
         df = df.withColumn("__seen", F.expr(f"filter({cells}, c -> not {self.inside('c.y', 'c.x')})"))
         df = df.withColumn("__left", F.expr("aggregate(__seen, 0, (s, c) -> s + (c.yy - c.y) * (c.xx - c.x))"))
         area = "(__x1 - __x0) * (__y1 - __y0)"
-        df = df.where(or_stays(df, f"__left > 0 and __left >= {num(self.min_visibility)} * {area}"))
-        new = {"x_min": "array_min(transform(__seen, c -> c.x)) / (1e0 * w)", "x_max": "array_max(transform(__seen, c -> c.xx)) / (1e0 * w)", "y_min": "array_min(transform(__seen, c -> c.y)) / (1e0 * h)", "y_max": "array_max(transform(__seen, c -> c.yy)) / (1e0 * h)"}
-        return moved(df, **{k: or_old(df, f"case when __left < {area} then {v} else {k} end", k) for k, v in new.items()}).drop("__x0", "__y0", "__x1", "__y1", "__cx", "__cy", "__seen", "__left")
+        ends = {"x_min": "array_min(transform(__seen, c -> c.x))", "x_max": "array_max(transform(__seen, c -> c.xx))", "y_min": "array_min(transform(__seen, c -> c.y))", "y_max": "array_max(transform(__seen, c -> c.yy))"}
+        return df, f"__left > 0 and __left >= {num(self.min_visibility)} * {area}", f"__left < {area}", ends
 
 
 def extent(d: Draws, name: str, limits: tuple, side: str) -> str:

@@ -237,6 +237,42 @@ def test_random_fills_follow_seed_and_place(spark, pixels):
     assert a == table(op.run(Frame(pixels), 1, "0")) and a != b and a != table(op.run(Frame(pixels), 2, "0"))
 
 
+def test_boxes_under_holes_end_where_they_are_last_seen(spark):
+    """Against every pixel: holes in plain expressions, more of them in arrays, boxes over the edge, inverted and unknown."""
+    ends = [(0.0, 0.0, 1.0, 1.0), (0.1, 0.2, 0.5, 0.4), (0.45, 0.3, 0.8, 0.95), (-0.2, 0.5, 1.3, 0.7), (0.6, 0.1, 0.4, 0.9), (0.5, 0.5, 0.5, 0.6), (0.2, None, 0.9, 0.9)]
+    boxes = spark.createDataFrame([(i, 12, 9, k, *e, "a") for i in range(60) for k, e in enumerate(ends)], "sample_id long, h int, w int, box_ix int, x_min double, y_min double, x_max double, y_max double, label string").cache()
+    for holes in (1, 2, 4, 6):
+        op = OPERATORS["coarse_dropout"](p=1.0, num_holes_range=(1, holes), hole_height_range=(0.3, 0.95), hole_width_range=(0.3, 0.95))
+        drawn = boxes.withColumns({f"p_{k}": F.expr(v) for k, v in op.draws(Draws(2, "0.coarse_dropout")).items()})
+        want = []
+        for r in map(lambda r: r.asDict(), drawn.collect()):
+            if r["y_min"] is None:
+                continue
+            inside = [(r[f"p_x{k}"], r[f"p_y{k}"], r[f"p_xx{k}"], r[f"p_yy{k}"]) for k in range(r["p_n"])]
+            every = [(x, y) for x in range(math.floor(r["x_min"] * 9), math.ceil(r["x_max"] * 9)) for y in range(math.floor(r["y_min"] * 12), math.ceil(r["y_max"] * 12))]
+            seen = [(x, y) for x, y in every if not any(x0 <= x < x1 and y0 <= y < y1 for x0, y0, x1, y1 in inside)]
+            xs, ys = [x for x, _ in seen], [y for _, y in seen]
+            if seen:
+                cut = (min(xs) / 9, min(ys) / 12, (max(xs) + 1) / 9, (max(ys) + 1) / 12)
+                want.append((r["sample_id"], r["box_ix"], *(cut if len(seen) < len(every) else tuple(r[c] for c in ("x_min", "y_min", "x_max", "y_max")))))
+        found = op.run(Frame(None, 0, boxes=boxes), 2).boxes.select("sample_id", "box_ix", "x_min", "y_min", "x_max", "y_max")
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) < 5 * 60, holes
+
+
+def test_boxes_under_holes_are_compiled_code(spark):
+    """No method beyond the 8000 bytes that the JVM compiles, nothing of the search copied into a filter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalogue.QUERIES["box_coarse_dropout"](spark, SF)._jdf.queryExecution()
+        filters = [line for line in plan.optimizedPlan().toString().splitlines() if line.strip().startswith("+- Filter")]
+        assert filters and not any("48271" in line or "lambda" in line for line in filters)
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan.executedPlan())
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+        assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_zero_weights_are_equal_weights(pixels):
     ops = (OPERATORS["invert_img"](p=0.0), OPERATORS["horizontal_flip"](p=0.0))
     assert len(table(compose.OneOf(ops, p=1.0).run(Frame(pixels)))) == pixels.count()
