@@ -6,8 +6,12 @@ back on the sample and value.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -438,10 +442,72 @@ class Superpixels(Operator):
         return df.withColumns({v: F.expr(f"case when {hit} then {clipped(f'(c{v})', top)} else {v} end") for v in names}).drop("__cell", "__c", "__r", *[f"c{v}" for v in names])
 
 
+#: Blocks that are transformed together: their coefficients stay in a core's cache.
+TOGETHER = 256
+
+
+def cosines(n: int) -> np.ndarray:
+    """[place, frequency] of n places."""
+    return np.array([[math.cos((2.0 * a + 1.0) * u * math.pi / (2.0 * n)) for u in range(n)] for a in range(n)])
+
+
+def through_cosines(v: pa.Array, y: pa.Array, x: pa.Array, by: pa.Array, bx: pa.Array, bh: pa.Array, bw: pa.Array, q: pa.Array) -> pa.Array:
+    """Values of blocks (lists of pixels by y, x) after their cosine coefficients were rounded for a quality q.
+
+    Blocks that hold the same pixels go together, sums run pixel by pixel and frequency by frequency:
+    halves are rounded by what a sum comes to, so its order is part of the result. Blocks without a
+    quality get an empty list, blocks with an unknown value unknown ones.
+    """
+    flat = v.flatten().cast(pa.float64())
+    known = np.asarray(flat.is_valid())
+    values, quality = flat.fill_null(0.0).to_numpy(zero_copy_only=False), q.fill_null(0.0).to_numpy(zero_copy_only=False)
+    size = np.asarray(pc.list_value_length(v))
+    first = np.cumsum(size) - size
+    top, left, high, wide = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (by, bx, bh, bw))
+    ys, xs = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (y, x))
+    place = (ys - np.repeat(top * 8, size)) * 8 + xs - np.repeat(left * 8, size)
+    out, done = np.zeros(len(values)), np.asarray(q.is_valid())
+    for n in np.unique(size[done]):
+        rows = np.flatnonzero(done & (size == n))
+        at = first[rows, None] + np.arange(n)
+        alike, which = np.unique(np.column_stack([high[rows], wide[rows], place[at]]).astype(np.uint8), axis=0, return_inverse=True)
+        for g, (h, w, *cells) in enumerate(alike.astype(int)):
+            mine = np.flatnonzero(which.ravel() == g)
+            for a in range(0, len(mine), TOGETHER):
+                some = mine[a : a + TOGETHER]
+                with np.errstate(invalid="ignore"):
+                    out[at[some]] = rounded_blocks(values[at[some]].T, np.array(cells), h, w, quality[rows[some]]).T
+    ends = np.concatenate([[0], np.cumsum(np.where(done, size, 0))]).astype(np.int32)
+    kept = np.repeat(done, size)
+    whole = np.repeat(np.add.reduceat(np.append(~known, False), first)[: len(size)] == 0, size) if len(size) else known
+    return pa.ListArray.from_arrays(ends, pa.array(out[kept], mask=~whole[kept]))
+
+
+def rounded_blocks(values: np.ndarray, cells: np.ndarray, h: int, w: int, quality: np.ndarray) -> np.ndarray:
+    """values: [pixel, block], pixels at cells (8 y + x) of h x w places."""
+    cy, cx, count = cosines(h), cosines(w), values.shape[1]
+    found, part = np.zeros((h, w, count)), np.empty((h, w, count))
+    for v, c in zip(values - 128.0, cells):
+        np.multiply((v * cy[c // 8][:, None])[:, None], cx[c % 8][:, None], out=part)
+        found += part
+    u, v = np.arange(h)[:, None], np.arange(w)[None]
+    norm = np.sqrt(np.where(u == 0, 1.0, 2.0) * np.where(v == 0, 1.0, 2.0) / (h * w))[..., None]
+    scale = np.where(quality < 50, 5000.0 / quality, 200.0 - 2.0 * quality) / 100.0
+    step = np.maximum(1.0, (8.0 + 4.0 * (u + v))[..., None] * scale)
+    found = step * np.rint(found * norm / step) * norm
+    back = np.zeros((h, w, count))
+    for i in range(h):
+        for j in range(w):
+            np.multiply((found[i, j] * cy[:, i][:, None])[:, None], cx[:, j][:, None], out=part)
+            back += part
+    return 128.0 + back[cells // 8, cells % 8]
+
+
 @operator
 class ImageCompression(Operator):
     """Loss of a block transform: 8 x 8 cosine coefficients are rounded to steps that grow with
-    frequency and fall with quality. Blocks are an aggregation by (sample, block)."""
+    frequency and fall with quality. Blocks are an aggregation by (sample, block), transformed a batch
+    at a time."""
 
     quality_range: tuple = (99, 100)
     p: float = 0.5
@@ -454,14 +520,10 @@ class ImageCompression(Operator):
         names = values(channels)
         df = df.withColumns({"__by": F.expr("cast(floor(y / 8) as int)"), "__bx": F.expr("cast(floor(x / 8) as int)")})
         rest = [c for c in df.columns if c not in {"sample_id", "h", "w", "y", "x", "__by", "__bx", *names}]
-        blocks = df.groupBy("sample_id", "h", "w", "__by", "__bx").agg(F.array_sort(F.collect_list(F.struct("y", "x", *names))).alias("px"), F.max("y").alias("__my"), F.max("x").alias("__mx"), *[F.min(c).alias(c) for c in rest])
-        scale = "(case when p_q < 50 then 5000e0 / p_q else 200e0 - 2e0 * p_q end / 100e0)"
-        cos = lambda a, u, n: f"cos((2e0 * {a} + 1e0) * {u} * 3.141592653589793e0 / (2e0 * {n}))"
-        blocks = blocks.withColumns({"bh": F.expr("__my - __by * 8 + 1"), "bw": F.expr("__mx - __bx * 8 + 1")})
-        for v in names:
-            norm = "(case when k.u = 0 then 1e0 else 2e0 end) * (case when k.v = 0 then 1e0 else 2e0 end) / (bh * bw)"
-            step = f"greatest(1e0, (8e0 + 4e0 * (k.u + k.v)) * {scale})"
-            coef = f"transform(flatten(transform(sequence(0, bh - 1), u -> transform(sequence(0, bw - 1), v -> named_struct('u', u, 'v', v)))), k -> named_struct('u', k.u, 'v', k.v, 'c', {step} * rint(aggregate(px, 0e0, (s, q) -> s + (q.{v} - 128e0) * {cos('(q.y - __by * 8)', 'k.u', 'bh')} * {cos('(q.x - __bx * 8)', 'k.v', 'bw')}) * sqrt({norm}) / {step}) * sqrt({norm})))"
-            blocks = blocks.withColumn(f"k{v}", F.expr(coef))
-        cell = ", ".join(f"'{v}', " + or_old(df, clipped(f"(128e0 + aggregate(k{v}, 0e0, (s, k) -> s + k.c * {cos('(q.y - __by * 8)', 'k.u', 'bh')} * {cos('(q.x - __bx * 8)', 'k.v', 'bw')}))", top), f"q.{v}") for v in names)
-        return blocks.select("sample_id", "h", "w", *rest, F.inline(F.expr(f"transform(px, q -> named_struct('y', q.y, 'x', q.x, {cell}))")))
+        blocks = df.groupBy("sample_id", "h", "w", "__by", "__bx").agg(F.sort_array(F.collect_list(F.struct("y", "x", *names))).alias("px"), F.max("y").alias("__my"), F.max("x").alias("__mx"), *[F.min(c).alias(c) for c in rest])
+        blocks = blocks.withColumns({"__bh": F.expr("__my - __by * 8 + 1"), "__bw": F.expr("__mx - __bx * 8 + 1")})
+        coded = F.arrow_udf(through_cosines, "array<double>")
+        quality = or_old(df, "p_q", "null")  # blocks that stay as they are need no result
+        blocks = blocks.withColumns({f"__n{i}": coded(f"px.{v}", "px.y", "px.x", "__by", "__bx", "__bh", "__bw", F.expr(f"cast({quality} as double)")) for i, v in enumerate(names)})
+        rows = blocks.select("sample_id", "h", "w", *rest, F.inline(F.arrays_zip("px", *[f"__n{i}" for i in range(channels)])))
+        return rows.select("sample_id", "h", "w", *rest, "px.y", "px.x", *[F.expr(or_old(df, clipped(f"__n{i}", top), f"px.{v}")).alias(v) for i, v in enumerate(names)])
